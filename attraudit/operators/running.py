@@ -62,6 +62,7 @@ def running_totals(
     mins: Mapping[str, str] | None = None,
     hashed: bool = False,
     n_buckets: int | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """Add exclusive prefix sums over `order` within `keys`.
 
@@ -69,10 +70,19 @@ def running_totals(
     left out. `totals` maps a numeric column to
     the name of its sum over strictly smaller order values; `all_<name>` gets the
     sum over the whole key. With `hashed`, `order` is md5 hex text. `mins` maps a column to the name of its minimum over
-    this and all larger order values (the step-up minimum of FDR control).
+    this and all larger order values (the step-up minimum of FDR control). `small` is for result panels, whose groups have
+    one row per cell: a plain window, with no buckets.
     """
     mins = dict(mins or {})
     keys = list(keys)
+    if small:
+        w = W.partitionBy(*keys).orderBy(order)
+        out = [F.col(c) for c in df.columns]
+        for c, name in totals.items():
+            out.append(F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(name))
+            out.append(F.sum(c).over(W.partitionBy(*keys)).alias(f"all_{name}"))
+        out += [F.min(c).over(w.rowsBetween(0, W.unboundedFollowing)).alias(n) for c, n in mins.items()]
+        return df.select(*out)
     cut = hash_buckets(df, order, n_buckets) if hashed else with_buckets(df, order, n_buckets)
     by = keys + [_BUCKET]
 
@@ -104,22 +114,31 @@ def running_totals(
     return joined.select(*out)
 
 
-def midranks(df: DataFrame, keys: Sequence[str], value: str, out: str, descending: bool = False) -> DataFrame:
+def midranks(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, descending: bool = False, small: bool = False
+) -> DataFrame:
     """One row per (keys, value) with its average rank and count.
 
     Ties share the mean of the ranks they cover.
     """
     keys = list(keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    run = running_totals(counts, keys, value, {"n": "below"})
+    run = running_totals(counts, keys, value, {"n": "below"}, small=small)
     up = F.col("below") + (F.col("n") + 1) / 2.0
     rank = F.col("all_below") + 1 - up if descending else up
     return run.select(*keys, value, "n", F.col("all_below").alias("n_total"), rank.alias(out))
 
 
-def rank_rows(df: DataFrame, keys: Sequence[str], value: str, out: str, descending: bool = False) -> DataFrame:
+def rank_rows(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, descending: bool = False, small: bool = False
+) -> DataFrame:
     """Every row with its average rank."""
     keys = list(keys)
+    if small:
+        known = F.col(value).isNotNull()
+        first = F.rank().over(W.partitionBy(*keys, known).orderBy(F.col(value).desc() if descending else F.col(value)))
+        ties = F.count(F.lit(1)).over(W.partitionBy(*keys, value))
+        return df.withColumn(out, F.when(known, first + (ties - 1) / 2.0))
     ranks = midranks(df, keys, value, out, descending).drop("n", "n_total")
     renamed = ranks.select(*[F.col(c).alias(f"__r_{c}") for c in keys + [value]], out)
     cond = [df[c] == F.col(f"__r_{c}") for c in keys + [value]]

@@ -57,9 +57,7 @@ h AS (SELECT *, (tp + {ZERO}) * (tn + {ZERO})::DOUBLE / ((fp + {ZERO}) * (fn + {
 SELECT attribute, finding, n_strata, {r('o', 'or_crude')}, {r('abs(ln(o))', 'abs_log_or_crude')}, {r('mh', 'or_mh')},
  {r('abs(ln(nullif(mh, 0)))', 'abs_log_or_mh')} FROM h""")
 def or_mh(spark, sf):
-    return odds.mantel_haenszel(labelled(spark, sf, "blank_dropped"), BINARY, ["urgent", "winter"], "stratum").unionByName(
-        odds.mantel_haenszel(labelled(spark, sf, "blank_dropped"), BINARY, ["fulfilled"], "stratum")
-    )
+    return odds.mantel_haenszel(labelled(spark, sf, "blank_dropped"), BINARY, FINDINGS, "stratum")
 
 
 @query("or_by_stratum", f"""{_STRATA} SELECT stratum, attribute, finding, tp, fp, fn, tn, {_or_cols(ZERO)} FROM c WHERE tp + fp + fn + tn >= 50""")
