@@ -2,8 +2,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,16 +31,18 @@ def poisson_cuts(mean: float = 1.0, upto: int = 12) -> list[float]:
     return cuts
 
 
-def _count_at_least(value: Column, cuts: Iterable[float]) -> Column:
-    out = F.lit(0)
-    for c in cuts:
-        out = out + (value >= F.lit(c)).cast("int")
-    return out
+def poisson_one(u: Column) -> Column:
+    """Poisson(1) draw by inverting the distribution at a uniform value.
 
+    The draw is bound to a lambda variable, so its hash is computed once per row.
+    """
+    def invert(v: Column) -> Column:
+        out = F.lit(0)
+        for c in poisson_cuts():
+            out = out + (v >= F.lit(c)).cast("int")
+        return out
 
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) draw by inverting the distribution at a uniform value."""
-    return _count_at_least(u, poisson_cuts())
+    return F.transform(F.array(u), invert)[0]
 
 
 def poisson_many(count: Column, seed: int, *parts: Column | str) -> Column:

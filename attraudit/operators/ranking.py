@@ -13,16 +13,23 @@ from pyspark.sql import functions as F
 from .running import running_totals
 
 
-def ranked(scores: DataFrame, cell: Sequence[str], p: str = "p", y: str = "y", weight: str | None = None) -> DataFrame:
-    """Distinct scores per cell with counts at and below them."""
+def ranked(
+    scores: DataFrame, cell: Sequence[str], p: str = "p", y: str = "y", weight: str | None = None,
+    edges_from: DataFrame | None = None,
+) -> DataFrame:
+    """Distinct scores per cell with counts at and below them.
+
+    `edges_from` holds the same scores without replicates, to place the buckets.
+    """
     w = F.col(weight) if weight else F.lit(1)
+    known = scores.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     counts = (
-        scores.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-        .groupBy(*cell, F.col(p).cast("double").alias("s"))
+        known.groupBy(*cell, F.col(p).cast("double").alias("s"))
         .agg(F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("pos"),
              F.sum(F.when(F.col(y) == 0, w).otherwise(0)).alias("neg"))
     )
-    run = running_totals(counts, cell, "s", {"pos": "pos_below", "neg": "neg_below"})
+    edges = (known if edges_from is None else edges_from).select(F.col(p).cast("double").alias("s"))
+    run = running_totals(counts, cell, "s", {"pos": "pos_below", "neg": "neg_below"}, edges_from=edges)
     return run.withColumnRenamed("all_pos_below", "n_pos").withColumnRenamed("all_neg_below", "n_neg")
 
 
@@ -45,9 +52,12 @@ def _counts() -> list[Column]:
     ]
 
 
-def auroc(scores: DataFrame, cell: Sequence[str], p: str = "p", y: str = "y", weight: str | None = None) -> DataFrame:
+def auroc(
+    scores: DataFrame, cell: Sequence[str], p: str = "p", y: str = "y", weight: str | None = None,
+    edges_from: DataFrame | None = None,
+) -> DataFrame:
     """Area under the ROC curve, ties at one half; null for one-class cells."""
-    return ranked(scores, cell, p, y, weight).groupBy(*cell).agg(*_counts(), _area().alias("auroc"))
+    return ranked(scores, cell, p, y, weight, edges_from).groupBy(*cell).agg(*_counts(), _area().alias("auroc"))
 
 
 def auprc(scores: DataFrame, cell: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:

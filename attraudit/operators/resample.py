@@ -23,39 +23,55 @@ from .running import rank_rows, running_totals
 MIN_VALID = 10
 
 
-def with_replicates(rows: DataFrame, b: int) -> DataFrame:
-    return rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+def _spread(rows: DataFrame, identity: Sequence[str]) -> DataFrame:
+    """Even out rows before they are replicated: B times the work follows this shuffle."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return rows.repartition(n, *identity)
+
+
+def with_replicates(rows: DataFrame, b: int, identity: Sequence[str] = ()) -> DataFrame:
+    spread = _spread(rows, identity) if identity else rows
+    return spread.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
 
 
 def draw(rows: DataFrame, b: int, seed: int, identity: Sequence[str], count: str | None = None) -> DataFrame:
-    """Rows of every replicate with a positive weight `w`."""
-    reps = with_replicates(rows, b)
-    key = [F.col("rep"), *[F.col(c) for c in identity]]
-    w = poisson_one(uniform(seed, *key)) if count is None else poisson_many(F.col(count), seed, *key)
-    return reps.withColumn("w", w).where(F.col("w") > 0)
+    """Rows of every replicate with a positive weight `w`.
+
+    All weights of a row are drawn in one array, so each hash is computed once
+    and rows that a replicate leaves out are never emitted.
+    """
+    key = [F.col(c) for c in identity]
+
+    def one(rep: Column) -> Column:
+        w = poisson_one(uniform(seed, rep, *key)) if count is None else poisson_many(F.col(count), seed, rep, *key)
+        return F.struct(rep.alias("rep"), w.alias("w"))
+
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), F.lit(b - 1)), one), lambda x: x["w"] > 0)
+    return _spread(rows, identity).select("*", F.inline(drawn))
 
 
-# ---- metrics over weighted rows: (rows, keys, weight) -> (keys, value) ------
+# ---- metrics over weighted rows: (rows, keys, weight, base) -> (keys, value);
+# `base` holds the rows before replication ----
 
-def _auroc(rows, keys, weight):
-    return auroc(rows, keys, weight=weight).select(*keys, F.col("auroc").alias("value"))
+def _auroc(rows, keys, weight, base=None):
+    return auroc(rows, keys, weight=weight, edges_from=base).select(*keys, F.col("auroc").alias("value"))
 
 
-def _auprc(rows, keys, weight):
-    r = ranked(rows, keys, weight=weight)
+def _auprc(rows, keys, weight, base=None):
+    r = ranked(rows, keys, weight=weight, edges_from=base)
     both = (F.max("n_pos") > 0) & (F.max("n_neg") > 0)
     return r.groupBy(*keys).agg(F.when(both, _precision_area()).alias("value"))
 
 
 def _weighted(expr: Callable[[Column], Column]):
-    def metric(rows, keys, weight):
+    def metric(rows, keys, weight, base=None):
         return rows.groupBy(*keys).agg(expr(F.col(weight)).alias("value"))
     return metric
 
 
 _E = F.col  # short name inside the expressions below
 
-METRICS: dict[str, Callable[[DataFrame, Sequence[str], str], DataFrame]] = {
+METRICS: dict[str, Callable[..., DataFrame]] = {
     "auroc": _auroc,
     "auprc": _auprc,
     "mae": _weighted(lambda w: F.sum(w * F.abs(_E("y") - _E("p"))) / F.sum(w)),
@@ -67,7 +83,7 @@ METRICS: dict[str, Callable[[DataFrame, Sequence[str], str], DataFrame]] = {
 }
 
 
-def register_metric(name: str, fn: Callable[[DataFrame, Sequence[str], str], DataFrame]) -> None:
+def register_metric(name: str, fn: Callable[..., DataFrame]) -> None:
     """Plug in a metric of weighted rows, as a DataFrame function (F1)."""
     METRICS[name] = fn
 
@@ -105,8 +121,8 @@ def bootstrap_ci(
         slim = base.select(*cell, *value_cols, unit)
         one = slim.withColumn("w", F.lit(1))
         drawn = draw(slim, b, seed, [unit])
-    point = fn(one, cell, "w").withColumnRenamed("value", "point")
-    reps = fn(drawn, [*cell, "rep"], "w")
+    point = fn(one, cell, "w", base).withColumnRenamed("value", "point")
+    reps = fn(drawn, [*cell, "rep"], "w", base)
     return _attach(point, interval(reps, cell, ci=ci), cell)
 
 
@@ -127,7 +143,7 @@ def bootstrap_delta(
     def both(df, keys):
         sides = F.array(F.struct(F.lit("a").alias("side"), F.col(a).alias("p")), F.struct(F.lit("b").alias("side"), F.col(b_score).alias("p")))
         long = df.select(*keys, "y", "w", F.explode(sides).alias("s")).select(*keys, "y", "w", "s.*")
-        m = fn(long, [*keys, "side"], "w")
+        m = fn(long, [*keys, "side"], "w", base.select("y", F.explode(F.array(a, b_score)).alias("p")))
         return m.groupBy(*keys).agg(
             (F.max(F.when(F.col("side") == "b", F.col("value"))) - F.max(F.when(F.col("side") == "a", F.col("value")))).alias("value")
         )
@@ -165,7 +181,7 @@ def bootstrap_gap(
         drawn = draw(slim, b, seed, [unit])
     observed = gap(auroc(base, keys), cell, group)
     n_groups = base.groupBy(*cell).agg(F.count_distinct(group).alias("__g"))
-    per = auroc(drawn, [*keys, "rep"], weight="w")
+    per = auroc(drawn, [*keys, "rep"], weight="w", edges_from=base)
     ok = (F.col("n") >= min_n) & (F.least(F.col("n_pos"), F.col("n") - F.col("n_pos")) >= min_side)
     good = per.withColumn("v", F.when(ok, F.col("auroc")))
     reps = good.groupBy(*cell, "rep").agg(
@@ -230,7 +246,7 @@ def permutation_auroc(rows: DataFrame, cell: Sequence[str], unit: str, b: int =
     base = rows.where(F.col("y").isNotNull()).select(*cell, unit, "y", F.col("p").cast("double").alias("p"))
     observed = auroc(base, cell).where(F.col("auroc").isNotNull())
     ranks = rank_rows(base, cell, "p", "rk").select(*cell, unit, "rk")
-    reps = with_replicates(ranks, b).withColumn("__h", hash_order(seed, "rep", *cell, unit)).withColumn("__n", F.lit(1))
+    reps = with_replicates(ranks, b, [*cell, unit]).withColumn("__h", hash_order(seed, "rep", *cell, unit)).withColumn("__n", F.lit(1))
     run = running_totals(reps, [*cell, "rep"], "__h", {"__n": "pos"}, hashed=True)
     per = _attach(run, observed, cell).where(F.col("pos") < F.col("n_pos"))
     p_, n_ = F.max("n_pos"), F.max(F.col("n") - F.col("n_pos"))
@@ -265,11 +281,11 @@ def permutation_gap(rows: DataFrame, cell: Sequence[str], unit: str, group: str
         ),
     )
     observed = observed.withColumn("deal", deal).select(*cell, "gap", "n_groups", "deal")
-    reps = with_replicates(base.drop(group), b).withColumn("__h", hash_order(seed, "rep", *cell, unit)).withColumn("__n", F.lit(1))
+    reps = with_replicates(base.drop(group), b, [*cell, unit]).withColumn("__h", hash_order(seed, "rep", *cell, unit)).withColumn("__n", F.lit(1))
     run = running_totals(reps, [*cell, "rep"], "__h", {"__n": "pos"}, hashed=True)
     dealt = _attach(run, observed.select(*cell, "deal"), cell)
     dealt = dealt.withColumn("g", F.filter("deal", lambda d: d["upto"] > F.col("pos"))[0]["g"])
-    per = auroc(dealt.select(*cell, "rep", "g", "y", "p"), [*cell, "rep", "g"])
+    per = auroc(dealt.select(*cell, "rep", "g", "y", "p"), [*cell, "rep", "g"], edges_from=base)
     valid = F.when(F.min((F.col("n") >= min_n) & F.col("auroc").isNotNull()), F.max("auroc") - F.min("auroc"))
     null = _attach(per.groupBy(*cell, "rep").agg(valid.alias("v")), observed.select(*cell, "gap", "n_groups"), cell)
     extra = 1 if plus_one else 0

@@ -23,22 +23,30 @@ def default_buckets(df: DataFrame) -> int:
     return max(8, min(n, 2048))
 
 
-def with_buckets(df: DataFrame, order: str, n_buckets: int | None = None) -> DataFrame:
-    """Add a bucket number that never decreases along `order`."""
+def with_buckets(
+    df: DataFrame, order: str, n_buckets: int | None = None, edges_from: DataFrame | None = None
+) -> DataFrame:
+    """Add a bucket number that never decreases along `order`.
+
+    The edges come from `edges_from` if given: the rows `df` was derived from,
+    whose quantiles need no shuffle and no replicates.
+    """
     n = n_buckets or default_buckets(df)
     fan = max(2, int(n**0.5))
     fine = [i / n for i in range(1, n)]
     value = F.col(order).cast("double")
     # a one-row aggregate: n - 1 doubles, read as a constant by every task
-    edges = df.agg(
+    cuts = (edges_from if edges_from is not None else df).agg(
         F.coalesce(
             F.percentile_approx(value, fine, max(10000, 4 * n)), F.array().cast("array<double>")
-        ).alias("edges")
-    ).scalar()
+        ).alias("all")
+    )
+    ends = F.filter("all", lambda e, i: (i % fan) == fan - 1)
+    edges = cuts.select(F.struct(F.col("all"), ends.alias("ends")).alias("edges")).scalar()
     # two short scans instead of one long one: whole runs of `fan` edges, then the rest
-    ends = F.filter("__edges", lambda e, i: (i % fan) == fan - 1)
-    runs = F.size(F.filter(ends, lambda e: e < value))
-    rest = F.size(F.filter(F.slice("__edges", F.col("__runs") * fan + 1, F.lit(fan)), lambda e: e < value))
+    runs = F.size(F.filter("__edges.ends", lambda e: e < value))
+    inside = F.slice("__edges.all", F.col("__runs") * fan + 1, F.lit(fan))
+    rest = F.size(F.filter(inside, lambda e: e < value))
     return (
         df.withColumn("__edges", edges)
         .withColumn("__runs", runs)
@@ -63,6 +71,7 @@ def running_totals(
     hashed: bool = False,
     n_buckets: int | None = None,
     small: bool = False,
+    edges_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add exclusive prefix sums over `order` within `keys`.
 
@@ -83,7 +92,7 @@ def running_totals(
             out.append(F.sum(c).over(W.partitionBy(*keys)).alias(f"all_{name}"))
         out += [F.min(c).over(w.rowsBetween(0, W.unboundedFollowing)).alias(n) for c, n in mins.items()]
         return df.select(*out)
-    cut = hash_buckets(df, order, n_buckets) if hashed else with_buckets(df, order, n_buckets)
+    cut = hash_buckets(df, order, n_buckets) if hashed else with_buckets(df, order, n_buckets, edges_from)
     by = keys + [_BUCKET]
 
     sums = [F.sum(c).alias(f"__t_{c}") for c in totals] + [F.min(c).alias(f"__m_{c}") for c in mins]
@@ -122,8 +131,9 @@ def midranks(
     Ties share the mean of the ranks they cover.
     """
     keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    run = running_totals(counts, keys, value, {"n": "below"}, small=small)
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    run = running_totals(counts, keys, value, {"n": "below"}, small=small, edges_from=known.select(value))
     up = F.col("below") + (F.col("n") + 1) / 2.0
     rank = F.col("all_below") + 1 - up if descending else up
     return run.select(*keys, value, "n", F.col("all_below").alias("n_total"), rank.alias(out))
@@ -152,12 +162,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     """
     keys = list(keys)
     v = f"__v_{value}"
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias(v))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    run = running_totals(counts, keys, v, {"n": "below"})
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias(v))
+    counts = known.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("n"))
+    run = running_totals(counts, keys, v, {"n": "below"}, edges_from=known.select(v))
     upto = F.col("below") + F.col("n")
     aggs = []
     for name, p in probs.items():
