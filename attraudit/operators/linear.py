@@ -61,7 +61,8 @@ def ridge_map(rows: DataFrame, alpha: float = 1.0) -> dict[str, dict]:
 
 def _mapped(rows: DataFrame, apply, keep: Sequence[str], out: str) -> DataFrame:
     """Apply a (block) -> matrix function in Arrow batches; rows with NaN get null."""
-    base = rows.select("model", "x", "f", "y", *keep)
+    layout = ("model", "x", "f", "y")
+    base = rows.select(*layout, *[c for c in keep if c not in layout])
     schema = T.StructType([f for f in base.select("model", *keep).schema.fields] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -219,6 +219,7 @@ class ProbeTable:
         self._scale: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self._moments: dict = {}
         self._fourier: dict[str, tuple] = {}
+        self._shared = None
         self._fit_scaler()
         if feature_map is not None:
             self._expand(feature_map)
@@ -268,8 +269,9 @@ class ProbeTable:
         """Function (model, x, f) -> feature matrix used inside the tasks."""
         if self.map is None:
             return lambda model, x, f: x
-        shared = self.rows.sparkSession.sparkContext.broadcast(self._fourier)
-        size = self.map.size
+        if self._shared is None:
+            self._shared = self.rows.sparkSession.sparkContext.broadcast(self._fourier)
+        shared, size = self._shared, self.map.size
 
         def apply(model, x, f):
             mu, sd, w, b, first = shared.value[model]

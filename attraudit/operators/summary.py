@@ -169,13 +169,25 @@ def quality_gate(aurocs: DataFrame, value: str = "auroc", minimum: float = 0.75)
     )
 
 
-def benjamini_hochberg(tests: DataFrame, family: Sequence[str], p: str = "p_value", q: float = 0.05) -> DataFrame:
+def benjamini_hochberg(
+    tests: DataFrame, family: Sequence[str], p: str = "p_value", q: float = 0.05, small: bool = False
+) -> DataFrame:
     """Step-up FDR adjustment inside each family; null p values stay null.
 
     Ranks come from running counts over distinct p values, so a family may be
-    larger than one task can sort.
+    larger than one task can sort; the adjusted value is joined back by p, so the
+    table of tests must be a stored one. `small` is for a panel of computed
+    tests, one row per cell: plain windows and no join.
     """
     fam = list(family)
+    if small:
+        known = F.col(p).isNotNull()
+        part = [*fam, known]
+        upto = F.count(F.lit(1)).over(W.partitionBy(*part).orderBy(p))
+        raw = tests.withColumn("__raw", F.col(p) * F.count(F.lit(1)).over(W.partitionBy(*part)) / upto)
+        adj = F.min("__raw").over(W.partitionBy(*part).orderBy(F.col(p).desc()))
+        out = raw.withColumn("p_adjusted", F.when(known, F.least(adj, F.lit(1.0)))).drop("__raw")
+        return out.withColumn("rejected", F.coalesce(F.col("p_adjusted") < q, F.lit(False)))
     counts = tests.where(F.col(p).isNotNull()).groupBy(*fam, F.col(p).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("n"))
     ranked = running_totals(counts, fam, "__p", {"n": "below"})
     raw = ranked.withColumn("__adj", F.col("__p") * F.col("all_below") / (F.col("below") + F.col("n")))

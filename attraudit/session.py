@@ -4,7 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "attraudit") -> SparkSession:
@@ -34,3 +34,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     target = current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(target)
     return target
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table once to the checkpoint folder and go on from there.
+
+    Used where a computed table is read several times or joined to itself by
+    value, so that a lost executor cannot bring back slightly different floats.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
