@@ -189,9 +189,10 @@ def benjamini_hochberg(
         out = raw.withColumn("p_adjusted", F.when(known, F.least(adj, F.lit(1.0)))).drop("__raw")
         return out.withColumn("rejected", F.coalesce(F.col("p_adjusted") < q, F.lit(False)))
     counts = tests.where(F.col(p).isNotNull()).groupBy(*fam, F.col(p).cast("double").alias("__p")).agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counts, fam, "__p", {"n": "below"})
+    edges = tests.select(F.col(p).cast("double").alias("__p")).where(F.col("__p").isNotNull())
+    ranked = running_totals(counts, fam, "__p", {"n": "below"}, edges_from=edges)
     raw = ranked.withColumn("__adj", F.col("__p") * F.col("all_below") / (F.col("below") + F.col("n")))
-    low = running_totals(raw.select(*fam, "__p", "__adj"), fam, "__p", {}, {"__adj": "__min"})
+    low = running_totals(raw.select(*fam, "__p", "__adj"), fam, "__p", {}, {"__adj": "__min"}, edges_from=edges)
     adj = low.select(*[F.col(c).alias(f"__f_{c}") for c in fam], "__p", F.least("__min", F.lit(1.0)).alias("p_adjusted"))
     cond = [tests[c] == F.col(f"__f_{c}") for c in fam] + [tests[p].cast("double") == F.col("__p")]
     return tests.join(adj, cond, "left").select(

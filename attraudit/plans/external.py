@@ -2,15 +2,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import apply_policy
-from ..sources.sinks import write_by_model
+from ..operators.probes import BASELINE, FourierMap, ProbeTable
+from ..session import materialize
+from ..sources.sinks import write_by_model, write_text
 from .inputs import Study
-from .outcomes import external_summary
-from .representation import debiasing_study, dependence_matrix
+from .outcomes import external_summary, multimetric_study
+from .representation import debiasing_study, dependence_matrix, erasure_study
 
 
 def external_units(meta: DataFrame, labels: DataFrame, embeddings: DataFrame, findings: Sequence[str], known: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -30,7 +33,7 @@ def external_units(meta: DataFrame, labels: DataFrame, embeddings: DataFrame, fi
 
 def external_study(s: Study, sink: str | None = None, b: int = 200) -> dict[str, DataFrame]:
     """Dependence, subgroup gaps and their ratio with the external guards."""
-    s.min_train, s.min_test, s.min_neg = max(s.min_train, 100), s.min_test, max(s.min_neg, 10)
+    s = replace(s, min_train=max(s.min_train, 100), min_neg=max(s.min_neg, 10))
     dep = dependence_matrix(s, b=b)
     gaps = debiasing_study(s, {"all": list(s.attributes)}, b=b, min_n=30, min_pos=5, min_neg=5)
     base_gaps = gaps["gaps"].where("variant = 'baseline'")
@@ -39,3 +42,18 @@ def external_study(s: Study, sink: str | None = None, b: int = 200) -> dict[str,
     if sink is not None:
         write_by_model(dep["cells"], sink)
     return out
+
+
+def external_extended(s: Study, attributes: Sequence[str], group: str, feature_map: FourierMap, sink: str | None = None, b: int = 1000, max_rounds: int = 25) -> dict[str, DataFrame]:
+    """Multi-metric gaps and nonlinear erasure on the external cohort, with a text summary."""
+    with ProbeTable(s.embeddings, s.units, [], list(s.findings), keep=(group,)) as t:
+        fitted = t.fit(s.guard(t, t.cells([BASELINE], s.findings)))
+        scores = materialize(t.score(fitted, ("train", "test")))
+    out = multimetric_study(scores, ["model", "target"], group, b=b)
+    raw = erasure_study(s, attributes, max_rounds=max_rounds)
+    out["erasure"] = raw.unionByName(erasure_study(s, attributes, feature_map, max_rounds))
+    out["summary"] = out["gaps"].groupBy("metric").agg(F.avg("gap").alias("mean_gap"), F.count("gap").alias("n_cells"))
+    if sink is not None:
+        line = F.format_string("%-12s mean gap %.3f over %d cells", F.col("metric"), F.col("mean_gap"), F.col("n_cells"))
+        write_text(out["summary"], sink, line)
+    return out

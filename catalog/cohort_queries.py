@@ -76,7 +76,7 @@ def _median_split(op, missing):
         u = units(spark, sf)
         med = cohort.median_cut(u, "age", ["grp"])
         side = split_at(F.col("age"), F.col("median"), op, missing)
-        return u.join(F.broadcast(med), "grp").groupBy("grp").agg(
+        return u.join(med, "grp").groupBy("grp").agg(
             F.max("median").alias("median"), F.count_if(side == 1).alias("high"), F.count_if(side == 0).alias("low"),
             F.count_if(side.isNull()).alias("missing"),
         )

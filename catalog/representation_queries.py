@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attraudit.functions.rand import uniform
 from attraudit.operators import linear, probes, ranking
-from attraudit.plans import representation as plans
+from attraudit.plans import external, representation as plans
 from attraudit.plans.inputs import Study, build_cohort
 from attraudit.operators.probes import BASELINE, FourierMap, ProbeTable, Variant
 
@@ -242,3 +242,17 @@ def cohort_build(spark, sf):
     return c.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_units"), F.count_distinct("entity_id").alias("n_entities"), F.count("fulfilled").alias("n_fulfilled")
     )
+
+
+@query("external_study")
+def external_study(spark, sf):
+    s = study(spark, sf)
+    s.attributes = ["building"]
+    return external.external_study(s, b=12)["external"]
+
+
+@query("external_extended")
+def external_extended(spark, sf):
+    s = study(spark, sf)
+    s.findings = ["fulfilled"]
+    return external.external_extended(s, ["building"], "grp", FourierMap(64), b=12, max_rounds=1)["summary"]
