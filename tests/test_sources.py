@@ -71,17 +71,20 @@ def test_csv_text_and_listing(spark, tmp_path):
     assert [r["unit_id"] for r in readers.keep_existing(units, listing).collect()] == ["1"]
 
 
-def _make():
-    def run(batch):
-        if any(v < 0 for v in batch):
-            raise ValueError("negative")
-        return [np.array([v, v * 2], np.float32) for v in batch]
-    return run
+def maker():
+    """A user batch function, built inside a call so that workers get it by value."""
+    def make():
+        def run(batch):
+            if any(v < 0 for v in batch):
+                raise ValueError("negative")
+            return [np.array([v, v * 2], np.float32) for v in batch]
+        return run
+    return make
 
 
 def test_failed_batch_is_retried_by_row(spark):
     rows = spark.createDataFrame([(i, float(i - 3)) for i in range(10)], "unit_id int, v double").coalesce(1)
-    got = map_with_errors(rows, "unit_id", "v", _make, 4).collect()
+    got = map_with_errors(rows, "unit_id", "v", maker(), 4).collect()
     assert len(got) == 10
     assert {r["unit_id"] for r in got if r["error"]} == {0, 1, 2}
     assert [r["value"] for r in got if r["unit_id"] == 5] == [[2.0, 4.0]]
@@ -90,8 +93,8 @@ def test_failed_batch_is_retried_by_row(spark):
 def test_resume_by_key(spark, tmp_path):
     sink, dead = str(tmp_path / "s"), str(tmp_path / "d")
     rows = spark.createDataFrame([(i, float(i - 1)) for i in range(6)], "unit_id int, v double")
-    run_resumable(spark, rows.where("unit_id < 4"), "unit_id", "v", _make, sink, dead)
-    run_resumable(spark, rows, "unit_id", "v", _make, sink, dead)
+    run_resumable(spark, rows.where("unit_id < 4"), "unit_id", "v", maker(), sink, dead)
+    run_resumable(spark, rows, "unit_id", "v", maker(), sink, dead)
     done = [r["unit_id"] for r in spark.read.parquet(sink).collect()]
     assert sorted(done) == [1, 2, 3, 4, 5]
     assert [r["unit_id"] for r in spark.read.parquet(dead).collect()] == [0]
@@ -101,7 +104,7 @@ def test_available_now_ingest(spark, tmp_path):
     src, sink, dead, cp = (str(tmp_path / n) for n in ("src", "s", "d", "cp"))
     rows = spark.createDataFrame([(i, float(i)) for i in range(4)], "unit_id int, v double")
     rows.where("unit_id < 2").write.mode("append").parquet(src)
-    ingest_available(spark, src, rows.schema, "unit_id", "v", _make, sink, dead, cp)
+    ingest_available(spark, src, rows.schema, "unit_id", "v", maker(), sink, dead, cp)
     rows.where("unit_id >= 2").write.mode("append").parquet(src)
-    ingest_available(spark, src, rows.schema, "unit_id", "v", _make, sink, dead, cp)
+    ingest_available(spark, src, rows.schema, "unit_id", "v", maker(), sink, dead, cp)
     assert sorted(r["unit_id"] for r in spark.read.parquet(sink).collect()) == [0, 1, 2, 3]
