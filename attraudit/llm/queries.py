@@ -4,9 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from attraudit.llm import bpe, decontaminate, language_id, line_dedup, simhash, token_counts
-from attraudit.llm.common import read
+from attraudit.llm import bpe, decontaminate, language_id, line_dedup, permutation_index, pseudo_likelihood, secret_scan, simhash, token_counts, warc
+from attraudit.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -71,6 +72,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs, "source").select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+@register("op6_warc", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM m""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(read(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
 @register("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(read(spark, sf_dir, "documents"))
+
+
+@register("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(read(spark, sf_dir, "documents"))
+
+
+@register("op9_pseudo_likelihood")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.report(read(spark, sf_dir, "documents"))
+
+
+@register("op10_permutation_index")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
