@@ -16,7 +16,7 @@ def _star(pairs: DataFrame, least: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, root) for every node of the edges (u, v): root is the smallest node that can be reached."""
+    """(u, root) for every node of the edges (u, v) but the roots: root is the smallest node that can be reached."""
     e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
     if e.isEmpty():
         return e.select("u", F.col("v").alias("root"))
