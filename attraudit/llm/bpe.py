@@ -28,15 +28,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attraudit.llm.common import text_or_empty
 
-LEAF_CHARS = 16_384
+LEAF_CHARS = 65_536  # encoding a leaf takes well under a second; moving smaller ones costs more than it saves
 FIRST_WINDOW = 64
-CACHED_CHUNKS, CACHED_CHARS, SLICE_ROWS, LINE = 500_000, 64, 256, 128
+CACHED_CHUNKS, CACHED_CHARS, SLICE_ROWS, LINE = 250_000, 64, 256, 128
 #: The word pattern for which clean cuts are proven; fixed value of the public tokenizer.
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CHUNK = re.compile(r"[^ \t\n\r]+")
@@ -187,10 +188,8 @@ def _encode_udf(path: str):
     def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = Encoder(path)
         for b in batches:
-            out: list[bytes] = []
             for k in range(0, len(b), SLICE_ROWS):
-                out += enc.encode(b.slice(k, SLICE_ROWS).to_pylist())
-            yield pa.array(out, pa.binary())
+                yield pa.array(enc.encode(b.slice(k, SLICE_ROWS).to_pylist()), pa.binary())
 
     return encode_texts
 
@@ -200,36 +199,35 @@ def _leaves_udf(path: str, size: int):
     def split_leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = Encoder(path)
         for b in batches:
-            yield pa.array([leaves(t, enc, size) for t in b.to_pylist()], pa.list_(pa.string()))
+            for t in b:
+                yield pa.array([leaves(t.as_py(), enc, size)], pa.list_(pa.string()))
 
     return split_leaves
 
 
-_PLACED = T.StructType([T.StructField(n, T.BinaryType()) for n in ("ids", "starts", "ends")])
+_PLACED = ["ids", "starts", "ends"]
 
 
 def _placed_udf(path: str):
-    @F.arrow_udf(_PLACED)
+    @F.arrow_udf(T.StructType([T.StructField(n, T.BinaryType()) for n in _PLACED]))
     def encode_leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = Encoder(path)
         for b in batches:
-            rows = [[x.astype(d).tobytes() for x, d in zip(enc.placed(t), ("<u4", "<u4", "<u4"))] for t in b.to_pylist()]
-            yield pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)], ["ids", "starts", "ends"])
+            for t in b:
+                yield pa.StructArray.from_arrays([pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in enc.placed(t.as_py())], _PLACED)
 
     return encode_leaves
 
 
-def _tree_udf(path: str):
-    @F.arrow_udf(T.BinaryType())
-    def join_leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = Encoder(path)
-        for b in batches:
-            out = []
-            for k in range(len(b)):
-                rows = b.slice(k, 1).to_pylist()[0]
-                pieces = [(r["leaf"], np.frombuffer(r["enc"]["ids"], "<u4"), *(np.frombuffer(r["enc"][c], "<u4").astype("<i8") for c in ("starts", "ends"))) for r in rows]
-                out.append(tree(pieces, enc)[1].tobytes())
-            yield pa.array(out, pa.binary())
+def _tree_of(path: str):
+    held: list[Encoder] = []  # one for all documents of a task
+
+    def join_leaves(leaves_of_one: pa.Table) -> pa.Table:
+        enc = held[0] if held else held.append(Encoder(path)) or held[0]
+        rows = sorted(leaves_of_one.select(["leaf_no", "leaf", *_PLACED]).to_pylist(), key=lambda r: r["leaf_no"])
+        pieces = [(r["leaf"], *(np.frombuffer(r[c], "<u4").astype("<u4" if c == "ids" else "<i8") for c in _PLACED)) for r in rows]
+        kept = leaves_of_one.filter(pa.compute.equal(leaves_of_one["leaf_no"], 0)).select(["kept"])
+        return kept.append_column("ids", pa.array([tree(pieces, enc)[1].tobytes()], pa.binary()))
 
     return join_leaves
 
@@ -242,12 +240,9 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: Sequence[str] = (
     cut = rows.where(F.length("t") > leaf_chars).withColumn("row", F.monotonically_increasing_id())
     pieces = cut.select("row", "kept", F.posexplode(_leaves_udf(path, leaf_chars)("t")).alias("leaf_no", "leaf"))
     pieces = pieces.select("row", "leaf_no", "leaf", F.when(F.col("leaf_no") == 0, F.col("kept")).alias("kept"))
-    encoded = pieces.repartition("row", "leaf_no").withColumn("enc", _placed_udf(path)("leaf"))
-    whole = encoded.groupBy("row").agg(
-        F.first("kept", ignorenulls=True).alias("kept"),
-        F.array_sort(F.collect_list(F.struct("leaf_no", "leaf", "enc"))).alias("parts"),  # one document's leaves
-    )
-    long = whole.select("kept", _tree_udf(path)(F.transform("parts", lambda p: F.struct(p["leaf"].alias("leaf"), p["enc"].alias("enc")))).alias("ids"))
+    encoded = pieces.repartition("row", "leaf_no").withColumn("enc", _placed_udf(path)("leaf")).select("row", "leaf_no", "leaf", "kept", "enc.*")
+    schema = T.StructType([rows.schema["kept"], T.StructField("ids", T.BinaryType())])
+    long = encoded.groupBy("row").applyInArrow(_tree_of(path), schema)  # one document's leaves at a time
     return short.unionByName(long).select("kept.*", "ids")
 
 
@@ -257,7 +252,9 @@ def decode(ids: Column | str, path: str) -> Column:
     def decode_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = Encoder(path).tok
         for b in batches:
-            yield pa.array([None if x is None else tok.decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False) for x in b.to_pylist()], pa.string())
+            for k in range(0, len(b), SLICE_ROWS):
+                some = b.slice(k, SLICE_ROWS).to_pylist()
+                yield pa.array([None if x is None else tok.decode(np.frombuffer(x, "<u4").tolist(), skip_special_tokens=False) for x in some], pa.string())
 
     return decode_ids(ids)
 
