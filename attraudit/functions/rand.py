@@ -45,13 +45,45 @@ def poisson_one(u: Column) -> Column:
     return F.transform(F.array(u), invert)[0]
 
 
+def normal_quantile(u: Column) -> Column:
+    """The standard normal quantile by a rational approximation (relative error below 1.2e-9), bound to u once."""
+    a = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239]
+    b = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0]
+    c = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
+    d = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0]
+
+    def poly(k: list[float], x: Column) -> Column:
+        out = F.lit(k[0])
+        for v in k[1:]:
+            out = out * x + F.lit(v)
+        return out
+
+    def at(p: Column) -> Column:
+        q, s = p - 0.5, (p - 0.5) * (p - 0.5)
+        low, high = F.sqrt(-2 * F.log(p)), F.sqrt(-2 * F.log(1 - p))
+        return F.when(p < 0.02425, poly(c, low) / poly(d, low)).when(p > 0.97575, -poly(c, high) / poly(d, high)).otherwise(poly(a, s) * q / poly(b, s))
+
+    return F.transform(F.array(u), at)[0]
+
+
+ADDED = 64  # up to so many equal rows, their draws are added up
+
+
 def poisson_many(count: Column, seed: int, *parts: Column | str) -> Column:
-    """Sum of `count` independent Poisson(1) draws: the weight of `count` equal rows."""
+    """Sum of `count` independent Poisson(1) draws: the weight of `count` equal rows.
+
+    Up to ADDED rows the draws are added. Beyond, one Poisson(count) draw is the
+    Cornish-Fisher quantile at one uniform value: constant work for any bigint count,
+    never more than one off the exact quantile.
+    """
     cols = [F.col(p) if isinstance(p, str) else p for p in parts]
-    return F.when(count <= 0, F.lit(0)).otherwise(
+    n = count.cast("double")
+    z = normal_quantile(uniform(seed, *cols, F.lit("all")) + 0.5 / U32)
+    many = F.transform(F.array(z), lambda q: n + F.sqrt(n) * q + (q * q - 1) / 6 + (q - q * q * q) / (72 * F.sqrt(n)))[0]
+    return F.when(count <= 0, F.lit(0).cast("bigint")).when(count > ADDED, F.greatest(F.round(many), F.lit(0.0)).cast("bigint")).otherwise(
         F.aggregate(
-            F.sequence(F.lit(1), F.greatest(count, F.lit(1)).cast("int")),
-            F.lit(0),
+            F.sequence(F.lit(1), F.least(F.greatest(count, F.lit(1)), F.lit(ADDED)).cast("int")),
+            F.lit(0).cast("bigint"),
             lambda acc, i: acc + poisson_one(uniform(seed, *cols, i)),
         )
     )

@@ -99,11 +99,14 @@ def one_per_entity_sweep(units: DataFrame, entity: str, unit: str, seeds: Sequen
 
 
 def subsample(rows: DataFrame, unit: str, sizes: dict[str, int], split: str = "split", seed: int = 42) -> DataFrame:
-    """A random subsample of fixed size per split (M26), for costly nonlinear steps."""
+    """A random subsample of fixed size of the named splits (M26), to bound what costly steps are fitted on.
+
+    Splits without a size stay whole: what is scored is never sampled.
+    """
     ordered = rows.withColumn("__h", hash_order(seed, unit)).withColumn("__n", F.lit(1))
     run = running_totals(ordered, [split], "__h", {"__n": "pos"}, hashed=True)
     limit = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col(split)]
-    return run.where(F.col("pos") < F.coalesce(limit, F.lit(0))).select(*rows.columns)
+    return run.where(limit.isNull() | (F.col("pos") < limit)).select(*rows.columns)
 
 
 def median_cut(rows: DataFrame, value: str, keys: Sequence[str] = (), out: str = "median") -> DataFrame:

@@ -34,9 +34,9 @@ def contingency(
     """
     keep = [*by, *findings] + ([weight] if weight else [])
     rows = F.array(*[
-        F.struct(F.lit(a).alias("attribute"), F.col(a).cast("int").alias("a")) for a in attributes
+        F.struct(F.lit(a).alias("attribute"), F.when(F.col(a).isin(0, 1), F.col(a).cast("int")).alias("a")) for a in attributes
     ])
-    long = units.select(*keep, F.explode(rows).alias("x")).select(*keep, "x.*").where(F.col("a").isin(0, 1))
+    long = units.select(*keep, F.explode(rows).alias("x")).select(*keep, "x.*").where(F.col("a").isNotNull())
     aggs = []
     for f in findings:
         for name, cond in _cell(F.col("a"), F.col(f)).items():

@@ -19,8 +19,8 @@ _BUCKET = "__bucket"
 
 
 def default_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(n, 2048))
+    """As many as there are shuffle partitions, so that a bucket stays one task's work at any size."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def with_buckets(
@@ -75,8 +75,8 @@ def running_totals(
 ) -> DataFrame:
     """Add exclusive prefix sums over `order` within `keys`.
 
-    `df` holds one row per (keys, order) value; rows with a null key or order are
-    left out. `totals` maps a numeric column to
+    `df` holds one row per (keys, order) value; a null key is a key like any other,
+    a null order comes first. `totals` maps a numeric column to
     the name of its sum over strictly smaller order values; `all_<name>` gets the
     sum over the whole key. With `hashed`, `order` is md5 hex text. `mins` maps a column to the name of its minimum over
     this and all larger order values (the step-up minimum of FDR control). `small` is for result panels, whose groups have
@@ -114,7 +114,7 @@ def running_totals(
         local = local.withColumn(f"__l_{c}", F.coalesce(F.sum(c).over(inner_before), F.lit(0)))
     for c in mins:
         local = local.withColumn(f"__n_{c}", F.min(c).over(inner_after))
-    match = [F.col(k) == F.col(f"__k_{k}") for k in by]
+    match = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in by]
     joined = local.join(offsets, match)
     out = [F.col(c) for c in df.columns]
     out += [(F.col(f"__l_{c}") + F.col(f"__o_{c}")).alias(name) for c, name in totals.items()]
@@ -151,7 +151,7 @@ def rank_rows(
         return df.withColumn(out, F.when(known, first + (ties - 1) / 2.0))
     ranks = midranks(df, keys, value, out, descending).drop("n", "n_total")
     renamed = ranks.select(*[F.col(c).alias(f"__r_{c}") for c in keys + [value]], out)
-    cond = [df[c] == F.col(f"__r_{c}") for c in keys + [value]]
+    cond = [df[c].eqNullSafe(F.col(f"__r_{c}")) for c in keys + [value]]
     return df.join(renamed, cond, "left").select(*[df[c] for c in df.columns], out)
 
 

@@ -194,7 +194,7 @@ def benjamini_hochberg(
     raw = ranked.withColumn("__adj", F.col("__p") * F.col("all_below") / (F.col("below") + F.col("n")))
     low = running_totals(raw.select(*fam, "__p", "__adj"), fam, "__p", {}, {"__adj": "__min"}, edges_from=edges)
     adj = low.select(*[F.col(c).alias(f"__f_{c}") for c in fam], "__p", F.least("__min", F.lit(1.0)).alias("p_adjusted"))
-    cond = [tests[c] == F.col(f"__f_{c}") for c in fam] + [tests[p].cast("double") == F.col("__p")]
+    cond = [tests[c].eqNullSafe(F.col(f"__f_{c}")) for c in fam] + [tests[p].cast("double") == F.col("__p")]
     return tests.join(adj, cond, "left").select(
         *[tests[c] for c in tests.columns], "p_adjusted", F.coalesce(F.col("p_adjusted") < q, F.lit(False)).alias("rejected")
     )

@@ -1,6 +1,7 @@
 """Scans of the input tables with declared schemas."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,26 @@ def read_embeddings(spark: SparkSession, path: str, models: Sequence[str] | None
     return df if units is None else align(units.select("unit_id"), df, strict)
 
 
+#: Column types of result tables that later studies read again.
+RESULTS = {
+    "cells": "model string, attribute string, attribute_type string, disease string, auroc_baseline double, auroc_residualized double, auroc_drop double",
+    "odds": "attribute string, disease string, odds_ratio double, log_or double, abs_log_or double",
+    "geometry": "model string, domain string, training_signal string, ambient_dim int, effective_rank double, stable_rank double, participation_ratio double, isotropy_ratio double",
+}
+
+
+def read_result(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A stored table of cells, odds ratios or geometry with its declared types.
+
+    Columns are found by name; those the file doesn't have are null, others are left out.
+    """
+    names = spark.read.csv(path, header=True).columns
+    declared = {f.name: f.dataType for f in T._parse_datatype_string(RESULTS[kind]).fields}
+    schema = T.StructType([T.StructField(n, declared.get(n, T.StringType())) for n in names])
+    df = spark.read.schema(schema).csv(path, header=True)
+    return df.select(*[F.col(n) if n in names else F.lit(None).cast(t).alias(n) for n, t in declared.items()])
+
+
 def available_models(embeddings: DataFrame) -> DataFrame:
     """Models that have rows (S17); on a partitioned table this reads directory names only."""
     return embeddings.select("model").distinct()
@@ -81,5 +102,6 @@ def keep_existing(units: DataFrame, listing: DataFrame, path: str = "img_path")
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Relative paths below a folder, by the binary file source without its content column."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    prefix = root.rstrip("/") + "/"
-    return df.select(F.regexp_replace(F.regexp_replace("path", "^file:", ""), "^" + prefix, "").alias("path"))
+    prefix = re.sub("^file:/+", "/", root.rstrip("/")) + "/"
+    full = F.regexp_replace("path", "^file:/+", "/")
+    return df.select(F.when(full.startswith(prefix), F.substr(full, F.lit(len(prefix) + 1))).otherwise(full).alias("path"))

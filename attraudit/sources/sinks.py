@@ -26,10 +26,12 @@ def write_by_model(df: DataFrame, path: str, by: str = "model") -> None:
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at a path, or None if nothing was written there yet."""
+    """The table at a path, or None if there is no such path yet; a broken sink is an error."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

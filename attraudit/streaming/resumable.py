@@ -6,6 +6,7 @@ an available-now trigger, whose checkpoint keeps track of the files done.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,16 +57,16 @@ def run_resumable(
     """Process the rows that neither sink nor dead letters hold yet, then append.
 
     The mapped rows are written once, split by outcome into partitions of a stage
-    folder, so the user function runs once per row.
+    folder beside the sink, and copied from there: no row's function runs again
+    because a second table is written or an executor is lost afterwards.
     """
     todo = pending(spark, pending(spark, rows, sink, [key]), dead, [key])
     mapped = map_with_errors(todo, key, inputs, make, batch_size).withColumn("ok", F.col("error").isNull())
-    kept = mapped.persist()
-    try:
-        kept.where("ok").select(key, "value").write.mode("append").parquet(sink)
-        kept.where("NOT ok").select(key, "error").write.mode("append").parquet(dead)
-    finally:
-        kept.unpersist()
+    stage = f"{sink.rstrip('/')}.stage-{uuid.uuid4().hex}"
+    mapped.write.partitionBy("ok").parquet(stage)
+    kept = spark.read.schema(mapped.schema).parquet(stage)
+    kept.where("NOT ok").select(key, "error").write.mode("append").parquet(dead)
+    kept.where("ok").select(key, "value").write.mode("append").parquet(sink)
 
 
 def ingest_available(

@@ -266,12 +266,12 @@ def one_per_entity(spark, sf):
 
 
 @query("subsample_per_split", """WITH o AS (SELECT o_orderkey AS unit_id, CASE WHEN o_custkey % 2 = 0 THEN 'train' ELSE 'test' END AS split FROM orders)
-SELECT unit_id, split FROM o QUALIFY row_number() OVER (PARTITION BY split ORDER BY md5('42:' || unit_id)) <= CASE split WHEN 'train' THEN 500 ELSE 250 END""")
+SELECT unit_id, split FROM o QUALIFY row_number() OVER (PARTITION BY split ORDER BY md5('42:' || unit_id)) <= 500 OR split = 'test'""")
 def subsample(spark, sf):
     o = read(spark, sf, "orders").select(
         F.col("o_orderkey").alias("unit_id"), F.when(F.col("o_custkey") % 2 == 0, "train").otherwise("test").alias("split")
     )
-    return cohort.subsample(o, "unit_id", {"train": 500, "test": 250})
+    return cohort.subsample(o, "unit_id", {"train": 500})
 
 
 @query("hash_draws", """SELECT ('0x' || substr(md5('1:' || c_custkey), 1, 8))::BIGINT AS h, c_custkey AS entity_id,
