@@ -125,6 +125,11 @@ def inter(a: str, b: str):
     return ("inter", a, b)
 
 
+def inter_cat(x: str, column: str):
+    """The products of a numeric column with the dummies of a categorical one: a slope of its own per level."""
+    return ("inter_cat", x, column)
+
+
 MAX_LEVELS = 500
 
 
@@ -143,15 +148,17 @@ def design(rows: DataFrame, terms: Sequence[tuple]) -> tuple[DataFrame, dict[tup
             out = out.withColumn(c, F.col(term[1]) * F.col(term[2]))
             names[term] = [c]
         else:
-            col = term[1]
+            col = term[-1]
             found = rows.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
             levels = sorted(r[0] for r in found)
             if len(levels) > MAX_LEVELS:
                 raise ValueError(f"{col} has more than {MAX_LEVELS} levels")
             names[term] = []
             for level in levels[1:]:
-                c = f"{col}[{level}]"
-                out = out.withColumn(c, (F.col(col) == F.lit(level)).cast("double"))
+                c, dummy = f"{col}[{level}]", (F.col(col) == F.lit(level)).cast("double")
+                if term[0] == "inter_cat":
+                    c, dummy = f"{term[1]}:{c}", dummy * F.col(term[1])
+                out = out.withColumn(c, dummy)
                 names[term].append(c)
     return out, names
 

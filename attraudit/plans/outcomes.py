@@ -75,12 +75,15 @@ def odds_panel(cells: DataFrame, odds_table: DataFrame, geometry: DataFrame | No
 def panel_regression(cells: DataFrame, y: str = "auroc_drop", x: str = "abs_log_or", geometry: str | None = "log_erank") -> dict[str, DataFrame]:
     """Nested regressions of dependence, per-model fits, concordance and outliers (Q8, Q9)."""
     num, cat, inter = panel.num, panel.cat, panel.inter
-    fits = {"M1": [num(x)], "M5": [num(x), cat("finding")], "M7a": [num(x), cat("attribute")], "M8": [num(x), cat("finding"), cat("attribute")]}
+    by_model = [num(x), cat("model"), cat("finding")]
+    fits = {
+        "M1": [num(x)], "M5": [num(x), cat("finding")], "M6b": by_model, "M7b": [*by_model, panel.inter_cat(x, "model")],
+        "M8": [num(x), cat("finding"), cat("attribute")],
+    }
     if geometry:
         fits |= {
-            "M2": [num(x), num(geometry)], "M3": [num(x), num(geometry), inter(x, geometry)],
-            "M6a": [num(x), num(geometry), cat("finding")], "M6b": [num(x), num(geometry), inter(x, geometry), cat("finding")],
-            "M7b": [num(x), num(geometry), cat("attribute")],
+            "M2": [num(x), num(geometry)], "M6a": [num(x), num(geometry), cat("finding")],
+            "M7a": [num(x), num(geometry), inter(x, geometry), cat("finding")],
         }
     fitted = panel.ols(cells, y, fits)
     residuals, _ = panel.predictions(cells, y, [x])
@@ -94,6 +97,14 @@ def panel_regression(cells: DataFrame, y: str = "auroc_drop", x: str = "abs_log_
     }
 
 
+def two_factor(cells: DataFrame, y: str = "auroc_drop", x: str = "abs_log_or", geometry: str = "log_erank") -> DataFrame:
+    """Fits on the standardized odds ratio, the standardized geometry, both, and their product."""
+    every = F.lit(True)
+    z = cohort.zscore(cohort.zscore(cells.dropna(subset=[x, geometry, y]), x, every, "x_z"), geometry, every, "g_z")
+    xz, gz = panel.num("x_z"), panel.num("g_z")
+    return panel.ols(z, y, {"odds": [xz], "geometry": [gz], "both": [xz, gz], "product": [xz, gz, panel.inter("x_z", "g_z")]})
+
+
 def extend_panel(base: DataFrame, extra: DataFrame) -> DataFrame:
     """Panel rows of further attributes under the same columns."""
     return base.unionByName(extra.select(*[c for c in base.columns if c in extra.columns]), allowMissingColumns=True)

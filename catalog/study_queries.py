@@ -57,9 +57,71 @@ def panel_regression(spark, sf):
     return out["fits"].where("fit = 'M1'").select("fit", "n", "r2")
 
 
-@query("panel_nested_fits")
+def _within(v: str, *by: str) -> str:
+    """A column freed of one or two factors by their means: exact for two because the panel is balanced."""
+    means = "".join(f" - avg({v}) OVER (PARTITION BY {b})" for b in by)
+    return f"{v}{means}" + (f" + avg({v}) OVER ()" if len(by) == 2 else "")
+
+
+def _fit_sql(name: str, k: int, by: tuple[str, ...], slopes: bool = False) -> str:
+    """Sums of squares of a fit of y on x and factors; with a slope of its own per model if asked for."""
+    by = by or ("one",)
+    rows = f"SELECT {_within('y', *by)} AS y, {_within('x', *by)} AS x, {_within('xb', *by)} AS b FROM d"
+    left = "sum(y * y) - sum(x * y) ** 2 / sum(x * x)"
+    if slopes:
+        left = ("sum(y * y) - (sum(x * y) ** 2 * sum(b * b) - 2 * sum(x * y) * sum(b * y) * sum(x * b) + sum(b * y) ** 2 * sum(x * x))"
+                " / (sum(x * x) * sum(b * b) - sum(x * b) ** 2)")
+    return f"SELECT '{name}' AS fit, {k} AS k, count(*) AS n, {left} AS ssr FROM ({rows})"
+
+
+_FITS = [("M1", 2, ()), ("M5", 3, ("f",)), ("M6b", 4, ("f", "m")), ("M7b", 5, ("f", "m"), True), ("M8", 6, ("f", "a"))]
+_GEOMETRY_FITS = [("M2", 3, ("m",)), ("M6a", 4, ("f", "m")), ("M7a", 5, ("f", "m"), True)]
+
+
+def _fits_sql(fits) -> str:
+    """The table of fits; with two models, a number per model says the same as the model itself."""
+    return f"""WITH {CELLS_SQL}, d AS (SELECT model AS m, attribute AS a, finding AS f, 1 AS one, auroc_drop AS y, l AS x, l * (model = 'b')::INT AS xb FROM panel),
+s AS (SELECT sum(y * y) - sum(y) ** 2 / count(*) AS sst FROM d), ft AS ({' UNION ALL '.join(_fit_sql(*x) for x in fits)}),
+q AS (SELECT *, 1 - ssr / sst AS r2 FROM ft, s), base AS (SELECT regr_r2(y, x) AS b FROM d)
+SELECT fit, n, k, {r('r2', 'r2')}, {r('1 - (1 - r2) * (n - 1) / (n - k)', 'adj_r2')}, {r('(r2 / (k - 1)) / ((1 - r2) / (n - k))', 'f_stat')},
+{r('n * (ln(2 * pi()) + ln(ssr / n) + 1) + 2 * k', 'aic')}, {r('n * (ln(2 * pi()) + ln(ssr / n) + 1) + ln(n) * k', 'bic')}, {r('r2 - b', 'delta_r2')} FROM q, base"""
+
+
+@query("panel_nested_fits", _fits_sql(_FITS))
 def panel_nested(spark, sf):
-    return O.panel_regression(_materialized(spark, sf), geometry=None)["fits"]
+    return O.panel_regression(_materialized(spark, sf), geometry=None)["fits"].drop("f_p_value")
+
+
+def _with_geometry(spark, sf):
+    """The panel with a rank for each model, made from the spread of its scores."""
+    g = scores(spark, sf).groupBy("model").agg((1 + 100 * F.avg("p")).alias("effective_rank"), F.lit(100).alias("ambient_dim"))
+    o = O.odds_study(units(spark, sf), BINARY, ["fulfilled", "urgent"])
+    p = O.odds_panel(cells(spark, sf), o, materialize(g))
+    return materialize(p.select("model", "attribute", "finding", "auroc_drop", "abs_log_or", "log_erank", "norm_erank"))
+
+
+@query("panel_geometry_fits", _fits_sql(_GEOMETRY_FITS))
+def panel_geometry(spark, sf):
+    fits = O.panel_regression(_with_geometry(spark, sf))["fits"]
+    return fits.where(F.col("fit").isin("M2", "M6a", "M7a")).drop("f_p_value")
+
+
+@query("panel_geometry_columns", f"""WITH {CELLS_SQL}, g AS (SELECT model, 1 + 100 * avg(p) AS e FROM scores GROUP BY model)
+SELECT model, attribute, finding, {r('ln(e)', 'log_erank')}, {r('e / 100', 'norm_erank')} FROM panel JOIN g USING (model)""")
+def panel_geometry_columns(spark, sf):
+    return _with_geometry(spark, sf).select("model", "attribute", "finding", "log_erank", "norm_erank")
+
+
+@query("panel_two_factor", f"""WITH {CELLS_SQL}, g AS (SELECT model, ln(1 + 100 * avg(p)) AS g FROM scores GROUP BY model),
+d AS (SELECT model AS m, auroc_drop AS y, l AS x, g FROM panel JOIN g USING (model)), s AS (SELECT count(*) AS n, sum(y * y) - sum(y) ** 2 / count(*) AS sst FROM d),
+c AS (SELECT regr_r2(y, x) AS odds, regr_r2(y, g) AS geometry FROM d), w AS (SELECT {_within('y', 'm')} AS y, {_within('x', 'm')} AS x FROM d),
+b AS (SELECT sum(y * y) - sum(x * y) ** 2 / sum(x * x) AS ssr FROM w), p AS (SELECT sum(ssr) AS ssr FROM (SELECT regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x) AS ssr FROM d GROUP BY m)),
+q AS (SELECT 'odds' AS fit, 2 AS k, odds AS r2 FROM c UNION ALL SELECT 'geometry', 2, geometry FROM c UNION ALL SELECT 'both', 3, 1 - b.ssr / sst FROM b, s UNION ALL SELECT 'product', 4, 1 - p.ssr / sst FROM p, s)
+SELECT fit, n, k, {r('r2', 'r2')}, {r('1 - (1 - r2) * (n - 1) / (n - k)', 'adj_r2')} FROM q, s""")
+def panel_two_factor(spark, sf):
+    from attraudit.operators import panel as P
+
+    return P.fit_table(O.two_factor(_with_geometry(spark, sf))).select("fit", "n", "k", "r2", "adj_r2")
 
 
 @query("panel_leave_one_out", f"""WITH {CELLS_SQL}, f AS (SELECT DISTINCT attribute AS x FROM panel)
