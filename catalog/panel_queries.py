@@ -88,7 +88,10 @@ def cooks_distance(spark, sf):
     return P.influence_counts(P.influence(lines(spark, sf), "y", ["x"], ["flag"]), ["flag"])
 
 
-@query("cooks_top5")
+@query("cooks_top5", f"""WITH {PANEL_SQL}, f AS (SELECT count(*) AS n, regr_slope(drop_v, added) AS b, regr_intercept(drop_v, added) AS a, avg(added) AS mx, regr_sxx(drop_v, added) AS sxx FROM panel),
+e AS (SELECT p.*, n, drop_v - a - b * added AS e, 1.0::DOUBLE / n + (added - mx) ** 2 / sxx AS h FROM panel p, f), s AS (SELECT sum(e * e) / (max(n) - 2) AS s2 FROM e),
+c AS (SELECT *, e * e / (2 * s2) * h / ((1 - h) * (1 - h)) AS c FROM e, s)
+SELECT attribute, model, finding, seed, {r('c', 'cooks_d')}, {r('h', 'leverage')} FROM c ORDER BY c DESC LIMIT 5""")
 def cooks_top5(spark, sf):
     from attraudit.operators.summary import top_k
 

@@ -8,6 +8,7 @@ from attraudit.operators import resample as R
 
 from .base import SCORES_SQL, auroc_expr, midrank_sql, query, r, read, scores
 from .fairness_queries import PANEL_SQL, panel
+from .ranking_queries import AP_SQL
 
 S = f"WITH {SCORES_SQL}"
 CELL = ["model", "finding"]
@@ -54,18 +55,29 @@ def bootstrap_brier(spark, sf):
     return R.bootstrap_ci(scores(spark, sf), CELL, "brier", b=B, unit="unit_id")
 
 
-@query("bootstrap_auprc")
+@query("bootstrap_auprc", f"""{S}, {reps_sql('scores', 'model, finding, y, p', 'unit_id')},
+{AP_SQL.format(k='model, finding', src='scores').replace('t AS', 't0 AS').replace('c AS', 'c0 AS').replace('FROM t)', 'FROM t0)')},
+pt AS (SELECT model, finding, sum(pos / n_pos::DOUBLE * tp / called) AS point FROM c0 GROUP BY ALL), {AP_SQL.format(k='model, finding, rep', src='drawn')},
+a AS (SELECT model, finding, rep, sum(pos / n_pos::DOUBLE * tp / called) AS v FROM c GROUP BY ALL), ci AS (SELECT model, finding, {ci_sql()} FROM a GROUP BY ALL)
+SELECT model, finding, {r('point', 'point')}, n_draws, ci_low, ci_high FROM pt JOIN ci USING (model, finding)""")
 def bootstrap_auprc(spark, sf):
-    return R.bootstrap_ci(scores(spark, sf), CELL, "auprc", b=B)
+    return R.bootstrap_ci(scores(spark, sf), CELL, "auprc", b=B, unit="unit_id")
 
 
-@query("bootstrap_regression")
+_R2 = "1 - sum((y - p) ** 2) / (sum(y * y) - sum(y) ** 2 / count(*))"
+
+
+@query("bootstrap_regression", f"""WITH li AS (SELECT l_returnflag AS flag, l_extendedprice / 1000 AS y, l_quantity AS p, l_orderkey * 10 + l_linenumber AS unit_id FROM lineitem),
+{reps_sql('li', 'flag, y, p', 'unit_id')}, m AS (SELECT flag, 'mae' AS metric, avg(abs(y - p)) AS point FROM li GROUP BY flag UNION ALL SELECT flag, 'r2', {_R2} FROM li GROUP BY flag),
+a AS (SELECT flag, 'mae' AS metric, rep, avg(abs(y - p)) AS v FROM drawn GROUP BY ALL UNION ALL SELECT flag, 'r2', rep, {_R2} FROM drawn GROUP BY ALL),
+c AS (SELECT flag, metric, {ci_sql()} FROM a GROUP BY ALL) SELECT flag, metric, {r('point', 'point')}, n_draws, ci_low, ci_high FROM m JOIN c USING (flag, metric)""")
 def bootstrap_regression(spark, sf):
     li = read(spark, sf, "lineitem").select(
-        F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_quantity").alias("p")
+        F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_quantity").alias("p"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("unit_id"),
     )
-    mae = R.bootstrap_ci(li, ["flag"], "mae", b=B).withColumn("metric", F.lit("mae"))
-    return mae.unionByName(R.bootstrap_ci(li, ["flag"], "r2", b=B).withColumn("metric", F.lit("r2")))
+    mae = R.bootstrap_ci(li, ["flag"], "mae", b=B, unit="unit_id").withColumn("metric", F.lit("mae"))
+    return mae.unionByName(R.bootstrap_ci(li, ["flag"], "r2", b=B, unit="unit_id").withColumn("metric", F.lit("r2")))
 
 
 _WIDE = "wide AS (SELECT unit_id, finding, max(y) AS y, max(p) FILTER (WHERE model='a') AS pa, max(p) FILTER (WHERE model='b') AS pb FROM scores GROUP BY ALL)"

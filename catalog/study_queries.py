@@ -8,8 +8,8 @@ from attraudit.plans import outcomes as O
 
 from attraudit.session import materialize
 
-from .base import BINARY, SCORES_SQL, auroc_expr, labelled, midrank_sql, query, r, read, scores, units
-from .fairness_queries import encodings
+from .base import BINARY, COUNTS_SQL, SCORES_SQL, UNITS_SQL, auroc_expr, labelled_sql, midrank_sql, pairs_sql, query, r, scores, units
+from .fairness_queries import _CAL, ENC_SQL, _pattern, encodings
 
 CELL = ["model", "finding"]
 
@@ -37,6 +37,10 @@ cn AS ({_CNT}), odds AS (SELECT attribute, finding, tp * tn::DOUBLE / (fp * fn)
 panel AS (SELECT * FROM cells JOIN odds USING (attribute, finding))"""
 
 
+def _stored_cells(spark, sf):
+    return materialize(cells(spark, sf))
+
+
 def panel(spark, sf):
     o = O.odds_study(units(spark, sf), BINARY, ["fulfilled", "urgent"])
     return O.odds_panel(cells(spark, sf), o)
@@ -144,9 +148,29 @@ def diagnostics(spark, sf):
     return spark.createDataFrame([(k, float(v)) for k, v in row], "check string, value double")
 
 
-@query("entity_odds_stability")
+_ZERO = "(CASE WHEN least(tp, fp, fn, tn) = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END)"
+_RATIO = f"(tp + {_ZERO}) * (tn + {_ZERO})::DOUBLE / ((fp + {_ZERO}) * (fn + {_ZERO}))"
+_SWEEP = f"""us AS (SELECT * FROM units, (SELECT unnest(range(100)) AS seed) QUALIFY row_number() OVER (PARTITION BY seed, entity_id ORDER BY md5(seed || ':' || unit_id)) = 1),
+sc AS ({_CNT.replace("SELECT '", "SELECT seed, '").replace('FROM units', 'FROM us').replace(' IS NOT NULL', ' IS NOT NULL GROUP BY seed')}),
+so AS (SELECT seed, attribute, finding, abs(ln({_RATIO})) AS sl FROM sc WHERE tp + fp + fn + tn >= 10),
+sf AS (SELECT seed, count(*) AS n, regr_slope(auroc_drop, sl) AS slope, regr_intercept(auroc_drop, sl) AS intercept, regr_r2(auroc_drop, sl) AS r2 FROM so JOIN cells USING (attribute, finding) GROUP BY seed)"""
+
+
+@query("entity_odds_stability", f"""WITH {CELLS_SQL}, {_SWEEP} SELECT seed::INTEGER AS seed, n, {r('slope', 'slope')}, {r('intercept', 'intercept')}, {r('r2', 'r2')} FROM sf""")
 def entity_odds(spark, sf):
-    return O.entity_odds_study(units(spark, sf), BINARY, ["fulfilled", "urgent"], cells(spark, sf), range(5))["seeds"]
+    return O.entity_odds_study(units(spark, sf), BINARY, ["fulfilled", "urgent"], _stored_cells(spark, sf))["seeds"].drop("p_value")
+
+
+@query("entity_odds_spread", f"""WITH {CELLS_SQL}, {_SWEEP} SELECT {r('avg(r2)', 'mean_r2')}, {r('quantile_cont(r2, 0.025)', 'r2_low')}, {r('quantile_cont(r2, 0.975)', 'r2_high')}, count(r2) AS n_seeds FROM sf""")
+def entity_odds_spread(spark, sf):
+    return O.entity_odds_study(units(spark, sf), BINARY, ["fulfilled", "urgent"], _stored_cells(spark, sf))["stability"]
+
+
+@query("entity_odds_check", f"""WITH {CELLS_SQL}, one AS (SELECT * FROM units QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY md5('42:' || unit_id)) = 1),
+oc AS ({_CNT.replace('FROM units', 'FROM one')}), x AS (SELECT attribute, finding, abs(ln({_RATIO})) AS one FROM oc), y AS (SELECT attribute, finding, abs(ln({_RATIO})) AS every FROM cn)
+SELECT count(*) AS n, {r('corr(every, one)', 'r')} FROM x JOIN y USING (attribute, finding)""")
+def entity_odds_check(spark, sf):
+    return O.entity_odds_study(units(spark, sf), BINARY, ["fulfilled", "urgent"], _stored_cells(spark, sf))["check"].drop("p_value")
 
 
 @query("weighted_odds_slope", f"""WITH {CELLS_SQL}, w AS (SELECT entity_id, 1.0::DOUBLE / count(*) AS w FROM units GROUP BY entity_id), uw AS (SELECT * FROM units JOIN w USING (entity_id)),
@@ -156,17 +180,32 @@ def weighted_odds(spark, sf):
     return O.weighted_odds_study(units(spark, sf), BINARY, ["fulfilled", "urgent"], cells(spark, sf))["slope_weighted"].drop("p_value")
 
 
-@query("stratified_odds_slope")
+@query("stratified_odds_slope", f"""WITH {CELLS_SQL}, {labelled_sql('blank_dropped', 'lb')}, {pairs_sql('lb')},
+st AS (SELECT attribute, finding, stratum, {COUNTS_SQL} FROM pairs GROUP BY ALL), mh AS (SELECT attribute, finding, sum(tp * tn::DOUBLE / (tp + fp + fn + tn)) / sum(fp * fn::DOUBLE / (tp + fp + fn + tn)) AS o
+FROM st WHERE tp + fp + fn + tn > 0 AND finding IN ('urgent', 'winter') GROUP BY ALL), j AS (SELECT auroc_drop, abs(ln(o)) AS l FROM cells JOIN mh USING (attribute, finding))
+SELECT count(*) AS n, {r('regr_slope(auroc_drop, l)', 'slope')}, {r('regr_intercept(auroc_drop, l)', 'intercept')}, {r('regr_r2(auroc_drop, l)', 'r2')} FROM j""")
 def stratified_odds(spark, sf):
-    return O.stratified_odds_study(units(spark, sf), BINARY, ["urgent", "winter"], cells(spark, sf), "stratum")["slope_mh"]
+    return O.stratified_odds_study(units(spark, sf), BINARY, ["urgent", "winter"], _stored_cells(spark, sf), "stratum")["slope_mh"].drop("p_value")
+
 
+def _always(tag: str) -> str:
+    return f"ln(({tag}.tp + 0.5::DOUBLE) * ({tag}.tn + 0.5) / (({tag}.fp + 0.5) * ({tag}.fn + 0.5)))"
 
-@query("label_policy_agreement")
+
+def _policy_odds(policy: str, tag: str) -> str:
+    pairs = pairs_sql(f"lab_{tag}", name=f"pairs_{tag}").replace("attrs", f"attrs_{tag}")
+    return f"{labelled_sql(policy, f'lab_{tag}')}, {pairs}, c_{tag} AS (SELECT attribute, finding, {COUNTS_SQL} FROM pairs_{tag} GROUP BY ALL HAVING tp + fp >= 20 AND fn + tn >= 20)"
+
+
+@query("label_policy_agreement", f"""WITH {UNITS_SQL}, {_policy_odds('ignore', 'i')}, {_policy_odds('zero', 'z')},
+w AS (SELECT {_always('i')} AS a, {_always('z')} AS b FROM c_i i JOIN c_z z ON i.attribute = z.attribute AND i.finding = z.finding), k AS (SELECT rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb FROM w)
+SELECT count(*) AS n, {r('corr(ra, rb)', 'rho')} FROM k""")
 def label_policy(spark, sf):
-    return O.label_policy_study(units(spark, sf), BINARY, ["fulfilled", "urgent", "winter"])["agreement"]
+    return O.label_policy_study(units(spark, sf), BINARY, ["fulfilled", "urgent", "winter"])["agreement"].drop("p_value")
 
 
-@query("pattern_study")
+@query("pattern_study", f"""WITH {ENC_SQL} SELECT attribute, encoding_metric, {r('encoding_value', 'encoding_value')}, {r('dependence', 'dependence')},
+{_pattern('0.7::DOUBLE', '0.1::DOUBLE', '0.005::DOUBLE')} AS pattern FROM enc""")
 def pattern_study(spark, sf):
     return O.pattern_study(encodings(spark, sf))["patterns"]
 
@@ -181,13 +220,33 @@ def multimetric(spark, sf):
     return O.multimetric_study(scores(spark, sf), CELL, b=12)["gaps"]
 
 
-@query("calibration_correlation")
+@query("calibration_correlation", f"""WITH {SCORES_SQL}, {_CAL}, j AS (SELECT model, auroc AS a, prevalence AS p FROM au JOIN e USING (model, finding, grp)),
+kk AS (SELECT model, rank() OVER (PARTITION BY model ORDER BY a) + (count(*) OVER (PARTITION BY model, a) - 1) / 2.0::DOUBLE AS ra,
+ rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0::DOUBLE AS rp FROM j) SELECT model, count(*) AS n, {r('corr(ra, rp)', 'rho')} FROM kk GROUP BY model""")
 def calibration_corr(spark, sf):
-    return O.calibration_study(scores(spark, sf), CELL)["correlation"]
+    return O.calibration_study(scores(spark, sf), CELL)["correlation"].drop("p_value")
+
+
+def _figures(spark, sf):
+    """Figure tables of the panel; the share of late orders is what is encoded of an attribute."""
+    p = _materialized(spark, sf)
+    enc = units(spark, sf).select(*[F.avg(a).alias(a) for a in BINARY]).unpivot([], BINARY, "attribute", "encoding_value")
+    return O.figure_tables(enc, p, p.select(F.col("auroc_drop").alias("reduction")), {"building": "segment"})
 
 
-@query("figure_gap_histogram")
+@query("figure_gap_histogram", f"""WITH {CELLS_SQL}, e AS (SELECT min(auroc_drop) AS lo, max(auroc_drop) AS hi FROM panel)
+SELECT least(floor((auroc_drop - lo) / (hi - lo) * 30) + 1, 30)::BIGINT AS bin, count(*) AS n FROM panel, e WHERE auroc_drop IS NOT NULL GROUP BY 1""")
 def figure_tables(spark, sf):
-    c = cells(spark, sf)
-    enc = encodings(spark, sf).withColumn("attribute", F.lit("building"))
-    return O.figure_tables(enc, c.withColumn("abs_log_or", F.lit(1.0)), c.select(F.col("auroc_drop").alias("reduction")))["gap_histogram"]
+    return _figures(spark, sf)["gap_histogram"]
+
+
+@query("figure_encoding_dependence", f"""WITH {CELLS_SQL}, e AS ({' UNION ALL '.join(f"SELECT '{a}' AS attribute, avg({a}) AS encoding FROM units" for a in BINARY)}),
+d AS (SELECT attribute, avg(auroc_drop) AS dependence FROM panel GROUP BY attribute)
+SELECT CASE attribute WHEN 'building' THEN 'segment' ELSE attribute END AS attribute, {r('encoding', 'encoding')}, {r('dependence', 'dependence')} FROM e LEFT JOIN d USING (attribute)""")
+def figure_encoding(spark, sf):
+    return _figures(spark, sf)["encoding_dependence"]
+
+
+@query("figure_odds_line", f"""WITH {CELLS_SQL} SELECT count(*) AS n, {r('regr_slope(auroc_drop, l)', 'slope')}, {r('regr_intercept(auroc_drop, l)', 'intercept')}, {r('regr_r2(auroc_drop, l)', 'r2')} FROM panel""")
+def figure_odds_line(spark, sf):
+    return _figures(spark, sf)["odds_line"].drop("p_value")
