@@ -141,6 +141,30 @@ def timing_strata(spark, sf):
     return out.select("stratum", "n", "n_clusters", "beta")
 
 
+_STRATA = f"""WITH {CELLS_SQL}, s AS (SELECT *, 'all' AS stratum FROM panel UNION ALL SELECT *, CASE WHEN attribute IN ('building', 'in_debt') THEN 'flagged' ELSE 'other' END FROM panel),
+fit AS (SELECT stratum, count(*) AS n, regr_slope(auroc_drop, l) AS b, regr_intercept(auroc_drop, l) AS a, avg(l) AS mx, regr_sxx(auroc_drop, l) AS sxx FROM s GROUP BY stratum),
+e AS (SELECT s.*, n, sxx, (l - mx) * (auroc_drop - a - b * l) / sxx AS u FROM s JOIN fit USING (stratum))"""
+
+
+def _clustered(by: str) -> str:
+    return (f"SELECT stratum, '{by}' AS cluster, count(*) AS n_clusters, {r('sqrt(count(*) / (count(*) - 1.0::DOUBLE) * (max(n) - 1.0::DOUBLE) / (max(n) - 2) * sum(u * u))', 'se_cluster')} "
+            f"FROM (SELECT stratum, {by}, max(n) AS n, sum(u) AS u FROM e GROUP BY ALL) GROUP BY stratum")
+
+
+@query("timing_strata_errors", f"{_STRATA} {_clustered('attribute')} UNION ALL {_clustered('finding')}")
+def timing_strata_errors(spark, sf):
+    out = O.timing_study(_materialized(spark, sf), ["building", "in_debt"])
+    parts = [out[f"by_{c}"].select("stratum", F.lit(c).alias("cluster"), "n_clusters", "se_cluster") for c in ("attribute", "finding")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("timing_slope_difference", f"""{_STRATA}, g AS (SELECT attribute, sum(CASE stratum WHEN 'flagged' THEN u ELSE -u END) AS u FROM e WHERE stratum <> 'all' GROUP BY attribute),
+t AS (SELECT max(n) AS n FROM e WHERE stratum = 'all') SELECT {r("(SELECT max(b) FILTER (WHERE stratum = 'flagged') - max(b) FILTER (WHERE stratum = 'other') FROM fit)", 'beta')},
+{r('sqrt(count(*) / (count(*) - 1.0::DOUBLE) * (max(n) - 1.0::DOUBLE) / (max(n) - 4) * sum(u * u))', 'se_cluster')}, count(*) AS n_clusters FROM g, t""")
+def timing_slope_difference(spark, sf):
+    return O.timing_study(_materialized(spark, sf), ["building", "in_debt"])["difference"].select("beta", "se_cluster", "n_clusters")
+
+
 @query("diagnostics_study")
 def diagnostics(spark, sf):
     d = O.diagnostics_study(_materialized(spark, sf), b=50)
