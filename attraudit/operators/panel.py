@@ -447,7 +447,7 @@ HUBER_T = 1.345
 MAD_TO_SD = 0.6744897501960817
 
 
-def huber(rows: DataFrame, y: str, x: Sequence[str], max_iter: int = 50, tol: float = 1e-8) -> dict:
+def huber(rows: DataFrame, y: str, x: Sequence[str], max_iter: int = 500, tol: float = 1e-8) -> dict:
     """Huber M-estimate with a MAD scale by reweighted least squares.
 
     Each round is one exact median of |residual| and one weighted Gram pass.
@@ -479,6 +479,8 @@ def huber(rows: DataFrame, y: str, x: Sequence[str], max_iter: int = 50, tol: fl
             beta = new
             if moved < tol * max(1.0, float(np.max(np.abs(beta)))):
                 break
+        else:
+            raise RuntimeError(f"no convergence in {max_iter} rounds, the last of which moved a coefficient by {moved}")
         u = residual(beta) / F.lit(max(scale, 1e-300))
         inside = (F.abs(u) <= HUBER_T).cast("double")
         psi = F.greatest(F.least(u, F.lit(HUBER_T)), F.lit(-HUBER_T))

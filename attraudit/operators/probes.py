@@ -193,6 +193,7 @@ class Fitted:
     coef: list[np.ndarray]
     theta: list[np.ndarray]
     rounds: list[int]
+    gradient: list[float] = field(default_factory=list)  # largest component at the end; above tol where rounding stopped the search
 
 
 class ProbeTable:
@@ -435,10 +436,11 @@ class ProbeTable:
         shared.unpersist()
         return {r["cell"]: (r["n"], np.array(r["g"])) for r in sums}
 
-    def fit(self, cells: Sequence[Cell], c: float = 1.0, balanced: bool = False, tol: float = 1e-6, max_rounds: int = 100) -> Fitted:
+    def fit(self, cells: Sequence[Cell], c: float = 1.0, balanced: bool = False, tol: float = 1e-6, max_rounds: int = 1000) -> Fitted:
         """L2 logistic probes 0.5 |w|^2 + C sum(loss) with free intercepts.
 
-        Cells that have converged leave the scan. `balanced` weighs positives by
+        Cells that have converged leave the scan; one that hasn't after `max_rounds`
+        evaluations is an error. `balanced` weighs positives by
         negatives / positives, kept within [0.1, 10] (M24, X9).
         """
         cells = list(cells)
@@ -481,7 +483,11 @@ class ProbeTable:
                 grad[:-1] += scale[i] * w
                 searches[i].update(f, grad, tol)
         thetas = [s.theta for s in searches]
-        return Fitted(cells, [m.forward(t) for m, t in zip(maps, thetas)], thetas, [s.rounds for s in searches])
+        open_cells = [x for x, s in zip(cells, searches) if not s.done]
+        if open_cells:
+            raise RuntimeError(f"{len(open_cells)} cells did not converge in {max_rounds} rounds, the first is {open_cells[0]}")
+        ends = [0.0 if s.g is None else float(np.max(np.abs(s.g))) for s in searches]
+        return Fitted(cells, [m.forward(t) for m, t in zip(maps, thetas)], thetas, [s.rounds for s in searches], ends)
 
     @staticmethod
     def _preconditioner(eig, mp: _Map, curve: float, ridge: float):

@@ -25,6 +25,13 @@ def subgroup_bias_study(scores: DataFrame, cell: Sequence[str], unit: str, group
     return {"metrics": metrics, "gaps": summary.benjamini_hochberg(out, [], q=q, small=True)}
 
 
+def subgroup_intervals(scores: DataFrame, cell: Sequence[str], unit: str, group: str = "grp", b: int = 1000) -> DataFrame:
+    """AUROC and average precision of every group with their bootstrap intervals."""
+    keys = [*cell, group]
+    parts = [resample.bootstrap_ci(scores.where(F.col(group).isNotNull()), keys, m, b=b, unit=unit).withColumn("metric", F.lit(m)) for m in ("auroc", "auprc")]
+    return parts[0].unionByName(parts[1])
+
+
 def multimetric_study(scores: DataFrame, cell: Sequence[str], group: str = "grp", fit_split: str | None = "train", b: int = 1000, min_n: int = 30, min_side: int = 5) -> dict[str, DataFrame]:
     """Gaps of AUROC, sensitivity, specificity, FPR, FNR and ECE at the Youden threshold (Q19).
 

@@ -30,7 +30,8 @@ def encoding_study(s: Study, binary: Sequence[str], continuous: Sequence[str] =
         scores = materialize(t.score(t.fit(s.guard(t, t.cells([BASELINE], binary)))))
     point = ranking.ranking_metrics(scores, CELL).select(*CELL, "n", "n_pos", "auroc", "auprc")
     ci = resample.bootstrap_ci(scores, CELL, "auroc", b=b).select(*CELL, "ci_low", "ci_high")
-    out["binary"] = materialize(point.join(ci, CELL, "left").withColumn("prevalence", F.col("n_pos") / F.col("n")))
+    area = resample.bootstrap_ci(scores, CELL, "auprc", b=b).select(*CELL, F.col("ci_low").alias("auprc_low"), F.col("ci_high").alias("auprc_high"))
+    out["binary"] = materialize(point.join(ci, CELL, "left").join(area, CELL, "left").withColumn("prevalence", F.col("n_pos") / F.col("n")))
     # weak decoding gets a permutation test
     weak = out["binary"].where(F.col("auroc").between(0.55, 0.65)).select(*CELL)
     out["permutation"] = materialize(resample.permutation_auroc(scores.join(weak, CELL, "left_semi"), CELL, "unit_id", b=b))
@@ -39,8 +40,12 @@ def encoding_study(s: Study, binary: Sequence[str], continuous: Sequence[str] =
         pairs = ranking.delong(scores, ["target"], "unit_id", "model", models).withColumn("p_value", p_normal(F.col("z")))
         out["pairs"] = materialize(summary.benjamini_hochberg(pairs, [], small=True))
     for c in continuous:
-        p = ridge_probe(s.embeddings, s.units, c)
-        m = ranking.regression_metrics(p, ["model"]).withColumn("target", F.lit(c))
+        p = materialize(ridge_probe(s.embeddings, s.units, c))
+        m = ranking.regression_metrics(p, ["model"])
+        for metric in ("mae", "r2"):
+            draws = resample.bootstrap_ci(p, ["model"], metric, b=b, unit="unit_id")
+            m = m.join(draws.select("model", F.col("ci_low").alias(f"{metric}_low"), F.col("ci_high").alias(f"{metric}_high")), "model", "left")
+        m = m.withColumn("target", F.lit(c))
         out["continuous"] = m if "continuous" not in out else out["continuous"].unionByName(m)
     if nonlinear is not None:
         with ProbeTable(s.embeddings, s.units, [], list(binary), feature_map=nonlinear) as t:
@@ -62,8 +67,12 @@ def dependence_scores(s: Study, attributes: Sequence[str] | None = None) -> tupl
         if holes[a]:
             variants.append(Variant(f"base|{a}", cohort=(a,)))
         variants.append(Variant(a, remove=(a,)))
-    fitted = t.fit(s.guard(t, t.cells(variants, s.findings)))
-    return t, t.score(fitted, ("train", "test"))
+    try:
+        fitted = t.fit(s.guard(t, t.cells(variants, s.findings)))
+        return t, t.score(fitted, ("train", "test"))
+    except BaseException:
+        t.close()
+        raise
 
 
 def dependence_matrix(s: Study, b: int = 1000, with_mcc: bool = False) -> dict[str, DataFrame]:

@@ -64,6 +64,18 @@ def bootstrap_auprc(spark, sf):
     return R.bootstrap_ci(scores(spark, sf), CELL, "auprc", b=B, unit="unit_id")
 
 
+@query("subgroup_intervals", f"""{S}, {reps_sql('scores', 'model, finding, grp, y, p', 'unit_id')},
+al AS (SELECT -1 AS rep, model, finding, grp, y, p FROM scores UNION ALL SELECT rep, model, finding, grp, y, p FROM drawn),
+k AS ({midrank_sql('al', 'model, finding, grp, rep')}), {AP_SQL.format(k='model, finding, grp, rep', src='al')},
+a AS (SELECT 'auroc' AS metric, model, finding, grp, rep, {auroc_expr()} AS v FROM k GROUP BY ALL UNION ALL SELECT 'auprc', model, finding, grp, rep, sum(pos / n_pos::DOUBLE * tp / called) FROM c GROUP BY ALL),
+ci AS (SELECT metric, model, finding, grp, {ci_sql()} FROM a WHERE rep >= 0 GROUP BY ALL)
+SELECT metric, model, finding, grp, {r('v', 'point')}, n_draws, ci_low, ci_high FROM a JOIN ci USING (metric, model, finding, grp) WHERE rep = -1""")
+def subgroup_intervals(spark, sf):
+    from attraudit.plans.outcomes import subgroup_intervals as intervals
+
+    return intervals(scores(spark, sf), CELL, "unit_id", b=B)
+
+
 _R2 = "1 - sum((y - p) ** 2) / (sum(y * y) - sum(y) ** 2 / count(*))"
 
 
