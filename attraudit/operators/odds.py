@@ -51,13 +51,15 @@ def entity_weighted_contingency(
 ) -> DataFrame:
     """2x2 sums where each row weighs 1 / rows of its entity (A3, A4).
 
-    Counts are taken per entity first, so the weight is divided once per entity
-    and no row of a hot entity is joined.
+    Counts are taken per entity first, together with its rows, so the weight is
+    divided once per entity and nothing is joined.
     """
-    per = contingency(units, attributes, findings, by=[entity])
-    size = units.groupBy(entity).agg(F.count(F.lit(1)).alias("__n"))
-    j = per.join(size, entity)
-    return j.groupBy("attribute", "finding").agg(*[F.sum(F.col(c) / F.col("__n")).alias(c) for c in CELLS])
+    rows = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("a")) for a in attributes])
+    long = units.select(entity, *findings, F.explode(rows).alias("x")).select(entity, *findings, "x.*")
+    counts = [F.count_if(cond).alias(f"{name}__{f}") for f in findings for name, cond in _cell(F.col("a"), F.col(f)).items()]
+    per = long.groupBy(entity, "attribute").agg(F.count(F.lit(1)).alias("__n"), *counts)
+    return _to_long(per, ["attribute", "__n"], findings).groupBy("attribute", "finding").agg(
+        *[F.sum(F.col(c) / F.col("__n")).alias(c) for c in CELLS])
 
 
 def odds_ratio(table: DataFrame, correction: str, min_n: int = 0, min_side: int = 0) -> DataFrame:

@@ -110,7 +110,6 @@ def ovr_auroc(scores: DataFrame, cell: Sequence[str], truth: str, class_scores:
 def regression_metrics(rows: DataFrame, cell: Sequence[str], y: str = "y", p: str = "p") -> DataFrame:
     """Mean absolute error and R2 (A10)."""
     e = F.col(y) - F.col(p)
-    total = F.sum(F.col(y) * F.col(y)) - F.sum(y) * F.sum(y) / F.count(y)
     return rows.groupBy(*cell).agg(
         F.count(y).alias("n"), F.avg(F.abs(e)).alias("mae"),
         (F.lit(1.0) - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2"),

@@ -73,7 +73,7 @@ def confounding_grid(
     cells: DataFrame, drop: str, added: str,
     genuine_drops=(0.02, 0.03, 0.04, 0.05), genuine_added=(0.03, 0.05, 0.07), heavy_drops=(0.06, 0.08, 0.10),
 ) -> DataFrame:
-    """Class counts under a grid of cutoffs."""
+    """Class counts under a grid of cutoffs (A31, J14, P18); the default cutoffs are fixed values of the study."""
     grid = F.array(*[
         F.struct(F.lit(a).alias("genuine_max_drop"), F.lit(b).alias("genuine_min_added"), F.lit(c).alias("heavy_min_drop"))
         for a in genuine_drops for b in genuine_added for c in heavy_drops
@@ -155,9 +155,11 @@ def best_under_constraint(panel: DataFrame, keys: Sequence[str], ok: Column, sco
 
 def histogram(panel: DataFrame, value: str, n_bins: int = 30) -> DataFrame:
     """Equal-width histogram between the extremes."""
-    lo, hi = panel.agg(F.min(value)).scalar(), panel.agg(F.max(value)).scalar()
+    ends = panel.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("e")).scalar()
+    lo, hi = F.col("__e.lo"), F.col("__e.hi")
     raw = F.when(F.col(value) == hi, F.lit(n_bins)).otherwise(F.width_bucket(F.col(value), lo, hi, F.lit(n_bins)))
-    return panel.where(F.col(value).isNotNull()).groupBy(raw.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    known = panel.where(F.col(value).isNotNull()).withColumn("__e", ends)
+    return known.groupBy(raw.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def quality_gate(aurocs: DataFrame, value: str = "auroc", minimum: float = 0.75) -> DataFrame:
