@@ -90,6 +90,12 @@ def one_hot(value: Column, levels: Sequence[str], drop: str) -> Column:
     return F.array(*[(value == F.lit(v)).cast("double") for v in levels if v != drop])
 
 
+def one_hot_columns(name: str, levels: Sequence[str], drop: str) -> dict[str, Column]:
+    """The same block as columns of their own, as residualization takes them (P17, M7); null stays null."""
+    value = F.col(name)
+    return {f"{name}_is_{v}": F.when(value.isNotNull(), (value == F.lit(v)).cast("double")) for v in levels if v != drop}
+
+
 def contrast(value: Column, positive: str, negative: str) -> Column:
     """1 for one category, 0 for the other, null for everyone else."""
     return F.when(value == positive, 1).when(value == negative, 0)

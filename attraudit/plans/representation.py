@@ -2,11 +2,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import classify_confounding, cost_tier
+from ..functions.labels import one_hot_columns
 from ..functions.tails import p_normal
 from ..operators import cohort, fairness, ranking, resample, summary
 from ..operators.erasure import erasure_effect, nullspace_directions
@@ -279,3 +281,18 @@ def debiasing_study(s: Study, strategies: dict[str, Sequence[str]], b: int = 100
         change.withColumn("cell", F.concat_ws("|", "model", "target", "dimension")), ["variant", "dimension"], "cell", "reduction", b=b
     )
     return {"gaps": gaps, "change": change, "cost": cost, "summary": ci}
+
+
+def gap_decomposition(s: Study, category: str, levels: Sequence[str], drop: str, others: Sequence[str], b: int = 1000, **guards) -> dict[str, DataFrame]:
+    """Gaps between categories with nothing, the category's block, other attributes, or both removed, on one cohort (M7, Q21).
+
+    Adds `decomposition`: per condition the mean gap, and its change against nothing removed.
+    """
+    block = one_hot_columns(category, levels, drop)
+    units = s.units.dropna(subset=[category, *others]).withColumns(block)
+    one = replace(s, units=units, groups={category: category})
+    out = debiasing_study(one, {"block": list(block), "others": list(others), "joint": [*block, *others]}, b=b, **guards)
+    mean = out["gaps"].groupBy("variant").agg(F.count("gap").alias("n_cells"), F.avg("gap").alias("mean_gap"))
+    base = mean.where("variant = 'baseline'").select("mean_gap").scalar()
+    out["decomposition"] = mean.withColumn("change_pct", 100 * (F.col("mean_gap") / base - 1))
+    return out

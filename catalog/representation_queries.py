@@ -4,6 +4,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from attraudit.functions.labels import one_hot_columns
 from attraudit.functions.rand import uniform
 from attraudit.operators import linear, probes, ranking
 from attraudit.plans import external, representation as plans
@@ -200,6 +201,19 @@ def debiasing_gaps(spark, sf):
     return out["change"]
 
 
+@query("gap_decomposition")
+def gap_decomposition(spark, sf):
+    levels = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    out = plans.gap_decomposition(study(spark, sf), "grp", levels, "AUTOMOBILE", ["in_debt", "low_nation"], b=50, min_n=20, min_pos=5, min_neg=5)
+    return out["decomposition"]
+
+
+@query("one_hot_columns", "SELECT c_custkey, (c_mktsegment = 'BUILDING')::INT::DOUBLE AS grp_is_BUILDING, (c_mktsegment = 'MACHINERY')::INT::DOUBLE AS grp_is_MACHINERY FROM customer")
+def one_hot_block_columns(spark, sf):
+    c = read(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("grp"))
+    return c.withColumns(one_hot_columns("grp", ["AUTOMOBILE", "BUILDING", "MACHINERY"], "AUTOMOBILE")).drop("grp")
+
+
 @query("concept_erasure")
 def concept_erasure(spark, sf):
     s = study(spark, sf)
