@@ -6,7 +6,8 @@ two steps, its class from the hidden layer, then its place within the class from
 class, so that probabilities sum to one over all ids. A document's score is the sum of the logarithms of
 the conditional probabilities of all its tokens; the mean per token and the perplexity follow.
 
-Training is data-parallel: in each of ``ROUNDS`` rounds every task starts from the common weights and walks
+The biases of the ids are the logarithms of their frequencies in the whole corpus, counted first; the rest
+is trained. Training is data-parallel: in each of ``ROUNDS`` rounds every task starts from the common weights and walks
 over all its documents by stochastic gradient descent, predicting every ``STRIDE``-th token of each (the
 first one varies with the document); the tasks' weights are then averaged, weighted by their numbers of
 predicted tokens. The sums grow with the corpus and are added by Spark; only the average, whose size is
@@ -34,19 +35,26 @@ IDS = CLASSES * INNER
 EDGE = IDS  # the token beyond either end
 SIDE = 2  # tokens seen on each side
 EMBED, HIDDEN = 16, 32
-STRIDE, ROUNDS, RATE = 8, 2, 0.5
+STRIDE, ROUNDS, RATE = 8, 2, 0.75
 CHUNK = 4096  # tokens predicted at once in scoring
-STEP = 512  # tokens of a gradient step
+STEP = 256  # tokens of a gradient step
 CACHED = 300_000
 
-SHAPES = {"embed": (IDS + 1, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "cls": (HIDDEN, CLASSES), "cls_b": (CLASSES,), "given": (CLASSES, HIDDEN), "inner": (HIDDEN, INNER), "inner_b": (INNER,)}
+SHAPES = {"embed": (IDS + 1, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "cls": (HIDDEN, CLASSES), "cls_b": (CLASSES,), "given": (CLASSES, HIDDEN), "inner": (HIDDEN, INNER), "inner_b": (INNER,), "id_b": (CLASSES, INNER)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
-def initial(seed: int = 17) -> np.ndarray:
+def initial(counts: np.ndarray | None = None, seed: int = 17) -> np.ndarray:
+    """Random weights; the biases say how often each id stands in the corpus, if counts are given."""
     rng = np.random.default_rng(seed)
     scale = {"embed": 0.3, "w": 0.15, "cls": 0.15, "given": 0.15, "inner": 0.15}
-    return np.concatenate([rng.normal(0, scale[k], s).ravel() if k in scale else np.zeros(s).ravel() for k, s in SHAPES.items()]).astype("f4")
+    flat = np.concatenate([rng.normal(0, scale[k], s).ravel() if k in scale else np.zeros(s).ravel() for k, s in SHAPES.items()]).astype("f4")
+    if counts is not None:
+        table = counts.reshape(CLASSES, INNER) + 0.5
+        p = layers(flat)
+        p["cls_b"][:] = np.log(table.sum(1) / table.sum())
+        p["id_b"][:] = np.log(table / table.sum(1, keepdims=True))
+    return flat
 
 
 def layers(weights: np.ndarray) -> dict[str, np.ndarray]:
@@ -72,36 +80,51 @@ class Ids(dict):
 
     def text(self, t: str) -> np.ndarray:
         words = t.encode().lower().split()
-        return np.fromiter(map(self.__getitem__, words), "<i4", len(words))
+        return np.fromiter(map(self.__getitem__, words), "<u2", len(words))
 
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The tokens on both sides of each place."""
-    wide = np.concatenate([np.full(SIDE, EDGE, "<i4"), ids, np.full(SIDE, EDGE, "<i4")])
+    wide = np.concatenate([np.full(SIDE, EDGE, "<u2"), ids, np.full(SIDE, EDGE, "<u2")])
     return wide[at[:, None] + np.array([i for i in range(2 * SIDE + 1) if i != SIDE])]
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _softmax(z: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of the wanted probability of each row, and exponentials with their sums; z is used up."""
+    z -= z.max(axis=1, keepdims=True)
+    got = z[np.arange(len(z)), want]
+    np.exp(z, out=z)
+    total = z.sum(axis=1)
+    return got - np.log(total), total
 
 
 def forward(p: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray):
+    """Log-probability of each target, and what its gradient needs."""
     x = p["embed"][ctx].reshape(len(ctx), -1)
     h = np.tanh(x @ p["w"] + p["b"])
     c, j = target // INNER, target % INNER
-    log_c = _log_softmax(h @ p["cls"] + p["cls_b"])
+    zc = h @ p["cls"] + p["cls_b"]
+    log_c, sum_c = _softmax(zc, c)
     g = np.tanh(h + p["given"][c])
-    log_j = _log_softmax(g @ p["inner"] + p["inner_b"])
-    rows = np.arange(len(ctx))
-    return log_c[rows, c] + log_j[rows, j], (x, h, c, j, log_c, g, log_j, rows)
+    zj = g @ p["inner"] + (p["inner_b"] + p["id_b"])[c]
+    log_j, sum_j = _softmax(zj, j)
+    return log_c + log_j, (x, h, c, j, zc, sum_c, g, zj, sum_j)
+
+
+def _take(table: np.ndarray, at: np.ndarray, moves: np.ndarray) -> None:
+    """Subtract each move from its row; moves of the same row add up."""
+    order = at.argsort(kind="stable")
+    rows = at[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    table[rows[first]] -= np.add.reduceat(moves[order], first, axis=0)
 
 
 def step(p: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on the mean negative log-probability, in place."""
-    _, (x, h, c, j, log_c, g, log_j, rows) = forward(p, ctx, target)
-    n = np.float32(len(ctx))
-    dj, dc = np.exp(log_j), np.exp(log_c)
+    _, (x, h, c, j, dc, sum_c, g, dj, sum_j) = forward(p, ctx, target)
+    n, rows = np.float32(len(ctx)), np.arange(len(ctx))
+    dc /= sum_c[:, None]
+    dj /= sum_j[:, None]
     dj[rows, j] -= 1
     dc[rows, c] -= 1
     dg = (dj @ p["inner"].T) * (1 - g * g)
@@ -110,25 +133,25 @@ def step(p: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray, rate: fl
     r = np.float32(rate) / n
     p["inner"] -= r * (g.T @ dj)
     p["inner_b"] -= r * dj.sum(0)
-    np.subtract.at(p["given"], c, r * dg)
+    _take(p["given"], c, r * dg)
     p["cls"] -= r * (h.T @ dc)
     p["cls_b"] -= r * dc.sum(0)
     p["w"] -= r * (x.T @ dh)
     p["b"] -= r * dh.sum(0)
     # an id's row is moved by its own examples alone: no division by the step's size, but by the square root of it
-    np.subtract.at(p["embed"], ctx.ravel(), (r * np.sqrt(n)) * dx.reshape(-1, EMBED))
+    _take(p["embed"], ctx.ravel(), (r * np.sqrt(n)) * dx.reshape(-1, EMBED))
 
 
 def _walk(weights, rate: float):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = weights.value.copy()
-        p, ids, seen = layers(flat), Ids(), 0
+        p, seen = layers(flat), 0
         ctx: list[np.ndarray] = []
         target: list[np.ndarray] = []
         waiting = 0
         for b in batches:
             for t in b.column(0):
-                tokens = ids.text(t.as_py())
+                tokens = np.frombuffer(t.as_py(), "<u2")
                 if not len(tokens):
                     continue
                 at = np.arange((len(tokens) + int(tokens[0])) % min(STRIDE, len(tokens)), len(tokens), STRIDE)
@@ -148,17 +171,39 @@ def _walk(weights, rate: float):
     return walk
 
 
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(IDS, "<i8")
+    for b in batches:
+        for t in b.column(0):
+            n += np.bincount(np.frombuffer(t.as_py(), "<u2"), minlength=IDS)
+    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n), pa.int32()), pa.array(n[n > 0])], ["id", "n"])
+
+
 def _steps(p, ctx: list[np.ndarray], target: list[np.ndarray], rate: float) -> None:
     x, y = np.concatenate(ctx), np.concatenate(target)
     for k in range(0, len(y), STEP):
         step(p, x[k:k + STEP], y[k:k + STEP], rate)
 
 
-def train(df: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
-    """The averaged weights after some rounds over all documents."""
-    spark = df.sparkSession
-    rows = df.select(text_or_empty(text).alias("t"))
-    weights = initial()
+def tokens_of(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, ids): the token ids of each whole text, two bytes each; stored, as every pass below reads them."""
+    @F.arrow_udf(T.BinaryType())
+    def tokenized(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ids = Ids()
+        for b in batches:
+            yield pa.array([ids.text(t.as_py()).tobytes() for t in b], pa.binary())
+
+    return stored(df.select(F.col(doc_id).alias("doc_id"), tokenized(text_or_empty(text)).alias("ids")), "tokens")
+
+
+def train(tokens: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> np.ndarray:
+    """The averaged weights after some rounds over the token ids of all documents."""
+    spark = tokens.sparkSession
+    rows = tokens.select("ids")
+    table = rows.mapInArrow(_tally, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # IDS rows
+    counts = np.zeros(IDS)
+    counts[table["id"].to_numpy()] = table["n"].to_numpy()
+    weights = initial(counts)
     for k in range(rounds):
         start = spark.sparkContext.broadcast(weights)
         parts = rows.mapInArrow(_walk(start, rate / (k + 1)), "at int, total double, n long")
@@ -173,35 +218,36 @@ def train(df: DataFrame, text: str = "text", rounds: int = ROUNDS, rate: float =
 _SCORE = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def score(df: DataFrame, weights: np.ndarray, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score(tokens: DataFrame, weights: np.ndarray) -> DataFrame:
     """doc_id, n_tokens, score (summed log-probabilities), mean_log_prob, perplexity."""
-    shared = df.sparkSession.sparkContext.broadcast(weights)
+    shared = tokens.sparkSession.sparkContext.broadcast(weights)
 
     @F.arrow_udf(_SCORE)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        p, ids = layers(shared.value), Ids()
+        p = layers(shared.value)
         for b in batches:
-            tokens = [ids.text(t.as_py()) for t in b]
-            sizes = np.array([len(t) for t in tokens], "<i8")
-            totals, k = np.zeros(len(tokens)), 0
-            while k < len(tokens):  # some documents at a time, the last of them whole
+            docs = [np.frombuffer(t.as_py(), "<u2") for t in b]
+            sizes = np.array([len(t) for t in docs], "<i8")
+            totals, k = np.zeros(len(docs)), 0
+            while k < len(docs):  # some documents at a time, the last of them whole
                 m, n = k, 0
-                while m < len(tokens) and n < CHUNK:
+                while m < len(docs) and n < CHUNK:
                     n += sizes[m]
                     m += 1
                 if n:
-                    ctx = np.concatenate([contexts(t, np.arange(len(t))) for t in tokens[k:m]])
-                    want = np.concatenate(tokens[k:m])
+                    ctx = np.concatenate([contexts(t, np.arange(len(t))) for t in docs[k:m]])
+                    want = np.concatenate(docs[k:m])
                     logs = np.concatenate([forward(p, ctx[i:i + CHUNK], want[i:i + CHUNK])[0] for i in range(0, len(want), CHUNK)])
                     totals[k:m] = np.bincount(np.repeat(np.arange(m - k), sizes[k:m]), logs, minlength=m - k)
                 k = m
             yield pa.StructArray.from_arrays([pa.array(sizes), pa.array(totals)], ["n_tokens", "score"])
 
-    rows = df.select(F.col(doc_id).alias("doc_id"), scored(text_or_empty(text)).alias("s")).select("doc_id", "s.n_tokens", "s.score")
+    rows = tokens.select("doc_id", scored("ids").alias("s")).select("doc_id", "s.n_tokens", "s.score")
     mean = F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens"))
     return rows.withColumn("mean_log_prob", mean).withColumn("perplexity", F.exp(-F.col("mean_log_prob")))
 
 
 def report(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Train on all documents, then score each."""
-    return score(df, train(df, text), text, doc_id)
+    tokens = tokens_of(df, text, doc_id)
+    return score(tokens, train(tokens))
