@@ -203,8 +203,8 @@ def _classes(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     docs = stored(df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("th"), fingerprint(text).alias("fp")), "fingerprints")
     fps = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(fps)).withColumnRenamed("u", "fp")
-    rooted = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = stored(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")  # stored, so that a frequent root is split in the join
     by_fp = stored(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
     return docs.join(by_fp, "fp")
 
