@@ -37,7 +37,7 @@ from attraudit.llm.common import text_or_empty
 
 LEAF_CHARS = 65_536  # encoding a leaf takes well under a second; moving smaller ones costs more than it saves
 FIRST_WINDOW = 64
-CACHED_CHUNKS, CACHED_CHARS, SLICE_ROWS, LINE = 250_000, 64, 256, 128
+CACHED_CHUNKS, CACHED_CHARS, SLICE_ROWS, LINE = 150_000, 64, 128, 128
 #: The word pattern for which clean cuts are proven; fixed value of the public tokenizer.
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CHUNK = re.compile(r"[^ \t\n\r]+")
@@ -47,23 +47,33 @@ def _flat(text: str) -> str:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
 
 
-class Encoder:
-    """The library's encoding of pieces, with one entry per blank-separated chunk kept in memory."""
+def special_strings(path: str) -> list[str]:
+    """The special strings of a tokenizer file that joins are proven for; others are refused. Called on the driver."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if not spec["model"].get("end_of_word_suffix") or WORD_RULE not in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\"):
+        raise ValueError("joins are proven only for BPE with word ends and the known word pattern")
+    return [t["content"] for t in spec["added_tokens"]]
+
+
+def _library(path: str):
+    import os
 
-    def __init__(self, path: str):
-        import os
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(path)
+    tok.no_padding()
+    tok.no_truncation()
+    return tok
+
+
+class Encoder:
+    """The library's encoding of pieces, with one entry per blank-separated chunk kept in memory."""
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_padding()
-        self.tok.no_truncation()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        if not spec["model"].get("end_of_word_suffix") or WORD_RULE not in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\"):
-            raise ValueError("joins are proven only for BPE with word ends and the known word pattern")
-        self.special = [t["content"] for t in spec["added_tokens"]]
+    def __init__(self, path: str, special: Sequence[str] | None = None):
+        self.tok = _library(path)
+        self.special = special_strings(path) if special is None else list(special)
         self.ids: dict[str, bytes] = {"": b""}
         self.places: dict[str, tuple[bytes, bytes, bytes]] = {}
 
@@ -183,10 +193,10 @@ def tree(pieces: list[Piece], enc: Encoder) -> Piece:
     return pieces[0]
 
 
-def _encode_udf(path: str):
+def _encode_udf(path: str, special: Sequence[str]):
     @F.arrow_udf(T.BinaryType())
     def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = Encoder(path)
+        enc = Encoder(path, special)
         for b in batches:
             for k in range(0, len(b), SLICE_ROWS):
                 yield pa.array(enc.encode(b.slice(k, SLICE_ROWS).to_pylist()), pa.binary())
@@ -194,10 +204,10 @@ def _encode_udf(path: str):
     return encode_texts
 
 
-def _leaves_udf(path: str, size: int):
+def _leaves_udf(path: str, special: Sequence[str], size: int):
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def split_leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = Encoder(path)
+        enc = Encoder(path, special)
         for b in batches:
             for t in b:
                 yield pa.array([leaves(t.as_py(), enc, size)], pa.list_(pa.string()))
@@ -208,10 +218,10 @@ def _leaves_udf(path: str, size: int):
 _PLACED = ["ids", "starts", "ends"]
 
 
-def _placed_udf(path: str):
+def _placed_udf(path: str, special: Sequence[str]):
     @F.arrow_udf(T.StructType([T.StructField(n, T.BinaryType()) for n in _PLACED]))
     def encode_leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        enc = Encoder(path)
+        enc = Encoder(path, special)
         for b in batches:
             for t in b:
                 yield pa.StructArray.from_arrays([pa.array([x.astype("<u4").tobytes()], pa.binary()) for x in enc.placed(t.as_py())], _PLACED)
@@ -219,11 +229,11 @@ def _placed_udf(path: str):
     return encode_leaves
 
 
-def _tree_of(path: str):
+def _tree_of(path: str, special: Sequence[str]):
     held: list[Encoder] = []  # one for all documents of a task
 
     def join_leaves(leaves_of_one: pa.Table) -> pa.Table:
-        enc = held[0] if held else held.append(Encoder(path)) or held[0]
+        enc = held[0] if held else held.append(Encoder(path, special)) or held[0]
         rows = sorted(leaves_of_one.select(["leaf_no", "leaf", *_PLACED]).to_pylist(), key=lambda r: r["leaf_no"])
         pieces = [(r["leaf"], *(np.frombuffer(r[c], "<u4").astype("<u4" if c == "ids" else "<i8") for c in _PLACED)) for r in rows]
         kept = leaves_of_one.filter(pa.compute.equal(leaves_of_one["leaf_no"], 0)).select(["kept"])
@@ -234,15 +244,16 @@ def _tree_of(path: str):
 
 def encode(df: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """The columns of ``keep`` and ``ids``, packed token ids of the whole text (a ``keep`` column named ids gives way)."""
+    special = special_strings(path)
     keep = [c for c in keep if c != "ids"]
     rows = df.select(F.struct(*keep).alias("kept"), text_or_empty(text).alias("t"))
-    short = rows.where(F.length("t") <= leaf_chars).select("kept", _encode_udf(path)("t").alias("ids"))
+    short = rows.where(F.length("t") <= leaf_chars).select("kept", _encode_udf(path, special)("t").alias("ids"))
     cut = rows.where(F.length("t") > leaf_chars).withColumn("row", F.monotonically_increasing_id())
-    pieces = cut.select("row", "kept", F.posexplode(_leaves_udf(path, leaf_chars)("t")).alias("leaf_no", "leaf"))
+    pieces = cut.select("row", "kept", F.posexplode(_leaves_udf(path, special, leaf_chars)("t")).alias("leaf_no", "leaf"))
     pieces = pieces.select("row", "leaf_no", "leaf", F.when(F.col("leaf_no") == 0, F.col("kept")).alias("kept"))
-    encoded = pieces.repartition("row", "leaf_no").withColumn("enc", _placed_udf(path)("leaf")).select("row", "leaf_no", "leaf", "kept", "enc.*")
+    encoded = pieces.repartition("row", "leaf_no").withColumn("enc", _placed_udf(path, special)("leaf")).select("row", "leaf_no", "leaf", "kept", "enc.*")
     schema = T.StructType([rows.schema["kept"], T.StructField("ids", T.BinaryType())])
-    long = encoded.groupBy("row").applyInArrow(_tree_of(path), schema)  # one document's leaves at a time
+    long = encoded.groupBy("row").applyInArrow(_tree_of(path, special), schema)  # one document's leaves at a time
     return short.unionByName(long).select("kept.*", "ids")
 
 
@@ -250,7 +261,7 @@ def decode(ids: Column | str, path: str) -> Column:
     """The text of packed ids, special tokens included; null for null."""
     @F.arrow_udf(T.StringType())
     def decode_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tok = Encoder(path).tok
+        tok = _library(path)
         for b in batches:
             for k in range(0, len(b), SLICE_ROWS):
                 some = b.slice(k, SLICE_ROWS).to_pylist()
