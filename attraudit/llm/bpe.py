@@ -37,7 +37,7 @@ from attraudit.llm.common import text_or_empty
 
 LEAF_CHARS = 65_536  # encoding a leaf takes well under a second; moving smaller ones costs more than it saves
 FIRST_WINDOW = 64
-CACHED_CHUNKS, CACHED_CHARS, SLICE_ROWS, LINE = 150_000, 64, 128, 128
+CACHED_CHUNKS, CACHED_CHARS, SLICE_ROWS, LINE = 250_000, 64, 128, 128
 #: The word pattern for which clean cuts are proven; fixed value of the public tokenizer.
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CHUNK = re.compile(r"[^ \t\n\r]+")
