@@ -19,7 +19,7 @@ isn't null. Empty tables give empty results; other columns are not read.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -202,10 +202,15 @@ def _classes(df: DataFrame, text: str, doc_id: str) -> DataFrame:
     """(doc_id, th, fp, root, component_id): th is the text's hash, root a fingerprint that names the component."""
     docs = stored(df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("th"), fingerprint(text).alias("fp")), "fingerprints")
     fps = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(fps)).withColumnRenamed("u", "fp")
-    rooted = stored(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")  # stored, so that a frequent root is split in the join
-    by_fp = stored(rooted.join(least, "root").select("fp", "root", "component_id"), "components")
+    return rooted(docs, fps, links(fps))
+
+
+def rooted(docs: DataFrame, fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """The documents with root and component_id, given the distinct fingerprints (fp, first doc_id) and their edges."""
+    roots = components(edges).withColumnRenamed("u", "fp")
+    known = stored(fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    least = stored(known.groupBy("root").agg(F.min("first").alias("component_id")), "least")  # stored, so that a frequent root is split in the join
+    by_fp = stored(known.join(least, "root").select("fp", "root", "component_id"), "components")
     return docs.join(by_fp, "fp")
 
 
@@ -214,13 +219,13 @@ def report(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     return _classes(df, text, doc_id).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id", classes: Callable[[DataFrame, str, str], DataFrame] = _classes) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest doc_id.
 
     If several rows of a component bear that id, the one with the smallest text hash stays, once. Rows
     without a doc_id all stay.
     """
-    firsts = _classes(df, text, doc_id).where(F.col("doc_id") == F.col("component_id"))
+    firsts = classes(df, text, doc_id).where(F.col("doc_id") == F.col("component_id"))
     own = firsts.groupBy("root", "doc_id").agg(F.min("th").alias("__th"), F.count("*").alias("__n"))
     own = stored(own.select(F.col("doc_id").alias("__id"), "__th", "__n"), "firsts")
     here = [F.col(doc_id) == F.col("__id"), F.xxhash64(text_or_empty(text)) == F.col("__th")]
