@@ -5,7 +5,7 @@ represented by its ``PREFIX`` nearest pivots in order, and posted under each of
 in the inverted file of that pivot. The index is cut by vector into shards of about ``SHARD`` rows, each
 with all its inverted files; queries come in blocks. A query walks the files of its own nearest pivots,
 which gives the footrule distance of its order to that of every posted vector; the ``RERANK`` share of a
-shard with the smallest footrule (``LEAST`` rows at least) is ranked anew by Euclidean distance in double
+shard with the smallest footrule (``LEAST`` rows at least, and all that tie with the last) is ranked anew by Euclidean distance in double
 precision. Each shard hands on its best k, of which the best k of all shards stay.
 
 Every row is indexed; the stated query set meets all rows, in blocks. Recall is measured in the tests.
@@ -92,7 +92,7 @@ def _search(k: int, pivots: np.ndarray, prefix: int, share: float, least: int):
             for q, v, order in zip(right["query_id"].tolist(), qx, orders(qx, pivots, prefix)):
                 foot = files.footrule(order)
                 foot[ids == q] = np.iinfo("<i8").max
-                some = np.argpartition(foot, keep)[:keep] if keep < len(ids) else np.arange(len(ids))
+                some = np.flatnonzero(foot <= np.partition(foot, keep - 1)[keep - 1]) if keep < len(ids) else np.arange(len(ids))
                 some = some[ids[some] != q]
                 d = np.sqrt(((x[some] - v) ** 2).sum(axis=1))
                 best = np.lexsort((ids[some], d))[:k]

@@ -3,6 +3,7 @@ import random
 
 import edges
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -152,3 +153,15 @@ def test_vectors_of_odd_rows(spark):
     assert got[1].score == 2 ** 0.5
     assert permutation_index.nearest(df.limit(0), F.col("vec_id") % 10 == 0).collect() == []
     assert permutation_index.nearest(df, F.col("vec_id") == -1).collect() == []
+
+
+def test_the_smallest_ids_of_a_large_tied_group_are_found():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 8)), 700, 0), rng.normal(size=(1300, 8))])
+    ids = rng.permutation(len(x))
+    points, group = rng.normal(size=(64, 8)), np.sort(ids[:700])
+    left = pd.DataFrame({"vec_id": ids, "v": list(x)})
+    right = pd.DataFrame({"query_id": group[:3], "v": [x[0]] * 3})
+    got = permutation_index._search(10, points, 16, 0.3, 100)(left, right)
+    for q in group[:3]:
+        assert got[got.query_id == q].vec_id.tolist() == [i for i in group.tolist() if i != q][:10]
