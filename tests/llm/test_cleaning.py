@@ -130,3 +130,13 @@ def test_host_as_site(spark):
 
     df = spark.createDataFrame([("HTTP://A.example/x?y=1",), ("https://a.example:80/",), (None,), ("not a url",)], "url string")
     assert [r[0] for r in df.select(line_dedup.host_of(F.col("url"))).collect()][:3] == ["a.example", "a.example", None]
+
+
+def test_pipeline_keeps_the_text_of_copied_documents(spark):
+    import corpus_pipeline
+
+    page = "a page that was copied as a whole\nwith a second line"
+    rows = [(k, page, "en", "a", 1) for k in range(5)] + [(k, None, "en", None, None) for k in range(5, 10)]
+    rows += [(k, f"page {k}\nmenu of the site" if k < 15 else f"page {k}", "en", "a", 1) for k in range(10, 30)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_boilerplate(spark, edges.plain(spark, rows).repartition(4), "").collect()}
+    assert got == {r[0]: r[1] and r[1].replace("\nmenu of the site", "") for r in rows}
