@@ -8,9 +8,9 @@ the conditional probabilities of all its tokens; the mean per token and the perp
 
 The biases of the ids are the logarithms of their frequencies in the whole corpus, counted first; the rest
 is trained. Training is data-parallel: in each of ``ROUNDS`` rounds every task starts from the common weights and walks
-over all its documents by stochastic gradient descent, predicting every ``STRIDE``-th token of each (the
-first one varies with the document); the tasks' weights are then averaged, weighted by their numbers of
-predicted tokens. The sums grow with the corpus and are added by Spark; only the average, whose size is
+over all its documents by stochastic gradient descent; a round predicts the tokens of one residue of their
+places by ``ROUNDS`` (the first one varies with the document), so that the rounds together predict every
+token of every document once. The tasks' weights are then averaged, weighted by their numbers of predicted tokens. The sums grow with the corpus and are added by Spark; only the average, whose size is
 fixed, reaches the driver. Each round's weights are written to the shared folder, so that a lost executor
 cannot change them later. Scoring covers every token of every document.
 
@@ -35,7 +35,7 @@ IDS = CLASSES * INNER
 EDGE = IDS  # the token beyond either end
 SIDE = 2  # tokens seen on each side
 EMBED, HIDDEN = 16, 32
-STRIDE, ROUNDS, RATE = 8, 2, 0.75
+ROUNDS, RATE = 2, 0.75
 CHUNK = 4096  # tokens predicted at once in scoring
 STEP = 256  # tokens of a gradient step
 CACHED = 300_000
@@ -142,7 +142,8 @@ def step(p: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray, rate: fl
     _take(p["embed"], ctx.ravel(), (r * np.sqrt(n)) * dx.reshape(-1, EMBED))
 
 
-def _walk(weights, rate: float):
+def _walk(weights, rate: float, turn: int, turns: int):
+    """Train on the tokens of one turn; all turns together cover every token."""
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = weights.value.copy()
         p, seen = layers(flat), 0
@@ -154,7 +155,9 @@ def _walk(weights, rate: float):
                 tokens = np.frombuffer(t.as_py(), "<u2")
                 if not len(tokens):
                     continue
-                at = np.arange((len(tokens) + int(tokens[0])) % min(STRIDE, len(tokens)), len(tokens), STRIDE)
+                at = np.arange((turn + int(tokens[0])) % turns, len(tokens), turns)
+                if not len(at):
+                    continue
                 ctx.append(contexts(tokens, at))
                 target.append(tokens[at])
                 waiting += len(at)
@@ -206,10 +209,10 @@ def train(tokens: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> np.nda
     weights = initial(counts)
     for k in range(rounds):
         start = spark.sparkContext.broadcast(weights)
-        parts = rows.mapInArrow(_walk(start, rate / (k + 1)), "at int, total double, n long")
+        parts = rows.mapInArrow(_walk(start, rate / (k + 1), k, rounds), "at int, total double, n long")
         mean = stored(parts.groupBy("at").agg((F.sum("total") / F.sum("n")).alias("w")), "weights").toArrow()  # SIZE rows
         if not mean.num_rows:
-            return weights
+            continue
         weights = weights.copy()
         weights[mean["at"].to_numpy()] = mean["w"].to_numpy()
     return weights

@@ -5,9 +5,11 @@ import hashlib
 import json
 import re
 import tempfile
+from types import SimpleNamespace
 
 import edges
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from attraudit.llm import pseudo_likelihood as lm
@@ -158,3 +160,15 @@ def test_training_beats_the_start_on_unseen_documents(spark):
     weights = lm.train(docs.where("doc_id % 5 <> 0"))
     mean = lambda w: lm.score(docs.where("doc_id % 5 = 0"), w).selectExpr("sum(score) / sum(n_tokens)").first()[0]
     assert mean(weights) > mean(lm.initial()) + 0.1
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_every_token_is_a_target_of_training_once(monkeypatch, rounds):
+    docs = [np.arange(a, a + n, dtype="<u2") for a, n in ((0, 1), (1, 1), (10, 7), (100, 3000), (3200, 2))]
+    got = []
+    monkeypatch.setattr(lm, "_steps", lambda p, ctx, target, rate: got.extend(np.concatenate(target).tolist()))
+    batch = pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d in docs], pa.binary())], ["ids"])
+    n = 0
+    for k in range(rounds):
+        n += sum(b.column(2)[0].as_py() for b in lm._walk(SimpleNamespace(value=lm.initial()), 0.5, k, rounds)(iter([batch])))
+    assert sorted(got) == np.concatenate(docs).tolist() and n == len(got)
