@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attraudit.llm import bpe, decontaminate, language_id, line_dedup, permutation_index, pseudo_likelihood, secret_scan, simhash, token_counts, warc
+from attraudit.llm import alignment, bpe, decontaminate, language_id, line_dedup, merkle, permutation_index, pseudo_likelihood, secret_scan, simhash, token_counts, warc
 from attraudit.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,18 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def byte_bpe_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def piece_bpe_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def register(name: str, sql: str | None = None):
     def wrap(fn):
         QUERIES[name] = fn
@@ -99,3 +111,45 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_permutation_index")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+_FIELDS = ["doc_id", "source", "lang", "{n}", "text"]
+
+
+def _leaf_sql(n: str) -> str:
+    parts = [f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in (f.format(n=n) for f in _FIELDS)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree_sql(name: str, first: str) -> str:
+    return f"""{name} AS ({first} UNION ALL
+ SELECT g, lvl + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY g, lvl, pos // 2)"""
+
+
+_BITS = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_BITS}), lambda c, x: xor(xor(c, x) >> 1, 3988292384::BIGINT * (xor(c, x) & 1))), 4294967295::BIGINT)"
+
+
+@register("op11_merkle", f"""
+WITH RECURSIVE d AS (SELECT *, n_chars + ({_CRC} % 7 = 0)::INT AS shown_chars, coalesce('=' || lang, '') AS g FROM documents),
+l AS (SELECT doc_id, g, {_leaf_sql('n_chars')} AS leaf, {_leaf_sql('shown_chars')} AS shown FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l),
+{_tree_sql('t', "SELECT g, 0 AS lvl, pos, n, leaf AS node FROM o")},
+s AS (SELECT g, node AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+{_tree_sql('u', "SELECT '' AS g, 0 AS lvl, pos, n, subroot AS node FROM s")},
+low AS (SELECT g, lvl, pos, n, lead(node) OVER w AS nxt, lag(node) OVER w AS prv FROM t WINDOW w AS (PARTITION BY g, lvl ORDER BY pos)),
+up AS (SELECT lvl, pos, n, lead(node) OVER w AS nxt, lag(node) OVER w AS prv FROM u WINDOW w AS (PARTITION BY lvl ORDER BY pos)),
+p AS (SELECT o.g, o.pos, lvl, CASE WHEN low.pos % 2 = 1 THEN 'L' || prv WHEN nxt IS NULL THEN 'N' ELSE 'R' || nxt END AS step FROM o JOIN low ON o.g = low.g AND low.pos = o.pos >> lvl AND low.n > 1
+ UNION ALL SELECT o.g, o.pos, 1000 + lvl, CASE WHEN up.pos % 2 = 1 THEN 'L' || prv WHEN nxt IS NULL THEN 'N' ELSE 'R' || nxt END FROM o JOIN s ON o.g = s.g JOIN up ON up.pos = s.pos >> lvl AND up.n > 1),
+c AS (SELECT g, pos, list(step ORDER BY lvl) AS steps FROM p GROUP BY g, pos),
+r AS (SELECT doc_id, leaf, subroot, (SELECT node FROM u WHERE n = 1) AS root, sha256(list_aggregate(list_transform(coalesce(steps, []), lambda x: x[2:]), 'string_agg', '')) AS proof_sha256,
+ list_reduce(list_prepend(shown, coalesce(steps, [])), lambda acc, x: CASE x[1] WHEN 'L' THEN sha256(x[2:] || acc) WHEN 'R' THEN sha256(acc || x[2:]) ELSE sha256(acc) END) AS folded_root
+ FROM o JOIN s USING (g) LEFT JOIN c ON c.g = o.g AND c.pos = o.pos)
+SELECT *, folded_root = root AS verified FROM r""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(read(spark, sf_dir, "documents"))
+
+
+@register("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(read(spark, sf_dir, "documents"), byte_bpe_path(), piece_bpe_path())
