@@ -2,7 +2,7 @@
 
 A is a byte-level BPE over a blank and the text, B a sentencepiece BPE that adds the blank itself. Token ends
 are byte offsets in the blank and the text. The shorter list of ends is searched in the longer one: from the
-last hit in steps that double, then by bisection. Ends that both have cut the tokens into groups; the ranks of
+start of a value's chunk in steps that double, then by bisection, all values at once. Ends that both have cut the tokens into groups; the ranks of
 a token's start and end among the other's ends give the tokens whose bytes it overlaps, its links.
 
 A blank between two characters that aren't white space always starts a token of both (``chunks``): A's
@@ -22,9 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from bisect import bisect_left
+import re
+from array import array
 from collections.abc import Iterator, Sequence
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,9 @@ from pyspark.sql import types as T
 
 from attraudit.llm.common import stored, text_or_empty
 
-CACHED_CHUNKS, CACHED_CHARS, SLICE_ROWS = 150_000, 48, 64
+CACHED_CHUNKS, CACHED_CHARS, SLICE_ROWS = 400_000, 48, 128
+SECTION = 50_000  # chunks aligned at once
+_WIDE = re.compile(r" \s|\s |\A\s|\s\Z")  # a blank beside white space, or such at an end
 CACHED_PAIRS = 1_000_000  # pairs a task holds before it hands them on
 BROADCAST_PAIRS = 2_000_000  # 16 bytes each
 
@@ -60,57 +62,47 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in same} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def gallop(shorter: Sequence[int], longer: Sequence[int]) -> tuple[list[int], list[int]]:
-    """Places in both ascending lists of the values they share."""
-    at_short, at_long, lo, n = [], [], 0, len(longer)
-    for i, v in enumerate(shorter):
-        step, hi = 1, lo
-        while hi < n and longer[hi] < v:  # doubling steps up to a value that isn't smaller
-            lo, hi, step = hi + 1, hi + step, step * 2
-        lo = bisect_left(longer, v, lo, min(hi, n))
-        if lo == n:
-            break
-        if longer[lo] == v:
-            at_short.append(i)
-            at_long.append(lo)
-            lo += 1
-    return at_short, at_long
-
-
-def aligned(ends_a: Sequence[int], ends_b: Sequence[int]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """Groups (first and past-last token of A, then of B) and links (token of A, token of B) of two lists with the same last end."""
-    if len(ends_a) == 1 or len(ends_b) == 1:  # they share the last end, and each token lies in the other's one
-        return [(0, len(ends_a), 0, len(ends_b))], [(a, b) for a in range(len(ends_a)) for b in range(len(ends_b))]
-    i, j = gallop(ends_a, ends_b) if len(ends_a) <= len(ends_b) else gallop(ends_b, ends_a)[::-1]
-    groups, links, a0, b0 = [], [], 0, 0
-    for a1, b1 in zip([x + 1 for x in i], [x + 1 for x in j]):
-        groups.append((a0, a1, b0, b1))
-        first = b0
-        for a in range(a0, a1):  # the first B that ends after A starts, up to the first that ends with or after A
-            last = bisect_left(ends_b, ends_a[a], first, b1)
-            links += [(a, b) for b in range(first, last + 1)]
-            first = last + (ends_b[last] == ends_a[a])
-        a0, b0 = a1, b1
-    return groups, links
-
-
-class Chunk:
-    """Tokens, groups and links of a chunk that its tokens give back, else the bytes that they give instead."""
+def gallop(shorter: np.ndarray, longer: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each value of an ascending list, the place of the first value in the longer one that isn't smaller.
 
-    __slots__ = ("ids_a", "ids_b", "groups", "pairs", "others")
-
-    def __init__(self, ids_a: list[int], ids_b: list[int], groups: list[tuple[int, int, int, int]], pairs: list[int], others: tuple[bytes, bytes] | None = None):
-        self.ids_a, self.ids_b, self.groups, self.pairs, self.others = ids_a, ids_b, groups, pairs, others
-
-    def text(self) -> str:
-        a, b = list(map(str, self.ids_a)), list(map(str, self.ids_b))
-        return ";".join([",".join(a[g[0]:g[1]]) + "|" + ",".join(b[g[2]:g[3]]) for g in self.groups])
+    All values search at once, each from its own ``start``, a place not beyond what it looks for: steps double
+    until a value isn't smaller, then the last step is bisected.
+    """
+    n, lo, hi = len(longer), start.copy(), start.copy()
+    step, open_ = 1, np.flatnonzero(start < n)
+    while True:
+        open_ = open_[longer[hi[open_]] < shorter[open_]]
+        if not len(open_):
+            break
+        lo[open_] = hi[open_] + 1
+        hi[open_] += step
+        step *= 2
+        open_ = open_[hi[open_] < n]
+    np.minimum(hi, n, out=hi)
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) >> 1
+        less = longer[mid] < shorter[open_]
+        lo[open_] = np.where(less, mid + 1, lo[open_])
+        hi[open_] = np.where(less, hi[open_], mid)
+        open_ = open_[lo[open_] < hi[open_]]
+    return lo
+
+
+def overlaps(shorter: np.ndarray, longer: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of two lists of ends with the same last end: for each token of the shorter the first and last token of the
+    longer that it overlaps, and whether both end together."""
+    last = gallop(shorter, longer, start)
+    common = longer[last] == shorter
+    first = np.zeros(len(last), "<i8")
+    first[1:] = last[:-1] + common[:-1]  # after a common end the next token, else the one that is cut
+    return first, last, common
 
 
 def chunks(text: str) -> list[str]:
     """The text cut at blanks between characters that aren't white space; the blanks are left out."""
     parts = text.split(" ")
-    if "" not in parts and not any(p[0].isspace() or p[-1].isspace() for p in parts):
+    if not _WIDE.search(text):
         return parts
     out, open_ = [parts[0]], parts[0] == "" or parts[0][-1].isspace()
     for p in parts[1:]:
@@ -123,7 +115,7 @@ def chunks(text: str) -> list[str]:
 
 
 class Aligner:
-    """Chunks of texts under both tokenizers, kept while they are short."""
+    """Texts under both tokenizers; the ids of chunks are kept while they are short."""
 
     def __init__(self, byte_level: str, pieces: str):
         import os
@@ -145,37 +137,115 @@ class Aligner:
             bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
             for i in range(self.b.get_piece_size())
         ]
-        self.len_a, self.len_b = list(map(len, self.of_a)), list(map(len, self.of_b))
-        self.known: dict[str, Chunk] = {}
+        self.len_a, self.len_b = (np.array(list(map(len, x)), "<i8") for x in (self.of_a, self.of_b))
+        ids = range(max(len(self.of_a), len(self.of_b)))
+        self.written = {sep: np.array([f"{i}{sep}" for i in ids], object) for sep in ",|;"}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.odd: set[str] = set()  # chunks whose tokens don't give them back
 
-    def chunk(self, text: bytes, ids_a: list[int], ids_b: list[int]) -> Chunk:
-        joined_a, joined_b = b"".join(map(self.of_a.__getitem__, ids_a)), b"".join(map(self.of_b.__getitem__, ids_b))
-        if not joined_a == text == joined_b:
-            return Chunk([], [], [], [], (joined_a, joined_b))
-        groups, links = aligned(list(accumulate(map(self.len_a.__getitem__, ids_a))), list(accumulate(map(self.len_b.__getitem__, ids_b))))
-        return Chunk(ids_a, ids_b, groups, [ids_a[a] << 32 | ids_b[b] for a, b in links])
-
-    def learn(self, new: list[str]) -> dict[str, Chunk]:
+    def learn(self, new: list[str]) -> None:
         led = [" " + c for c in new]
         ids_a = [e.ids for e in self.a.encode_batch_fast(led, add_special_tokens=False)]
         ids_b = self.b.encode(new, num_threads=1)
-        return {c: self.chunk(t.encode(), x, y) for c, t, x, y in zip(new, led, ids_a, ids_b)}
-
-    def texts(self, texts: Sequence[str]) -> Iterator[list[Chunk]]:
-        """The chunks of each text in order; none if the text is empty or its tokens don't give it back."""
+        for c, t, x, y in zip(new, led, ids_a, ids_b):
+            if b"".join(map(self.of_a.__getitem__, x)) == t.encode() == b"".join(map(self.of_b.__getitem__, y)):
+                self.known[c] = array("i", x).tobytes(), array("i", y).tobytes()
+            else:
+                self.known[c] = b"", b""
+                self.odd.add(c)
+
+    def texts(self, texts: Sequence[str]) -> list["Aligned"]:
+        """Each text's alignment; empty if the text is, or if its tokens don't give it back."""
         if len(self.known) > CACHED_CHUNKS:
-            self.known = {}
+            self.known, self.odd = {}, set()
         parts = [chunks(t) if t else [] for t in texts]
-        found = self.learn(list(set().union(*parts).difference(self.known)))
-        self.known.update(found)
-        for t, p in zip(texts, parts):
-            got = [self.known[c] for c in p]
-            if any([c.others is not None for c in got]):
-                got = [c for c in self.learn([t]).values() if c.others is None]  # the whole text decides
-            yield got
-        for c in found:
-            if len(c) > CACHED_CHARS:
-                del self.known[c]
+        new = list(set().union(*parts).difference(self.known))
+        self.learn(new)
+        for k, (t, p) in enumerate(zip(texts, parts)):
+            if self.odd and not self.odd.isdisjoint(p):
+                self.learn([t])  # the whole text decides
+                parts[k] = [] if t in self.odd else [t]
+                new.append(t)
+        out = [Aligned() for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        for k, p in enumerate(parts):
+            for i in range(0, len(p), SECTION):
+                held.append((k, p[i:i + SECTION]))
+                if sum([len(x) for _, x in held]) >= SECTION:
+                    self.sections(held, out)
+                    held = []
+        self.sections(held, out)
+        for c in new:
+            if len(c) > CACHED_CHARS and self.known.pop(c, None):
+                self.odd.discard(c)
+        return out
+
+    def sections(self, held: list[tuple[int, list[str]]], out: list["Aligned"]) -> None:
+        """Align sections of texts, laid one after another, and add them to their texts' alignments."""
+        if not held:
+            return
+        got = [self.known[c] for _, p in held for c in p]
+        ids = [np.frombuffer(b"".join([x[k] for x in got]), "<i4") for k in (0, 1)]
+        sizes = [np.fromiter([len(x[k]) for x in got], "<i8", len(got)) // 4 for k in (0, 1)]
+        ends = [np.cumsum(n[i]) for n, i in zip((self.len_a, self.len_b), ids)]
+        s, l = (0, 1) if len(ids[0]) <= len(ids[1]) else (1, 0)
+        begins = [np.cumsum(n) - n for n in sizes]
+        first, last, common = overlaps(ends[s], ends[l], np.repeat(begins[l], sizes[s]))
+        counts = last - first + 1
+        up = np.cumsum(counts)
+        linked = [None, None]
+        linked[s] = np.repeat(ids[s], counts)
+        linked[l] = ids[l][np.arange(up[-1]) - np.repeat(up - counts, counts) + np.repeat(first, counts)]
+        # per section: tokens of A and B, groups, links
+        chunk_ends = np.cumsum([len(p) for _, p in held])
+        token_ends = [np.cumsum(n)[chunk_ends - 1] for n in sizes]
+        hits = np.cumsum(common)
+        cuts = [token_ends[0], token_ends[1], hits[token_ends[s] - 1], up[token_ends[s] - 1]]
+        # tokens in the order of groups, A before B, written with what follows them
+        at = np.flatnonzero(common)
+        group_ends = [None, None]
+        group_ends[s], group_ends[l] = at + 1, last[at] + 1
+        (ga, gb), text = group_ends, np.empty(len(ids[0]) + len(ids[1]), object)
+        place_a = np.arange(len(ids[0])) + np.repeat(np.concatenate([[0], gb[:-1]]), np.diff(ga, prepend=0))
+        place_b = np.arange(len(ids[1])) + np.repeat(ga, np.diff(gb, prepend=0))
+        text[place_a], text[place_b] = self.written[","][ids[0]], self.written[","][ids[1]]
+        text[place_a[ga - 1]], text[place_b[gb - 1]] = self.written["|"][ids[0][ga - 1]], self.written[";"][ids[1][gb - 1]]
+        # distinct pairs of a section with their numbers
+        section = np.repeat(np.arange(len(held)), np.diff(cuts[3], prepend=0))
+        keys, times = np.unique(section << 48 | linked[0].astype("<i8") << 24 | linked[1], return_counts=True)
+        key_ends = np.searchsorted(keys, np.arange(1, len(held) + 1) << 48)
+        pairs = (keys >> 24 & 0xFFFFFF) << 32 | keys & 0xFFFFFF
+        numbers = np.stack([np.diff(c, prepend=0) for c in cuts], 1).tolist()
+        written = text.tolist()
+        w, q = 0, 0
+        for (k, _), n, w1, q1 in zip(held, numbers, (token_ends[0] + token_ends[1]).tolist(), key_ends.tolist()):
+            out[k].add(n, "".join(written[w:w1]), pairs[q:q1], times[q:q1])
+            w, q = w1, q1
+
+
+class Aligned:
+    """Sums, digest of the groups, and linked pairs of one text, section by section."""
+
+    def __init__(self) -> None:
+        self.sums, self.digest, self.found = [0, 0, 0, 0], hashlib.sha256(), []
+
+    def add(self, numbers: list[int], text: str, pairs: np.ndarray, times: np.ndarray) -> None:
+        self.sums = [x + y for x, y in zip(self.sums, numbers)]
+        if self.found:
+            self.digest.update(b";")
+        self.digest.update(text[:-1].encode())  # without the mark after the last group
+        self.found.append((pairs, times))
+
+    def groups_sha256(self) -> str:
+        return self.digest.hexdigest() if self.found else ""
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.found) == 1:
+            return self.found[0]
+        if not self.found:
+            return np.zeros(0, "<i8"), np.zeros(0, "<i8")
+        keys, at = np.unique(np.concatenate([p for p, _ in self.found]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in self.found]), len(keys)).astype("<i8")
 
 
 _SUMS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -189,12 +259,10 @@ def align(text: Column | str, byte_level: str, pieces: str) -> Column:
         al = Aligner(byte_level, pieces)
         for b in batches:
             for k in range(0, len(b), SLICE_ROWS):
-                rows = list(al.texts(b.slice(k, SLICE_ROWS).to_pylist()))
-                numbers = [[(len(c.ids_a), len(c.ids_b), len(c.groups), len(c.pairs)) for c in r] for r in rows]
-                out = [pa.array([sum([x[k] for x in r]) for r in numbers], pa.int64()) for k in range(len(_SUMS))]
-                texts = [";".join([c.text() for c in r]) for r in rows]
-                out.append(pa.array([hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts], pa.string()))
-                found = [np.unique(np.fromiter(chain.from_iterable([c.pairs for c in r]), "<i8"), return_counts=True) for r in rows]
+                rows = al.texts(b.slice(k, SLICE_ROWS).to_pylist())
+                out = [pa.array([r.sums[j] for r in rows], pa.int64()) for j in range(len(_SUMS))]
+                out.append(pa.array([r.groups_sha256() for r in rows], pa.string()))
+                found = [r.pairs() for r in rows]
                 out += [pa.array([x[j].astype(d).tobytes() for x in found], pa.binary()) for j, d in ((0, "<i8"), (1, "<i4"))]
                 yield pa.StructArray.from_arrays(out, _ALIGNED.names)
 

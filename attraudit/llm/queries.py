@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attraudit.llm import alignment, bpe, decontaminate, language_id, line_dedup, merkle, permutation_index, pseudo_likelihood, secret_scan, simhash, token_counts, warc
+from attraudit.llm import alignment, bpe, decontaminate, language_id, line_dedup, merkle, permutation_index, pseudo_likelihood, secret_scan, simhash, suffix_dedup, token_counts, warc
 from attraudit.llm.common import read, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +150,20 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(read(spark, sf_dir, "documents"))
 
 
+@register("op12_suffix_dedup", """
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, n, q, substr(h, q * 1000 + 1, 1200) AS part FROM d, unnest(range(0, n // 500 + 1)) AS u(q)),
+w AS (SELECT doc_id, q * 500 + o AS p, md5(substr(part, 2 * o + 1, 200)) AS k FROM s, unnest(range(0, 500)) AS v(o) WHERE q * 500 + o + 100 <= n),
+g AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth FROM w) WHERE nth > 1),
+r AS (SELECT doc_id, min(p) AS lo, max(p) + 100 AS hi FROM (SELECT *, sum((before IS NULL OR p > before + 100)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM g) GROUP BY doc_id, span),
+b AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS was FROM r),
+k AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * was + 1, 2 * (lo - was)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept FROM b JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(read(spark, sf_dir, "documents"))
+
+
 @register("op13_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report(read(spark, sf_dir, "documents"), byte_bpe_path(), piece_bpe_path())

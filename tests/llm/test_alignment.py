@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import edges
+import numpy as np
 import pytest
 
 from attraudit.llm import alignment
@@ -40,25 +41,30 @@ def brute(al, text):
     return len(ids_a), len(ids_b), groups, links
 
 
-def test_gallop_finds_common_values():
+def test_gallop_finds_the_first_value_not_smaller():
     rng = random.Random(2)
     for _ in range(500):
-        a, b = (sorted(rng.sample(range(200), rng.randint(0, 60))) for _ in range(2))
-        i, j = alignment.gallop(a, b)
-        assert [a[x] for x in i] == [b[x] for x in j] == sorted(set(a) & set(b))
+        a, b = (np.array(sorted(rng.sample(range(200), rng.randint(1, 60)))) for _ in range(2))
+        want = np.searchsorted(b, a)
+        start = np.array([rng.randint(0, w) for w in want.tolist()])
+        assert alignment.gallop(a, b, start).tolist() == want.tolist()
 
 
-def test_chunks_equal_whole_texts(aligner):
+@pytest.mark.parametrize("section", [alignment.SECTION, 2])
+def test_chunks_equal_whole_texts(aligner, monkeypatch, section):
+    monkeypatch.setattr(alignment, "SECTION", section)
     rng = random.Random(5)
-    for _ in range(1500):
-        t = "".join(rng.choice(ALPHABET) if rng.random() < 0.7 else rng.choice("abcdetion ") for _ in range(rng.randint(0, 25)))
-        got, want = next(iter(aligner.texts([t]))), brute(aligner, t)
-        if want is None:
-            assert got == []
-            continue
-        assert sum(len(c.ids_a) for c in got) == want[0] and sum(len(c.ids_b) for c in got) == want[1]
-        assert ";".join(c.text() for c in got) == ";".join(want[2])
-        assert sorted((p >> 32, p & 0xFFFFFFFF) for c in got for p in c.pairs) == sorted(want[3])
+    texts = ["".join(rng.choice(ALPHABET) if rng.random() < 0.7 else rng.choice("abcdetion ") for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    for k in range(0, len(texts), 20):
+        for t, got in zip(texts[k:k + 20], aligner.texts(texts[k:k + 20])):
+            want = brute(aligner, t)
+            if want is None:
+                assert got.sums == [0, 0, 0, 0] and got.groups_sha256() == "" and len(got.pairs()[0]) == 0
+                continue
+            assert got.sums == [want[0], want[1], len(want[2]), len(want[3])]
+            assert got.groups_sha256() == hashlib.sha256(";".join(want[2]).encode()).hexdigest()
+            keys, times = got.pairs()
+            assert {(p >> 32, p & 0xFFFFFFFF): n for p, n in zip(keys.tolist(), times.tolist())} == Counter(want[3])
 
 
 @pytest.mark.parametrize("broadcast_pairs", [alignment.BROADCAST_PAIRS, 0])
