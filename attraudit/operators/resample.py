@@ -1,11 +1,14 @@
 """Bootstrap and permutation inference with hash-based draws.
 
-A replicate number joins the cell key, so one job covers all cells and draws.
 Weights are Poisson(1) per row, which is the large-sample form of n-of-n
 resampling and needs no row numbers. A draw depends on the seed, the replicate
 and the row only, never on the partitioning. Without a unit column the rows of
 a cell first shrink to counts of equal (score, label) pairs and each count draws
 one Poisson(count), so the work follows the number of distinct scores.
+
+The weights of a row are one vector over all replicates (`draws`); permutations
+deal counts (`permute`). Rows are copied per replicate only for metrics that a
+user registers as DataFrame functions.
 """
 from __future__ import annotations
 
@@ -14,11 +17,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rand import hash_order, poisson_many, poisson_one, uniform
+from ..functions.rand import poisson_many, poisson_one, uniform
+from ..functions.weights import row_hash
+from .draws import auprc_draws, auroc_draws, weighted_sums
 from .fairness import gap
 from .panel import spearman
+from .permute import shuffled_groups, shuffled_labels
 from .ranking import _precision_area, auroc, ranked
-from .running import rank_rows, running_totals
 
 MIN_VALID = 10
 
@@ -83,9 +88,43 @@ METRICS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def _mean_of(feature: Callable[[], Column]):
+    """Replicates of a weighted mean."""
+    def values(rows, cell, b):
+        sums = weighted_sums(rows, cell, {"w": F.lit(1.0), "x": feature()}, b)
+        return sums.select(*cell, "rep", F.try_divide("x", "w").alias("value"))
+    return values
+
+
+def _r2_draws(rows, cell, b):
+    known = rows.where(F.col("p").isNotNull())
+    middle = known.groupBy(*cell).agg(F.avg("y").alias("__c"))  # sums of squares are taken about the mean
+    known = _attach(known, middle, cell)
+    y, e = F.col("y") - F.col("__c"), F.col("y") - F.col("p")
+    s = weighted_sums(known, cell, {"w": F.lit(1.0), "y": y, "yy": y * y, "ee": e * e}, b)
+    return s.select(*cell, "rep", (1 - F.try_divide("ee", F.col("yy") - F.try_divide(F.col("y") * F.col("y"), F.col("w")))).alias("value"))
+
+
+#: metrics whose replicates are computed as vectors: (rows with h and m, cell, b) -> (cell, rep, value)
+VECTORS: dict[str, Callable[..., DataFrame]] = {
+    "auroc": auroc_draws,
+    "auprc": auprc_draws,
+    "mae": _mean_of(lambda: F.abs(_E("y") - _E("p"))),
+    "brier": _mean_of(lambda: (_E("y") - _E("p")) * (_E("y") - _E("p"))),
+    "mean": _mean_of(lambda: _E("y")),
+    "r2": _r2_draws,
+}
+
+
+def hashed(rows: DataFrame, seed: int, identity: Sequence[str], count: str | None = None) -> DataFrame:
+    """Rows with the hash of their draws and how many equal rows they stand for."""
+    return rows.withColumn("h", row_hash(seed, *identity)).withColumn("m", F.col(count) if count else F.lit(1))
+
+
 def register_metric(name: str, fn: Callable[..., DataFrame]) -> None:
     """Plug in a metric of weighted rows, as a DataFrame function (F1)."""
     METRICS[name] = fn
+    VECTORS.pop(name, None)
 
 
 def interval(reps: DataFrame, cell: Sequence[str], value: str = "value", ci: float = 0.95, min_valid: int = MIN_VALID) -> DataFrame:
@@ -115,14 +154,15 @@ def bootstrap_ci(
     value_cols = [c for c in ("y", "p") if c in base.columns]
     if unit is None:
         slim = base.groupBy(*cell, *value_cols).agg(F.count(F.lit(1)).alias("m"))
-        one = slim.withColumn("w", F.col("m"))
-        drawn = draw(slim, b, seed, [*cell, *value_cols], count="m")
+        one, identity, count = slim.withColumn("w", F.col("m")), [*cell, *value_cols], "m"
     else:
         slim = base.select(*cell, *value_cols, unit)
-        one = slim.withColumn("w", F.lit(1))
-        drawn = draw(slim, b, seed, [unit])
+        one, identity, count = slim.withColumn("w", F.lit(1)), [unit], None
     point = fn(one, cell, "w", base).withColumnRenamed("value", "point")
-    reps = fn(drawn, [*cell, "rep"], "w", base)
+    if metric in VECTORS:
+        reps = VECTORS[metric](hashed(slim, seed, identity, count), cell, b)
+    else:
+        reps = fn(draw(slim, b, seed, identity, count), [*cell, "rep"], "w", base)
     return _attach(point, interval(reps, cell, ci=ci), cell)
 
 
@@ -135,23 +175,28 @@ def bootstrap_delta(
     base = rows.where(F.col("y").isNotNull())
     if unit is None:
         slim = base.groupBy(*cell, "y", a, b_score).agg(F.count(F.lit(1)).alias("m"))
-        drawn = draw(slim, b, seed, [*cell, "y", a, b_score], count="m")
+        identity, count = [*cell, "y", a, b_score], "m"
     else:
         slim = base.select(*cell, "y", a, b_score, unit).withColumn("m", F.lit(1))
-        drawn = draw(slim, b, seed, [unit])
+        identity, count = [unit], None
 
-    def both(df, keys):
+    def sided(df, *more):
         sides = F.array(F.struct(F.lit("a").alias("side"), F.col(a).alias("p")), F.struct(F.lit("b").alias("side"), F.col(b_score).alias("p")))
-        long = df.select(*keys, "y", "w", F.explode(sides).alias("s")).select(*keys, "y", "w", "s.*")
-        m = fn(long, [*keys, "side"], "w", base.select("y", F.explode(F.array(a, b_score)).alias("p")))
+        return df.select(*cell, "y", *more, F.explode(sides).alias("s")).select(*cell, "y", *more, "s.*")
+
+    def difference(m, keys):
         return m.groupBy(*keys).agg(
             (F.max(F.when(F.col("side") == "b", F.col("value"))) - F.max(F.when(F.col("side") == "a", F.col("value")))).alias("value")
         )
 
-    point = both(slim.withColumn("w", F.col("m")), cell).withColumnRenamed("value", "delta")
-    reps = _attach(both(drawn, [*cell, "rep"]), point, cell) if cell else both(drawn, ["rep"]).withColumn(
-        "delta", point.select("delta").scalar()
-    )
+    edges = base.select("y", F.explode(F.array(a, b_score)).alias("p"))
+    point = difference(fn(sided(slim.withColumn("w", F.col("m")), "w"), [*cell, "side"], "w", edges), cell).withColumnRenamed("value", "delta")
+    if metric in VECTORS:  # both sides of a row share its weights
+        per = VECTORS[metric](sided(hashed(slim, seed, identity, count), "h", "m"), [*cell, "side"], b)
+    else:
+        per = fn(sided(draw(slim, b, seed, identity, count), "rep", "w"), [*cell, "rep", "side"], "w", edges)
+    both = difference(per, [*cell, "rep"])
+    reps = _attach(both, point, cell) if cell else both.withColumn("delta", point.select("delta").scalar())
     beyond = F.when(F.col("delta") >= 0, F.col("value") < 0).otherwise(F.col("value") > 0)
     extra = 1 if plus_one else 0
     share = (F.count_if(beyond) + extra) / (F.count("value") + extra)
@@ -175,15 +220,17 @@ def bootstrap_gap(
     base = rows.where(F.col("y").isNotNull() & F.col(group).isNotNull())
     if unit is None:
         slim = base.groupBy(*keys, "y", "p").agg(F.count(F.lit(1)).alias("m"))
-        drawn = draw(slim, b, seed, [*keys, "y", "p"], count="m")
+        drawn = hashed(slim, seed, [*keys, "y", "p"], "m")
     else:
-        slim = base.select(*keys, "y", "p", unit)
-        drawn = draw(slim, b, seed, [unit])
-    observed = gap(auroc(base, keys), cell, group)
-    n_groups = base.groupBy(*cell).agg(F.count_distinct(group).alias("__g"))
-    per = auroc(drawn, [*keys, "rep"], weight="w", edges_from=base)
+        drawn = hashed(base.select(*keys, "y", "p", unit), seed, [unit])
     ok = (F.col("n") >= min_n) & (F.least(F.col("n_pos"), F.col("n") - F.col("n_pos")) >= min_side)
-    good = per.withColumn("v", F.when(ok, F.col("auroc")))
+    once = auroc(base, keys)
+    observed = gap(once, cell, group)
+    if drop_draw:  # what holds for a draw holds for the data
+        valid = once.groupBy(*cell).agg(F.coalesce(F.min(ok & F.col("auroc").isNotNull()), F.lit(False)).alias("__ok"))
+        observed = _attach(observed, valid, cell).withColumn("gap", F.when(F.col("__ok"), F.col("gap"))).drop("__ok")
+    n_groups = base.groupBy(*cell).agg(F.count_distinct(group).alias("__g"))
+    good = auroc_draws(drawn, keys, b).withColumn("v", F.when(ok, F.col("value")))
     reps = good.groupBy(*cell, "rep").agg(
         F.count("v").alias("k"), (F.max("v") - F.min("v")).alias("value")
     )
@@ -225,34 +272,32 @@ def bootstrap_slope(rows: DataFrame, cell: Sequence[str], x: str, y: str, unit:
     cell = list(cell)
     base = rows.select(*cell, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), unit).dropna(subset=["x", "y"])
 
-    def slope(df, keys):
-        w, a, c = F.col("w"), F.col("x"), F.col("y")
-        sw, sx, sy = F.sum(w), F.sum(w * a), F.sum(w * c)
-        top, low = F.sum(w * a * c) - sx * sy / sw, F.sum(w * a * a) - sx * sx / sw
-        return df.groupBy(*keys).agg(F.try_divide(top, low).alias("value"))
+    middle = base.groupBy(*cell).agg(F.avg("x").alias("__x"), F.avg("y").alias("__y"))  # products are taken about the means
+    about = _attach(base, middle, cell).withColumns({"x": F.col("x") - F.col("__x"), "y": F.col("y") - F.col("__y")}).drop("__x", "__y")
+
+    def slope():
+        sw, sx, sy = F.col("w"), F.col("sx"), F.col("sy")
+        return F.try_divide(F.col("sxy") - F.try_divide(sx * sy, sw), F.col("sxx") - F.try_divide(sx * sx, sw))
 
-    point = slope(base.withColumn("w", F.lit(1)), cell).withColumnRenamed("value", "point")
-    reps = slope(draw(base, b, seed, [unit]), [*cell, "rep"])
+    x_, y_ = F.col("x"), F.col("y")
+    features = {"w": F.lit(1.0), "sx": x_, "sy": y_, "sxy": x_ * y_, "sxx": x_ * x_}
+    point = about.groupBy(*cell).agg(*[F.sum(c).alias(n) for n, c in features.items()]).select(*cell, slope().alias("point"))
+    reps = weighted_sums(hashed(about, seed, [unit]), cell, features, b).select(*cell, "rep", slope().alias("value"))
     return _attach(point, interval(reps, cell, ci=ci), cell)
 
 
-def permutation_auroc(rows: DataFrame, cell: Sequence[str], unit: str, b: int = 1000, seed: int = 42, plus_one: bool = False) -> DataFrame:
+def permutation_auroc(rows: DataFrame, cell: Sequence[str], unit: str | None = None, b: int = 1000, seed: int = 42, plus_one: bool = False) -> DataFrame:
     """Permutation test of an AUROC against shuffled labels.
 
-    Ranks never change under a label shuffle, so they are computed once; every
-    replicate takes the first P rows in hash order as its positives.
+    Ranks never change under a label shuffle; every replicate deals the positives
+    to the distinct scores.
     """
     cell = list(cell)
-    base = rows.where(F.col("y").isNotNull()).select(*cell, unit, "y", F.col("p").cast("double").alias("p"))
+    base = rows.where(F.col("y").isNotNull() & F.col("p").isNotNull()).select(*cell, "y", F.col("p").cast("double").alias("p"))
     observed = auroc(base, cell).where(F.col("auroc").isNotNull())
-    ranks = rank_rows(base, cell, "p", "rk").select(*cell, unit, "rk")
-    reps = with_replicates(ranks, b, [*cell, unit]).withColumn("__h", hash_order(seed, "rep", *cell, unit)).withColumn("__n", F.lit(1))
-    run = running_totals(reps, [*cell, "rep"], "__h", {"__n": "pos"}, hashed=True)
-    per = _attach(run, observed, cell).where(F.col("pos") < F.col("n_pos"))
-    p_, n_ = F.max("n_pos"), F.max(F.col("n") - F.col("n_pos"))
-    null = per.groupBy(*cell, "rep").agg(
-        ((F.sum("rk") - p_ * (p_ + 1) / 2.0) / (p_ * n_)).alias("v"), F.max("auroc").alias("auroc")
-    )
+    null = _attach(shuffled_labels(base, cell, b, seed), observed, cell).where(F.col("auroc").isNotNull())
+    p_, n_ = F.col("n_pos"), F.col("n") - F.col("n_pos")
+    null = null.select(*cell, "auroc", ((F.col("ranks") - p_ * (p_ + 1) / 2.0) / (p_ * n_)).alias("v"))
     extra = 1 if plus_one else 0
     share = (F.count_if(F.col("v") >= F.col("auroc")) + extra) / (F.count("v") + extra)
     return null.groupBy(*cell).agg(
@@ -260,34 +305,21 @@ def permutation_auroc(rows: DataFrame, cell: Sequence[str], unit: str, b: int =
     )
 
 
-def permutation_gap(rows: DataFrame, cell: Sequence[str], unit: str, group: str = "grp", b: int = 1000, seed: int = 42, min_n: int = 20, plus_one: bool = False) -> DataFrame:
+def permutation_gap(rows: DataFrame, cell: Sequence[str], unit: str | None = None, group: str = "grp", b: int = 1000, seed: int = 42, min_n: int = 20, plus_one: bool = False) -> DataFrame:
     """Permutation test of the max-min AUROC gap under shuffled group labels.
 
-    The rows of a replicate are put in hash order and dealt out to the groups in
+    Every replicate deals the distinct (score, label) counts out to the groups in
     their original sizes. A draw with an invalid group is dropped.
     """
     cell = list(cell)
-    base = rows.where(F.col("y").isNotNull() & F.col(group).isNotNull()).select(*cell, unit, group, "y", F.col("p").cast("double").alias("p"))
+    known = F.col("y").isNotNull() & F.col(group).isNotNull() & F.col("p").isNotNull()
+    base = rows.where(known).select(*cell, group, "y", F.col("p").cast("double").alias("p"))
     by_group = auroc(base, [*cell, group]).withColumn("ok", (F.col("n") >= min_n) & F.col("auroc").isNotNull())
     observed = by_group.groupBy(*cell).agg(
         (F.max("auroc") - F.min("auroc")).alias("gap"), F.min("ok").alias("ok"), F.count(F.lit(1)).alias("n_groups"),
-        F.sort_array(F.collect_list(F.struct(F.col(group).alias("g"), F.col("n")))).alias("sizes"),
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col(group).alias("g"), F.col("n")))), lambda x: x["n"]).alias("sizes"),
     ).where(F.col("ok"))
-    deal = F.transform(
-        F.sequence(F.lit(1), F.size("sizes")),
-        lambda i: F.struct(
-            F.col("sizes")[i - 1]["g"].alias("g"),
-            F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, s: a + s["n"]).alias("upto"),
-        ),
-    )
-    observed = observed.withColumn("deal", deal).select(*cell, "gap", "n_groups", "deal")
-    reps = with_replicates(base.drop(group), b, [*cell, unit]).withColumn("__h", hash_order(seed, "rep", *cell, unit)).withColumn("__n", F.lit(1))
-    run = running_totals(reps, [*cell, "rep"], "__h", {"__n": "pos"}, hashed=True)
-    dealt = _attach(run, observed.select(*cell, "deal"), cell)
-    dealt = dealt.withColumn("g", F.filter("deal", lambda d: d["upto"] > F.col("pos"))[0]["g"])
-    per = auroc(dealt.select(*cell, "rep", "g", "y", "p"), [*cell, "rep", "g"], edges_from=base)
-    valid = F.when(F.min((F.col("n") >= min_n) & F.col("auroc").isNotNull()), F.max("auroc") - F.min("auroc"))
-    null = _attach(per.groupBy(*cell, "rep").agg(valid.alias("v")), observed.select(*cell, "gap", "n_groups"), cell)
+    null = _attach(shuffled_groups(base.drop(group), observed.select(*cell, "sizes"), cell, b, seed, min_n), observed.select(*cell, "gap", "n_groups"), cell)
     extra = 1 if plus_one else 0
     share = (F.count_if(F.col("v") >= F.col("gap")) + extra) / (F.count("v") + extra)
     return null.groupBy(*cell).agg(

@@ -24,10 +24,12 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def with_buckets(
-    df: DataFrame, order: str, n_buckets: int | None = None, edges_from: DataFrame | None = None
+    df: DataFrame, order: str, n_buckets: int | None = None, edges_from: DataFrame | None = None, hot: str | None = None
 ) -> DataFrame:
     """Add a bucket number that never decreases along `order`.
 
+    `hot` names a column that tells the values that fill more than one bucket; in their bucket they come last.
+
     The edges come from `edges_from` if given: the rows `df` was derived from,
     whose quantiles need no shuffle and no replicates.
     """
@@ -51,6 +53,7 @@ def with_buckets(
         df.withColumn("__edges", edges)
         .withColumn("__runs", runs)
         .withColumn(_BUCKET, F.coalesce(F.col("__runs") * fan + rest, F.lit(0)))
+        .withColumns({} if hot is None else {hot: F.coalesce((F.get("__edges.all", F.col(_BUCKET)) == value) & (F.get("__edges.all", F.col(_BUCKET) + 1) == value), F.lit(False))})
         .drop("__edges", "__runs")
     )
 

@@ -1,18 +1,22 @@
-"""Bootstrap and permutation queries; every draw is an md5 hash, so SQL can repeat it."""
+"""Bootstrap and permutation queries at the operators' full number of draws.
+
+A weight follows from the md5 of its row and the replicate, so SQL can repeat it where it stays quick; the
+others are held against brute force in tests/test_draws.py.
+"""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from attraudit.functions.rand import poisson_cuts
+from attraudit.functions.weights import CUTS, MIX, STEP
 from attraudit.operators import resample as R
 
-from .base import SCORES_SQL, auroc_expr, midrank_sql, query, r, read, scores
+from .base import SCORES_SQL, query, r, read, scores
 from .fairness_queries import PANEL_SQL, panel
-from .ranking_queries import AP_SQL
 
 S = f"WITH {SCORES_SQL}"
 CELL = ["model", "finding"]
-B = 12
+B, SLOPES, RANKS = 1000, 2000, 10_000
 
 
 def u_sql(*parts, seed=42):
@@ -33,43 +37,44 @@ def reps_sql(src: str, cols: str, unit: str, b: int = B, seed: int = 42, name: s
     )
 
 
+def weights_sql(src: str, unit: str, b: int = B, seed: int = 42) -> str:
+    """wt(uu, rep, w): the Poisson weight of every unit in every replicate."""
+    low, high = MIX & 0xFFFFFFFF, MIX >> 32  # products modulo 2**64 in halves
+    top = f"(((x >> 32) * {low} & 4294967295) + ((x & 4294967295) * {high} & 4294967295) + ((x & 4294967295) * {low} >> 32) & 4294967295)"
+    folded = "xor(x, x >> 32) AS x"
+    return (
+        f"us AS (SELECT DISTINCT {unit} AS uu FROM {src}), hs AS (SELECT uu, ('0x' || substr(md5('{seed}:' || uu), 1, 15))::BIGINT AS h FROM us), "
+        f"x0 AS (SELECT uu, rep, ((h::UHUGEINT + step) % 18446744073709551616)::UBIGINT AS x FROM hs, (SELECT rep, (rep::UHUGEINT * {STEP}) % 18446744073709551616 AS step FROM (SELECT unnest(range({b})) AS rep))), "
+        f"f0 AS (SELECT uu, rep, {folded} FROM x0), x1 AS (SELECT uu, rep, ({top} << 32) + ((x & 4294967295) * {low} & 4294967295) AS x FROM f0), "
+        f"f1 AS (SELECT uu, rep, {folded} FROM x1), x2 AS (SELECT uu, rep, {top} AS u FROM f1), "
+        f"wt AS (SELECT uu, rep, {' + '.join(f'(u >= {c})::INT' for c in CUTS)} AS w FROM x2)"
+    )
+
+
 def ci_sql(v: str = "v") -> str:
     return (f"count({v}) AS n_draws, {r(f'CASE WHEN count({v}) >= 10 THEN quantile_cont({v}, 0.025) END', 'ci_low')}, "
             f"{r(f'CASE WHEN count({v}) >= 10 THEN quantile_cont({v}, 0.975) END', 'ci_high')}")
 
 
-@query("bootstrap_auroc", f"""{S}, {reps_sql('scores', 'model, finding, y, p', 'unit_id')},
-k0 AS ({midrank_sql('scores', 'model, finding')}), pt AS (SELECT model, finding, {auroc_expr()} AS point FROM k0 GROUP BY ALL),
-k AS ({midrank_sql('drawn', 'model, finding, rep')}), a AS (SELECT model, finding, rep, {auroc_expr()} AS v FROM k GROUP BY ALL),
-c AS (SELECT model, finding, {ci_sql()} FROM a GROUP BY ALL)
-SELECT model, finding, {r('point', 'point')}, n_draws, ci_low, ci_high FROM pt JOIN c USING (model, finding)""")
+@query("bootstrap_auroc")
 def bootstrap_auroc(spark, sf):
     return R.bootstrap_ci(scores(spark, sf), CELL, "auroc", b=B, unit="unit_id")
 
 
-@query("bootstrap_brier", f"""{S}, {reps_sql('scores', 'model, finding, y, p', 'unit_id')},
-a AS (SELECT model, finding, rep, avg((y - p) * (y - p)) AS v FROM drawn GROUP BY ALL), c AS (SELECT model, finding, {ci_sql()} FROM a GROUP BY ALL)
+@query("bootstrap_brier", f"""{S}, {weights_sql('scores', 'unit_id')},
+a AS (SELECT model, finding, rep, sum(w * (y - p) * (y - p)) / sum(w) AS v FROM scores JOIN wt ON unit_id = uu GROUP BY ALL), c AS (SELECT model, finding, {ci_sql()} FROM a GROUP BY ALL)
 SELECT model, finding, {r('avg((y - p) * (y - p))', 'point')}, any_value(n_draws) AS n_draws, any_value(ci_low) AS ci_low, any_value(ci_high) AS ci_high
 FROM scores JOIN c USING (model, finding) GROUP BY ALL""")
 def bootstrap_brier(spark, sf):
     return R.bootstrap_ci(scores(spark, sf), CELL, "brier", b=B, unit="unit_id")
 
 
-@query("bootstrap_auprc", f"""{S}, {reps_sql('scores', 'model, finding, y, p', 'unit_id')},
-{AP_SQL.format(k='model, finding', src='scores').replace('t AS', 't0 AS').replace('c AS', 'c0 AS').replace('FROM t)', 'FROM t0)')},
-pt AS (SELECT model, finding, sum(pos / n_pos::DOUBLE * tp / called) AS point FROM c0 GROUP BY ALL), {AP_SQL.format(k='model, finding, rep', src='drawn')},
-a AS (SELECT model, finding, rep, sum(pos / n_pos::DOUBLE * tp / called) AS v FROM c GROUP BY ALL), ci AS (SELECT model, finding, {ci_sql()} FROM a GROUP BY ALL)
-SELECT model, finding, {r('point', 'point')}, n_draws, ci_low, ci_high FROM pt JOIN ci USING (model, finding)""")
+@query("bootstrap_auprc")
 def bootstrap_auprc(spark, sf):
     return R.bootstrap_ci(scores(spark, sf), CELL, "auprc", b=B, unit="unit_id")
 
 
-@query("subgroup_intervals", f"""{S}, {reps_sql('scores', 'model, finding, grp, y, p', 'unit_id')},
-al AS (SELECT -1 AS rep, model, finding, grp, y, p FROM scores UNION ALL SELECT rep, model, finding, grp, y, p FROM drawn),
-k AS ({midrank_sql('al', 'model, finding, grp, rep')}), {AP_SQL.format(k='model, finding, grp, rep', src='al')},
-a AS (SELECT 'auroc' AS metric, model, finding, grp, rep, {auroc_expr()} AS v FROM k GROUP BY ALL UNION ALL SELECT 'auprc', model, finding, grp, rep, sum(pos / n_pos::DOUBLE * tp / called) FROM c GROUP BY ALL),
-ci AS (SELECT metric, model, finding, grp, {ci_sql()} FROM a WHERE rep >= 0 GROUP BY ALL)
-SELECT metric, model, finding, grp, {r('v', 'point')}, n_draws, ci_low, ci_high FROM a JOIN ci USING (metric, model, finding, grp) WHERE rep = -1""")
+@query("subgroup_intervals")
 def subgroup_intervals(spark, sf):
     from attraudit.plans.outcomes import subgroup_intervals as intervals
 
@@ -77,11 +82,13 @@ def subgroup_intervals(spark, sf):
 
 
 _R2 = "1 - sum((y - p) ** 2) / (sum(y * y) - sum(y) ** 2 / count(*))"
+_R2_W = "1 - sum(w * (y - p) ** 2) / (sum(w * y * y) - sum(w * y) ** 2 / sum(w))"
 
 
 @query("bootstrap_regression", f"""WITH li AS (SELECT l_returnflag AS flag, l_extendedprice / 1000 AS y, l_quantity AS p, l_orderkey * 10 + l_linenumber AS unit_id FROM lineitem),
-{reps_sql('li', 'flag, y, p', 'unit_id')}, m AS (SELECT flag, 'mae' AS metric, avg(abs(y - p)) AS point FROM li GROUP BY flag UNION ALL SELECT flag, 'r2', {_R2} FROM li GROUP BY flag),
-a AS (SELECT flag, 'mae' AS metric, rep, avg(abs(y - p)) AS v FROM drawn GROUP BY ALL UNION ALL SELECT flag, 'r2', rep, {_R2} FROM drawn GROUP BY ALL),
+{weights_sql('li', 'unit_id')}, m AS (SELECT flag, 'mae' AS metric, avg(abs(y - p)) AS point FROM li GROUP BY flag UNION ALL SELECT flag, 'r2', {_R2} FROM li GROUP BY flag),
+t AS (SELECT flag, rep, sum(w * abs(y - p)) / sum(w) AS mae, {_R2_W} AS r2 FROM li JOIN wt ON unit_id = uu GROUP BY ALL),
+a AS (SELECT flag, 'mae' AS metric, rep, mae AS v FROM t UNION ALL SELECT flag, 'r2', rep, r2 FROM t),
 c AS (SELECT flag, metric, {ci_sql()} FROM a GROUP BY ALL) SELECT flag, metric, {r('point', 'point')}, n_draws, ci_low, ci_high FROM m JOIN c USING (flag, metric)""")
 def bootstrap_regression(spark, sf):
     li = read(spark, sf, "lineitem").select(
@@ -92,9 +99,6 @@ def bootstrap_regression(spark, sf):
     return mae.unionByName(R.bootstrap_ci(li, ["flag"], "r2", b=B, unit="unit_id").withColumn("metric", F.lit("r2")))
 
 
-_WIDE = "wide AS (SELECT unit_id, finding, max(y) AS y, max(p) FILTER (WHERE model='a') AS pa, max(p) FILTER (WHERE model='b') AS pb FROM scores GROUP BY ALL)"
-
-
 def wide(spark, sf):
     s = scores(spark, sf)
     return s.groupBy("unit_id", "finding").agg(
@@ -103,34 +107,17 @@ def wide(spark, sf):
     )
 
 
-@query("bootstrap_delta", f"""{S}, {_WIDE}, {reps_sql('wide', 'finding, y, pa, pb', 'unit_id')},
-x AS (SELECT -1 AS rep, finding, y, 'a' AS side, pa AS p FROM wide UNION ALL SELECT -1, finding, y, 'b', pb FROM wide
- UNION ALL SELECT rep, finding, y, 'a', pa FROM drawn UNION ALL SELECT rep, finding, y, 'b', pb FROM drawn),
-k AS ({midrank_sql('x', 'rep, finding, side')}), a AS (SELECT rep, finding, side, {auroc_expr()} AS v FROM k GROUP BY ALL),
-d AS (SELECT rep, finding, max(v) FILTER (WHERE side='b') - max(v) FILTER (WHERE side='a') AS v FROM a GROUP BY ALL),
-o AS (SELECT finding, v AS delta FROM d WHERE rep = -1), j AS (SELECT d.finding, d.v, o.delta FROM d JOIN o USING (finding) WHERE rep >= 0)
-SELECT finding, {r('max(delta)', 'delta')}, {ci_sql()},
- {r('least(2.0::DOUBLE * count(*) FILTER (WHERE CASE WHEN delta >= 0 THEN v < 0 ELSE v > 0 END) / count(*), 1.0)', 'p_value')} FROM j GROUP BY finding""")
+@query("bootstrap_delta")
 def bootstrap_delta(spark, sf):
     return R.bootstrap_delta(wide(spark, sf), ["finding"], "pa", "pb", b=B, unit="unit_id")
 
 
-def _gap_sql(where_groups: str):
-    return f"""{S}, {reps_sql('scores', 'model, finding, grp, y, p', 'unit_id')},
-k0 AS ({midrank_sql('scores', 'model, finding, grp')}), o0 AS (SELECT model, finding, grp, {auroc_expr()} AS v FROM k0 GROUP BY ALL),
-o AS (SELECT model, finding, count(*) AS n_groups, max(v) - min(v) AS gap FROM o0 GROUP BY ALL),
-k AS ({midrank_sql('drawn', 'model, finding, rep, grp')}), a AS (SELECT model, finding, rep, grp, count(*) AS n, {auroc_expr()} AS v FROM k GROUP BY ALL),
-g AS (SELECT model, finding, rep, CASE WHEN count(v) FILTER (WHERE n >= 10) >= {where_groups} THEN max(v) - min(v) END AS v FROM a GROUP BY ALL),
-c AS (SELECT model, finding, {ci_sql()} FROM g GROUP BY ALL)
-SELECT model, finding, n_groups, {r('gap', 'gap')}, n_draws, ci_low, ci_high FROM o JOIN c USING (model, finding)"""
-
-
-@query("bootstrap_gap_pooled", _gap_sql("5"))
+@query("bootstrap_gap_pooled")
 def bootstrap_gap_pooled(spark, sf):
     return R.bootstrap_gap(scores(spark, sf), CELL, b=B, unit="unit_id")
 
 
-@query("bootstrap_gap_within", _gap_sql("2"))
+@query("bootstrap_gap_within")
 def bootstrap_gap_within(spark, sf):
     return R.bootstrap_gap(scores(spark, sf), CELL, b=B, unit="unit_id", min_side=3, drop_draw=False)
 
@@ -147,44 +134,30 @@ def bootstrap_mean_panel(spark, sf):
     return R.bootstrap_mean_exact(s, ["model", "finding"], "attribute", "v", b=B)
 
 
-@query("bootstrap_slope", f"""WITH e AS (SELECT event_id, event_type AS cell, event_id % 97 AS x, value AS y FROM events), {reps_sql('e', 'cell, x, y', 'event_id')},
-m AS (SELECT cell, rep, regr_slope(y, x) AS v FROM drawn GROUP BY ALL), c AS (SELECT cell, {ci_sql()} FROM m GROUP BY ALL), p AS (SELECT cell, regr_slope(y, x) AS point FROM e GROUP BY cell)
-SELECT cell, {r('point', 'point')}, n_draws, ci_low, ci_high FROM p JOIN c USING (cell)""")
+@query("bootstrap_slope", f"""WITH e AS (SELECT event_id, event_type AS cell, event_id % 97 AS x, value AS y FROM events), {weights_sql('e', 'event_id', SLOPES)},
+mean AS (SELECT cell, avg(x) AS mx, avg(y) AS my, regr_slope(y, x) AS point FROM e GROUP BY cell), z AS (SELECT cell, event_id, point, x - mx AS x, y - my AS y FROM e JOIN mean USING (cell)),
+m AS (SELECT cell, rep, any_value(point) AS point, (sum(w * x * y) - sum(w * x) * sum(w * y) / sum(w)) / (sum(w * x * x) - sum(w * x) ** 2 / sum(w)) AS v FROM z JOIN wt ON event_id = uu GROUP BY ALL)
+SELECT cell, {r('any_value(point)', 'point')}, {ci_sql()} FROM m GROUP BY cell""")
 def bootstrap_slope(spark, sf):
     e = read(spark, sf, "events").select("event_id", F.col("event_type").alias("cell"), (F.col("event_id") % 97).alias("x"), F.col("value").alias("y"))
-    return R.bootstrap_slope(e, ["cell"], "x", "y", "event_id", b=B)
+    return R.bootstrap_slope(e, ["cell"], "x", "y", "event_id", b=SLOPES)
 
 
-@query("bootstrap_spearman", f"""WITH {PANEL_SQL}, e AS (SELECT attribute, round(avg(drop_v), 9) AS x, round(avg(added), 9) AS y FROM panel GROUP BY attribute), {reps_sql('e', 'x, y', 'attribute')},
+@query("bootstrap_spearman", f"""WITH {PANEL_SQL}, e AS (SELECT attribute, round(avg(drop_v), 9) AS x, round(avg(added), 9) AS y FROM panel GROUP BY attribute), {reps_sql('e', 'x, y', 'attribute', RANKS)},
 al AS (SELECT -1 AS rep, x, y FROM e UNION ALL SELECT rep, x, y FROM drawn),
 k AS (SELECT rep, rank() OVER (PARTITION BY rep ORDER BY x) + (count(*) OVER (PARTITION BY rep, x) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY rep ORDER BY y) + (count(*) OVER (PARTITION BY rep, y) - 1) / 2.0::DOUBLE AS b FROM al),
 c AS (SELECT rep, corr(a, b) AS v FROM k GROUP BY rep)
 SELECT {r('max(v) FILTER (WHERE rep = -1)', 'point')}, count(v) FILTER (WHERE rep >= 0) AS n_draws, {r('quantile_cont(v, 0.025) FILTER (WHERE rep >= 0)', 'ci_low')}, {r('quantile_cont(v, 0.975) FILTER (WHERE rep >= 0)', 'ci_high')} FROM c""")
 def bootstrap_spearman(spark, sf):
     e = panel(spark, sf).groupBy("attribute").agg(F.round(F.avg("drop_v"), 9).alias("x"), F.round(F.avg("added"), 9).alias("y"))
-    return R.bootstrap_spearman(e, [], "x", "y", "attribute", b=B, small=True)
-
-
-_H = "md5('42:' || rep || ':' || model || ':' || finding || ':' || unit_id)"
+    return R.bootstrap_spearman(e, [], "x", "y", "attribute", b=RANKS, small=True)
 
 
-@query("permutation_auroc", f"""{S}, rp AS (SELECT unnest(range({B})) AS rep), k0 AS ({midrank_sql('scores', 'model, finding')}),
-o AS (SELECT model, finding, count(*) FILTER (WHERE y=1) AS np, count(*) FILTER (WHERE y=0) AS nn, {auroc_expr()} AS auroc FROM k0 GROUP BY ALL),
-h AS (SELECT model, finding, rep, rk, row_number() OVER (PARTITION BY model, finding, rep ORDER BY {_H}) AS pos FROM k0, rp),
-v AS (SELECT model, finding, rep, max(auroc) AS auroc, (sum(rk) - max(np) * (max(np) + 1) / 2.0::DOUBLE) / (max(np) * max(nn)) AS v FROM h JOIN o USING (model, finding) WHERE pos <= np GROUP BY ALL)
-SELECT model, finding, {r('max(auroc)', 'auroc')}, {r('count(*) FILTER (WHERE v >= auroc) / count(*)::DOUBLE', 'p_value')}, {r('avg(v)', 'null_mean')}, {r('stddev_pop(v)', 'null_std')} FROM v GROUP BY ALL""")
+@query("permutation_auroc")
 def permutation_auroc(spark, sf):
     return R.permutation_auroc(scores(spark, sf), CELL, "unit_id", b=B)
 
 
-@query("permutation_gap", f"""{S}, rp AS (SELECT unnest(range({B})) AS rep), k0 AS ({midrank_sql('scores', 'model, finding, grp')}),
-s AS (SELECT model, finding, grp, count(*) AS n, {auroc_expr()} AS v FROM k0 GROUP BY ALL),
-o AS (SELECT model, finding, max(v) - min(v) AS gap, count(*) AS n_groups FROM s GROUP BY ALL),
-z AS (SELECT model, finding, grp, sum(n) OVER (PARTITION BY model, finding ORDER BY grp) AS upto, sum(n) OVER (PARTITION BY model, finding ORDER BY grp) - n AS lo FROM s),
-h AS (SELECT model, finding, rep, y, p, row_number() OVER (PARTITION BY model, finding, rep ORDER BY {_H}) - 1 AS pos FROM scores, rp),
-d AS (SELECT h.model, h.finding, rep, y, p, z.grp AS g FROM h JOIN z ON h.model = z.model AND h.finding = z.finding AND pos >= lo AND pos < upto),
-k AS ({midrank_sql('d', 'model, finding, rep, g')}), a AS (SELECT model, finding, rep, g, {auroc_expr()} AS v FROM k GROUP BY ALL),
-n AS (SELECT model, finding, rep, max(v) - min(v) AS v FROM a GROUP BY ALL)
-SELECT model, finding, {r('max(gap)', 'gap')}, max(n_groups) AS n_groups, {r('count(*) FILTER (WHERE v >= gap) / count(*)::DOUBLE', 'p_value')}, count(v) AS n_draws FROM n JOIN o USING (model, finding) GROUP BY ALL""")
+@query("permutation_gap")
 def permutation_gap(spark, sf):
     return R.permutation_gap(scores(spark, sf), CELL, "unit_id", b=B)
