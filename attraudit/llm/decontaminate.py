@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attraudit.llm.common import bounded, stored
+from attraudit.llm.common import bounded, fresh, stored
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -92,5 +92,6 @@ def report(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **kw) -> DataFrame:
     """The rows whose text holds no item, all columns kept."""
-    bad = bounded(stored(contained(docs, items, text=text, doc_id=doc_id, **kw).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th")).distinct(), "leaks"))
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__th")), "left_anti")
+    own, th = fresh(docs, "__doc", "__th")
+    bad = bounded(stored(contained(docs, items, text=text, doc_id=doc_id, **kw).select(F.col("doc_id").alias(own), F.col("th").alias(th)).distinct(), "leaks"))
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(th)), "left_anti")

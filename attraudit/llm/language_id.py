@@ -3,7 +3,7 @@
 Features are the pairs and triples of characters of the lower-cased text, hashed to ``BUCKETS`` columns.
 Training counts (language, bucket) over all labelled rows: each task sums its rows, Spark sums the tasks.
 The log-probability matrix (languages x buckets, at most ``MAX_LANGS`` rows) is broadcast; a batch of texts
-is scored by one gather and one segmented sum. The score is the posterior of the best language.
+is scored text by text, a long text in slices. The score is the posterior of the best language.
 
 A null text, or one without a letter, is ``und`` with score 0, and so is every text if nothing is labelled.
 Ties go to the language that sorts first. Rows without a label don't train; labels are plain strings.
@@ -20,21 +20,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attraudit.llm.common import fresh
+
 BUCKETS = 1 << 15
 MAX_LANGS = 1000
 SMOOTH = 0.5
 IN_MEMORY = 64  # languages whose counts a task keeps before handing them on
-FEATURES = 1 << 20  # features scored at once
+FEATURES = 1 << 20  # characters x languages whose weights are gathered at once, whatever a text's length
+SLICE_ROWS = 256  # texts of a batch that are taken out of Arrow at once
 
 
 def features(text: str) -> np.ndarray:
     """Bucket numbers of the text's character pairs and triples."""
-    a = np.frombuffer(text.lower().encode("utf-32-le"), "<u4")
-    two = a[:-1] * np.uint32(0x9E3779B1) + a[1:] * np.uint32(0x85EBCA77)
-    three = two[:-1] * np.uint32(0xC2B2AE3D) + a[2:] * np.uint32(0x27D4EB2F)
-    h = np.concatenate([two, three])
-    h ^= h >> np.uint32(15)
-    return (h * np.uint32(0x2C1B3C6D)) >> np.uint32(17)
+    return np.concatenate(list(sliced(text, max(1, len(text)))))
+
+
+def sliced(text: str, step: int) -> Iterator[np.ndarray]:
+    """The same, of the pairs and triples that start in `step` characters at a time."""
+    low = text.lower()
+    for lo in range(0, max(1, len(low)), step):
+        a = np.frombuffer(low[lo:lo + step + 2].encode("utf-32-le"), "<u4")
+        two = a[:-1] * np.uint32(0x9E3779B1) + a[1:] * np.uint32(0x85EBCA77)
+        three = two[:-1] * np.uint32(0xC2B2AE3D) + a[2:] * np.uint32(0x27D4EB2F)
+        h = np.concatenate([two[:step], three])
+        h ^= h >> np.uint32(15)
+        yield (h * np.uint32(0x2C1B3C6D)) >> np.uint32(17)
 
 
 def has_letter(text: str | None) -> bool:
@@ -67,22 +77,15 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
-        rows = [i for i, t in enumerate(texts) if self.langs and has_letter(t)]
-        while rows:
-            part, idx, n = [], [], 0
-            while rows and n < FEATURES:
-                part.append(rows.pop())
-                idx.append(features(texts[part[-1]]))
-                n += len(idx[-1])
-            total = np.tile(self.prior, (len(part), 1))
-            some = [k for k, x in enumerate(idx) if len(x)]
-            if some:
-                sizes = np.array([len(idx[k]) for k in some])
-                total[some] += np.add.reduceat(self.weights[np.concatenate(idx)], np.cumsum(sizes) - sizes, axis=0)
-            best = total.argmax(axis=1)
-            p = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            for i, k, s in zip(part, best, p):
-                names[i], scores[i] = self.langs[k], s
+        step = max(1, FEATURES // max(1, len(self.langs)))
+        for i, t in enumerate(texts):
+            if not self.langs or not has_letter(t):
+                continue
+            total = self.prior.copy()
+            for some in sliced(t, step):
+                total += self.weights[some].sum(axis=0)
+            best = total.argmax()
+            names[i], scores[i] = self.langs[best], 1 / np.exp(total - total[best]).sum()
         return names, scores
 
 
@@ -112,8 +115,9 @@ def predict(text: Column | str, model: Model, df: DataFrame) -> Column:
     @F.arrow_udf(kind)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            names, scores = shared.value.predict(b.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
+            for k in range(0, len(b), SLICE_ROWS):
+                names, scores = shared.value.predict(b.slice(k, SLICE_ROWS).to_pylist())
+                yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
     return scored(text)
 
@@ -133,5 +137,6 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
 def accept(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", least: float = 0.5) -> DataFrame:
     """The rows whose language is told with a score of at least ``least``; ``und`` never is. All columns are kept."""
     model = train(df.where(~held_out(doc_id)), text, lang)
-    p = df.withColumn("__p", predict(text, model, df))
-    return p.where((F.col("__p.lang_pred") != "und") & (F.col("__p.score") >= least)).drop("__p")
+    (told,) = fresh(df, "__p")
+    p = df.withColumn(told, predict(text, model, df))
+    return p.where((F.col(f"{told}.lang_pred") != "und") & (F.col(f"{told}.score") >= least)).drop(told)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attraudit.llm.common import BROADCAST_ROWS, bounded, stored
+from attraudit.llm.common import BROADCAST_ROWS, bounded, fresh, stored
 
 RATIO = 0.1
 MIN_PAGES = 3
@@ -53,19 +53,21 @@ def boilerplate(df: DataFrame, site: str, text: str = "text", ratio: float = RAT
     return both.where(F.col("pages") > ratio * F.col("total"))
 
 
-def drop_boilerplate(df: DataFrame, site: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
-    """All rows and columns, the text without its site's boilerplate lines; adds n_lines and n_dropped.
+def drop_boilerplate(df: DataFrame, site: str, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True, counts: bool = True) -> DataFrame:
+    """All rows and columns, the text without its site's boilerplate lines; adds n_lines and n_dropped if ``counts``.
 
     A site has at most (distinct lines a page) / ratio boilerplate lines, as their shares sum up to no more
     than the lines of a page: they travel as one short array a site, and texts are not shuffled while the
     arrays of all sites are proven short enough to broadcast.
     """
+    site_, keys, rest = fresh(df, "__site", "__keys", "__kept")
     found = stored(boilerplate(df, site, text, ratio, min_pages, copies).select("site", "a", "b"), "boilerplate")
     short = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    sets = found.groupBy(F.col("site").alias("__site")).agg(F.collect_list(F.struct("a", "b")).alias("__keys"))
-    joined = df.join(F.broadcast(sets) if short else sets, F.col(site).eqNullSafe(F.col("__site")), "left").drop("__site")
+    sets = found.groupBy(F.col("site").alias(site_)).agg(F.collect_list(F.struct("a", "b")).alias(keys))
+    joined = df.join(F.broadcast(sets) if short else sets, F.col(site).eqNullSafe(F.col(site_)), "left").drop(site_)
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__keys", _key(x)), F.lit(False)))
-    out = joined.withColumn("__kept", F.when(F.col("__keys").isNotNull(), kept).otherwise(lines))
-    out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long"))
-    return out.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("__kept", "\n"))).drop("__kept", "__keys")
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(keys, _key(x)), F.lit(False)))
+    out = joined.withColumn(rest, F.when(F.col(keys).isNotNull(), kept).otherwise(lines))
+    if counts:
+        out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size(lines) - F.size(rest), F.lit(0)).cast("long"))
+    return out.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(rest, "\n"))).drop(rest, keys)

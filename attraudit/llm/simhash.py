@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attraudit.llm.common import stored, text_or_empty
+from attraudit.llm.common import fresh, stored, text_or_empty
 from attraudit.llm.components import components
 
 WORDS, SEED, DIFFER = 4, 42, 4
@@ -225,12 +225,13 @@ def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id", classe
     If several rows of a component bear that id, the one with the smallest text hash stays, once. Rows
     without a doc_id all stay.
     """
+    th, n, id_, row = fresh(df, "__th", "__n", "__id", "__r")
     firsts = classes(df, text, doc_id).where(F.col("doc_id") == F.col("component_id"))
-    own = firsts.groupBy("root", "doc_id").agg(F.min("th").alias("__th"), F.count("*").alias("__n"))
-    own = stored(own.select(F.col("doc_id").alias("__id"), "__th", "__n"), "firsts")
-    here = [F.col(doc_id) == F.col("__id"), F.xxhash64(text_or_empty(text)) == F.col("__th")]
-    kept = df.join(own, here, "inner").drop("__id", "__th")
-    once = kept.where(F.col("__n") == 1)
-    again = kept.where(F.col("__n") > 1)
-    again = again.groupBy(doc_id, F.xxhash64(text_or_empty(text)).alias("__th")).agg(F.first(F.struct(*df.columns)).alias("__r")).select("__r.*")
-    return once.drop("__n").unionByName(again).unionByName(df.where(F.col(doc_id).isNull()))
+    own = firsts.groupBy("root", "doc_id").agg(F.min("th").alias(th), F.count("*").alias(n))
+    own = stored(own.select(F.col("doc_id").alias(id_), th, n), "firsts")
+    here = [F.col(doc_id) == F.col(id_), F.xxhash64(text_or_empty(text)) == F.col(th)]
+    kept = df.join(own, here, "inner").drop(id_, th)
+    once = kept.where(F.col(n) == 1)
+    again = kept.where(F.col(n) > 1)
+    again = again.groupBy(doc_id, F.xxhash64(text_or_empty(text)).alias(th)).agg(F.first(F.struct(*df.columns)).alias(row)).select(f"{row}.*")
+    return once.drop(n).unionByName(again).unionByName(df.where(F.col(doc_id).isNull()))

@@ -86,6 +86,20 @@ def test_language_equals_plain_bayes(spark):
         assert abs(scores[0] - 1 / sum(np.exp(v - total[best]) for v in total.values())) < 1e-9
 
 
+def test_a_long_text_is_scored_in_slices(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model = language_id.Model(["a", "b"], rng.normal(size=(language_id.BUCKETS, 2)), np.zeros(2))
+    text = "".join(chr(c) for c in rng.integers(97, 700, 3001).tolist())
+    whole = model.weights[language_id.features(text)].sum(0)
+    for size in (7, 2 * 3001, 1 << 20):
+        monkeypatch.setattr(language_id, "FEATURES", size)
+        assert sorted(np.concatenate(list(language_id.sliced(text, max(1, size // 2)))).tolist()) == sorted(language_id.features(text).tolist())
+        names, scores = model.predict([text, "x", None])
+        assert names[0] == model.langs[int(whole.argmax())] and abs(scores[0] - 1 / (1 + np.exp(-abs(whole[0] - whole[1])))) < 1e-9
+
+
 def test_language_odd_rows(spark):
     docs = edges.documents(spark)
     rows = language_id.identify(docs).collect()

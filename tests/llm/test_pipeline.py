@@ -2,8 +2,9 @@
 import edges
 import pytest
 from compare import compare, duck
+from pyspark.sql import functions as F
 from test_cleaning import brute_leaks, brute_lines
-from test_copies import brute_components, brute_fingerprint
+from test_near_copies import brute_groups, brute_sets
 
 import corpus_pipeline
 from attraudit.llm import language_id, queries
@@ -19,7 +20,7 @@ def test_pipeline_equals_brute_force(spark):
     names, scores = model.predict([r[1] for r in rows])
     rows = [r for r, n, s in zip(rows, names, scores) if n != "und" and s >= 0.5]
     rows = [(r[0], t, *r[2:]) for r, t in zip(rows, brute_lines(rows, 0.1, 3))]
-    rows = [r for k, (r, c) in enumerate(zip(rows, brute_components([brute_fingerprint(r[1]) for r in rows]))) if k == c]
+    rows = [r for k, (r, c) in enumerate(zip(rows, brute_groups(brute_sets([r[1] for r in rows])))) if k == c]
     leaks = {d for d, _ in brute_leaks([(r[0], r[1]) for r in rows], bench)}
     rows = [r for r in rows if r[0] not in leaks]
     got = corpus_pipeline.run(spark, SF).collect()
@@ -32,7 +33,7 @@ def test_pipeline_equals_brute_force(spark):
 
 def test_stages_take_odd_rows(spark):
     for rows in (edges.ROWS, []):
-        docs = edges.documents(spark, rows)
+        docs = edges.documents(spark, rows).withColumns({c: F.lit(1) for c in ("n_lines", "n_dropped", "__n", "__th", "__id", "__r", "bands", "hub")})
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns, name
