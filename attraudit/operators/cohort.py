@@ -98,6 +98,32 @@ def one_per_entity_sweep(units: DataFrame, entity: str, unit: str, seeds: Sequen
     return picked.select("seed", "r.*")
 
 
+def one_per_entity_patterns(units: DataFrame, entity: str, unit: str, columns: Sequence[str], seeds: Sequence[int]) -> DataFrame:
+    """(seed, columns, n): how many entities show each pattern of 0, 1 or null in their one random unit, for each seed.
+
+    One group-by holds, per entity, a minimum for every seed: the head of the unit's hash, with its flags packed
+    behind it. Rows are not copied per seed; only flags are, after the group-by, and they are counted at once.
+    """
+    bits = 2 * len(columns)
+    digits = (63 - bits) // 4
+    if digits < 8:
+        raise ValueError("at most 15 columns: the hash needs 32 bits")
+    flags = F.lit(0).cast("bigint")
+    for c in columns:
+        flags = flags * 4 + F.when(F.col(c) == 1, 1).when(F.col(c) == 0, 0).otherwise(2)
+    slim = units.select(entity, F.col(unit).alias("__unit"), flags.alias("__flags"))
+
+    def first(seed: int) -> Column:
+        head = F.conv(F.substring(hash_order(seed, "__unit"), 1, digits), 16, 10).cast("bigint")
+        return F.min(F.shiftleft(head, bits) + F.col("__flags")).bitwiseAND((1 << bits) - 1)
+
+    per = slim.groupBy(entity).agg(*[first(int(s)).alias(f"__s{k}") for k, s in enumerate(seeds)])
+    picked = F.array(*[F.struct(F.lit(int(s)).alias("seed"), F.col(f"__s{k}").alias("__flags")) for k, s in enumerate(seeds)])
+    counts = per.select(F.inline(picked)).groupBy("seed", "__flags").agg(F.count(F.lit(1)).alias("n"))
+    code = [F.shiftright("__flags", 2 * (len(columns) - 1 - k)).bitwiseAND(3) for k in range(len(columns))]
+    return counts.select("seed", *[F.when(x < 2, x.cast("int")).alias(c) for x, c in zip(code, columns)], "n")
+
+
 def subsample(rows: DataFrame, unit: str, sizes: dict[str, int], split: str = "split", seed: int = 42) -> DataFrame:
     """A random subsample of fixed size of the named splits (M26), to bound what costly steps are fitted on.
 

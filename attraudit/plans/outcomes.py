@@ -148,7 +148,7 @@ def entity_odds_study(units: DataFrame, attributes: Sequence[str], findings: Seq
     full = odds.odds_ratio(odds.contingency(df, attributes, findings), "zero_cell", min_n=100)
     one = odds.odds_ratio(odds.contingency(cohort.one_per_entity(df, "entity_id", "unit_id"), attributes, findings), "zero_cell", min_n=10)
     both = odds.compare_variants(full, one, ("all_units", "one_per_entity"))
-    sweep = odds.odds_ratio(odds.contingency(cohort.one_per_entity_sweep(df, "entity_id", "unit_id", list(seeds)), attributes, findings, by=["seed"]), "zero_cell", min_n=10)
+    sweep = odds.odds_ratio(odds.contingency(cohort.one_per_entity_patterns(df, "entity_id", "unit_id", [*attributes, *findings], list(seeds)), attributes, findings, by=["seed"], weight="n"), "zero_cell", min_n=10)
     j = sweep.select("seed", "attribute", "finding", "abs_log_or").join(cells.select("attribute", "finding", "auroc_drop"), ["attribute", "finding"])
     fits = panel.simple_ols(j, ["seed"], "abs_log_or", "auroc_drop")
     stability = fits.agg(

@@ -74,17 +74,17 @@ def or_one_per_entity(spark, sf):
     return odds.odds_ratio(odds.contingency(u, BINARY, FINDINGS), "zero_cell", min_n=10)
 
 
-SEEDS = list(range(8))
+SEEDS = list(range(100))
 
 
 @query("or_seed_sweep", f"""WITH {UNITS_SQL}, {labelled_sql('blank_dropped', 'lab0')},
-lab AS (SELECT * FROM lab0, (SELECT unnest(range(8)) AS seed) QUALIFY row_number() OVER (PARTITION BY seed, entity_id ORDER BY md5(seed || ':' || unit_id)) = 1),
+lab AS (SELECT * FROM lab0, (SELECT unnest(range(100)) AS seed) QUALIFY row_number() OVER (PARTITION BY seed, entity_id ORDER BY md5(seed || ':' || unit_id)) = 1),
 {pairs_sql(extra=', seed')}, c AS (SELECT seed, attribute, finding, {COUNTS_SQL} FROM pairs GROUP BY ALL),
 o AS (SELECT attribute, finding, abs(ln((tp + {ZERO}) * (tn + {ZERO})::DOUBLE / ((fp + {ZERO}) * (fn + {ZERO})))) AS l FROM c)
 SELECT attribute, finding, count(*) AS n_seeds, {r('avg(l)', 'mean_abs_log_or')}, {r('quantile_cont(l, 0.025)', 'lo')}, {r('quantile_cont(l, 0.975)', 'hi')} FROM o GROUP BY ALL""")
 def or_seed_sweep(spark, sf):
-    u = cohort.one_per_entity_sweep(labelled(spark, sf, "blank_dropped"), "entity_id", "unit_id", SEEDS)
-    o = odds.odds_ratio(odds.contingency(u, BINARY, FINDINGS, by=["seed"]), "zero_cell")
+    u = cohort.one_per_entity_patterns(labelled(spark, sf, "blank_dropped"), "entity_id", "unit_id", [*BINARY, *FINDINGS], SEEDS)
+    o = odds.odds_ratio(odds.contingency(u, BINARY, FINDINGS, by=["seed"], weight="n"), "zero_cell")
     return o.groupBy("attribute", "finding").agg(
         F.count(F.lit(1)).alias("n_seeds"), F.avg("abs_log_or").alias("mean_abs_log_or"),
         F.percentile("abs_log_or", 0.025).alias("lo"), F.percentile("abs_log_or", 0.975).alias("hi"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attraudit.operators import odds, panel as P
-from attraudit.operators.cohort import one_per_entity_sweep
+from attraudit.operators.cohort import one_per_entity_patterns
 
 from .base import BINARY, COUNTS_SQL, FINDINGS, UNITS_SQL, labelled, labelled_sql, pairs_sql, query, r, read
 from .fairness_queries import ENC_SQL, PANEL_SQL, encodings, panel
@@ -198,13 +198,13 @@ ZERO = "(CASE WHEN least(tp, fp, fn, tn) = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE E
 
 
 @query("seed_stability", f"""WITH {UNITS_SQL}, {labelled_sql('blank_dropped', 'lab0')},
-lab AS (SELECT * FROM lab0, (SELECT unnest(range(6)) AS seed) QUALIFY row_number() OVER (PARTITION BY seed, entity_id ORDER BY md5(seed || ':' || unit_id)) = 1),
+lab AS (SELECT * FROM lab0, (SELECT unnest(range(100)) AS seed) QUALIFY row_number() OVER (PARTITION BY seed, entity_id ORDER BY md5(seed || ':' || unit_id)) = 1),
 {pairs_sql(extra=', seed')}, c AS (SELECT seed, attribute, finding, {COUNTS_SQL} FROM pairs GROUP BY ALL),
 o AS (SELECT seed, attribute, finding, abs(ln((tp + {ZERO}) * (tn + {ZERO})::DOUBLE / ((fp + {ZERO}) * (fn + {ZERO})))) AS l, (tp + fn) / (tp + fp + fn + tn)::DOUBLE AS v FROM c)
 SELECT seed, count(*) AS n, {r('regr_slope(v, l)', 'slope')}, {r('regr_r2(v, l)', 'r2')} FROM o GROUP BY seed""")
 def seed_stability(spark, sf):
-    u = one_per_entity_sweep(labelled(spark, sf, "blank_dropped"), "entity_id", "unit_id", range(6))
-    o = odds.odds_ratio(odds.contingency(u, BINARY, FINDINGS, by=["seed"]), "zero_cell")
+    u = one_per_entity_patterns(labelled(spark, sf, "blank_dropped"), "entity_id", "unit_id", [*BINARY, *FINDINGS], range(100))
+    o = odds.odds_ratio(odds.contingency(u, BINARY, FINDINGS, by=["seed"], weight="n"), "zero_cell")
     o = o.withColumn("v", (F.col("tp") + F.col("fn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))
     s = P.simple_ols(o, ["seed"], "abs_log_or", "v")
     return s.select(F.col("seed").cast("bigint").alias("seed"), "n", "slope", "r2")
