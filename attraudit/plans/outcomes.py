@@ -38,6 +38,8 @@ def multimetric_study(scores: DataFrame, cell: Sequence[str], group: str = "grp"
     The threshold is chosen on `fit_split`; None chooses it on the scored rows
     themselves.
     """
+    if b < 51:
+        raise ValueError("the interval of the gap needs 51 valid draws")
     cell = list(cell)
     test = scores.where("split = 'test'")
     fit = test if fit_split is None else scores.where(F.col("split") == fit_split)

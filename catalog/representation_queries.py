@@ -154,24 +154,24 @@ def probe_class_weights(spark, sf):
 
 @query("encoding_study")
 def encoding_study(spark, sf):
-    out = plans.encoding_study(study(spark, sf), ["building", "in_debt", "rich"], ["age"], b=12)
+    out = plans.encoding_study(study(spark, sf), ["building", "in_debt", "rich"], ["age"])
     return out["binary"].select("model", "target", "n", "auroc", "ci_low", "ci_high", "auprc", "prevalence")
 
 
 @query("encoding_pairs")
 def encoding_pairs(spark, sf):
-    out = plans.encoding_study(study(spark, sf), ["building", "in_debt"], b=12)
+    out = plans.encoding_study(study(spark, sf), ["building", "in_debt"])
     return out["pairs"].drop("variance")
 
 
 @query("dependence_report")
 def dependence_report(spark, sf):
-    return plans.dependence_matrix(study(spark, sf), b=50)["summary"]
+    return plans.dependence_matrix(study(spark, sf))["summary"]
 
 
 @query("dependence_cells")
 def dependence_cells(spark, sf):
-    return plans.dependence_matrix(study(spark, sf), b=20, with_mcc=True)["cells"]
+    return plans.dependence_matrix(study(spark, sf), with_mcc=True)["cells"]
 
 
 @query("confounding_study")
@@ -187,7 +187,7 @@ def leak_check(spark, sf):
 
 @query("fusion_study")
 def fusion_study(spark, sf):
-    return plans.fusion_study(study(spark, sf), ["building", "in_debt"], b=12)["delta"]
+    return plans.fusion_study(study(spark, sf), ["building", "in_debt"])["delta"]
 
 
 @query("simultaneous_removal")
@@ -197,14 +197,14 @@ def simultaneous_removal(spark, sf):
 
 @query("debiasing_gaps")
 def debiasing_gaps(spark, sf):
-    out = plans.debiasing_study(study(spark, sf), {"top": ["building"], "all": ATTRS}, b=20, min_n=20, min_pos=5, min_neg=5)
+    out = plans.debiasing_study(study(spark, sf), {"top": ["building"], "all": ATTRS}, min_n=20, min_pos=5, min_neg=5)
     return out["change"]
 
 
 @query("gap_decomposition")
 def gap_decomposition(spark, sf):
     levels = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    out = plans.gap_decomposition(study(spark, sf), "grp", levels, "AUTOMOBILE", ["in_debt", "low_nation"], b=50, min_n=20, min_pos=5, min_neg=5)
+    out = plans.gap_decomposition(study(spark, sf), "grp", levels, "AUTOMOBILE", ["in_debt", "low_nation"], min_n=20, min_pos=5, min_neg=5)
     return out["decomposition"]
 
 
@@ -262,11 +262,11 @@ def cohort_build(spark, sf):
 def external_study(spark, sf):
     s = study(spark, sf)
     s.attributes = ["building"]
-    return external.external_study(s, b=12)["external"]
+    return external.external_study(s)["external"]
 
 
 @query("external_extended")
 def external_extended(spark, sf):
     s = study(spark, sf)
     s.findings = ["fulfilled"]
-    return external.external_extended(s, ["building"], "grp", FourierMap(64), b=12, max_rounds=1)["summary"]
+    return external.external_extended(s, ["building"], "grp", FourierMap(64), max_rounds=1)["summary"]

@@ -167,7 +167,7 @@ def timing_slope_difference(spark, sf):
 
 @query("diagnostics_study")
 def diagnostics(spark, sf):
-    d = O.diagnostics_study(_materialized(spark, sf), b=50)
+    d = O.diagnostics_study(_materialized(spark, sf))
     row = [("ols", d["ols"].first()["slope"]), ("huber", d["huber"]["beta"][1]), ("icc", d["mixed"]["icc"]), ("breusch_pagan", d["breusch_pagan"].first()["lm"])]
     return spark.createDataFrame([(k, float(v)) for k, v in row], "check string, value double")
 
@@ -236,12 +236,12 @@ def pattern_study(spark, sf):
 
 @query("subgroup_bias_study")
 def subgroup_bias(spark, sf):
-    return O.subgroup_bias_study(scores(spark, sf).where("split = 'test'"), CELL, "unit_id", b=12)["gaps"]
+    return O.subgroup_bias_study(scores(spark, sf).where("split = 'test'"), CELL, "unit_id")["gaps"]
 
 
 @query("multimetric_gaps")
 def multimetric(spark, sf):
-    return O.multimetric_study(scores(spark, sf), CELL, b=12)["gaps"]
+    return O.multimetric_study(scores(spark, sf), CELL)["gaps"]
 
 
 @query("calibration_correlation", f"""WITH {SCORES_SQL}, {_CAL}, j AS (SELECT model, auroc AS a, prevalence AS p FROM au JOIN e USING (model, finding, grp)),
