@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attraudit.llm.common import fresh, stored, text_or_empty
+from attraudit.llm.common import bounded, fresh, stored, text_or_empty
 from attraudit.llm.components import components
 
 WORDS, SEED, DIFFER = 4, 42, 4
@@ -226,12 +226,12 @@ def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id", classe
     without a doc_id all stay.
     """
     th, n, id_, row = fresh(df, "__th", "__n", "__id", "__r")
-    firsts = classes(df, text, doc_id).where(F.col("doc_id") == F.col("component_id"))
-    own = firsts.groupBy("root", "doc_id").agg(F.min("th").alias(th), F.count("*").alias(n))
+    named = classes(df, text, doc_id).where(F.col("doc_id").isNotNull())
+    own = named.where(F.col("doc_id") == F.col("component_id")).groupBy("root", "doc_id").agg(F.min("th").alias(th), F.count("*").alias(n))
     own = stored(own.select(F.col("doc_id").alias(id_), th, n), "firsts")
-    here = [F.col(doc_id) == F.col(id_), F.xxhash64(text_or_empty(text)) == F.col(th)]
-    kept = df.join(own, here, "inner").drop(id_, th)
-    once = kept.where(F.col(n) == 1)
-    again = kept.where(F.col(n) > 1)
-    again = again.groupBy(doc_id, F.xxhash64(text_or_empty(text)).alias(th)).agg(F.first(F.struct(*df.columns)).alias(row)).select(f"{row}.*")
-    return once.drop(n).unionByName(again).unionByName(df.where(F.col(doc_id).isNull()))
+    lost = named.select(F.col("doc_id").alias(id_), F.col("th").alias(th)).distinct().join(own, [id_, th], "left_anti")
+    here = (F.col(doc_id) == F.col(id_)) & (F.xxhash64(text_or_empty(text)) == F.col(th))
+    kept = df.join(bounded(stored(lost, "lost")), here, "left_anti")  # what goes is short or near it: texts stay where they are
+    twice = bounded(stored(own.where(F.col(n) > 1).drop(n), "repeated"))
+    again = kept.join(twice, here, "left_semi").groupBy(doc_id, F.xxhash64(text_or_empty(text)).alias(th)).agg(F.first(F.struct(*df.columns)).alias(row))
+    return kept.join(twice, here, "left_anti").unionByName(again.select(f"{row}.*"))
