@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attraudit.llm.common import stored, text_or_empty
+from attraudit.llm.common import stored, text_or_empty, tidy
 
 CACHED_CHUNKS, CACHED_CHARS, SLICE_ROWS = 400_000, 48, 128
 SECTION = 50_000  # chunks aligned at once
@@ -255,6 +255,7 @@ _ALIGNED = T.StructType([*[T.StructField(c, T.LongType()) for c in _SUMS], T.Str
 def align(text: Column | str, byte_level: str, pieces: str) -> Column:
     """Sums, digest of the groups, and the distinct linked pairs of a text: (A id << 32 | B id) and their numbers, packed."""
     @F.arrow_udf(_ALIGNED)
+    @tidy
     def align_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         al = Aligner(byte_level, pieces)
         for b in batches:
@@ -275,6 +276,7 @@ def _flat(packed: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows) if rows else np.zeros(0, kind), np.array([len(r) for r in rows], "<i8")
 
 
+@tidy
 def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, links = np.zeros(0, "<i8"), np.zeros(0, "<i8")
     for b in batches:

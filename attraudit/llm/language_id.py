@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attraudit.llm.common import fresh
+from attraudit.llm.common import fresh, tidy
 
 BUCKETS = 1 << 15
 MAX_LANGS = 1000
@@ -51,6 +51,7 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
 
@@ -113,6 +114,7 @@ def predict(text: Column | str, model: Model, df: DataFrame) -> Column:
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @F.arrow_udf(kind)
+    @tidy
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
             for k in range(0, len(b), SLICE_ROWS):

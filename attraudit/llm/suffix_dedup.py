@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attraudit.llm.common import bounded, stored, text_or_empty
+from attraudit.llm.common import bounded, stored, text_or_empty, tidy
 
 LENGTH, GRAM = 100, 32
 HOT = 20_000  # texts that share an anchor
@@ -279,6 +279,7 @@ def _texts_of(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa
 
 def _anchors(length: int, gram: int, buckets: int):
     """(bucket, packed (value, tid)) of distinct anchors of texts; a tid of 0 after a value that one text holds twice."""
+    @tidy
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = Hashes(), set()
         for part, texts in _texts_of(batches, 1):
@@ -319,6 +320,7 @@ def _pieces_of(texts: list[bytes], heads: np.ndarray, owner: np.ndarray, length:
 
 def _contexts(length: int, gram: int, buckets: int):
     """(bucket, heads, contexts, done): contexts of candidates, of equal ones in a part the earliest; done: what later owners lose."""
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, near = Hashes(), max(gram, length - 8)
         for part, texts in _texts_of(batches, 2):
