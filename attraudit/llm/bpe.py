@@ -21,6 +21,7 @@ each by itself. Ids are returned packed, four bytes each, little-endian; ``unpac
 """
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attraudit.llm.common import text_or_empty
+from attraudit.llm.common import stored, text_or_empty, tidy
 
 LEAF_CHARS = 65_536  # encoding a leaf takes well under a second; moving smaller ones costs more than it saves
 FIRST_WINDOW = 64
@@ -195,6 +196,7 @@ def tree(pieces: list[Piece], enc: Encoder) -> Piece:
 
 def _encode_udf(path: str, special: Sequence[str]):
     @F.arrow_udf(T.BinaryType())
+    @tidy
     def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = Encoder(path, special)
         for b in batches:
@@ -206,6 +208,7 @@ def _encode_udf(path: str, special: Sequence[str]):
 
 def _leaves_udf(path: str, special: Sequence[str], size: int):
     @F.arrow_udf(T.ArrayType(T.StringType()))
+    @tidy
     def split_leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = Encoder(path, special)
         for b in batches:
@@ -220,6 +223,7 @@ _PLACED = ["ids", "starts", "ends"]
 
 def _placed_udf(path: str, special: Sequence[str]):
     @F.arrow_udf(T.StructType([T.StructField(n, T.BinaryType()) for n in _PLACED]))
+    @tidy
     def encode_leaves(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = Encoder(path, special)
         for b in batches:
@@ -260,6 +264,7 @@ def encode(df: DataFrame, path: str, text: str = "text", keep: Sequence[str] = (
 def decode(ids: Column | str, path: str) -> Column:
     """The text of packed ids, special tokens included; null for null."""
     @F.arrow_udf(T.StringType())
+    @tidy
     def decode_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tok = _library(path)
         for b in batches:
@@ -279,10 +284,34 @@ def unpack_ids(ids: Column | str) -> Column:
     return unpack(ids)
 
 
+_DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+
+
+def _digest(ids: bytes, tok) -> tuple[int, str, str]:
+    back = tok.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+    return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()
+
+
+def _digests_udf(path: str, special: Sequence[str], encoded: bool):
+    """Digests of texts, or of packed ids if they are ``encoded``; one tokenizer and one worker for both ways."""
+    @F.arrow_udf(_DIGESTS)
+    @tidy
+    def digest_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = Encoder(path, special)
+        for b in batches:
+            for k in range(0, len(b), SLICE_ROWS):
+                some = b.slice(k, SLICE_ROWS).to_pylist()
+                rows = [_digest(x, enc.tok) for x in (some if encoded else enc.encode(some))]
+                yield pa.StructArray.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int64(), pa.string(), pa.string()))], _DIGESTS.names)
+
+    return digest_texts
+
+
 def digests(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the packed ids and of the text decoded from them."""
-    out = encode(df, path, text, keep=[doc_id])
-    return out.select(
-        F.col(doc_id).alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decode("ids", path).cast("binary"), 256).alias("decoded_sha256"),
-    )
+    special = special_strings(path)
+    rows = df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t"))
+    short = rows.where(F.length("t") <= LEAF_CHARS).select("doc_id", _digests_udf(path, special, False)("t").alias("d"))
+    long = encode(rows.where(F.length("t") > LEAF_CHARS), path, "t", keep=["doc_id"])
+    long = stored(long, "joined").select("doc_id", _digests_udf(path, special, True)("ids").alias("d"))  # few texts
+    return short.unionByName(long).select("doc_id", "d.*")
