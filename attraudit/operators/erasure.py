@@ -20,12 +20,15 @@ def nullspace_directions(
     Every round trains one probe per (model, attribute) still decodable on the
     validation rows, all in the same scans, and adds its unit direction to the
     basis that the next round projects out. Nothing is rewritten: the projection
-    is part of the probe's linear map. Returns {attribute: {model: Q}} and a log
+    is part of the probe's linear map. Rounds share the table's moments, deflate
+    the preconditioner by the directions found so far, and start from the
+    coefficients of the round before, so each takes few scans. Returns {attribute: {model: Q}} and a log
     of (model, attribute, round, validation AUROC).
     """
     cohorts = cohorts or {}
     found = {a: {m: np.zeros((len(table._scale[m][0]), 0)) for m in table.models} for a in attributes}
     live = [(m, a) for m in table.models for a in attributes]
+    warm: dict[tuple[str, str], np.ndarray] = {}
     log = []
     for round_no in range(max_rounds + 1):
         if not live:
@@ -34,7 +37,7 @@ def nullspace_directions(
         for m, a in live:
             v = Variant(f"erase:{a}", cohort=cohorts.get(a, ()), basis={m: found[a][m]})
             cells += table.cells([v], [a], [m])
-        fitted = table.fit(cells)
+        fitted = table.fit(cells, start=[warm.get(k) for k in live])
         scored = auroc(table.score(fitted, (check_on,)), ["model", "target"])
         value = {(r["model"], r["target"]): r["auroc"] for r in scored.collect()}
         still = []
@@ -49,12 +52,23 @@ def nullspace_directions(
             size = np.linalg.norm(w)
             if size < 1e-10:
                 continue
-            found[a][m] = np.linalg.qr(np.hstack([q, (w / size)[:, None]]))[0]
+            q = found[a][m] = np.linalg.qr(np.hstack([q, (w / size)[:, None]]))[0]
+            left = fitted.theta[i].copy()
+            left[: len(q)] -= q @ (q.T @ left[: len(q)])
+            warm[m, a] = left
             still.append((m, a))
         live = still
     return found, log
 
 
+def last_values(log: Sequence[tuple], target: float = 0.53) -> dict[tuple[str, str], tuple[int, float | None, bool | None]]:
+    """Per (model, attribute): the last round, its validation AUROC, and whether that is below the target."""
+    out = {}
+    for m, a, round_no, v in log:
+        out[m, a] = (round_no, v, None if v is None else v < target)
+    return out
+
+
 def random_directions(like: dict[str, np.ndarray], seed: int = 42) -> dict[str, np.ndarray]:
     """Random orthonormal bases of the same shapes: the control for an erasure."""
     out = {}

@@ -221,6 +221,7 @@ class ProbeTable:
         self._moments: dict = {}
         self._fourier: dict[str, tuple] = {}
         self._shared = None
+        self._spectra: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self._fit_scaler()
         if feature_map is not None:
             self._expand(feature_map)
@@ -260,7 +261,7 @@ class ProbeTable:
         for m, (mu, sd) in list(self._scale.items()):
             self._fourier[m] = (mu, sd, *feature_map.draw(len(mu)), maps.get(m))
             self._scale[m] = (np.zeros(feature_map.size), np.ones(feature_map.size))
-        self._moments, self.map = {}, feature_map
+        self._moments, self._spectra, self.map = {}, {}, feature_map
 
     @property
     def models(self) -> list[str]:
@@ -331,6 +332,12 @@ class ProbeTable:
         xx = self._moments["xx"][model] - np.outer(s, mu) - np.outer(mu, s) + n * np.outer(mu, mu)
         return xx / n / np.outer(sd, sd)
 
+    def spectrum(self, model: str) -> tuple[np.ndarray, np.ndarray]:
+        """Eigenvalues and vectors of the second moment, kept for all fits of the table."""
+        if model not in self._spectra:
+            self._spectra[model] = np.linalg.eigh(self.second_moment(model))
+        return self._spectra[model]
+
     def residual_r2(self, variant: Variant) -> dict[str, float]:
         """Share of the embedding variance that the removed designs explain, all dimensions pooled (A10, M5)."""
         self._need_moments([variant.needs])
@@ -436,12 +443,16 @@ class ProbeTable:
         shared.unpersist()
         return {r["cell"]: (r["n"], np.array(r["g"])) for r in sums}
 
-    def fit(self, cells: Sequence[Cell], c: float = 1.0, balanced: bool = False, tol: float = 1e-6, max_rounds: int = 1000) -> Fitted:
+    def fit(
+        self, cells: Sequence[Cell], c: float = 1.0, balanced: bool = False, tol: float = 1e-6, max_rounds: int = 1000,
+        start: Sequence[np.ndarray | None] | None = None,
+    ) -> Fitted:
         """L2 logistic probes 0.5 |w|^2 + C sum(loss) with free intercepts.
 
         Cells that have converged leave the scan; one that hasn't after `max_rounds`
         evaluations is an error. `balanced` weighs positives by
-        negatives / positives, kept within [0.1, 10] (M24, X9).
+        negatives / positives, kept within [0.1, 10] (M24, X9). `start` gives
+        coefficients to begin with, one entry per cell (None: the intercept only).
         """
         cells = list(cells)
         if not cells:
@@ -451,9 +462,8 @@ class ProbeTable:
         split = self.train.select("split").first()
         got = {(r["model"], r["split"]): r for r in table.collect()}
         maps = [self._map(x.model, x.variant) for x in cells]
-        eig = {m: np.linalg.eigh(self.second_moment(m)) for m in {x.model for x in cells}}
         searches, scale, weight = [], [], []
-        for x, mp in zip(cells, maps):
+        for x, mp, first in zip(cells, maps, start or [None] * len(cells)):
             i = needs.index((x.variant.needs, x.target))
             r = got.get((x.model, split["split"]))
             n, p = r[f"n{i}"], r[f"p{i}"]
@@ -462,8 +472,9 @@ class ProbeTable:
             share = min(max(pw * p / mass, 1e-6), 1 - 1e-6) if mass else 0.5
             theta = np.zeros(mp.size + 1)
             theta[-1] = math.log(share / (1 - share))
+            theta = theta if first is None else np.array(first, float)
             curve = share * (1 - share)
-            searches.append(_Search(theta, self._preconditioner(eig[x.model], mp, curve, 1.0 / max(c * mass, 1e-300))))
+            searches.append(_Search(theta, self._preconditioner(self.spectrum(x.model), mp, curve, 1.0 / max(c * mass, 1e-300))))
             scale.append(1.0 / max(c * mass, 1e-300))
             weight.append(pw)
         for _ in range(max_rounds):
@@ -494,11 +505,18 @@ class ProbeTable:
         values, vectors = eig
         inv = 1.0 / (curve * np.maximum(values, 0) + ridge)
         d, size = mp.d, mp.size
+        # the inverse on what is left after directions q were projected out: M - Mq (q'Mq)^-1 q'M
+        mq = small = None
+        if d and mp.q is not None and mp.q.size:
+            mq = vectors @ (inv[:, None] * (vectors.T @ mp.q))
+            small = np.linalg.inv(mp.q.T @ mq)
 
         def apply(g: np.ndarray) -> np.ndarray:
             out = g / max(curve + ridge, 1e-12)
             if d:
                 out[:d] = vectors @ (inv * (vectors.T @ g[:d]))
+                if mq is not None:
+                    out[:d] -= mq @ (small @ (mq.T @ g[:d]))
             out[d:size] = g[d:size] / (curve * np.maximum(mp.app_var, 0) + ridge)
             out[size] = g[size] / max(curve, 1e-12)
             return out

@@ -44,14 +44,18 @@ def external_study(s: Study, sink: str | None = None, b: int = 200) -> dict[str,
     return out
 
 
+def both_erasures(s: Study, attributes: Sequence[str], feature_map: FourierMap, max_rounds: int = 25) -> DataFrame:
+    """Nullspace erasure in the plain and in the Fourier space (Q23, Q27)."""
+    return erasure_study(s, attributes, max_rounds=max_rounds).unionByName(erasure_study(s, attributes, feature_map, max_rounds))
+
+
 def external_extended(s: Study, attributes: Sequence[str], group: str, feature_map: FourierMap, sink: str | None = None, b: int = 1000, max_rounds: int = 25) -> dict[str, DataFrame]:
     """Multi-metric gaps and nonlinear erasure on the external cohort, with a text summary."""
     with ProbeTable(s.embeddings, s.units, [], list(s.findings), keep=(group,)) as t:
         fitted = t.fit(s.guard(t, t.cells([BASELINE], s.findings)))
         scores = materialize(t.score(fitted, ("train", "test")))
     out = multimetric_study(scores, ["model", "target"], group, b=b)
-    raw = erasure_study(s, attributes, max_rounds=max_rounds)
-    out["erasure"] = raw.unionByName(erasure_study(s, attributes, feature_map, max_rounds))
+    out["erasure"] = both_erasures(s, attributes, feature_map, max_rounds)
     out["summary"] = out["gaps"].groupBy("metric").agg(F.avg("gap").alias("mean_gap"), F.count("gap").alias("n_cells"))
     if sink is not None:
         line = F.format_string("%-12s mean gap %.3f over %d cells", F.col("metric"), F.col("mean_gap"), F.col("n_cells"))

@@ -4,17 +4,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import classify_confounding, cost_tier
 from ..functions.labels import one_hot_columns
 from ..functions.tails import p_normal
-from ..operators import cohort, fairness, ranking, resample, summary
-from ..operators.erasure import erasure_effect, nullspace_directions
-from ..operators.linear import fit_scaler, hinge_basis, scale
+from ..operators import cohort, fairness, odds, ranking, resample, summary
+from ..operators.erasure import erasure_effect, last_values, nullspace_directions
+from ..operators.linear import hinge_basis
 from ..operators.panel import one_sample_t, spearman
-from ..operators.probes import BASELINE, FourierMap, ProbeTable, Variant, apply_single, ridge_probe, single_probe
+from ..operators.probes import BASELINE, FourierMap, ProbeTable, Variant, ridge_probe
+from ..operators.softmax import fit_softmax, score_softmax
 from ..session import materialize
 from .inputs import Study
 
@@ -182,15 +183,21 @@ def simultaneous_study(s: Study, attributes: Sequence[str]) -> dict[str, DataFra
 
 
 def erasure_study(s: Study, attributes: Sequence[str], feature_map: FourierMap | None = None, max_rounds: int = 25) -> DataFrame:
-    """Nullspace erasure with a random control, in the plain or the Fourier space."""
+    """Nullspace erasure with a random control, in the plain or the Fourier space.
+
+    `rounds`, `val_auroc` and `reached` tell how the search for directions ended.
+    """
     targets = list(dict.fromkeys([*attributes, *s.findings]))
     out = None
     with ProbeTable(s.embeddings, s.units, [], targets, feature_map=feature_map) as t:
-        found, _log = nullspace_directions(t, attributes, max_rounds)
+        found, log = nullspace_directions(t, attributes, max_rounds)
         for a in attributes:
             one = materialize(erasure_effect(t, a, found[a], s.findings))
             out = one if out is None else out.unionByName(one)
-    return out.withColumn("space", F.lit("raw" if feature_map is None else "rff"))
+    ends = out.sparkSession.createDataFrame(
+        [(*k, *v) for k, v in last_values(log).items()], "model string, attribute string, rounds int, val_auroc double, reached boolean"
+    )
+    return out.join(ends, ["model", "attribute"], "left").withColumn("space", F.lit("raw" if feature_map is None else "rff"))
 
 
 def nonlinear_use(s: Study, attribute: str, feature_map: FourierMap) -> dict[str, DataFrame]:
@@ -232,33 +239,73 @@ def nonlinear_residualization(s: Study, column: str, n_knots: int = 5) -> dict[s
     return {"cells": cells, "agreement": spearman(cells, [], "linear_drop", "curved_drop", small=True)}
 
 
+def _class_code(category: str, classes: Sequence[str]) -> Column:
+    """The place of a category in the list of classes; null outside it."""
+    return F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(category).cast("string"))
+
+
+def _decoders(t: ProbeTable, category: str, classes: Sequence[str], pair: tuple[str, str] | None) -> DataFrame:
+    """Multinomial decodability per model (M10, A9), and that of a pair of classes by a probe of its own."""
+    probs = score_softmax(t, fit_softmax(t, t.cells([BASELINE], ["__code"]), len(classes)))
+    wide = probs.select("model", category, *[F.col("p")[i].alias(f"p_{c}") for i, c in enumerate(classes)])
+    out = ranking.ovr_auroc(wide, ["model"], category, {c: f"p_{c}" for c in classes})
+    if pair is not None:
+        two = ranking.auroc(t.score(t.fit(t.cells([BASELINE], ["__pair"]))), ["model"])
+        out = out.join(two.select("model", F.col("auroc").alias(f"auroc_{pair[0]}_vs_{pair[1]}")), "model", "left")
+    return out
+
+
+def _with_codes(units: DataFrame, category: str, classes: Sequence[str], pair: tuple[str, str] | None) -> DataFrame:
+    code = _class_code(category, classes)
+    units = units.withColumns({"__code": F.when(code > 0, code - 1), "__known": F.when(code > 0, 1.0)})
+    flag = F.lit(None).cast("int") if pair is None else F.when(F.col(category).isin(*pair), (F.col(category) == pair[0]).cast("int"))
+    return units.withColumn("__pair", flag)
+
+
 def category_probe(s: Study, category: str, classes: Sequence[str], pair: tuple[str, str] | None = None) -> DataFrame:
     """Multinomial decodability of a category: per-class, macro and two-class AUROC.
 
-    One multinomial MLlib fit per model on scaled embeddings; its class
-    probabilities are ranked one class against the rest.
+    One softmax cell per model, all trained in the same scans.
     """
-    rows = s.embeddings.join(s.units.select("unit_id", "split", category), "unit_id").where(F.col(category).isin(*classes))
-    order = {c: float(i) for i, c in enumerate(classes)}
-    code = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col(category)]
-    rows = scale(rows, fit_scaler(rows.where("split = 'train'"))).withColumn("code", code)
-    models = sorted(r[0] for r in rows.select("model").distinct().collect())
-    scored = None
-    for m in models:
-        mine = rows.where(F.col("model") == m)
-        fitted = single_probe(mine.where("split = 'train'"), "embedding", "code", multinomial=True)
-        one = apply_single(fitted, mine.where("split = 'test'"), "embedding").select(
-            "model", category, *[F.col("prob")[i].alias(f"p_{c}") for i, c in enumerate(classes)]
-        )
-        scored = one if scored is None else scored.unionByName(one)
-    out = ranking.ovr_auroc(scored, ["model"], category, {c: f"p_{c}" for c in classes})
-    if pair is not None:
-        a, b = pair
-        two = scored.where(F.col(category).isin(a, b)).select(
-            "model", (F.col(category) == a).cast("int").alias("y"), (F.col(f"p_{a}") / (F.col(f"p_{a}") + F.col(f"p_{b}"))).alias("p")
-        )
-        out = out.join(ranking.auroc(two, ["model"]).select("model", F.col("auroc").alias(f"auroc_{a}_vs_{b}")), "model")
-    return out
+    units = _with_codes(s.units.where(F.col(category).isin(*classes)), category, classes, pair)
+    with ProbeTable(s.embeddings, units, [], ["__code", "__pair"], keep=(category,)) as t:
+        return materialize(_decoders(t, category, classes, pair))
+
+
+def category_odds(units: DataFrame, category: str, pair: tuple[str, str], findings: Sequence[str]) -> DataFrame:
+    """Odds ratio of every finding between two classes on train units, always corrected (Q7, A2)."""
+    flag = F.when(F.col(category).isin(*pair), (F.col(category) == pair[0]).cast("int"))
+    return odds.odds_ratio(odds.contingency(units.where("split = 'train'").withColumn("pair", flag), ["pair"], list(findings)), "always")
+
+
+def category_study(
+    s: Study, category: str, classes: Sequence[str], pair: tuple[str, str], min_group: int = 30, min_group_pos: int = 5, alpha: float = 1.0
+) -> dict[str, DataFrame]:
+    """A category as attribute: decodability, dependence, odds and group gaps from one table (Q7).
+
+    decoding: multinomial and two-class AUROC. dependence: findings with and
+    without the pair's flag removed, on units of the two classes. odds: the pair's
+    odds ratio per finding on train. groups, gaps: AUROC per class of probes
+    trained on all units of a known class, and their max-min gap.
+    """
+    units = _with_codes(s.units, category, classes, pair)
+    flag, known = ("__pair",), ("__known",)
+    variants = [Variant("baseline", cohort=flag), Variant("removed", remove=flag, alpha=alpha), Variant("known", cohort=known)]
+    with ProbeTable(s.embeddings, units, ["__pair", "__known"], [*s.findings, "__code", "__pair"], keep=(category,)) as t:
+        decoding = materialize(_decoders(t, category, classes, pair))
+        scores = materialize(t.score(t.fit(s.guard(t, t.cells(variants, s.findings)))))
+    of_pair = scores.where("variant <> 'known'")
+    wide = _pivot_variants(ranking.auroc(of_pair, ["model", "variant", "target"]), CELL, {"baseline": "auroc_base", "removed": "auroc_after"})
+    groups = materialize(fairness.subgroup_auroc(
+        scores.where("variant = 'known'"), CELL, category, min_group, min_group_pos, min_group_pos
+    ).select(*CELL, category, "n", "n_pos", "auroc"))
+    return {
+        "decoding": decoding,
+        "dependence": wide.withColumn("auroc_drop", F.col("auroc_base") - F.col("auroc_after")),
+        "odds": category_odds(s.units, category, pair, s.findings),
+        "groups": groups,
+        "gaps": fairness.gap(groups, CELL, category),
+    }
 
 
 def debiasing_study(s: Study, strategies: dict[str, Sequence[str]], b: int = 1000, min_n: int = 50, min_pos: int = 15, min_neg: int = 15) -> dict[str, DataFrame]:

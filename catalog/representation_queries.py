@@ -13,7 +13,7 @@ from attraudit.operators.probes import BASELINE, FourierMap, ProbeTable, Variant
 
 from attraudit.session import materialize
 
-from .base import labelled, query, r, read, split_col, units
+from .base import COUNTS_SQL, U_SQL, UNITS_SQL, labelled, labelled_sql, query, r, read, split_col, units
 
 
 def vectors(spark, sf):
@@ -123,7 +123,7 @@ def ridge_probe(spark, sf):
     return ranking.regression_metrics(p, ["model"])
 
 
-# ---- studies on orders whose customer has a vector ------------------------
+# ---- studies on all orders: customers share the vectors by the remainder of their number ----
 
 ATTRS = ["building", "in_debt", "low_nation"]
 FINDS = ["fulfilled", "urgent", "winter"]
@@ -132,8 +132,9 @@ FINDS = ["fulfilled", "urgent", "winter"]
 def study(spark, sf) -> Study:
     u = labelled(spark, sf, "ignore")
     u = u.withColumn("split", split_col(uniform(42, "entity_id"))).withColumn("rich", (F.col("balance") > 5000).cast("int"))
-    v = vectors(spark, sf).select("model", F.col("unit_id").alias("entity_id"), "embedding")
-    emb = u.select("unit_id", "entity_id").join(v, "entity_id").select("model", "unit_id", "embedding")
+    size = read(spark, sf, "embeddings").agg(F.max("vec_id") + 1).scalar()
+    v = vectors(spark, sf).withColumnRenamed("unit_id", "vec")
+    emb = u.select("unit_id", (F.col("entity_id") % size).alias("vec")).join(v, "vec").select("model", "unit_id", "embedding")
     return Study(emb, u, ATTRS, FINDS, {"segment": "grp", "rich": "rich"}, min_train=30, min_test=20, min_pos=5)
 
 
@@ -216,23 +217,17 @@ def one_hot_block_columns(spark, sf):
 
 @query("concept_erasure")
 def concept_erasure(spark, sf):
-    s = study(spark, sf)
-    s.findings = ["fulfilled"]
-    return plans.erasure_study(s, ["building"], max_rounds=3)
+    return plans.erasure_study(study(spark, sf), ATTRS)
 
 
 @query("concept_erasure_fourier")
 def concept_erasure_fourier(spark, sf):
-    s = study(spark, sf)
-    s.findings = ["fulfilled"]
-    return plans.erasure_study(s, ["building"], FourierMap(64), max_rounds=2)
+    return plans.erasure_study(study(spark, sf), ATTRS, FourierMap())
 
 
 @query("nonlinear_use")
 def nonlinear_use(spark, sf):
-    s = study(spark, sf)
-    s.findings = ["fulfilled"]
-    return plans.nonlinear_use(s, "building", FourierMap(64))["use"]
+    return plans.nonlinear_use(study(spark, sf), "building", FourierMap())["use"]
 
 
 @query("nonlinear_residualization")
@@ -240,12 +235,38 @@ def nonlinear_residualization(spark, sf):
     return plans.nonlinear_residualization(study(spark, sf), "age", 3)["cells"]
 
 
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+PAIR = ("BUILDING", "FURNITURE")
+
+
 @query("category_probe")
 def category_probe(spark, sf):
-    return plans.category_probe(study(spark, sf), "grp", ["BUILDING", "FURNITURE", "MACHINERY"], ("BUILDING", "FURNITURE"))
+    return plans.category_probe(study(spark, sf), "grp", SEGMENTS, PAIR)
+
+
+@query("category_dependence")
+def category_dependence(spark, sf):
+    return plans.category_study(study(spark, sf), "grp", SEGMENTS, PAIR)["dependence"]
+
+
+@query("category_gaps")
+def category_gaps(spark, sf):
+    return plans.category_study(study(spark, sf), "grp", SEGMENTS, PAIR)["gaps"]
 
 
-@query("cohort_build", f"""WITH ids AS (SELECT DISTINCT c_custkey AS entity_id, c_mktsegment AS grp FROM orders JOIN customer ON o_custkey = c_custkey JOIN embeddings ON vec_id = c_custkey),
+_PAIR_FINDINGS = " UNION ALL ".join(f"SELECT '{f}' AS finding, a, {f} AS y FROM t" for f in FINDS)
+_ODDS = "((tp + 0.5::DOUBLE) * (tn + 0.5::DOUBLE)) / ((fp + 0.5::DOUBLE) * (fn + 0.5::DOUBLE))"
+
+
+@query("category_odds", UNITS_SQL + ", " + labelled_sql("ignore") + f""", t AS (SELECT *, (grp = 'BUILDING')::INT AS a FROM lab WHERE {U_SQL} < 0.7::DOUBLE AND grp IN ('BUILDING', 'FURNITURE')),
+l AS ({_PAIR_FINDINGS}), c AS (SELECT finding, {COUNTS_SQL} FROM l GROUP BY finding)
+SELECT 'pair' AS attribute, finding, tp, fp, fn, tn, {r(_ODDS, 'odds_ratio')}, {r(f'ln({_ODDS})', 'log_or')}, {r(f'abs(ln({_ODDS}))', 'abs_log_or')} FROM c""")
+def category_odds(spark, sf):
+    s = study(spark, sf)
+    return plans.category_odds(s.units, "grp", PAIR, s.findings)
+
+
+@query("cohort_build", f"""WITH ids AS (SELECT DISTINCT c_custkey AS entity_id, c_mktsegment AS grp FROM orders JOIN customer ON o_custkey = c_custkey JOIN embeddings ON vec_id = c_custkey % (SELECT max(vec_id) + 1 FROM embeddings)),
 o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5('42:' || entity_id)) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM ids),
 s AS (SELECT entity_id, CASE WHEN pos < floor(0.7::DOUBLE * n) THEN 'train' WHEN pos < floor(0.85::DOUBLE * n) THEN 'val' ELSE 'test' END AS split FROM o)
 SELECT split, count(*) AS n_units, count(DISTINCT entity_id) AS n_entities, count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')) AS n_fulfilled
@@ -260,13 +281,14 @@ def cohort_build(spark, sf):
 
 @query("external_study")
 def external_study(spark, sf):
-    s = study(spark, sf)
-    s.attributes = ["building"]
-    return external.external_study(s)["external"]
+    return external.external_study(study(spark, sf))["external"]
 
 
 @query("external_extended")
 def external_extended(spark, sf):
-    s = study(spark, sf)
-    s.findings = ["fulfilled"]
-    return external.external_extended(s, ["building"], "grp", FourierMap(64), max_rounds=1)["summary"]
+    return external.external_extended(study(spark, sf), ATTRS, "grp", FourierMap())["summary"]
+
+
+@query("external_erasure")
+def external_erasure(spark, sf):
+    return external.both_erasures(study(spark, sf), ATTRS, FourierMap())

@@ -225,3 +225,102 @@ def test_geometry(spark):
     assert g["participation_ratio"] == pytest.approx(lam.sum() ** 2 / (lam**2).sum(), rel=1e-9)
     assert g["effective_rank"] == pytest.approx(np.exp(-(s * np.log(s)).sum()), rel=1e-9)
     assert g["dims_for_90pct_var"] == int(np.searchsorted(np.cumsum(s), 0.9) + 1)
+
+
+def test_softmax_cells_are_stationary_and_rank_like_their_table(spark, tables, raw):
+    from attraudit.operators.softmax import fit_softmax, score_softmax
+
+    emb, units = tables
+    code = (np.arange(raw["n"]) % 3 + (raw["x"][:, 2] > 6)) % 4
+    codes = spark.createDataFrame([(i, int(v) if i % 11 else None) for i, v in enumerate(code)], "unit_id int, code int")
+    with ProbeTable(emb, units.join(codes, "unit_id"), ["a", "age"], ["code"], keep=("grp",)) as t:
+        got = fit_softmax(t, t.cells([BASELINE, Variant("aged", cohort=("age",))], ["code"]), 4)
+        scores = score_softmax(t, got).toPandas()
+    for cell, th in zip(got.cells, got.theta):
+        x, tr = scaled(raw, D if cell.model == "m1" else 4)
+        use = tr & (np.arange(raw["n"]) % 11 != 0)
+        if cell.variant.name == "aged":
+            use &= ~np.isnan(raw["age"])
+        z = np.hstack([x, np.ones((len(x), 1))])
+        p = np.exp(z @ th.T)
+        p /= p.sum(1, keepdims=True)
+        grad = (p[use] - np.eye(4)[code[use]]).T @ z[use]
+        grad[:, :-1] += th[:, :-1]
+        # the loss is convex: a vanishing gradient proves the optimum
+        assert np.abs(grad).max() / use.sum() < 3e-6
+        mine = scores[(scores.model == cell.model) & (scores.variant == cell.variant.name)]
+        want = (raw["split"] == "test") & (np.arange(raw["n"]) % 11 != 0)
+        if cell.variant.name == "aged":
+            want = want & ~np.isnan(raw["age"])
+        assert sorted(mine.unit_id) == list(np.flatnonzero(want))
+        at = mine.unit_id.to_numpy()
+        np.testing.assert_allclose(np.stack(mine.p), p[at], atol=1e-6)
+        np.testing.assert_array_equal(mine.y, code[at])
+
+
+def test_softmax_handles_absent_classes_and_no_cells(tables):
+    from attraudit.operators.softmax import fit_softmax, score_softmax
+
+    emb, units = tables
+    with ProbeTable(emb, units, [], ["z"]) as t:
+        got = fit_softmax(t, t.cells([BASELINE], ["z"]), 3)
+        p = np.stack([r["p"] for r in score_softmax(t, got).collect()])
+        assert p[:, 2].max() < 1e-3 and np.allclose(p.sum(1), 1)
+        assert fit_softmax(t, [], 3).cells == []
+        two = t.fit(t.cells([BASELINE], ["z"]))
+        q = {(r["model"], r["unit_id"]): r["p"] for r in t.score(two).collect()}
+        for r in score_softmax(t, fit_softmax(t, t.cells([BASELINE], ["z"]), 2)).collect():
+            # two classes share the weight, so their penalty is half the binary one's
+            assert abs(r["p"][1] - q[r["model"], r["unit_id"]]) < 0.05
+
+
+def test_category_study(spark, tables):
+    emb, units = tables
+    units = units.withColumn("cat", F.when(F.col("unit_id") % 19 == 0, None).otherwise(F.concat(F.col("grp"), (F.col("unit_id") % 2).cast("string"))))
+    s = Study(emb, units, ["a"], ["z", "y"], min_train=20, min_test=10, min_pos=2)
+    out = plans.category_study(s, "cat", ["g00", "g01", "g10", "g11"], ("g10", "g00"), 5, 2)
+    dec = {r["model"]: r.asDict() for r in out["decoding"].collect()}
+    assert dec["m1"]["auroc_g10_vs_g00"] > 0.8 and 0.5 < dec["m1"]["macro_auroc"] < 0.95
+    dep = {(r["model"], r["target"]): r["auroc_drop"] for r in out["dependence"].collect()}
+    x, tr = scaled(raw)
+    i, d = np.arange(raw["n"]), raw["a"]
+    known = (i % 19 != 0) & (i % 2 == 0)  # g10 and g00
+    fit, test = known & tr, known & (raw["split"] == "test")
+    centred = d - d[fit].mean()
+    w = centred[fit] @ (x[fit] - x[fit].mean(0)) / (centred[fit] @ centred[fit] + 1)
+    res = x - x[fit].mean(0) - np.outer(centred, w)
+    for finding in ("y", "z"):
+        v = raw[finding]
+        a, b = fit & ~np.isnan(v), test & ~np.isnan(v)
+        areas = []
+        for m in (x, res):
+            p = np.hstack([m[b], np.ones((b.sum(), 1))]) @ newton(m[a], v[a])
+            up, down = p[v[b] == 1], p[v[b] == 0]
+            areas.append((up[:, None] > down).mean())
+        assert dep["m1", finding] == pytest.approx(areas[0] - areas[1], abs=0.02)
+    rows = units.where("split = 'train' and cat in ('g10', 'g00')").select("cat", "z").toPandas()
+    cells = [((rows.cat == c) & (rows.z == v)).sum() + 0.5 for c, v in (("g10", 1), ("g00", 0), ("g10", 0), ("g00", 1))]
+    got = {r["finding"]: r["odds_ratio"] for r in out["odds"].collect()}
+    assert got["z"] == pytest.approx(cells[0] * cells[1] / cells[2] / cells[3])
+    groups = out["groups"].toPandas()
+    assert set(groups.cat) <= {"g00", "g01", "g10", "g11"} and (groups.n >= 5).all()
+    gaps = out["gaps"].toPandas().set_index(["model", "target"])
+    for key, g in groups.groupby(["model", "target"]):
+        if len(g) > 1:
+            assert gaps.loc[key, "gap"] == pytest.approx(g.auroc.max() - g.auroc.min())
+
+
+def test_warm_started_erasure_matches_cold_rounds(tables, raw):
+    """Each round's direction is that of a cold fit on the data with the earlier directions taken out."""
+    emb, units = tables
+    with ProbeTable(emb, units, [], ["a"]) as t:
+        found, log = nullspace_directions(t, ["a"], max_rounds=3, target=0.0)
+    x, tr = scaled(raw)
+    q = np.zeros((D, 0))
+    for _ in range(3):
+        left = x - x @ q @ q.T
+        w = newton(left[tr], raw["a"][tr])[:-1]
+        w -= q @ (q.T @ w)
+        q = np.linalg.qr(np.hstack([q, (w / np.linalg.norm(w))[:, None]]))[0]
+    np.testing.assert_allclose(found["a"]["m1"] @ found["a"]["m1"].T, q @ q.T, atol=2e-3)
+    assert max(r for m, _, r, _ in log if m == "m1") == 3
