@@ -258,7 +258,7 @@ _PAIR_FINDINGS = " UNION ALL ".join(f"SELECT '{f}' AS finding, a, {f} AS y FROM
 _ODDS = "((tp + 0.5::DOUBLE) * (tn + 0.5::DOUBLE)) / ((fp + 0.5::DOUBLE) * (fn + 0.5::DOUBLE))"
 
 
-@query("category_odds", UNITS_SQL + ", " + labelled_sql("ignore") + f""", t AS (SELECT *, (grp = 'BUILDING')::INT AS a FROM lab WHERE {U_SQL} < 0.7::DOUBLE AND grp IN ('BUILDING', 'FURNITURE')),
+@query("category_odds", "WITH " + UNITS_SQL + ", " + labelled_sql("ignore") + f""", t AS (SELECT *, (grp = 'BUILDING')::INT AS a FROM lab WHERE {U_SQL} < 0.7::DOUBLE AND grp IN ('BUILDING', 'FURNITURE')),
 l AS ({_PAIR_FINDINGS}), c AS (SELECT finding, {COUNTS_SQL} FROM l GROUP BY finding)
 SELECT 'pair' AS attribute, finding, tp, fp, fn, tn, {r(_ODDS, 'odds_ratio')}, {r(f'ln({_ODDS})', 'log_or')}, {r(f'abs(ln({_ODDS}))', 'abs_log_or')} FROM c""")
 def category_odds(spark, sf):
@@ -287,8 +287,3 @@ def external_study(spark, sf):
 @query("external_extended")
 def external_extended(spark, sf):
     return external.external_extended(study(spark, sf), ATTRS, "grp", FourierMap())["summary"]
-
-
-@query("external_erasure")
-def external_erasure(spark, sf):
-    return external.both_erasures(study(spark, sf), ATTRS, FourierMap())

@@ -274,7 +274,7 @@ def test_softmax_handles_absent_classes_and_no_cells(tables):
             assert abs(r["p"][1] - q[r["model"], r["unit_id"]]) < 0.05
 
 
-def test_category_study(spark, tables):
+def test_category_study(spark, tables, raw):
     emb, units = tables
     units = units.withColumn("cat", F.when(F.col("unit_id") % 19 == 0, None).otherwise(F.concat(F.col("grp"), (F.col("unit_id") % 2).cast("string"))))
     s = Study(emb, units, ["a"], ["z", "y"], min_train=20, min_test=10, min_pos=2)
