@@ -1,6 +1,7 @@
 """Studies of what representations encode and what their probes depend on."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from dataclasses import replace
 
@@ -13,6 +14,7 @@ from ..functions.tails import p_normal
 from ..operators import cohort, fairness, odds, ranking, resample, summary
 from ..operators.erasure import erasure_effect, last_values, nullspace_directions
 from ..operators.linear import hinge_basis
+from ..operators.network import Network, fit_network, score_network
 from ..operators.panel import one_sample_t, spearman
 from ..operators.probes import BASELINE, FourierMap, ProbeTable, Variant, ridge_probe
 from ..operators.softmax import fit_softmax, score_softmax
@@ -200,28 +202,34 @@ def erasure_study(s: Study, attributes: Sequence[str], feature_map: FourierMap |
     return out.join(ends, ["model", "attribute"], "left").withColumn("space", F.lit("raw" if feature_map is None else "rff"))
 
 
-def nonlinear_use(s: Study, attribute: str, feature_map: FourierMap) -> dict[str, DataFrame]:
-    """Nonlinear decodability and use of an attribute after linear removal."""
+def nonlinear_use(s: Study, attribute: str, feature_map: FourierMap, network: Network = Network()) -> dict[str, DataFrame]:
+    """Nonlinear decodability and use of an attribute after linear removal.
+
+    Three decoders side by side: linear, linear over Fourier features, and a two-layer network.
+    """
     removed = Variant("removed", remove=(attribute,), alpha=0.0)
     known = s.units.where(F.col(attribute).isNotNull())
     targets = list(dict.fromkeys([attribute, *s.findings]))
+    keys = ["model", "variant", "target"]
     parts = []
-    for name, fmap, before in (("nonlinear", feature_map, None), ("nonlinear_removed", feature_map, removed), ("linear", None, None)):
-        with ProbeTable(s.embeddings, known, [attribute], targets, feature_map=fmap, before=before) as t:
-            variants = [BASELINE] if fmap is not None else [BASELINE, removed]
-            a = ranking.auroc(t.score(t.fit(s.guard(t, t.cells(variants, targets)))), ["model", "variant", "target"])
-            parts.append(materialize(a.withColumn("variant", F.concat_ws(":", F.lit(name), "variant"))))
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    wide = _pivot_variants(every, CELL, {
+
+    def named(scores: DataFrame, name: str) -> DataFrame:
+        return materialize(ranking.auroc(scores, keys).withColumn("variant", F.concat_ws(":", F.lit(name), "variant")))
+
+    for name, before in (("nonlinear", None), ("nonlinear_removed", removed)):
+        with ProbeTable(s.embeddings, known, [attribute], targets, feature_map=feature_map, before=before) as t:
+            parts.append(named(t.score(t.fit(s.guard(t, t.cells([BASELINE], targets)))), name))
+    with ProbeTable(s.embeddings, known, [attribute], targets) as t:
+        cells = s.guard(t, t.cells([BASELINE, removed], targets))
+        parts.append(named(t.score(t.fit(cells)), "linear"))
+        parts.append(named(score_network(t, fit_network(t, cells, network)), "network"))
+    wide = _pivot_variants(functools.reduce(DataFrame.unionByName, parts), CELL, {
         "nonlinear:baseline": "nonlinear_base", "nonlinear_removed:baseline": "nonlinear_after",
         "linear:baseline": "linear_base", "linear:removed": "linear_after",
+        "network:baseline": "network_base", "network:removed": "network_after",
     })
-    return {
-        "decodability": wide.where(F.col("target") == attribute),
-        "use": wide.where(F.col("target") != attribute).withColumn(
-            "nonlinear_dependence", F.col("nonlinear_base") - F.col("nonlinear_after")
-        ).withColumn("linear_dependence", F.col("linear_base") - F.col("linear_after")),
-    }
+    drops = {f"{k}_dependence": F.col(f"{k}_base") - F.col(f"{k}_after") for k in ("nonlinear", "linear", "network")}
+    return {"decodability": wide.where(F.col("target") == attribute), "use": wide.where(F.col("target") != attribute).withColumns(drops)}
 
 
 def nonlinear_residualization(s: Study, column: str, n_knots: int = 5) -> dict[str, DataFrame]:

@@ -230,6 +230,11 @@ def nonlinear_use(spark, sf):
     return plans.nonlinear_use(study(spark, sf), "building", FourierMap())["use"]
 
 
+@query("nonlinear_decodability")
+def nonlinear_decodability(spark, sf):
+    return plans.nonlinear_use(study(spark, sf), "building", FourierMap())["decodability"]
+
+
 @query("nonlinear_residualization")
 def nonlinear_residualization(spark, sf):
     return plans.nonlinear_residualization(study(spark, sf), "age", 3)["cells"]
