@@ -75,7 +75,8 @@ def gram(
     return sum_arrays(picked.mapInPandas(partial, schema), by)
 
 
-def first_row_shift(rows: DataFrame, columns: Sequence[str]) -> list[float]:
-    """Values of one complete row: a cheap shift that keeps cross products small."""
-    row = rows.select(*[F.col(c).cast("double") for c in columns]).dropna().first()
-    return [0.0] * len(columns) if row is None else [float(v) for v in row]
+def mean_shift(rows: DataFrame, columns: Sequence[str]) -> list[float]:
+    """Means of the complete rows, to single precision so that the order of the rows doesn't matter: a shift that keeps cross products small."""
+    picked = rows.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
+    means = picked.agg(*[F.avg(c) for c in picked.columns]).first()
+    return [0.0 if v is None or not np.isfinite(v) else float(np.float32(v)) for v in means]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Block, blocks, feature_rows, row_sums
+from .blocks import Block, blocks, feature_rows, row_moments
 
 
 def fit_scaler(rows: DataFrame, keys: Sequence[str] = ("model",), x: str = "embedding") -> DataFrame:
@@ -37,25 +37,18 @@ def ridge_map(rows: DataFrame, alpha: float = 1.0) -> dict[str, dict]:
     `rows` has the layout of `feature_rows`; rows with an unknown design value are
     left out. Returns weights, means and the pooled R2 per model.
     """
-    def cross(b: Block) -> np.ndarray:
+    def known(b: Block) -> tuple[np.ndarray, int, np.ndarray]:
         ok = ~np.isnan(b.f).any(1)
-        s = np.hstack([np.ones((ok.sum(), 1)), b.f[ok]])
-        x = b.x[ok]
-        top = np.hstack([s.T @ s, s.T @ x])
-        return np.vstack([top, np.concatenate([np.zeros(s.shape[1]), (x * x).sum(0)])])
+        return np.hstack([b.f[ok], b.x[ok]]), b.f.shape[1], np.zeros(0)
 
     out = {}
-    for m, g in row_sums(rows, cross).items():
-        k = len(g) - 2
-        n, fs = g[0, 0], g[0, 1 : k + 1]
-        xs = g[0, k + 1 :]
-        dd = g[1 : k + 1, 1 : k + 1] - np.outer(fs, fs) / n
-        dx = g[1 : k + 1, k + 1 :] - np.outer(fs, xs) / n
+    for m, t in row_moments(rows, known).items():
+        k = len(t.cross)
+        dd, dx, tss = t.cross[:, :k], t.cross[:, k:], t.squares[k:]
         a = dd + alpha * np.eye(k)
         w = np.linalg.solve(a, dx) if alpha > 0 else np.linalg.pinv(a) @ dx
-        tss = g[-1, k + 1 :] - xs * xs / n
         gain = (2 * w * dx - w * (dd @ w)).sum()
-        out[m] = {"w": w, "f_mean": fs / n, "x_mean": xs / n, "n": int(n), "r2": float(gain / tss.sum())}
+        out[m] = {"w": w, "f_mean": t.mean[:k], "x_mean": t.mean[k:], "n": int(t.n), "r2": float(gain / tss.sum())}
     return out
 
 
@@ -120,16 +113,14 @@ def geometry(embeddings: DataFrame) -> DataFrame:
         "model", F.col("embedding").alias("x"), F.array().cast("array<double>").alias("f"), F.array().cast("array<double>").alias("y")
     )
 
-    def cross(b: Block) -> np.ndarray:
+    def about_mean(b: Block) -> tuple[np.ndarray, int, np.ndarray]:
         unit = b.x / np.maximum(np.linalg.norm(b.x, axis=1, keepdims=True), 1e-300)
-        n = len(b.x)
-        return np.vstack([np.hstack([b.x.T @ b.x]), b.x.sum(0), unit.sum(0), np.full(b.x.shape[1], n)])
+        return b.x, b.x.shape[1], unit.sum(0)
 
     out = []
-    for m, g in sorted(row_sums(rows, cross).items()):
-        d = g.shape[1]
-        n, s, u = g[-1, 0], g[-3], g[-2]
-        lam = np.linalg.eigvalsh((g[:d] - np.outer(s, s) / n) / (n - 1))[::-1]
+    for m, t in sorted(row_moments(rows, about_mean).items()):
+        d, n, u = len(t.mean), t.n, t.extra
+        lam = np.linalg.eigvalsh(t.cross / (n - 1))[::-1]
         lam = np.maximum(lam, 0.0)
         share = lam / lam.sum()
         pos = share[share > 0]

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tails import f_upper, normal_two_sided, p_chi2, p_student, t_two_sided
-from .gram import first_row_shift, gram, sum_arrays
-from .running import exact_quantiles, rank_rows, running_totals
+from .gram import mean_shift, gram, sum_arrays
+from .running import BUCKET, default_buckets, exact_quantiles, rank_rows, with_buckets
 
 
 def attach(rows: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -47,23 +47,18 @@ def spearman(
     result panels, see `running_totals`.
     """
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    # equal pairs collapse first; both rankings then run on the short table
-    times = F.sum(weight) if weight else F.count(F.lit(1))
-    pairs = both.groupBy(*keys, x, y).agg(times.cast("bigint").alias("w")).where(F.col("w") > 0)
-    ranked = pairs
-    for c, out in ((x, "__rx"), (y, "__ry")):
-        if small:
-            ranked = _weighted_midrank(ranked, keys, c, out)
-        else:
-            counts = pairs.groupBy(*keys, c).agg(F.sum("w").alias("m"))
-            run = running_totals(counts, keys, c, {"m": "below"})
-            rank = run.select(*keys, c, (F.col("below") + (F.col("m") + 1) / 2.0).alias(out))
-            ranked = ranked.join(rank, [*keys, c])
-    w, a, b = F.col("w"), F.col("__rx"), F.col("__ry")
-    g = ranked.groupBy(*keys).agg(
-        F.sum("w").alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"),
-        F.sum(w * a * b).alias("sab"), F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"),
-    ).where(F.col("n") >= min_n)
+    w = (F.col(weight) if weight else F.lit(1)).cast("bigint")
+    if small:
+        pairs = both.groupBy(*keys, x, y).agg(F.sum(w).alias("__w")).where(F.col("__w") > 0)
+        one = F.lit(0)
+        local = _local_ranks(_local_ranks(pairs.withColumns({"__bx": one, "__by": one}), keys, x, "__bx", "__rx"), keys, y, "__by", "__ry")
+        g = local.groupBy(*keys).agg(*_rank_sums(F.col("__rx"), F.col("__ry"), F.col("__w")))
+    else:
+        cells = _rank_cells(both.withColumn("__w", w).where(F.col("__w") > 0), keys, x, y)
+        for c in ("x", "y"):
+            cells = _with_offset(cells, keys, c)
+        g = cells.groupBy(*keys).agg(*_moved_sums(F.col("__ox"), F.col("__oy")))
+    g = g.where(F.col("n") >= min_n)
     mean = (F.col("n") + 1) / 2.0
     cov = F.col("sab") - F.col("n") * mean * mean
     va, vb = F.col("saa") - F.col("n") * mean * mean, F.col("sbb") - F.col("n") * mean * mean
@@ -71,12 +66,59 @@ def spearman(
     return out.withColumn("p_value", correlation_p(F.col("rho"), F.col("n")))
 
 
-def _weighted_midrank(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    upto = F.sum("w").over(W.partitionBy(*keys).orderBy(value))
-    tied = F.sum("w").over(W.partitionBy(*keys, value))
+def _rank_sums(a: Column, b: Column, w: Column) -> list[Column]:
+    sums = {"n": w, "sa": w * a, "sb": w * b, "sab": w * a * b, "saa": w * a * a, "sbb": w * b * b}
+    return [F.sum(v).alias(k) for k, v in sums.items()]
+
+
+def _moved_sums(ox: Column, oy: Column) -> list[Column]:
+    """The same sums once every rank of a cell has moved by the cell's offsets."""
+    n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+    sums = {
+        "n": n, "sab": F.col("sab") + ox * sb + oy * sa + n * ox * oy,
+        "saa": F.col("saa") + 2 * ox * sa + n * ox * ox, "sbb": F.col("sbb") + 2 * oy * sb + n * oy * oy,
+    }
+    return [F.sum(v).alias(k) for k, v in sums.items()]
+
+
+def _local_ranks(rows: DataFrame, keys: Sequence[str], value: str, bucket: str, out: str, *salts: str) -> DataFrame:
+    """Midranks among the rows of a (key, bucket)."""
+    by = [*keys, bucket, *salts]
+    upto = F.sum("__w").over(W.partitionBy(*by).orderBy(value))
+    tied = F.sum("__w").over(W.partitionBy(*by, value))
     return rows.withColumn(out, upto - tied + (tied + 1) / 2.0)
 
 
+def _rank_cells(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Sums of ranks within buckets per (key, bucket of x, bucket of y): two exchanges, no join.
+
+    A value that fills several buckets comes last in its own, so its rows need no
+    order: they are salted, have rank 0 here, and get their rank as an offset.
+    """
+    both = rows.select(*keys, x, y, "__w")
+    part = both
+    for c, name, other in ((x, "x", y), (y, "y", x)):
+        part = with_buckets(part, c, edges_from=both.select(c), hot=f"__h{name}").withColumnRenamed(BUCKET, f"__b{name}")
+        spread = F.pmod(F.xxhash64(other) + F.spark_partition_id(), F.lit(default_buckets(rows)))
+        part = part.withColumn(f"__s{name}", F.when(F.col(f"__h{name}"), spread).otherwise(0))
+    for c, name in ((x, "x"), (y, "y")):
+        part = _local_ranks(part, keys, c, f"__b{name}", f"__r{name}", f"__s{name}")
+        part = part.withColumn(f"__r{name}", F.when(F.col(f"__h{name}"), 0.0).otherwise(F.col(f"__r{name}")))
+    return part.groupBy(*keys, "__bx", "__hx", "__by", "__hy").agg(*_rank_sums(F.col("__rx"), F.col("__ry"), F.col("__w")))
+
+
+def _with_offset(cells: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """What the ranks in a bucket lack: the rows of all smaller buckets; for a hot value, its whole rank."""
+    b, h = f"__b{name}", f"__h{name}"
+    at = W.partitionBy(*keys).orderBy(b, h)
+    short = cells.groupBy(*keys, b, h).agg(F.sum("n").alias("m"))
+    before = F.coalesce(F.sum("m").over(at.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offset = F.when(F.col(h), before + (F.col("m") + 1) / 2.0).otherwise(before)
+    renamed = short.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, b, h])], offset.alias(f"__o{name}"))
+    match = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, b, h])]
+    return cells.join(renamed, match).drop(*[f"__k{i}" for i in range(len(keys) + 2)])
+
+
 def rank_agreement(a: DataFrame, b: DataFrame, key: str, value_a: str, value_b: str) -> DataFrame:
     """Spearman correlation of per-key means in two tables."""
     x = a.groupBy(key).agg(F.avg(value_a).alias("va"))
@@ -244,7 +286,7 @@ def ols(rows: DataFrame, y: str, fits: Mapping[str, Sequence[tuple]], by: Sequen
     terms = [t for ts in fits.values() for t in ts]
     wide, names = design(rows, terms)
     columns = list(dict.fromkeys(c for t in terms for c in names[t])) + [y]
-    shift = first_row_shift(wide, columns)
+    shift = mean_shift(wide, columns)
     g = gram(wide, columns, by, shift=shift)
     cols = {name: [c for t in ts for c in names[t]] for name, ts in fits.items()}
     return fit_grams(g, columns, cols, y, by, shift)
@@ -267,7 +309,7 @@ def predictions(rows: DataFrame, y: str, x: Sequence[str], by: Sequence[str] = (
     the residual sum of squares.
     """
     columns = [*x, y]
-    shift = first_row_shift(rows, columns)
+    shift = mean_shift(rows, columns)
     fitted = fit_grams(gram(rows, columns, by, shift=shift), columns, {"m": list(x)}, y, by, shift)
     terms = ["(Intercept)", *x]
     per = fitted.groupBy(*by).agg(
@@ -387,7 +429,7 @@ def slope_difference(rows: DataFrame, y: str, x: str, flag: str, cluster: str) -
 def leave_one_group_out(rows: DataFrame, y: str, x: Sequence[str], group: str) -> DataFrame:
     """R2 of the fit with each group left out (R18): the total Gram less the group's Gram."""
     columns = [*x, y]
-    shift = first_row_shift(rows, columns)
+    shift = mean_shift(rows, columns)
     per = gram(rows, columns, [group], shift=shift)
     total = sum_arrays(per.select("n", "g"), []).select(F.struct(F.col("n").alias("tn"), F.col("g").alias("tg")).alias("t")).scalar()
     rest = per.withColumn("t", total).select(
@@ -455,7 +497,7 @@ def huber(rows: DataFrame, y: str, x: Sequence[str], max_iter: int = 500, tol: f
     columns = [*x, y]
     base = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna().persist()
     try:
-        shift = first_row_shift(base, columns)
+        shift = mean_shift(base, columns)
         k = len(x) + 1
 
         def solve(df, weight=None):

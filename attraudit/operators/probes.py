@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import Block, blocks, feature_rows, row_sums
+from .blocks import Block, blocks, feature_rows, row_moments, row_sums
 from .gram import sum_arrays
 
 
@@ -91,8 +91,7 @@ class _Map:
         if self.rem and self.use_x:
             n = mom["n"]
             i = [mom["pos"][c] for c in variant.remove]
-            sx = (mom["x_sum"] - n * mu) / sd
-            dx = (mom["fx"][i] - np.outer(mom["f_sum"][i], mu)) / sd
+            sx, dx = mom["x_sum"] / sd, mom["fx"][i] / sd
             dd = mom["ff"][np.ix_(i, i)] - np.outer(mom["f_sum"][i], mom["f_sum"][i]) / n
             cross = dx - np.outer(mom["f_sum"][i], sx) / n
             system = dd + variant.alpha * np.eye(len(i))
@@ -102,7 +101,7 @@ class _Map:
         self.app_mean = np.array([mom["f_mean"][c] for c in variant.append])
         j = [mom["pos"][c] for c in variant.append]
         n = max(mom["n"], 1)
-        self.app_var = np.diag(mom["ff"])[j] / n - self.app_mean**2 if j else np.zeros(0)
+        self.app_var = np.diag(mom["ff"])[j] / n - (mom["f_sum"][j] / n) ** 2 if j else np.zeros(0)
 
     def forward(self, theta: np.ndarray) -> np.ndarray:
         """theta = [w_x, w_append, b] to coefficients on [x, f, 1]."""
@@ -218,6 +217,7 @@ class ProbeTable:
         self.train = self.rows.where(F.col("split") == fit_on)
         self.map, self.before = None, before
         self._scale: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self._middle: dict[str, np.ndarray] = {}  # means of the designs, about which their products are taken
         self._moments: dict = {}
         self._fourier: dict[str, tuple] = {}
         self._shared = None
@@ -239,18 +239,15 @@ class ProbeTable:
 
     def _fit_scaler(self) -> None:
         """Mean and population deviation per model on the train rows; zero deviation becomes 1 (M3)."""
-        def sums(b: Block) -> np.ndarray:
-            shift = b.x[0]
-            # plain sums; the shift only guards the squares against large means
-            c = b.x - shift
-            n = len(c)
-            s = c.sum(0)
-            return np.vstack([np.full_like(s, n), s + n * shift, (c * c).sum(0) + 2 * shift * s + n * shift * shift])
-
-        for m, g in row_sums(self.train, sums).items():
-            mu = g[1] / g[0]
-            sd = np.sqrt(np.maximum(g[2] / g[0] - mu * mu, 0.0))
-            self._scale[m] = (mu, np.where(sd > 1e-12 * (1 + np.abs(mu)), sd, 1.0))
+        def sums(b: Block) -> tuple[np.ndarray, int, np.ndarray]:
+            known = ~np.isnan(b.f)
+            return b.x, 0, np.concatenate([known.sum(0), np.where(known, b.f, 0.0).sum(0)])
+
+        for m, t in row_moments(self.train, sums).items():
+            sd = np.sqrt(t.squares / t.n)
+            self._scale[m] = (t.mean, np.where(sd > 1e-12 * (1 + np.abs(t.mean)), sd, 1.0))
+            n, s = t.extra.reshape(2, -1)
+            self._middle[m] = s / np.maximum(n, 1)
 
     def _expand(self, feature_map: FourierMap) -> None:
         """Replace the features by their Fourier expansion."""
@@ -285,19 +282,21 @@ class ProbeTable:
         return apply
 
     def _need_moments(self, needs: Sequence[tuple[str, ...]]) -> None:
-        """Cross products of [x] with [1, f] over the rows where the needed designs are known."""
+        """Cross products of [x] with [1, f], about the train means of both, over the rows where the needed designs are known."""
         todo = [s for s in dict.fromkeys(needs) if s not in self._moments]
         if not todo:
             return
         at, feat = self.at, self._featurize()
         sets = [[at[c] for c in s] for s in todo]
         with_xx = "xx" not in self._moments
+        about = {m: (mu, self._middle[m]) for m, (mu, _) in self._scale.items()}
 
         def cross(b: Block) -> np.ndarray:
-            x = feat(b.model, b.x, b.f)
+            mu, middle = about[b.model]
+            x = feat(b.model, b.x, b.f) - mu
             side = []
             for cols in sets:
-                f = b.f[:, cols]
+                f = b.f[:, cols] - middle[cols]
                 known = ~np.isnan(f).any(1) if cols else np.ones(len(x), bool)
                 side.append(known[:, None].astype(float))
                 side.append(np.where(known[:, None], np.nan_to_num(f), 0.0))
@@ -316,7 +315,7 @@ class ProbeTable:
                 one, cs = start, slice(start + 1, start + 1 + k)
                 n = g[one, d + one]
                 f_sum = g[one, d + start + 1 : d + start + 1 + k]
-                mean = {c: (f_sum[j] / n if n else 0.0) for j, c in enumerate(key)}
+                mean = {c: self._middle[m][at[c]] + (f_sum[j] / n if n else 0.0) for j, c in enumerate(key)}
                 self._moments.setdefault(key, {})[m] = {
                     "n": n, "x_sum": g[one, :d], "f_sum": f_sum, "fx": g[cs, :d],
                     "ff": g[cs, d + start + 1 : d + start + 1 + k], "f_mean": mean, "pos": {c: j for j, c in enumerate(key)},
@@ -326,11 +325,9 @@ class ProbeTable:
     def second_moment(self, model: str) -> np.ndarray:
         """Train correlation-scale second moment of the scaled features."""
         self._need_moments([()])
-        mu, sd = self._scale[model]
+        _, sd = self._scale[model]
         n = self._moments[()][model]["n"]
-        s = self._moments[()][model]["x_sum"]
-        xx = self._moments["xx"][model] - np.outer(s, mu) - np.outer(mu, s) + n * np.outer(mu, mu)
-        return xx / n / np.outer(sd, sd)
+        return self._moments["xx"][model] / n / np.outer(sd, sd)
 
     def spectrum(self, model: str) -> tuple[np.ndarray, np.ndarray]:
         """Eigenvalues and vectors of the second moment, kept for all fits of the table."""
@@ -585,19 +582,15 @@ def ridge_probe(
     rows = feature_rows(embeddings, units.where(F.col(target).isNotNull()), [], [target], split)
     train = rows.where(F.col("split") == fit_on)
 
-    def cross(b: Block) -> np.ndarray:
-        z = np.hstack([np.ones((len(b.x), 1)), b.x, b.y])
-        return z.T @ z
+    def columns(b: Block) -> tuple[np.ndarray, int, np.ndarray]:
+        return np.hstack([b.x, b.y]), b.x.shape[1], np.zeros(0)
 
     weights = {}
-    for m, g in row_sums(train, cross).items():
-        n, d = g[0, 0], len(g) - 2
-        mu, my = g[0, 1:-1] / n, g[0, -1] / n
-        xx = g[1:-1, 1:-1] - n * np.outer(mu, mu)
-        sd = np.sqrt(np.maximum(np.diag(xx) / n, 0))
+    for m, t in row_moments(train, columns).items():
+        d, mu, my = len(t.cross), t.mean[:-1], t.mean[-1]
+        sd = np.sqrt(t.squares[:-1] / t.n)
         sd = np.where(sd > 1e-12 * (1 + np.abs(mu)), sd, 1.0)
-        xy = (g[1:-1, -1] - n * mu * my) / sd
-        w = np.linalg.solve(xx / np.outer(sd, sd) + alpha * np.eye(d), xy) / sd
+        w = np.linalg.solve(t.cross[:, :-1] / np.outer(sd, sd) + alpha * np.eye(d), t.cross[:, -1] / sd) / sd
         weights[m] = (w, my - w @ mu)
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_BUCKET = "__bucket"
+BUCKET = "__bucket"
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -52,8 +52,8 @@ def with_buckets(
     return (
         df.withColumn("__edges", edges)
         .withColumn("__runs", runs)
-        .withColumn(_BUCKET, F.coalesce(F.col("__runs") * fan + rest, F.lit(0)))
-        .withColumns({} if hot is None else {hot: F.coalesce((F.get("__edges.all", F.col(_BUCKET)) == value) & (F.get("__edges.all", F.col(_BUCKET) + 1) == value), F.lit(False))})
+        .withColumn(BUCKET, F.coalesce(F.col("__runs") * fan + rest, F.lit(0)))
+        .withColumns({} if hot is None else {hot: F.coalesce((F.get("__edges.all", F.col(BUCKET)) == value) & (F.get("__edges.all", F.col(BUCKET) + 1) == value), F.lit(False))})
         .drop("__edges", "__runs")
     )
 
@@ -62,7 +62,7 @@ def hash_buckets(df: DataFrame, order: str, n_buckets: int | None = None) -> Dat
     """Buckets for an ordering by md5 hex text, which is uniform, so no edges are needed."""
     n = n_buckets or default_buckets(df)
     head = F.conv(F.substring(order, 1, 8), 16, 10).cast("bigint")
-    return df.withColumn(_BUCKET, F.coalesce(F.floor(head * n / F.lit(2**32)).cast("int"), F.lit(0)))
+    return df.withColumn(BUCKET, F.coalesce(F.floor(head * n / F.lit(2**32)).cast("int"), F.lit(0)))
 
 
 def running_totals(
@@ -96,10 +96,10 @@ def running_totals(
         out += [F.min(c).over(w.rowsBetween(0, W.unboundedFollowing)).alias(n) for c, n in mins.items()]
         return df.select(*out)
     cut = hash_buckets(df, order, n_buckets) if hashed else with_buckets(df, order, n_buckets, edges_from)
-    by = keys + [_BUCKET]
+    by = keys + [BUCKET]
 
     sums = [F.sum(c).alias(f"__t_{c}") for c in totals] + [F.min(c).alias(f"__m_{c}") for c in mins]
-    coarse = W.partitionBy(*keys).orderBy(_BUCKET)
+    coarse = W.partitionBy(*keys).orderBy(BUCKET)
     before = coarse.rowsBetween(W.unboundedPreceding, -1)
     after = coarse.rowsBetween(1, W.unboundedFollowing)
     whole = W.partitionBy(*keys)
