@@ -5,10 +5,13 @@ Base kinds are found by pattern alone: ``assign`` (a name like password or token
 confirmed: candidates in base64 or hexadecimal are decoded and parsed.
 
 * ``jwt``: the first part is a JSON object with an ``alg``, the second a JSON object.
-* ``der``: base64 of an ASN.1 key (PKCS#1, PKCS#8 or SEC 1) whose nested lengths fit exactly.
+* ``der``: base64 of an ASN.1 key (PKCS#1, PKCS#8 plain or encrypted, SEC 1, DSA) whose nested lengths fit exactly; it may be
+  wrapped into lines of equal length.
 * ``hexkey``: the same in hexadecimal.
-* ``ssh``: base64 of a length-prefixed key blob whose lengths fit exactly.
-* ``pem``: a private key block whose body is one of the above.
+* ``ssh``: base64 of a length-prefixed key blob whose lengths fit exactly, wrapped or not.
+* ``pem``: a private key block whose body is one of the above, or, if its headers say that it is encrypted, whole cipher blocks.
+
+Keys inside a reported private key block aren't reported by themselves.
 
 Spans are in code points, the end exclusive, ordered by start, then by kind as listed. Null texts count as
 empty. Each text is scanned as a whole; repeated rows, empty tables and other columns change nothing.
@@ -36,8 +39,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 ANY_HEX = re.compile(r"(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
-LONG = 20  # no run without white space that is shorter holds anything but assignments
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{60,76}(?:\r?\n[A-Za-z0-9+/]{60,76})*\r?\n[A-Za-z0-9+/]{1,76}={0,2}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:\s*[A-Za-z0-9-]+: [^\n]*\n)*)([A-Za-z0-9+/=\s]+?)-----END \1-----")
+CIPHER = re.compile(r"DEK-Info: [A-Z0-9-]+,([0-9A-Fa-f]{16,32})\s")
+LONG = 20  # no run without white space that is shorter is an access key, a hexadecimal run or a key
 
 
 def _unbase64(s: str) -> bytes | None:
@@ -90,12 +95,12 @@ def asn1_key(b: bytes | None) -> bool:
     if not inner:
         return False
     tags = [t for t, _ in inner]
-    if tags[:3] == [2, 0x30, 4] or tags == [0x30, 3]:  # PKCS#8, or a public key with its algorithm
+    if tags[:3] == [2, 0x30, 4] or tags in ([0x30, 3], [0x30, 4]):  # PKCS#8, a public key with its algorithm, or PKCS#8 encrypted
         named = _parts(inner[1 if tags[0] == 2 else 0][1])
         return bool(named) and named[0][0] == 6
     if tags[:2] == [2, 4] and inner[0][1] == b"\x01":  # SEC 1
         return len(inner[1][1]) >= 16
-    return len(tags) in (2, 9) and set(tags) == {2} and any(len(v) >= 32 for _, v in inner)  # PKCS#1
+    return len(tags) in (2, 6, 9) and set(tags) == {2} and any(len(v) >= 32 for _, v in inner)  # PKCS#1, or DSA with six numbers
 
 
 def ssh_key(b: bytes | None) -> bool:
@@ -114,25 +119,49 @@ def ssh_key(b: bytes | None) -> bool:
     return i == len(b) and len(seen) >= 2 and seen[0].startswith((b"ssh-", b"ecdsa-", b"sk-"))
 
 
+def block_key(headers: str, body: str) -> bool:
+    """Whether the inside of a private key block is a key, or cipher blocks where its headers say so."""
+    b = _unbase64("".join(body.split()))
+    if "Proc-Type: 4,ENCRYPTED" in headers:
+        named = CIPHER.search(headers)
+        return named is not None and bool(b) and len(b) % (len(named[1]) // 2) == 0
+    return asn1_key(b) or ssh_key(b)
+
+
+def wrapped_keys(text: str) -> Iterator[tuple[str, int, int]]:
+    """Keys over several lines: all lines but the last are equally long. The last line found may be other text after a key."""
+    for m in WRAPPED.finditer(text):
+        lines = m[0].split("\n")
+        if len({len(x.rstrip("\r")) for x in lines[:-1]}) > 1:
+            continue
+        for some in (lines, lines[:-1]):
+            b = _unbase64("".join(x.rstrip("\r") for x in some))
+            kind = "der" if asn1_key(b) else "ssh" if ssh_key(b) else None
+            if kind and len(some) > 1:
+                yield kind, m.start(), m.start() + len("\n".join(some).rstrip("\r"))
+                break
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """All findings of a text as (kind, start, end)."""
     out: list[tuple[str, int, int]] = []
     low = text.lower()
     if any(n in low for n in NAMES):
         out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if "eyJ" in text:
+        out += [("jwt", *m.span()) for m in JWT.finditer(text) if signed_token(m[0])]
+    pem = [m.span() for m in PEM.finditer(text) if block_key(m[2], m[3])] if "-----BEGIN " in text else []
+    out += [("pem", *s) for s in pem]
     if max(map(len, text.split()), default=0) >= LONG:
         out += [("access", *m.span()) for m in ACCESS.finditer(text)]
         out += [("hex", *m.span()) for m in HEX.finditer(text)]
-        out += [("jwt", *m.span()) for m in JWT.finditer(text) if signed_token(m[0])]
+        keys: list[tuple[str, int, int]] = []
         for m in BASE64.finditer(text):
             b = _unbase64(m[0])
-            out += [(k, *m.span()) for k, fits in (("der", asn1_key), ("ssh", ssh_key)) if fits(b)]
-        out += [("hexkey", *m.span()) for m in ANY_HEX.finditer(text) if asn1_key(bytes.fromhex(m[0]))]
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            b = _unbase64("".join(m[2].split()))
-            if asn1_key(b) or ssh_key(b):
-                out.append(("pem", *m.span()))
+            keys += [(k, *m.span()) for k, fits in (("der", asn1_key), ("ssh", ssh_key)) if fits(b)]
+        keys += [x for x in wrapped_keys(text) if x not in keys]
+        keys += [("hexkey", *m.span()) for m in ANY_HEX.finditer(text) if asn1_key(bytes.fromhex(m[0]))]
+        out += [k for k in keys if not any(lo <= k[1] and k[2] <= hi for lo, hi in pem)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -114,6 +114,34 @@ def test_secrets_equal_brute_force_and_are_confirmed(spark):
     assert secret_scan.report(edges.documents(spark)).count() == len(edges.ROWS)
 
 
+def test_further_key_forms_and_short_tokens():
+    def kinds(text):
+        return [(k, text[lo:hi]) for k, lo, hi in secret_scan.spans(text) if k not in secret_scan.KINDS[:3]]
+
+    short = "eyJhbGciOiIifQ.e30."
+    assert kinds(short) == [("jwt", short)] and kinds(f"a {short} b") == [("jwt", short)]
+    sealed = der(0x30, der(0x30, der(6, b"\x2a\x86\x48"), der(0x30)), der(4, b"\7" * 90))
+    dsa = der(0x30, der(2, b"\0"), *[der(2, b"\x7f" * 40)] * 5)
+    for key in (sealed, dsa):
+        assert kinds(base64.b64encode(key).decode()) == [("der", base64.b64encode(key).decode())]
+        assert kinds(base64.b64encode(key[:-1]).decode()) == []
+    for blob, kind in ((PKCS8, "der"), (RSA, "der"), (SSH, "ssh")):
+        for width, end in ((64, "\n"), (76, "\r\n")):
+            flat = base64.b64encode(blob).decode()
+            wrapped = end.join(flat[k:k + width] for k in range(0, len(flat), width))
+            assert kinds(f"see:\n{wrapped}\n\nand more") == [(kind, wrapped)]
+            assert kinds(f"see:\n{wrapped[:-9]}\n\nand more") == []
+    pad = next(n for n in range(100, 200) if len(base64.b64encode(der(0x30, der(2, b"\0"), *[der(2, b"\x7f" * n)] * 8))) % 64 == 0)
+    flat = base64.b64encode(der(0x30, der(2, b"\0"), *[der(2, b"\x7f" * pad)] * 8)).decode()
+    wrapped = "\n".join(flat[k:k + 64] for k in range(0, len(flat), 64))
+    assert kinds(wrapped + "\nword") == [("der", wrapped)]
+
+    def block(cipher, body):
+        return f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{cipher}\n\n{base64.encodebytes(body).decode()}-----END RSA PRIVATE KEY-----"
+    good = block("0F" * 16, bytes(range(160)))
+    assert kinds(good) == [("pem", good)] and kinds(block("0F" * 16, bytes(155))) == [] and kinds(block("", bytes(160))) == []
+
+
 def test_model_is_a_distribution_and_its_gradient_is_right():
     rng = np.random.default_rng(1)
     flat = lm.initial().astype("f8") + rng.normal(0, 0.05, lm.SIZE)
