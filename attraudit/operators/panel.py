@@ -217,16 +217,25 @@ FIT_FIELDS = [
 ]
 
 
-def _solve(g: np.ndarray, n: int, cols: list[int], y: int, shift: np.ndarray) -> dict:
+def _solve(g: np.ndarray, n: int, cols: list[int], y: int, shift: np.ndarray, centred: Mapping[int, tuple[int, int]] = {}) -> dict:
+    """One fit; `centred` names the products of columns that were taken less their shifts, with their factors."""
     at = [0, *cols]
     a, b = g[np.ix_(at, at)], g[at, y]
-    inv = np.linalg.pinv(a, rcond=1e-12, hermitian=True)
+    size = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))  # nearly equal columns are told apart at any scale
+    inv = np.linalg.pinv(a / np.outer(size, size), rcond=1e-12, hermitian=True) / np.outer(size, size)
     beta = inv @ b
     k = len(at)
     tss = g[y, y] - g[0, y] ** 2 / g[0, 0]
     ssr = max(float(g[y, y] - b @ beta), 0.0)
     move = np.eye(k)
     move[0, 1:] = -shift[[c - 1 for c in cols]]
+    for c in cols:
+        if c in centred:  # (u - s)(v - t) = uv - t u - s v + st
+            u, v = centred[c]
+            s, t, j = shift[u - 1], shift[v - 1], at.index(c)
+            move[at.index(u), j] -= t
+            move[at.index(v), j] -= s
+            move[0, j] += s * t
     beta_x = move @ beta
     beta_x[0] += shift[y - 1]
     bread = move @ inv @ move.T
@@ -245,12 +254,14 @@ def _solve(g: np.ndarray, n: int, cols: list[int], y: int, shift: np.ndarray) ->
 
 def fit_grams(
     grams: DataFrame, columns: Sequence[str], fits: Mapping[str, Sequence[str]], y: str, by: Sequence[str] = (),
-    shift: Sequence[float] | None = None,
+    shift: Sequence[float] | None = None, centred: Mapping[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """Ordinary least squares for every key and every named column set (R2).
 
     All fits of a key are sub-blocks of its one Gram matrix. One row per
-    (key, fit, term); `bread` is the flat (X'X)^-1 of the fit.
+    (key, fit, term); `bread` is the flat (X'X)^-1 of the fit. `centred` names the
+    products whose factors were shifted before they were multiplied; coefficients
+    are those of the plain products.
     """
     columns, by = list(columns), list(by)
     where = {c: i + 1 for i, c in enumerate(columns)}
@@ -259,6 +270,7 @@ def fit_grams(
     plan = {name: [where[c] for c in cols] for name, cols in fits.items()}
     yi = where[y]
     labels = {i: c for c, i in where.items()}
+    products = {where[c]: (where[a], where[b]) for c, (a, b) in (centred or {}).items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -267,7 +279,7 @@ def fit_grams(
                 key = [getattr(row, f"k{i}") for i in range(len(by))]
                 g = np.asarray(row.g, float).reshape(p, p)
                 for name, cols in plan.items():
-                    s = _solve(g, int(row.n), cols, yi, moved)
+                    s = _solve(g, int(row.n), cols, yi, moved, products)
                     for j, term in enumerate(["(Intercept)", *[labels[c] for c in cols]]):
                         t = s["beta"][j] / s["se"][j] if s["se"][j] > 0 else math.nan
                         pv = t_two_sided(t, s["dof"]) if not math.isnan(t) else math.nan
@@ -287,9 +299,23 @@ def ols(rows: DataFrame, y: str, fits: Mapping[str, Sequence[tuple]], by: Sequen
     wide, names = design(rows, terms)
     columns = list(dict.fromkeys(c for t in terms for c in names[t])) + [y]
     shift = mean_shift(wide, columns)
-    g = gram(wide, columns, by, shift=shift)
     cols = {name: [c for t in ts for c in names[t]] for name, ts in fits.items()}
-    return fit_grams(g, columns, cols, y, by, shift)
+    centred = _centred(fits, names)
+    if centred:  # products of columns that hardly vary would all but repeat the columns themselves
+        mean = dict(zip(columns, shift))
+        wide = wide.withColumns({c: (F.col(a) - F.lit(mean[a])) * (F.col(b) - F.lit(mean[b])) for c, (a, b) in centred.items()})
+        shift = [0.0 if c in centred else v for c, v in zip(columns, shift)]
+    g = gram(wide, columns, by, shift=shift)
+    return fit_grams(g, columns, cols, y, by, shift, centred)
+
+
+def _centred(fits: Mapping[str, Sequence[tuple]], names: Mapping[tuple, list[str]]) -> dict[str, tuple[str, str]]:
+    """Products whose factors are terms of every fit that holds them: taken about the means, they span the same space."""
+    out = {}
+    for t in dict.fromkeys(t for ts in fits.values() for t in ts if t[0] == "inter"):
+        if t[1] != t[2] and all(num(t[1]) in ts and num(t[2]) in ts for ts in fits.values() if t in ts):
+            out[names[t][0]] = (t[1], t[2])
+    return out
 
 
 def fit_table(fitted: DataFrame, by: Sequence[str] = (), base: str | None = None) -> DataFrame:

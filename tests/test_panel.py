@@ -144,3 +144,15 @@ def test_minimum_detectable_effect(spark):
     rows = [(float(v),) for v in (-1, 0, 1, 2, -2)]
     r = P.minimum_detectable(spark.createDataFrame(rows, "v double"), [], "v").first()
     assert r["mde"] == pytest.approx(2.8015852 * np.std([-1, 0, 1, 2, -2], ddof=1) / math.sqrt(5), rel=1e-6)
+
+
+def test_product_of_a_column_that_hardly_varies(spark):
+    rng = np.random.default_rng(3)
+    model, x = np.repeat([0.0, 1.0], 24), np.abs(rng.normal(0, 0.004, 48))
+    g = 3.93 + 4e-5 * model
+    y = 0.002 * model + x * (0.3 + 0.5 * model) + rng.normal(0, 0.001, 48)
+    got = P.ols(spark.createDataFrame(pd.DataFrame({"x": x, "g": g, "y": y})), "y", {"p": [P.num("x"), P.num("g"), P.inter("x", "g")]}).collect()
+    _, _, e, _, _ = np_ols([x, model, x * model], y)  # the same space, well apart
+    assert got[0]["r2"] == pytest.approx(1 - e @ e / ((y - y.mean()) ** 2).sum(), abs=1e-9)
+    slope = {m: np.polyfit(x[model == m], y[model == m], 1)[0] for m in (0.0, 1.0)}
+    assert {r["term"]: r["beta"] for r in got}["x:g"] == pytest.approx((slope[1.0] - slope[0.0]) / 4e-5, rel=1e-5)
