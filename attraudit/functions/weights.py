@@ -16,8 +16,9 @@ STEP, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: u (32 bits) at or above the k-th entry: a weight above k
 CUTS = [int(np.ceil(c * 2**32)) for c in poisson_cuts() if c * 2**32 <= 2**32 - 1]
 _TABLE = np.searchsorted(CUTS, np.arange(1 << 16, dtype="<u8") << np.uint64(16), "right").astype("u1")
-_EDGE = np.zeros(1 << 16, "?")
-_EDGE[[c >> 16 for c in CUTS]] = True
+_ASK = 255  # a cut lies within these upper 16 bits
+_TABLE[[c >> 16 for c in CUTS]] = _ASK
+IN_CACHE = 1 << 15  # draws mixed at once
 
 
 def row_hash(seed: int, *parts: Column | str) -> Column:
@@ -27,16 +28,27 @@ def row_hash(seed: int, *parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
+def inverted(u: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights (small integers) at 32-bit draws."""
+    w = _TABLE[u >> np.uint32(16)]
+    at = np.flatnonzero(w == _ASK)
+    if len(at):
+        w.flat[at] = np.searchsorted(CUTS, u.flat[at], "right")
+    return w
+
+
 def poisson_weights(h: np.ndarray, m: np.ndarray, b: int) -> np.ndarray:
     """Weights (rows x b) of rows with hashes h and multiplicities m."""
-    x = h.astype("<u8")[:, None] + np.arange(b, dtype="<u8") * np.uint64(STEP)
-    for _ in range(2):
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(MIX)
-    top = (x >> np.uint64(48)).astype("<u2")
-    w = _TABLE[top].astype("f8")
-    at = np.nonzero(_EDGE[top])
-    w[at] = np.searchsorted(CUTS, x[at] >> np.uint64(32), "right")
+    out = np.empty((len(h), b))
+    steps, key = np.arange(b, dtype="<u8") * np.uint64(STEP), h.astype("<u8")[:, None]
+    rows = max(1, IN_CACHE // max(b, 1))
+    for lo in range(0, len(h), rows):
+        x = key[lo:lo + rows] + steps
+        for _ in range(2):
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(MIX)
+        x >>= np.uint64(32)
+        out[lo:lo + rows] = inverted(x.astype("<u4"))
     for k in np.flatnonzero(m != 1).tolist():
-        w[k] = np.random.Generator(np.random.Philox(key=[int(h[k]), int(m[k])])).poisson(m[k], b)
-    return w
+        out[k] = np.random.Generator(np.random.Philox(key=[int(h[k]), int(m[k])])).poisson(m[k], b)
+    return out

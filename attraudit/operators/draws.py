@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.weights import poisson_weights
-from .running import default_buckets, with_buckets
+from .running import with_buckets, work_parts
 
-ROWS = 512  # rows whose weights are held at once
+ROWS = 128  # rows whose weights are held at once
 SALTS = 16
+DENSE = 8  # up to so many cells, a unit's rows are one row of a product
+OPEN_CELLS = 64  # cells whose sums a task holds at once
 _WIDE = T.ArrayType(T.DoubleType())
 
 
@@ -56,7 +58,10 @@ def by_score(s: np.ndarray, y: np.ndarray, h: np.ndarray, m: np.ndarray, b: int)
         w = poisson_weights(h[lo:hi], m[lo:hi], b)
         starts = np.flatnonzero(np.concatenate([[True], s[lo + 1:hi] != s[lo:hi - 1]]))
         is_pos = (y[lo:hi] == 1).astype("f8")[:, None]
-        pos, neg = (np.add.reduceat(v, starts) for v in (w * is_pos, w * (1 - is_pos)))
+        pos = w * is_pos
+        neg = w - pos
+        if len(starts) < hi - lo:
+            pos, neg = np.add.reduceat(pos, starts), np.add.reduceat(neg, starts)
         if pending is not None:
             if s[lo] == s[lo - 1]:
                 pos[0] += pending[0][0]
@@ -106,8 +111,10 @@ def _whole_area(cell: list[str]):
 def _bucketed(rows: DataFrame, cell: Sequence[str]) -> DataFrame:
     known = rows.where(F.col("y").isNotNull() & F.col("p").isNotNull())
     known = known.select(*cell, F.col("p").cast("double").alias("s"), F.col("y").cast("int").alias("y"), "h", F.col("m").cast("long").alias("m"))
-    cut = with_buckets(known, "s", hot="__hot")
-    return cut.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.col("h"), F.lit(SALTS)).cast("int") + 1).otherwise(0))
+    parts = work_parts(rows)
+    cut = with_buckets(known, "s", parts, hot="__hot")
+    cut = cut.withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.col("h"), F.lit(SALTS)).cast("int") + 1).otherwise(0))
+    return cut.repartition(parts, *cell, "__bucket", "__salt")
 
 
 def replicates(wide_rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -182,7 +189,7 @@ def auprc_draws(rows: DataFrame, cell: Sequence[str], b: int) -> DataFrame:
     sums = cut.groupBy(*by).applyInArrow(_bucket_sums(by, b), wide_schema(cut, by, ["pos", "neg", "area"]))
     names = ["hit", "called", "all_pos", "part", "all_neg"]
     above = sums.groupBy(*cell).applyInArrow(_offsets(cell, by), wide_schema(cut, by, names))
-    parts = cut.groupBy(*by).cogroup(above.groupBy(*by)).applyInArrow(
+    parts = cut.groupBy(*by).cogroup(above.repartition(work_parts(rows), *by).groupBy(*by)).applyInArrow(
         _when_both(_precision_sums(cell, b), wide_schema(cut, cell, ["part", "pos", "neg"])), wide_schema(cut, cell, ["part", "pos", "neg"]))
     whole = parts.groupBy(*cell).applyInArrow(_first_and_sum(cell), wide_schema(cut, cell, ["part", "pos", "neg"]))
     value = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("part") / F.col("pos"))
@@ -201,14 +208,53 @@ def _when_both(fn, schema: T.StructType):
     return both
 
 
-def _products(by: list[str], features: list[str], b: int):
-    def products(table: pa.Table) -> pa.Table:
-        x = np.stack([table[f].to_numpy() for f in features], 1)
-        h, m = numbers(table, "h m")
-        out = np.zeros((len(features), b))
-        for lo in range(0, len(x), ROWS):
-            out += x[lo:lo + ROWS].T @ poisson_weights(h[lo:lo + ROWS], m[lo:lo + ROWS], b)
-        return one_row(table, by, {f: out[k] for k, f in enumerate(features)})
+def _products(cell: list[str], features: list[str], b: int):
+    """Sums of a task's rows, which come sorted by hash: rows of one unit share its weights, whatever their cell."""
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        first: dict[tuple, pa.Table] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for key, sums in total.items():
+                yield from one_row(first[key], cell, {f: sums[k] for k, f in enumerate(features)}).to_batches()
+            total.clear()
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not len(table):
+                continue
+            x = np.stack([table[f].to_numpy() for f in features], 1)
+            h, m = numbers(table, "h m")
+            keys, code = [()], np.zeros(len(x), "<i8")
+            if cell:
+                seen = table.select(cell).to_pandas().groupby(cell, sort=False, dropna=False).ngroup().to_numpy()
+                at = np.unique(seen, return_index=True)[1]
+                keys, code = [tuple(repr(table[c][int(k)].as_py()) for c in cell) for k in at], seen
+                for key, k in zip(keys, at.tolist()):
+                    first.setdefault(key, table.slice(k, 1).select(cell))
+            else:
+                first.setdefault((), table.slice(0, 1).select([]))
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (m[1:] != m[:-1])])
+            unit, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+            sums = np.zeros((len(keys), len(features), b))
+            for lo in range(0, len(starts), ROWS):
+                own = starts[lo:lo + ROWS]
+                rows = slice(own[0], starts[lo + ROWS] if lo + ROWS < len(starts) else len(x))
+                w = poisson_weights(h[own], m[own], b)
+                u, c = unit[rows] - lo, code[rows]
+                if len(keys) <= DENSE:
+                    side = np.zeros((len(own), len(keys), len(features)))
+                    np.add.at(side, (u, c), x[rows])
+                    sums += (side.reshape(len(own), -1).T @ w).reshape(sums.shape)
+                else:
+                    for k in np.unique(c).tolist():
+                        mine = c == k
+                        sums[k] += x[rows][mine].T @ w[u[mine]]
+            for k, key in enumerate(keys):
+                total[key] = total[key] + sums[k] if key in total else sums[k]
+            if len(total) > OPEN_CELLS:
+                yield from flush()
+        yield from flush()
 
     return products
 
@@ -223,9 +269,7 @@ def _added(cell: list[str], features: list[str]):
 def weighted_sums(rows: DataFrame, cell: Sequence[str], features: dict[str, Column], b: int) -> DataFrame:
     """(cell, rep, features): the weighted sum of each feature in every replicate, one matrix product a block of rows."""
     cell, names = list(cell), list(features)
-    parts = max(8, default_buckets(rows) // 4)
     flat = rows.select(*cell, *[c.cast("double").alias(f) for f, c in features.items()], "h", F.col("m").cast("long").alias("m"))
-    flat = flat.withColumn("__salt", F.pmod(F.col("h"), F.lit(parts)).cast("int"))
-    by = [*cell, "__salt"]
-    some = flat.groupBy(*by).applyInArrow(_products(by, names, b), wide_schema(flat, by, names))
+    dealt = flat.repartition(work_parts(rows), "h").sortWithinPartitions("h", "m")
+    some = dealt.mapInArrow(_products(cell, names, b), wide_schema(flat, cell, names))
     return replicates(some.groupBy(*cell).applyInArrow(_added(cell, names), wide_schema(flat, cell, names)), cell, names)

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import poisson_many, poisson_one, uniform
 from ..functions.weights import row_hash
+from ..session import short
 from .draws import auprc_draws, auroc_draws, weighted_sums
+from .picks import picked_means, rank_draws
 from .fairness import gap
 from .panel import spearman
 from .permute import shuffled_groups, shuffled_labels
@@ -99,7 +101,7 @@ def _mean_of(feature: Callable[[], Column]):
 def _r2_draws(rows, cell, b):
     known = rows.where(F.col("p").isNotNull())
     middle = known.groupBy(*cell).agg(F.avg("y").alias("__c"))  # sums of squares are taken about the mean
-    known = _attach(known, middle, cell)
+    known = _attach(known, short(middle) if cell else middle, cell)
     y, e = F.col("y") - F.col("__c"), F.col("y") - F.col("p")
     s = weighted_sums(known, cell, {"w": F.lit(1.0), "y": y, "yy": y * y, "ee": e * e}, b)
     return s.select(*cell, "rep", (1 - F.try_divide("ee", F.col("yy") - F.try_divide(F.col("y") * F.col("y"), F.col("w")))).alias("value"))
@@ -249,21 +251,20 @@ def bootstrap_mean_exact(panel: DataFrame, keys: Sequence[str], unit: str, value
 
     keys = list(keys)
     rows = panel.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("v"), F.row_number().over(W.partitionBy(*keys).orderBy(unit)).alias("i")
+        *keys, F.col(value).cast("double").alias("v"), F.row_number().over(W.partitionBy(*keys).orderBy(unit)).alias("i")
     )
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("point"))
-    picks = with_replicates(sizes, b).withColumn("d", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    picks = picks.withColumn("i", (F.floor(uniform(seed, "rep", *keys, "d") * F.col("n")) + 1).cast("int"))
-    reps = picks.join(rows, [*keys, "i"]).groupBy(*keys, "rep").agg(F.avg("v").alias("value"))
-    return sizes.select(*keys, "n", "point").join(interval(reps, keys, ci=ci), keys)
+    return sizes.select(*keys, "n", "point").join(interval(picked_means(rows, keys, b, seed), keys, ci=ci), keys)
 
 
 def bootstrap_spearman(rows: DataFrame, cell: Sequence[str], x: str, y: str, unit: str, b: int = 10000, ci: float = 0.95, seed: int = 42, small: bool = False) -> DataFrame:
-    """Spearman correlation with a bootstrap interval."""
+    """Spearman correlation with a bootstrap interval (I7); `small` takes the ranks of a cell in one task, all replicates at once."""
     cell = list(cell)
-    drawn = draw(rows.select(*cell, x, y, unit), b, seed, [unit])
     point = spearman(rows, cell, x, y, small=small).select(*cell, F.col("rho").alias("point"))
-    reps = spearman(drawn, [*cell, "rep"], x, y, small=small, weight="w")
+    if small:
+        reps = rank_draws(rows, cell, x, y, unit, b, seed)
+    else:
+        reps = spearman(draw(rows.select(*cell, x, y, unit), b, seed, [unit]), [*cell, "rep"], x, y, weight="w")
     return _attach(point, interval(reps, cell, "rho", ci), cell)
 
 
@@ -273,7 +274,7 @@ def bootstrap_slope(rows: DataFrame, cell: Sequence[str], x: str, y: str, unit:
     base = rows.select(*cell, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), unit).dropna(subset=["x", "y"])
 
     middle = base.groupBy(*cell).agg(F.avg("x").alias("__x"), F.avg("y").alias("__y"))  # products are taken about the means
-    about = _attach(base, middle, cell).withColumns({"x": F.col("x") - F.col("__x"), "y": F.col("y") - F.col("__y")}).drop("__x", "__y")
+    about = _attach(base, short(middle) if cell else middle, cell).withColumns({"x": F.col("x") - F.col("__x"), "y": F.col("y") - F.col("__y")}).drop("__x", "__y")
 
     def slope():
         sw, sx, sy = F.col("w"), F.col("sx"), F.col("sy")

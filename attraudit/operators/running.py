@@ -23,6 +23,14 @@ def default_buckets(df: DataFrame) -> int:
     return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def work_parts(df: DataFrame) -> int:
+    """Tasks for work that far outweighs its rows, as draws do: several for every core, whatever the size of the rows.
+
+    A repartition by this number is left as it is by AQE, which would join small partitions of much work.
+    """
+    return max(default_buckets(df), 4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def with_buckets(
     df: DataFrame, order: str, n_buckets: int | None = None, edges_from: DataFrame | None = None, hot: str | None = None
 ) -> DataFrame:

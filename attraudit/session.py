@@ -5,6 +5,9 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SHORT_ROWS = 100_000  # a join side is broadcast only when a count has shown it to be no longer
 
 
 def local_session(cores: int | str = 8, app: str = "attraudit") -> SparkSession:
@@ -44,3 +47,9 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def short(df: DataFrame) -> DataFrame:
+    """A table of one row per key, stored, and broadcast if it proves short: rows joined to it stay where they are, however frequent a key is."""
+    kept = materialize(df)
+    return F.broadcast(kept) if kept.limit(SHORT_ROWS + 1).count() <= SHORT_ROWS else kept

@@ -189,3 +189,51 @@ def test_rows_are_not_copied_per_replicate(rows):
     plan = auroc_draws(R.hashed(rows, 42, ["unit"]), ["cell"], 1000)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("FlatMapGroupsInArrow")  # the plan is printed from the top
     assert plan.count("Generate") == 1
+
+
+def test_md5_grid_equals_hashlib():
+    from attraudit.functions.md5 import as_bytes, md5_grid
+
+    texts = as_bytes(["", "é:x", "17", "a" * 54, "b" * 60, *map(str, range(40))])
+    prefixes = ["", "7:", "42:19:R:O:", "x" * 50]
+    got = md5_grid(prefixes, texts)
+    assert [[int(hashlib.md5(p.encode() + t).hexdigest()[:16], 16) for t in texts.tolist()] for p in prefixes] == got.tolist()
+
+
+def test_work_of_draws_is_dealt_to_many_tasks(spark, rows):
+    few = rows.coalesce(1).withColumn("h", row_hash(42, "unit")).withColumn("m", F.lit(1))  # AQE would join so few rows into one task
+    for out in (weighted_sums(few, ["cell"], {"x": F.col("p")}, B), auroc_draws(few, ["cell"], B)):
+        out.collect()
+        assert f", {4 * spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM" in out._jdf.queryExecution().toString()
+
+
+def test_picks_of_many_blocks_and_null_keys(spark, monkeypatch):
+    from attraudit.operators import picks
+
+    monkeypatch.setattr(picks, "VALUES", 7)
+    panel = [(m, i, float(i * i % 11)) for m in ("a", None) for i in range(20)]
+    base = spark.createDataFrame([(m, i + 1, v) for m, i, v in panel], "m string, i int, v double")
+    got = {(r["m"], r["rep"]): r["value"] for r in picks.picked_means(base, ["m"], 9, 42).collect()}
+    for m in ("a", None):
+        v = [x[2] for x in panel if x[0] == m]
+        for rep in range(9):
+            at = [int(int(hashlib.md5(":".join(map(str, [42, rep, *([m] if m else []), d])).encode()).hexdigest()[:8], 16) / 2**32 * 20) for d in range(1, 21)]
+            assert got[m, rep] == pytest.approx(np.mean([v[k] for k in at]))
+
+
+def test_first_flags_over_batches_and_a_null_entity(spark):
+    from attraudit.operators.cohort import one_per_entity_patterns
+
+    rng = np.random.default_rng(8)
+    data = [(None if e == 5 else int(e), u, int(f)) for u, (e, f) in enumerate(zip(np.sort(rng.integers(0, 9, 300)), rng.integers(0, 2, 300)))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r["seed"], r["f"]): r["n"] for r in one_per_entity_patterns(spark.createDataFrame(data, "e int, u int, f int"), "e", "u", ["f"], [1, 23]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for seed in (1, 23):
+        for e in {x[0] for x in data}:
+            f = min((hashlib.md5(f"{seed}:{u}".encode()).hexdigest(), f) for k, u, f in data if k == e)[1]
+            want[seed, f] = want.get((seed, f), 0) + 1
+    assert got == want
