@@ -1,14 +1,17 @@
 """Cohorts, entity attributes, leak-free splits and eligibility guards."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.md5 import as_bytes, md5_grid
 from ..functions.rand import hash_order
 from ..schema import require
-from .running import exact_quantiles, running_totals
+from .running import exact_quantiles, running_totals, work_parts
 
 
 def canonical_units(embeddings: DataFrame, units: DataFrame | None = None, n_models: int | None = None) -> DataFrame:
@@ -98,11 +101,48 @@ def one_per_entity_sweep(units: DataFrame, entity: str, unit: str, seeds: Sequen
     return picked.select("seed", "r.*")
 
 
+def _first_flags(seeds: list[int], bits: int, digits: int):
+    """Patterns of each entity's first unit under every seed, counted per task; rows come sorted by entity."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, dict[int, int]] = {}
+        rest: tuple | None = None  # the last entity and its minima: the next batch may go on with it
+
+        def add(least: np.ndarray) -> None:
+            got = [np.unique(row, return_counts=True) for row in least & ((1 << bits) - 1)]
+            for k, (flags, n) in enumerate(got):
+                mine = found.setdefault(k, {})
+                for f, c in zip(flags.tolist(), n.tolist()):
+                    mine[f] = mine.get(f, 0) + c
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            entity, flags = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(), batch.column(2).to_numpy()
+            heads = md5_grid([str(s) for s in seeds], as_bytes(batch.column(1).to_pylist())) >> np.uint64(64 - 4 * digits)
+            starts = np.flatnonzero(np.concatenate([[True], entity[1:] != entity[:-1]]))
+            least = np.minimum.reduceat((heads.astype("i8") << bits) + flags, starts, axis=1)
+            if rest is not None:
+                if rest[0] == batch.column(0)[0].as_py():
+                    least[:, 0] = np.minimum(least[:, 0], rest[1])
+                else:
+                    add(rest[1][:, None])
+            rest = batch.column(0)[len(batch) - 1].as_py(), least[:, -1]
+            add(least[:, :-1])
+        if rest is not None:
+            add(rest[1][:, None])
+        rows = [(seeds[k], f, n) for k, mine in found.items() for f, n in mine.items()]
+        if rows:
+            seed, f, n = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(seed, pa.int32()), pa.array(f, pa.int64()), pa.array(n, pa.int64())], ["seed", "__flags", "n"])
+
+    return count
+
+
 def one_per_entity_patterns(units: DataFrame, entity: str, unit: str, columns: Sequence[str], seeds: Sequence[int]) -> DataFrame:
     """(seed, columns, n): how many entities show each pattern of 0, 1 or null in their one random unit, for each seed.
 
-    One group-by holds, per entity, a minimum for every seed: the head of the unit's hash, with its flags packed
-    behind it. Rows are not copied per seed; only flags are, after the group-by, and they are counted at once.
+    Rows come sorted by entity; a task keeps, per entity, a minimum for every seed: the head of the unit's hash, with
+    its flags packed behind it. Rows are not copied per seed; a task hands on its counts of patterns only.
     """
     bits = 2 * len(columns)
     digits = (63 - bits) // 4
@@ -111,15 +151,10 @@ def one_per_entity_patterns(units: DataFrame, entity: str, unit: str, columns: S
     flags = F.lit(0).cast("bigint")
     for c in columns:
         flags = flags * 4 + F.when(F.col(c) == 1, 1).when(F.col(c) == 0, 0).otherwise(2)
-    slim = units.select(entity, F.col(unit).alias("__unit"), flags.alias("__flags"))
-
-    def first(seed: int) -> Column:
-        head = F.conv(F.substring(hash_order(seed, "__unit"), 1, digits), 16, 10).cast("bigint")
-        return F.min(F.shiftleft(head, bits) + F.col("__flags")).bitwiseAND((1 << bits) - 1)
-
-    per = slim.groupBy(entity).agg(*[first(int(s)).alias(f"__s{k}") for k, s in enumerate(seeds)])
-    picked = F.array(*[F.struct(F.lit(int(s)).alias("seed"), F.col(f"__s{k}").alias("__flags")) for k, s in enumerate(seeds)])
-    counts = per.select(F.inline(picked)).groupBy("seed", "__flags").agg(F.count(F.lit(1)).alias("n"))
+    tail = F.coalesce(F.concat(F.lit(":"), F.col(unit).cast("string")), F.lit(""))
+    slim = units.select(F.col(entity).alias("__entity"), tail.alias("__unit"), flags.alias("__flags"))
+    dealt = slim.repartition(work_parts(units), "__entity").sortWithinPartitions("__entity")
+    counts = dealt.mapInArrow(_first_flags([int(s) for s in seeds], bits, digits), "seed int, __flags long, n long").groupBy("seed", "__flags").agg(F.sum("n").alias("n"))
     code = [F.shiftright("__flags", 2 * (len(columns) - 1 - k)).bitwiseAND(3) for k in range(len(columns))]
     return counts.select("seed", *[F.when(x < 2, x.cast("int")).alias(c) for x, c in zip(code, columns)], "n")
 
