@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tails import f_upper, normal_two_sided, p_chi2, p_student, t_two_sided
+from ..session import short
 from .gram import mean_shift, gram, sum_arrays
 from .running import BUCKET, default_buckets, exact_quantiles, rank_rows, with_buckets
 
@@ -342,6 +343,8 @@ def predictions(rows: DataFrame, y: str, x: Sequence[str], by: Sequence[str] = (
         *[F.max(F.when(F.col("term") == t, F.col("beta"))).alias(f"b{i}") for i, t in enumerate(terms)],
         F.first("bread").alias("bread"), F.first("ssr").alias("ssr"), F.first("n").alias("n_fit"),
     )
+    if by:
+        per = short(per)
     full = attach(rows.dropna(subset=columns), per, by)
     hat = F.col("b0")
     for i, c in enumerate(x):
