@@ -1,7 +1,7 @@
 """Shared views of the test tables, once as DataFrames and once as SQL text."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,16 +93,16 @@ def split_col(u):
     return F.when(u < 0.7, "train").when(u < 0.85, "val").otherwise("test")
 
 
-def scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Two scores for two findings of every unit: the contract of the metric operators."""
+def scores(spark: SparkSession, sf: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Two scores for two findings of every unit: the contract of the metric operators; `keep` names columns of the unit to carry along."""
     df = labelled(spark, sf, "ignore").withColumn("split", split_col(uniform(42, "entity_id")))
     rows = F.array(*[
         F.struct(F.lit(m).alias("model"), F.lit(f).alias("finding"), p.alias("p"), F.col(f).alias("y"))
         for m, p in (("a", F.col("price") / 500000), ("b", (F.floor("balance") + 1000) / 11000))
         for f in ("fulfilled", "urgent")
     ])
-    long = df.select("unit_id", "entity_id", "grp", "split", F.explode(rows).alias("r"))
-    return long.select("unit_id", "entity_id", "grp", "split", "r.*").where(F.col("y").isNotNull())
+    base = ["unit_id", "entity_id", "grp", "split", *keep]
+    return df.select(*base, F.explode(rows).alias("r")).select(*base, "r.*").where(F.col("y").isNotNull())
 
 
 U_SQL = "(('0x' || substr(md5('42:' || entity_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
