@@ -4,10 +4,12 @@ Shingles: A-Z in lower case, words parted by ASCII white space, five words (all
 each distinct one once, as 64-bit hashes. Texts of equal sets are one node. Texts without words are one
 node, too.
 
-Candidates share one of ``BANDS`` bands of ``WIDTH`` MinHash values: a pair at 0.8 is missed with
-probability (1 - 0.8 ** 4) ** 32 = 4e-8, less above. Every candidate is judged by its exact sets. First each
+Candidates come from operator 7's SimHash links first: fingerprints that differ in at most four bits, found by
+anchors, one link per edge of its forest. Near copies at 0.8 mostly differ in 5 to 13 bits, so its links alone
+would lose them; the others share one of ``BANDS`` bands of ``WIDTH`` MinHash values: a pair at 0.8 is missed
+with probability (1 - 0.8 ** 4) ** 32 = 4e-8, less above. Every candidate is judged by its exact sets. Then each
 node meets the hub (smallest node) of each of its bands' buckets, which is linear in the nodes: first in
-``FIRST`` bands, which join most copies, then in the others where node and hub aren't joined yet. Last, in
+``FIRST`` bands, then in the others, always where node and hub aren't joined yet. Last, in
 buckets whose members aren't all joined yet, all members of different components meet in a grid of blocks,
 within which joined components aren't compared again. Only confirmed links are handed on. Sets are made
 for candidates alone and never stored for the others.
@@ -80,7 +82,7 @@ def is_similar(a: np.ndarray, b: np.ndarray, similar: float) -> bool:
     return both >= similar * (len(a) + len(b) - both) - 1e-9
 
 
-_NODE = T.StructType([T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+_NODE = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def _sketched(text: Column) -> Column:
@@ -88,15 +90,16 @@ def _sketched(text: Column) -> Column:
     @tidy
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            nodes, bands, ends = [], [np.zeros(0, "<u8")], [0]
+            nodes, sims, bands, ends = [], [], [np.zeros(0, "<u8")], [0]
             for t in b:  # one text's shingles at a time
                 s = shingles_of(t.as_py())
                 nodes.append(node_of(s))
+                sims.append(simhash.fingerprint_of(t.as_py()))
                 if len(s):
                     bands.append(bands_of(s))
                 ends.append(BANDS * (len(bands) - 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands).view("<i8")))
-            yield pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), lists], ["fp", "bands"])
+            yield pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.array(sims, "<u8").view("<i8")), lists], ["fp", "sim", "bands"])
 
     return of(text)
 
@@ -165,18 +168,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return met.where(both >= similar * (sizes - both) - 1e-9).select(F.col("fp").alias("u"), F.col("hub").alias("v"))
 
 
-def links(df: DataFrame, nodes: DataFrame, text: str = "text", similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
-    """Confirmed links (u, v) that connect the nodes (fp, th of one text, bands) as all pairs of that similarity do."""
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (fp, hub) of the nodes (fp, sim) that operator 7 links: nodes of one fingerprint with its smallest, and these along its forest."""
+    named = nodes.where(F.col("fp") != 0).groupBy("sim").agg(F.min("fp").alias("hub"), F.count("*").alias("n"))
+    named = stored(named, "fingerprints")
+    same = nodes.join(named.where("n > 1").select("sim", "hub"), "sim").where(F.col("fp") != F.col("hub")).select("fp", "hub")
+    edges = simhash.links(named.select(F.col("sim").alias("fp")))
+    ends = [named.select(F.col("sim").alias(c), F.col("hub").alias(f"{c}_hub")) for c in "uv"]
+    far = edges.join(ends[0], "u").join(ends[1], "v").select(F.col("u_hub").alias("fp"), F.col("v_hub").alias("hub"))
+    return stored(same.where("fp != 0").unionByName(far).distinct(), "simhash_pairs")
+
+
+def links(df: DataFrame, nodes: DataFrame, text: str = "text", similar: float = SIMILAR, block: int = BLOCK, near: DataFrame | None = None) -> DataFrame:
+    """Confirmed links (u, v) that connect the nodes (fp, th of one text, bands) as all pairs of that similarity do.
+
+    `near` holds pairs (fp, hub) that are judged before those of the bands.
+    """
     posted = nodes.select("fp", F.posexplode("bands").alias("band", "key"))
     buckets = stored(posted.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).where("hub < top").select("key", "hub"), "buckets")
     members = stored(posted.join(buckets, "key").select("band", "key", "fp", "hub"), "members")
-    wanted = stored(members.select("fp").distinct().join(nodes.select("fp", "th"), "fp"), "candidates")
+    met = members.select("fp") if near is None else members.select("fp").unionByName(near.select("fp")).unionByName(near.select(F.col("hub").alias("fp")))
+    wanted = stored(met.distinct().join(nodes.select("fp", "th"), "fp"), "candidates")
     texts = df.select(F.xxhash64(text_or_empty(text)).alias("th"), text_or_empty(text).alias("t"))
     texts = texts.join(bounded(wanted), "th").groupBy("fp").agg(F.min("t").alias("t"))
     sets = stored(texts.select("fp", _spelt(F.col("t")).alias("own")), "sets")
     roots = None
-    for band in (F.col("band") < FIRST, F.col("band") >= FIRST):
-        pairs = members.where(band & (F.col("fp") != F.col("hub"))).select("fp", "hub").distinct()
+    banded = members.where(F.col("fp") != F.col("hub"))
+    for pairs in ([] if near is None else [near]) + [banded.where(band).select("fp", "hub").distinct() for band in (F.col("band") < FIRST, F.col("band") >= FIRST)]:
         if roots is not None:
             pairs = pairs.join(roots, "fp", "left").join(roots.toDF("hub", "hub_root"), "hub", "left")
             pairs = pairs.where(F.coalesce("root", "fp") != F.coalesce("hub_root", "hub")).select("fp", "hub")
@@ -198,8 +216,8 @@ def links(df: DataFrame, nodes: DataFrame, text: str = "text", similar: float =
 def classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, th, fp, root, component_id) of near copies, as simhash names them."""
     docs = stored(df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_or_empty(text)).alias("th"), _sketched(text_or_empty(text)).alias("s")).select("doc_id", "th", "s.*"), "sketches")
-    nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("bands").alias("bands")), "nodes")
-    return simhash.rooted(docs.drop("bands"), nodes.select("fp", "first"), links(df, nodes, text))
+    nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.min("sim").alias("sim"), F.min("bands").alias("bands")), "nodes")
+    return simhash.rooted(docs.drop("sim", "bands"), nodes.select("fp", "first"), links(df, nodes, text, near=simhash_pairs(nodes.select("fp", "sim"))))
 
 
 def keep_first(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -33,7 +33,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    """The first document of each group of near copies: operator 7's links, completed by MinHash bands, each of Jaccard similarity 0.8 or more."""
     return near_copies.keep_first(docs)
 
 

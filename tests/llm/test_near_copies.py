@@ -72,3 +72,32 @@ def test_links_connect_what_brute_force_connects(spark, block):
             by_root.setdefault(w, set()).add(got.get(n, n))
     assert all(len(v) == 1 for v in by_root.values())
     assert len({next(iter(v)) for v in by_root.values()}) == len(by_root) < len(texts) - 20
+
+
+def test_stage_judges_the_links_of_operator_7(spark):
+    """Pairs within four bits are candidates, and the groups are those of brute force over all pairs."""
+    from attraudit.llm import simhash
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(900)]
+    texts = []
+    for _ in range(30):
+        text = rng.choices(words, k=400)
+        texts.append(" ".join(text))
+        for k in (1, 9):
+            other = list(text)
+            for at in rng.sample(range(400), k):
+                other[at] = rng.choice(words)
+            texts.append(" ".join(other))
+    sets, fps = brute_sets(texts), [simhash.fingerprint_of(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
+    near = [(i, j) for i, j in near if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) > 10
+    judged = {}
+    pairs = near_copies.simhash_pairs(spark.createDataFrame([(near_copies.node_of(near_copies.shingles_of(t)), int(f) - (1 << 64) * (f >> 63)) for t, f in zip(texts, fps)], "fp long, sim long"))
+    node = [near_copies.node_of(near_copies.shingles_of(t)) for t in texts]
+    for r in components(pairs.select(near_copies.F.col("fp").alias("u"), near_copies.F.col("hub").alias("v"))).collect():
+        judged[r.u] = r.root
+    assert all(judged.get(node[i], node[i]) == judged.get(node[j], node[j]) for i, j in near)
+    rows = [(k, t, "en", "a", 1) for k, t in enumerate(texts)]
+    assert kept(spark, rows) == [k for k, g in enumerate(brute_groups(sets)) if g == k]
