@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .draws import numbers, one_row, replicates, wide, wide_schema
-from .running import with_buckets
+from .running import with_buckets, work_parts
 
 
 def generator(seed: int, *keys: int) -> np.random.Generator:
@@ -44,7 +44,12 @@ def dealt(rng: np.random.Generator, left: np.ndarray, count: int) -> np.ndarray:
 
 def _flat(counts: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Distinct scores with their counts, their bucket and a hash of their cell."""
-    return with_buckets(counts, "s").withColumn("__cell", F.xxhash64(*[F.col(c).cast("string") for c in cell], F.lit(0)))
+    return with_buckets(counts, "s", work_parts(counts)).withColumn("__cell", F.xxhash64(*[F.col(c).cast("string") for c in cell], F.lit(0)))
+
+
+def _dealt_out(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Buckets in as many tasks as there are buckets a cell."""
+    return df.repartition(work_parts(df), *by)
 
 
 def _deal_labels(by: list[str], b: int, seed: int):
@@ -92,7 +97,7 @@ def shuffled_labels(rows: DataFrame, cell: Sequence[str], b: int, seed: int) ->
     by = [*cell, "__bucket"]
     sizes = cut.groupBy(*by).agg(F.sum("n").alias("rows"), F.sum("pos").alias("pos"), F.max("__cell").alias("__cell"))
     offsets = sizes.groupBy(*cell).applyInArrow(_deal_labels(by, b, seed), wide_schema(cut, by, ["positives", "below"]))
-    parts = cut.groupBy(*by).cogroup(offsets.groupBy(*by)).applyInArrow(_rank_sums(cell, b, seed), wide_schema(cut, cell, ["ranks"]))
+    parts = _dealt_out(cut, by).groupBy(*by).cogroup(_dealt_out(offsets, by).groupBy(*by)).applyInArrow(_rank_sums(cell, b, seed), wide_schema(cut, cell, ["ranks"]))
     return replicates(parts.groupBy(*cell).applyInArrow(_added(cell), wide_schema(cut, cell, ["ranks"])), cell, ["ranks"])
 
 
@@ -162,6 +167,6 @@ def shuffled_groups(rows: DataFrame, sizes: DataFrame, cell: Sequence[str], b: i
     found = cut.groupBy(*by).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("__cell").alias("__cell"))
     found = found.join(sizes, cell) if cell else found.withColumn("sizes", sizes.select("sizes").scalar())
     offsets = found.groupBy(*cell).applyInArrow(_deal_groups(by, b, seed), wide_schema(cut, by, ["pos", "neg"]))
-    parts = cut.groupBy(*by).cogroup(offsets.groupBy(*by)).applyInArrow(_group_areas(by, b, seed), wide_schema(cut, by, ["area", "pos", "neg"]))
+    parts = _dealt_out(cut, by).groupBy(*by).cogroup(_dealt_out(offsets, by).groupBy(*by)).applyInArrow(_group_areas(by, b, seed), wide_schema(cut, by, ["area", "pos", "neg"]))
     gaps = replicates(parts.groupBy(*cell).applyInArrow(_gaps(cell, b, min_n), wide_schema(cut, cell, ["gap"])), cell, ["gap"])
     return gaps.select(*cell, "rep", F.when(~F.isnan("gap"), F.col("gap")).alias("v"))
