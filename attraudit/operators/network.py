@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import blocks
+from .blocks import Block, blocks
 from .gram import sum_arrays
-from .probes import Cell, ProbeTable, _Map, _Search
+from .probes import Cell, ProbeTable, _Map, _Search, _counter
 
 ACTIVATIONS = 1 << 21  # hidden values of a block that a task holds at once
 
@@ -70,7 +70,7 @@ def _evaluate(table: ProbeTable, rows: DataFrame, cells: Sequence[Cell], units,
     for p in plan.values():
         at = p["cells"]
         p["u"], p["v"], p["c"] = np.vstack([units[i] for i in at]), np.array([outs[i] for i in at]), np.array([offsets[i] for i in at])
-    shared, feat = rows.sparkSession.sparkContext.broadcast(plan), table._featurize()
+    shared, feat, counts = rows.sparkSession.sparkContext.broadcast(plan), table._featurize(), _counter(len(table.targets))
     schema = T.StructType([
         T.StructField("cell", T.IntegerType()), T.StructField("unit", T.IntegerType()), T.StructField("n", T.DoubleType()),
         T.StructField("g", T.ArrayType(T.DoubleType())),
@@ -86,23 +86,22 @@ def _evaluate(table: ProbeTable, rows: DataFrame, cells: Sequence[Cell], units,
                     continue
                 k, h = p["v"].shape
                 step = max(1, ACTIVATIONS // (k * h))
+                known, hits = counts(b, p)
                 for lo in range(0, len(b.at), step):
                     s = slice(lo, lo + step)
-                    x, f = feat(b.model, b.x[s], b.f[s]), b.f[s]
+                    x, f, n, y = feat(b.model, b.x[s], b.f[s]), b.f[s], known[s], hits[s]
                     z = np.hstack([x, np.nan_to_num(f), np.ones((len(x), 1))])
-                    y, mine = b.y[s][:, p["target"]], train[b.at[s]][:, None]
-                    ok = _usable(y, f, p["need"])
-                    y = np.where(ok, y, 0.0)
+                    mine = train[b.at[s]][:, None]
                     act = _hidden(z, p["u"], k)
                     logit = np.einsum("nkh,kh->nk", act, p["v"]) + p["c"]
-                    loss = ok * (np.logaddexp(0, logit) - y * logit)
-                    miss = (ok & mine) * (0.5 * (1 + np.tanh(0.5 * logit)) - y)
+                    loss = n * np.logaddexp(0, logit) - y * logit
+                    miss = mine * (n * (0.5 * (1 + np.tanh(0.5 * logit))) - y)
                     g_out = np.einsum("nkh,nk->kh", act, miss)
                     act *= act
                     np.subtract(1, act, out=act)
                     act *= miss[:, :, None] * p["v"]
                     g_unit = act.reshape(len(z), -1).T @ z
-                    head = np.array([(loss * mine).sum(0), (ok & mine).sum(0), (loss * ~mine).sum(0), (ok & ~mine).sum(0), miss.sum(0)]).T
+                    head = np.array([(loss * mine).sum(0), (n * mine).sum(0), (loss * ~mine).sum(0), (n * ~mine).sum(0), miss.sum(0)]).T
                     part = (g_unit, g_out, head)
                     total[b.model] = tuple(a + c for a, c in zip(total[b.model], part)) if b.model in total else part
         for m, (g_unit, g_out, head) in total.items():
@@ -175,7 +174,7 @@ def fit_network(table: ProbeTable, cells: Sequence[Cell], net: Network = Network
         i, r = needs.index((x.variant.needs, x.target)), got.get(x.model)
         n, p = (r[f"n{i}"], r[f"p{i}"]) if r else (0, 0)
         searches.append(_Descent(start_weights(mp.size, net, (p + 0.5) / (n + 1.0))))
-    rows = table.rows.where(F.col("split").isin(fit_on, check_on)).select("model", "x", "f", "y", "split")
+    rows = table.groups.where(F.col("split").isin(fit_on, check_on)).select("model", "x", "f", "y", "split")
     best = [(math.inf, s.theta) for s in searches]
     stale, gone = [0] * len(cells), [False] * len(cells)
     for _ in range(net.max_rounds):
@@ -208,6 +207,27 @@ def fit_network(table: ProbeTable, cells: Sequence[Cell], net: Network = Network
     return NetworkFit(cells, [e[0] for e in ends], [e[1] for e in ends], [e[2] for e in ends], [s.rounds for s in searches], [b[0] for b in best])
 
 
+def network_group_scores(table: ProbeTable, fitted: NetworkFit, splits: Sequence[str] = ("test",)) -> DataFrame:
+    """Scores of groups of units with their weights, in the layout of `ProbeTable.group_scores`."""
+    plan = table._plan(fitted.cells)
+    for p in plan.values():
+        at = p["cells"]
+        p["u"], p["v"], p["c"] = np.vstack([fitted.units[i] for i in at]), np.array([fitted.out[i] for i in at]), np.array([fitted.offset[i] for i in at])
+        p["name"] = [(fitted.cells[i].variant.name, fitted.cells[i].target) for i in at]
+    feat = table._featurize()
+
+    def prob(b: Block, p: dict) -> np.ndarray:
+        k, h = p["v"].shape
+        step, out = max(1, ACTIVATIONS // (k * h)), []
+        for lo in range(0, len(b.at), step):
+            x, f = feat(b.model, b.x[lo : lo + step], b.f[lo : lo + step]), b.f[lo : lo + step]
+            act = _hidden(np.hstack([x, np.nan_to_num(f), np.ones((len(x), 1))]), p["u"], k)
+            out.append(0.5 * (1 + np.tanh(0.5 * (np.einsum("nkh,kh->nk", act, p["v"]) + p["c"]))))
+        return np.vstack(out)
+
+    return table.scored_groups(plan, prob, splits)
+
+
 def score_network(table: ProbeTable, fitted: NetworkFit, splits: Sequence[str] = ("test",)) -> DataFrame:
     """Long score table (model, variant, target, unit_id, split, keep..., y, p) in the layout of the linear probes."""
     plan = table._plan(fitted.cells)

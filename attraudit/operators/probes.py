@@ -7,10 +7,12 @@ Every variant is a linear map of the raw row [x, f, 1], so none is ever written
 out: the driver folds the map into effective coefficients, the tasks compute
 logits and gradients for all cells from the raw row by matrix products, and the
 driver pulls the gradients back through the map. One pass over the rows serves
-one optimizer step of all cells.
+one optimizer step of all cells. Units with the same representation and the same
+designs have the same logits, so the passes read them as one row with counts.
 """
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -24,6 +26,7 @@ from pyspark.sql import types as T
 
 from .blocks import Block, blocks, feature_rows, row_moments, row_sums
 from .gram import sum_arrays
+from .running import default_buckets
 
 
 @dataclass(frozen=True)
@@ -50,6 +53,7 @@ class Variant:
 
 
 BASELINE = Variant("baseline")
+ROWS_A_TASK = 4096  # groups that are worth a task of their own beyond one for every core
 
 
 @dataclass(frozen=True)
@@ -184,6 +188,26 @@ class _Search:
             self.pairs, self.step = [], -self.pre(self.g)
 
 
+def _counter(targets: int):
+    """Function (block, plan) -> units with a known label and sums of the labels per cell, zero where a needed design is missing.
+
+    Blocks of groups hold these numbers; in blocks of single units each row counts once.
+    """
+    def counts(b: Block, p: dict) -> tuple[np.ndarray, np.ndarray]:
+        at = np.asarray(p["target"], int)
+        if b.y.shape[1] == targets:
+            known, hits = (~np.isnan(b.y[:, at])).astype(float), np.nan_to_num(b.y[:, at])
+        else:
+            known, hits = b.y[:, 1 + at], b.y[:, 1 + targets + at]
+        for j, need in enumerate(p["need"]):
+            if need:
+                gone = np.isnan(b.f[:, need]).any(1)
+                known[gone, j] = hits[gone, j] = 0.0
+        return known, hits
+
+    return counts
+
+
 @dataclass
 class Fitted:
     """Trained cells: effective coefficients on the raw row, and training counts."""
@@ -222,6 +246,8 @@ class ProbeTable:
         self._fourier: dict[str, tuple] = {}
         self._shared = None
         self._spectra: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self._groups: DataFrame | None = None
+        self._fit_on = fit_on
         self._fit_scaler()
         if feature_map is not None:
             self._expand(feature_map)
@@ -234,6 +260,41 @@ class ProbeTable:
 
     def close(self) -> None:
         self.rows.unpersist()
+        if self._groups is not None:
+            self._groups.unpersist()
+
+    @property
+    def groups(self) -> DataFrame:
+        """Units of one split that share representation and designs as one row (model, split, x, f, y).
+
+        y holds the number of units, then of each target the units with a known
+        label, then the sums of the labels.
+        """
+        if self._groups is None:
+            y = [F.get("y", F.lit(i)) for i in range(len(self.targets))]
+            sums = [F.count(F.lit(1)), *[F.count(c) for c in y], *[F.coalesce(F.sum(c), F.lit(0.0)) for c in y]]
+            names = [f"__y{i}" for i in range(len(sums))]
+            grouped = self.rows.groupBy("model", "split", "x", "f").agg(*[c.cast("double").alias(n) for c, n in zip(sums, names)])
+            grouped = grouped.select("model", "split", "x", "f", F.array(*names).alias("y")).persist()
+            cores = self.rows.sparkSession.sparkContext.defaultParallelism
+            self._n_groups = grouped.count()
+            parts = max(cores, min(default_buckets(self.rows), self._n_groups // ROWS_A_TASK))
+            self._groups = grouped.repartition(parts).persist()  # dealt by number: the work far outweighs the rows
+            self._groups.count()
+            grouped.unpersist()
+        return self._groups
+
+    def mapped(self, feature_map: FourierMap, before: Variant | None = None) -> "ProbeTable":
+        """The same rows, cached once, under a feature map; closed with this table."""
+        self.groups
+        t = copy.copy(self)
+        t.before, t._scale, t._moments, t._fourier, t._shared, t._spectra = before, dict(self._scale), dict(self._moments), {}, None, {}
+        t._expand(feature_map)
+        return t
+
+    @property
+    def train_groups(self) -> DataFrame:
+        return self.groups.where(F.col("split") == self._fit_on)
 
     # ---- first passes: scaler, counts, cross products ----------------------
 
@@ -256,7 +317,8 @@ class ProbeTable:
             self._need_moments([(), self.before.needs])
             maps = {m: self._map(m, self.before) for m in self.models}
         for m, (mu, sd) in list(self._scale.items()):
-            self._fourier[m] = (mu, sd, *feature_map.draw(len(mu)), maps.get(m))
+            mp = maps.get(m)  # as plain values: tasks unpickle a broadcast without this package on their path
+            self._fourier[m] = (mu, sd, *feature_map.draw(len(mu)), None if mp is None else (mp.x0, mp.rem, mp.rem_mean, mp.w))
             self._scale[m] = (np.zeros(feature_map.size), np.ones(feature_map.size))
         self._moments, self._spectra, self.map = {}, {}, feature_map
 
@@ -276,7 +338,8 @@ class ProbeTable:
             mu, sd, w, b, first = shared.value[model]
             z = (x - mu) / sd
             if first is not None:
-                z = z - first.x0 - (np.nan_to_num(f[:, first.rem]) - first.rem_mean) @ first.w
+                x0, rem, mean, lift = first
+                z = z - x0 - (np.nan_to_num(f[:, rem]) - mean) @ lift
             return math.sqrt(2.0 / size) * np.cos(z @ w + b)
 
         return apply
@@ -302,9 +365,11 @@ class ProbeTable:
                 side.append(np.where(known[:, None], np.nan_to_num(f), 0.0))
             s = np.hstack(side)
             left = np.hstack([s, x]) if with_xx else s
-            return left.T @ np.hstack([x, s])
+            return (left * b.y[:, :1]).T @ np.hstack([x, s])
 
-        for m, g in row_sums(self.train, cross).items():
+        # a task hands on a matrix as large as width^2: it gets more rows as that has lines
+        rows, width = self.train_groups, max(len(mu) for mu, _ in self._scale.values())
+        for m, g in row_sums(rows.coalesce(max(1, self._n_groups // (2 * width))), cross).items():
             width = sum(1 + len(s) for s in sets)
             d = g.shape[1] - width
             if with_xx:
@@ -400,13 +465,13 @@ class ProbeTable:
         return plan
 
     def _evaluate(self, cells: Sequence[Cell], coefs: Sequence[np.ndarray], pos_weight: Sequence[float]):
-        """Loss and raw-row gradient of every cell: one scan of the train rows."""
+        """Loss and raw-row gradient of every cell: one scan of the groups of train rows."""
         sc = self.rows.sparkSession.sparkContext
         plan = self._plan(cells)
         for m, p in plan.items():
             p["u"] = np.array([coefs[i] for i in p["cells"]])
             p["pw"] = np.array([pos_weight[i] for i in p["cells"]])
-        shared, feat = sc.broadcast(plan), self._featurize()
+        shared, feat, counts = sc.broadcast(plan), self._featurize(), _counter(len(self.targets))
         schema = T.StructType([
             T.StructField("cell", T.IntegerType()), T.StructField("n", T.DoubleType()), T.StructField("g", T.ArrayType(T.DoubleType())),
         ])
@@ -420,23 +485,19 @@ class ProbeTable:
                         continue
                     x = feat(b.model, b.x, b.f)
                     z = np.hstack([x, np.nan_to_num(b.f), np.ones((len(x), 1))])
-                    y = b.y[:, p["target"]]
-                    ok = ~np.isnan(y)
-                    for j, need in enumerate(p["need"]):
-                        if need:
-                            ok[:, j] &= ~np.isnan(b.f[:, need]).any(1)
-                    y = np.where(ok, y, 0.0)
-                    w = ok * np.where(y == 1, p["pw"], 1.0)
+                    known, hits = counts(b, p)
+                    hits = hits * p["pw"]
+                    w = known + hits * (1 - 1 / p["pw"])
                     logit = z @ p["u"].T
-                    loss = (w * (np.logaddexp(0, logit) - y * logit)).sum(0)
-                    grad = (w * (0.5 * (1 + np.tanh(0.5 * logit)) - y)).T @ z
+                    loss = (w * np.logaddexp(0, logit) - hits * logit).sum(0)
+                    grad = (w * (0.5 * (1 + np.tanh(0.5 * logit))) - hits).T @ z
                     part = np.hstack([loss[:, None], grad])
                     total[b.model] = total[b.model] + part if b.model in total else part
             for m, g in total.items():
                 frame = pd.DataFrame({"cell": np.array(shared.value[m]["cells"], np.int32), "n": g[:, 0], "g": list(g[:, 1:])})
                 yield pa.RecordBatch.from_pandas(frame, schema=pa.schema([("cell", pa.int32()), ("n", pa.float64()), ("g", pa.list_(pa.float64()))]), preserve_index=False)
 
-        sums = sum_arrays(self.train.select("model", "x", "f", "y").mapInArrow(partial, schema), ["cell"]).collect()
+        sums = sum_arrays(self.train_groups.select("model", "x", "f", "y").mapInArrow(partial, schema), ["cell"]).collect()
         shared.unpersist()
         return {r["cell"]: (r["n"], np.array(r["g"])) for r in sums}
 
@@ -563,6 +624,45 @@ class ProbeTable:
 
         return base.mapInArrow(run, schema)
 
+    def group_scores(self, fitted: Fitted, splits: Sequence[str] = ("test",)) -> DataFrame:
+        """Scores of the groups (model, variant, target, split, y, p, w): w units with label y; for metrics that take weights."""
+        plan = self._plan(fitted.cells)
+        for p in plan.values():
+            p["u"] = np.array([fitted.coef[i] for i in p["cells"]])
+            p["name"] = [(fitted.cells[i].variant.name, fitted.cells[i].target) for i in p["cells"]]
+        feat = self._featurize()
+
+        def prob(b: Block, p: dict) -> np.ndarray:
+            z = np.hstack([feat(b.model, b.x, b.f), np.nan_to_num(b.f), np.ones((len(b.at), 1))])
+            return 0.5 * (1 + np.tanh(0.5 * (z @ p["u"].T)))
+
+        return self.scored_groups(plan, prob, splits)
+
+    def scored_groups(self, plan: dict, prob, splits: Sequence[str]) -> DataFrame:
+        """Rows of `group_scores` for `prob`, which gives (groups x cells) probabilities of a block."""
+        shared, counts = self.rows.sparkSession.sparkContext.broadcast(plan), _counter(len(self.targets))
+        base = self.groups.where(F.col("split").isin(*splits)).select("model", "x", "f", "y", "split")
+        schema = "model string, variant string, target string, split string, y int, p double, w long"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in blocks(batch):
+                    p = shared.value.get(b.model)
+                    if p is None:
+                        continue
+                    (known, hits), got = counts(b, p), prob(b, p)
+                    for j, (variant, target) in enumerate(p["name"]):
+                        for label, w in ((0, known[:, j] - hits[:, j]), (1, hits[:, j])):
+                            at = np.flatnonzero(w > 0)
+                            if not len(at):
+                                continue
+                            cols = [pa.repeat(pa.scalar(v), len(at)) for v in (b.model, variant, target)]
+                            cols += [batch.column("split").take(pa.array(b.at[at])), pa.repeat(pa.scalar(label, pa.int32()), len(at))]
+                            cols += [pa.array(got[at, j]), pa.array(np.rint(w[at]).astype(np.int64))]
+                            yield pa.RecordBatch.from_arrays(cols, names=["model", "variant", "target", "split", "y", "p", "w"])
+
+        return base.mapInArrow(run, schema)
+
     def coefficients(self, fitted: Fitted) -> DataFrame:
         """Coefficients on the raw row, one row per cell."""
         rows = [(x.model, x.variant.name, x.target, [float(v) for v in u], r) for x, u, r in zip(fitted.cells, fitted.coef, fitted.rounds)]

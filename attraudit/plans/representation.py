@@ -12,13 +12,13 @@ from ..functions.classify import classify_confounding, cost_tier
 from ..functions.labels import one_hot_columns
 from ..functions.tails import p_normal
 from ..operators import cohort, fairness, odds, ranking, resample, summary
-from ..operators.erasure import erasure_effect, last_values, nullspace_directions
+from ..operators.erasure import erasure_effects, last_values, nullspace_directions
 from ..operators.linear import hinge_basis
-from ..operators.network import Network, fit_network, score_network
+from ..operators.network import Network, fit_network, network_group_scores
 from ..operators.panel import one_sample_t, spearman
 from ..operators.probes import BASELINE, FourierMap, ProbeTable, Variant, ridge_probe
 from ..operators.softmax import fit_softmax, score_softmax
-from ..session import materialize
+from ..session import materialize, together
 from .inputs import Study
 
 CELL = ["model", "target"]
@@ -190,16 +190,23 @@ def erasure_study(s: Study, attributes: Sequence[str], feature_map: FourierMap |
     `rounds`, `val_auroc` and `reached` tell how the search for directions ended.
     """
     targets = list(dict.fromkeys([*attributes, *s.findings]))
-    out = None
     with ProbeTable(s.embeddings, s.units, [], targets, feature_map=feature_map) as t:
-        found, log = nullspace_directions(t, attributes, max_rounds)
-        for a in attributes:
-            one = materialize(erasure_effect(t, a, found[a], s.findings))
-            out = one if out is None else out.unionByName(one)
+        return _erase(t, s, attributes, max_rounds)
+
+
+def _erase(t: ProbeTable, s: Study, attributes: Sequence[str], max_rounds: int) -> DataFrame:
+    """The erasure of `erasure_study` on a table of probes; the probes without any removal are fitted beside the search."""
+    t._need_moments([()])
+    for m in t.models:
+        t.spectrum(m)
+    bare = t.guard(t.cells([BASELINE], s.findings))
+    ends: dict = {}
+    (found, log), baseline = together(lambda: nullspace_directions(t, attributes, max_rounds, ends=ends), lambda: t.fit(bare))
+    out = materialize(erasure_effects(t, found, s.findings, baseline=baseline, ends=ends))
     ends = out.sparkSession.createDataFrame(
         [(*k, *v) for k, v in last_values(log).items()], "model string, attribute string, rounds int, val_auroc double, reached boolean"
     )
-    return out.join(ends, ["model", "attribute"], "left").withColumn("space", F.lit("raw" if feature_map is None else "rff"))
+    return out.join(ends, ["model", "attribute"], "left").withColumn("space", F.lit("raw" if t.map is None else "rff"))
 
 
 def nonlinear_use(s: Study, attribute: str, feature_map: FourierMap, network: Network = Network()) -> dict[str, DataFrame]:
@@ -211,18 +218,24 @@ def nonlinear_use(s: Study, attribute: str, feature_map: FourierMap, network: Ne
     known = s.units.where(F.col(attribute).isNotNull())
     targets = list(dict.fromkeys([attribute, *s.findings]))
     keys = ["model", "variant", "target"]
-    parts = []
 
     def named(scores: DataFrame, name: str) -> DataFrame:
-        return materialize(ranking.auroc(scores, keys).withColumn("variant", F.concat_ws(":", F.lit(name), "variant")))
+        return materialize(ranking.auroc(scores, keys, weight="w").withColumn("variant", F.concat_ws(":", F.lit(name), "variant")))
 
-    for name, before in (("nonlinear", None), ("nonlinear_removed", removed)):
-        with ProbeTable(s.embeddings, known, [attribute], targets, feature_map=feature_map, before=before) as t:
-            parts.append(named(t.score(t.fit(s.guard(t, t.cells([BASELINE], targets)))), name))
     with ProbeTable(s.embeddings, known, [attribute], targets) as t:
         cells = s.guard(t, t.cells([BASELINE, removed], targets))
-        parts.append(named(t.score(t.fit(cells)), "linear"))
-        parts.append(named(score_network(t, fit_network(t, cells, network)), "network"))
+        plain = [c for c in cells if c.variant == BASELINE]
+
+        def curved(name: str, before: Variant | None) -> DataFrame:
+            u = t.mapped(feature_map, before)
+            return named(u.group_scores(u.fit(plain)), name)
+
+        t._need_moments([(), removed.needs])  # read by all four
+        parts = together(
+            lambda: named(network_group_scores(t, fit_network(t, cells, network)), "network"),
+            lambda: curved("nonlinear", None), lambda: curved("nonlinear_removed", removed),
+            lambda: named(t.group_scores(t.fit(cells)), "linear"),
+        )
     wide = _pivot_variants(functools.reduce(DataFrame.unionByName, parts), CELL, {
         "nonlinear:baseline": "nonlinear_base", "nonlinear_removed:baseline": "nonlinear_after",
         "linear:baseline": "linear_base", "linear:removed": "linear_after",

@@ -3,7 +3,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +52,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def together(*loops: Callable) -> list:
+    """Results of driver loops that don't depend on each other, run side by side: each waits for many short jobs."""
+    target = inheritable_thread_target(SparkSession.active())
+    with ThreadPoolExecutor(len(loops)) as pool:
+        running = [pool.submit(target(f)) for f in loops]
+        return [r.result() for r in running]
+
+
 def short(df: DataFrame) -> DataFrame:
     """A table of one row per key, stored, and broadcast if it proves short: rows joined to it stay where they are, however frequent a key is."""
     kept = materialize(df)
