@@ -8,9 +8,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .running import running_totals
+from .running import BUCKET, default_buckets, running_totals, with_buckets
+
+ROWS_A_TASK = 1 << 19  # score rows that a task sorts at once where the number of rows is known
 
 
 def ranked(
@@ -60,6 +63,43 @@ def auroc(
     return ranked(scores, cell, p, y, weight, edges_from).groupBy(*cell).agg(*_counts(), _area().alias("auroc"))
 
 
+def auroc_by_size(
+    scores: DataFrame, cell: Sequence[str], rows: int, p: str = "p", y: str = "y", attributes: Sequence[str] = (), rows_a_task: int = ROWS_A_TASK,
+) -> DataFrame:
+    """`auroc` of about `rows` score rows in tasks whose memory doesn't grow with them.
+
+    There are as many buckets and tasks as the rows fill, whatever the session's shuffle partitions are. Rows are
+    exchanged once, by cell and bucket; what leaves a bucket is its own area, positives and negatives, and the negatives
+    of lower buckets are added to these sums. A value that fills several buckets comes last in its own and is salted.
+    `attributes` names columns whose known values `a` are cells of their own, (attribute, a): rows repeat once per
+    attribute inside the tasks only.
+    """
+    cell = list(cell)
+    known = scores.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*cell, *attributes, F.col(p).cast("double").alias("s"), F.col(y).alias("__y"))
+    edges = known.select("s")
+    parts = -(-rows * max(1, len(attributes)) // rows_a_task)
+    usual = default_buckets(known)
+    cut = with_buckets(known, "s", max(parts, usual), edges, hot="__hot")
+    salt = F.when(F.col("__hot"), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(max(parts, usual)))).otherwise(0)
+    by = [*cell, BUCKET, "__hot", "__salt"]
+    dealt = cut.withColumn("__salt", salt)
+    dealt = dealt.repartition(parts, *by) if parts > usual else dealt.repartition(*by)
+    if attributes:
+        each = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).alias("a")) for a in attributes])
+        dealt = dealt.select(*by, "s", "__y", F.explode(each).alias("__r")).select(*by, "s", "__y", "__r.*").where(F.col("a").isNotNull())
+        cell, by = [*cell, "attribute", "a"], [*by, "attribute", "a"]
+    counts = dealt.groupBy(*by, "s").agg(F.count_if(F.col("__y") == 1).alias("pos"), F.count_if(F.col("__y") == 0).alias("neg"))
+    below = F.sum("neg").over(W.partitionBy(*by).orderBy("s")) - F.col("neg")
+    own = F.when(F.col("__hot"), 0.0).otherwise(F.col("pos") * (below + F.col("neg") / 2.0))
+    local = counts.withColumn("area", own).groupBy(*cell, BUCKET, "__hot").agg(*[F.sum(c).alias(c) for c in ("area", "pos", "neg")])
+    lower = F.sum("neg").over(W.partitionBy(*cell).orderBy(BUCKET, "__hot")) - F.col("neg")
+    moved = F.col("area") + F.col("pos") * (lower + F.when(F.col("__hot"), F.col("neg") / 2.0).otherwise(0.0))
+    return local.withColumn("area", moved).groupBy(*cell).agg(
+        F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("n_pos"),
+        F.try_divide(F.sum("area"), F.sum("pos") * F.sum("neg")).alias("auroc"),
+    )
+
+
 def auprc(scores: DataFrame, cell: Sequence[str], p: str = "p", y: str = "y") -> DataFrame:
     """Average precision, step-wise."""
     return ranked(scores, cell, p, y).groupBy(*cell).agg(*_counts(), _precision_area().alias("auprc"))
