@@ -71,10 +71,11 @@ def row_sums(rows: DataFrame, per_block: Callable[[Block], np.ndarray]) -> dict[
             frame = pd.DataFrame({"model": m, "i": np.arange(len(g), dtype=np.int32), "n": count[m], "g": list(g)})
             yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
-    got = sum_arrays(rows.select("model", "x", "f", "y").mapInArrow(partial, schema), ["model", "i"]).collect()
+    got = sum_arrays(rows.select("model", "x", "f", "y").mapInArrow(partial, schema), ["model", "i"]).toArrow()
     out: dict[str, list] = {}
-    for r in got:
-        out.setdefault(r["model"], []).append((r["i"], r["g"]))
+    for batch in got.to_batches():
+        for m, i, g in zip(batch["model"].to_pylist(), batch["i"].to_pylist(), batch["g"]):
+            out.setdefault(m, []).append((i, g.values.to_numpy()))
     return {m: np.array([g for _, g in sorted(v, key=lambda t: t[0])]) for m, v in out.items()}
 
 
@@ -98,14 +99,17 @@ class Moments:
         return Moments(n, self.mean + d * (o.n / n), self.cross + o.cross + f * np.outer(d[:k], d), self.squares + o.squares + f * d * d, self.extra + o.extra)
 
     @staticmethod
-    def of(z: np.ndarray, k: int, extra: np.ndarray) -> "Moments":
-        mean = z.mean(0) if len(z) else np.zeros(z.shape[1])
+    def of(z: np.ndarray, k: int, extra: np.ndarray, times: np.ndarray | None = None) -> "Moments":
+        """Moments of the rows of z, each taken so many `times` (None: once)."""
+        w = np.ones(len(z)) if times is None else times
+        n = float(w.sum())
+        mean = w @ z / n if n else np.zeros(z.shape[1])
         c = z - mean
-        return Moments(float(len(z)), mean, c[:, :k].T @ c, (c * c).sum(0), extra)
+        return Moments(n, mean, (c[:, :k] * w[:, None]).T @ c, w @ (c * c), extra)
 
 
-def row_moments(rows: DataFrame, per_block: Callable[[Block], tuple[np.ndarray, int, np.ndarray]]) -> dict[str, Moments]:
-    """Centred moments of one matrix per model: `per_block` gives (columns, how many of them are crossed, extra sums).
+def row_moments(rows: DataFrame, per_block: Callable[[Block], tuple]) -> dict[str, Moments]:
+    """Centred moments of one matrix per model: `per_block` gives (columns, how many of them are crossed, extra sums[, times each row counts]).
 
     Tasks merge their own blocks and hand on one row per line of the matrix, so
     lines of one model merge in different tasks, one open line a (model, line).

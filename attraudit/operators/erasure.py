@@ -7,14 +7,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .probes import Fitted, ProbeTable, Variant
+from .probes import Cell, Fitted, ProbeTable, Variant
 from ..session import materialize
 from .ranking import auroc
 
 
+def first_cells(table: ProbeTable, attributes: Sequence[str], cohorts: dict[str, tuple[str, ...]] | None = None) -> list[Cell]:
+    """The cells of the first round of `nullspace_directions`: nothing is taken out yet."""
+    return [c for m in table.models for a in attributes for c in table.cells([Variant(f"erase:{a}", cohort=(cohorts or {}).get(a, ()))], [a], [m])]
+
+
 def nullspace_directions(
     table: ProbeTable, attributes: Sequence[str], max_rounds: int = 25, target: float = 0.53, check_on: str = "val",
-    cohorts: dict[str, tuple[str, ...]] | None = None, ends: dict | None = None,
+    cohorts: dict[str, tuple[str, ...]] | None = None, ends: dict | None = None, first: Fitted | None = None,
 ) -> tuple[dict[str, dict[str, np.ndarray]], list[tuple]]:
     """Directions whose removal makes each attribute linearly undecodable.
 
@@ -25,7 +30,7 @@ def nullspace_directions(
     the preconditioner by the directions found so far, and start from the
     coefficients of the round before, so each takes few scans. Returns {attribute: {model: Q}} and a log
     of (model, attribute, round, validation AUROC). `ends` receives the last probe of each (model, attribute): that
-    with all directions of the result taken out.
+    with all directions of the result taken out. `first` gives the probes of `first_cells` where they are fitted already.
     """
     cohorts = cohorts or {}
     found = {a: {m: np.zeros((len(table._scale[m][0]), 0)) for m in table.models} for a in attributes}
@@ -39,7 +44,7 @@ def nullspace_directions(
         for m, a in live:
             v = Variant(f"erase:{a}", cohort=cohorts.get(a, ()), basis={m: found[a][m]})
             cells += table.cells([v], [a], [m])
-        fitted = table.fit(cells, start=[warm.get(k) for k in live])
+        fitted = first.only(cells) if first is not None and round_no == 0 else table.fit(cells, start=[warm.get(k) for k in live])
         scored = auroc(table.group_scores(fitted, (check_on,)), ["model", "target"], weight="w")
         value = {(r["model"], r["target"]): r["auroc"] for r in scored.collect()}
         still = []
@@ -125,7 +130,7 @@ def erasure_effects(
                 if c not in cells:
                     cells.append(c)
     fresh = table.fit([c for c in cells if c not in done.cells])
-    fitted = Fitted(*[[*getattr(done, k), *getattr(fresh, k)] for k in ("cells", "coef", "theta", "rounds", "gradient")])
+    fitted = done.joined(fresh)
     a = materialize(auroc(table.group_scores(fitted), ["model", "variant", "target"], weight="w"))
     spark = a.sparkSession
     roles = spark.createDataFrame(use, "attribute string, role string, model string, variant string")

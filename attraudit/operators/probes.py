@@ -218,6 +218,17 @@ class Fitted:
     rounds: list[int]
     gradient: list[float] = field(default_factory=list)  # largest component at the end; above tol where rounding stopped the search
 
+    def only(self, cells: Sequence[Cell]) -> "Fitted":
+        """The part of these cells, in their order; cells that are not there are left out."""
+        at = [self.cells.index(c) for c in cells if c in self.cells]
+        return Fitted(*[[v[i] for i in at] for v in self._parts()])
+
+    def joined(self, other: "Fitted") -> "Fitted":
+        return Fitted(*[[*a, *b] for a, b in zip(self._parts(), other._parts())])
+
+    def _parts(self) -> tuple[list, ...]:
+        return self.cells, self.coef, self.theta, self.rounds, self.gradient
+
 
 class ProbeTable:
     """Embeddings joined to split, designs and targets, cached for the optimizer's scans.
@@ -247,6 +258,7 @@ class ProbeTable:
         self._shared = None
         self._spectra: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self._groups: DataFrame | None = None
+        self._counted: dict[tuple, dict] = {}  # also of mapped tables: they have the same rows
         self._fit_on = fit_on
         self._fit_scaler()
         if feature_map is not None:
@@ -300,11 +312,11 @@ class ProbeTable:
 
     def _fit_scaler(self) -> None:
         """Mean and population deviation per model on the train rows; zero deviation becomes 1 (M3)."""
-        def sums(b: Block) -> tuple[np.ndarray, int, np.ndarray]:
-            known = ~np.isnan(b.f)
-            return b.x, 0, np.concatenate([known.sum(0), np.where(known, b.f, 0.0).sum(0)])
+        def sums(b: Block) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+            known, n = ~np.isnan(b.f), b.y[:, 0]
+            return b.x, 0, np.concatenate([n @ known, n @ np.where(known, b.f, 0.0)]), n
 
-        for m, t in row_moments(self.train, sums).items():
+        for m, t in row_moments(self.train_groups, sums).items():
             sd = np.sqrt(t.squares / t.n)
             self._scale[m] = (t.mean, np.where(sd > 1e-12 * (1 + np.abs(t.mean)), sd, 1.0))
             n, s = t.extra.reshape(2, -1)
@@ -438,17 +450,25 @@ class ProbeTable:
             aggs += [F.count_if(ok).alias(f"n{i}"), F.count_if(ok & (y == 1)).alias(f"p{i}")]
         return self.rows.groupBy("model", "split").agg(*aggs), needs
 
+    def _count(self, cells: Sequence[Cell]) -> dict[tuple, dict]:
+        """Valid and positive rows as {(needs, target): {(model, split): (n, p)}}; the rows are read for new keys only."""
+        new = [c for c in cells if (c.variant.needs, c.target) not in self._counted]
+        if new:
+            table, needs = self.counts(new)
+            got = table.collect()
+            for i, key in enumerate(needs):
+                self._counted[key] = {(r["model"], r["split"]): (r[f"n{i}"], r[f"p{i}"]) for r in got}
+        return self._counted
+
     def guard(self, cells: Sequence[Cell], min_train=50, min_test=50, min_pos=10, min_neg=0, test: str = "test", train: str = "train") -> list[Cell]:
         """Cells with enough rows and positives in both splits."""
-        table, needs = self.counts(cells)
-        got = {(r["model"], r["split"]): r for r in table.collect()}
+        counted = self._count(cells)
         kept = []
         for c in cells:
-            i = needs.index((c.variant.needs, c.target))
+            got = counted[c.variant.needs, c.target]
             ok = True
             for split, least in ((train, min_train), (test, min_test)):
-                r = got.get((c.model, split))
-                n, p = (r[f"n{i}"], r[f"p{i}"]) if r else (0, 0)
+                n, p = got.get((c.model, split), (0, 0))
                 ok = ok and n >= least and p >= min_pos and n - p >= max(min_neg, 1)
             if ok:
                 kept.append(c)
@@ -516,15 +536,11 @@ class ProbeTable:
         if not cells:
             return Fitted([], [], [], [])
         self._need_moments([(), *[x.variant.needs for x in cells]])
-        table, needs = self.counts(cells)
-        split = self.train.select("split").first()
-        got = {(r["model"], r["split"]): r for r in table.collect()}
+        counted = self._count(cells)
         maps = [self._map(x.model, x.variant) for x in cells]
         searches, scale, weight = [], [], []
         for x, mp, first in zip(cells, maps, start or [None] * len(cells)):
-            i = needs.index((x.variant.needs, x.target))
-            r = got.get((x.model, split["split"]))
-            n, p = r[f"n{i}"], r[f"p{i}"]
+            n, p = counted[x.variant.needs, x.target][x.model, self._fit_on]
             pw = min(max((n - p) / p, 0.1), 10.0) if balanced and p else 1.0
             mass = n - p + pw * p
             share = min(max(pw * p / mass, 1e-6), 1 - 1e-6) if mass else 0.5

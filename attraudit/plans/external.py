@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import apply_policy
-from ..operators.probes import BASELINE, FourierMap, ProbeTable
-from ..session import materialize
+from ..operators.probes import BASELINE, Fitted, FourierMap, ProbeTable
+from ..session import materialize, together
 from ..sources.sinks import write_by_model, write_text
 from .inputs import Study
 from .outcomes import external_summary, multimetric_study
-from .representation import debiasing_study, dependence_matrix, erasure_study
+from .representation import debiasing_study, dependence_matrix, erase
 
 
 def external_units(meta: DataFrame, labels: DataFrame, embeddings: DataFrame, findings: Sequence[str], known: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -45,17 +45,34 @@ def external_study(s: Study, sink: str | None = None, b: int = 200) -> dict[str,
 
 
 def both_erasures(s: Study, attributes: Sequence[str], feature_map: FourierMap, max_rounds: int = 25) -> DataFrame:
-    """Nullspace erasure in the plain and in the Fourier space (Q23, Q27)."""
-    return erasure_study(s, attributes, max_rounds=max_rounds).unionByName(erasure_study(s, attributes, feature_map, max_rounds))
+    """Nullspace erasure in the plain and in the Fourier space, side by side on one table (Q23, Q27)."""
+    targets = list(dict.fromkeys([*attributes, *s.findings]))
+    with ProbeTable(s.embeddings, s.units, [], targets) as t:
+        t._need_moments([()])
+        plain, curved = together(lambda: erase(t, s, attributes, max_rounds), lambda: erase(t.mapped(feature_map), s, attributes, max_rounds))
+    return plain.unionByName(curved)
 
 
 def external_extended(s: Study, attributes: Sequence[str], group: str, feature_map: FourierMap, sink: str | None = None, b: int = 1000, max_rounds: int = 25) -> dict[str, DataFrame]:
-    """Multi-metric gaps and nonlinear erasure on the external cohort, with a text summary."""
-    with ProbeTable(s.embeddings, s.units, [], list(s.findings), keep=(group,)) as t:
-        fitted = t.fit(s.guard(t, t.cells([BASELINE], s.findings)))
-        scores = materialize(t.score(fitted, ("train", "test")))
-    out = multimetric_study(scores, ["model", "target"], group, b=b)
-    out["erasure"] = both_erasures(s, attributes, feature_map, max_rounds)
+    """Multi-metric gaps and nonlinear erasure on the external cohort, with a text summary.
+
+    One table of probes serves all parts; its baseline is fitted once for the gaps and the plain erasure, with the Fourier erasure beside both.
+    """
+    targets = list(dict.fromkeys([*attributes, *s.findings]))
+    with ProbeTable(s.embeddings, s.units, [], targets, keep=(group,)) as t:
+        t._need_moments([()])  # read by all
+
+        def gaps(fitted: Fitted) -> dict[str, DataFrame]:
+            scores = materialize(t.score(fitted, ("train", "test")))
+            out = multimetric_study(scores, ["model", "target"], group, b=b)
+            return {**out, "gaps": materialize(out["gaps"])}
+
+        def plain() -> list:
+            fitted = t.fit(s.guard(t, t.cells([BASELINE], s.findings)))
+            return together(lambda: gaps(fitted), lambda: erase(t, s, attributes, max_rounds, fitted))
+
+        (out, raw), curved = together(plain, lambda: erase(t.mapped(feature_map), s, attributes, max_rounds))
+    out["erasure"] = raw.unionByName(curved)
     out["summary"] = out["gaps"].groupBy("metric").agg(F.avg("gap").alias("mean_gap"), F.count("gap").alias("n_cells"))
     if sink is not None:
         line = F.format_string("%-12s mean gap %.3f over %d cells", F.col("metric"), F.col("mean_gap"), F.col("n_cells"))

@@ -12,11 +12,11 @@ from ..functions.classify import classify_confounding, cost_tier
 from ..functions.labels import one_hot_columns
 from ..functions.tails import p_normal
 from ..operators import cohort, fairness, odds, ranking, resample, summary
-from ..operators.erasure import erasure_effects, last_values, nullspace_directions
+from ..operators.erasure import erasure_effects, first_cells, last_values, nullspace_directions
 from ..operators.linear import hinge_basis
 from ..operators.network import Network, fit_network, network_group_scores
 from ..operators.panel import one_sample_t, spearman
-from ..operators.probes import BASELINE, FourierMap, ProbeTable, Variant, ridge_probe
+from ..operators.probes import BASELINE, Fitted, FourierMap, ProbeTable, Variant, ridge_probe
 from ..operators.softmax import fit_softmax, score_softmax
 from ..session import materialize, together
 from .inputs import Study
@@ -191,17 +191,23 @@ def erasure_study(s: Study, attributes: Sequence[str], feature_map: FourierMap |
     """
     targets = list(dict.fromkeys([*attributes, *s.findings]))
     with ProbeTable(s.embeddings, s.units, [], targets, feature_map=feature_map) as t:
-        return _erase(t, s, attributes, max_rounds)
+        return erase(t, s, attributes, max_rounds)
 
 
-def _erase(t: ProbeTable, s: Study, attributes: Sequence[str], max_rounds: int) -> DataFrame:
-    """The erasure of `erasure_study` on a table of probes; the probes without any removal are fitted beside the search."""
+def erase(t: ProbeTable, s: Study, attributes: Sequence[str], max_rounds: int = 25, baseline: Fitted | None = None) -> DataFrame:
+    """The erasure of `erasure_study` on a table of probes.
+
+    The probes without any removal are fitted in the scans of the search's first round, but for those that `baseline` holds.
+    """
     t._need_moments([()])
     for m in t.models:
         t.spectrum(m)
     bare = t.guard(t.cells([BASELINE], s.findings))
+    done = Fitted([], [], [], []) if baseline is None else baseline.only(bare)
+    first = t.fit([*first_cells(t, attributes), *[c for c in bare if c not in done.cells]])
     ends: dict = {}
-    (found, log), baseline = together(lambda: nullspace_directions(t, attributes, max_rounds, ends=ends), lambda: t.fit(bare))
+    found, log = nullspace_directions(t, attributes, max_rounds, ends=ends, first=first)
+    baseline = done.joined(first.only(bare))
     out = materialize(erasure_effects(t, found, s.findings, baseline=baseline, ends=ends))
     ends = out.sparkSession.createDataFrame(
         [(*k, *v) for k, v in last_values(log).items()], "model string, attribute string, rounds int, val_auroc double, reached boolean"

@@ -8,7 +8,7 @@ from attraudit.operators import ranking
 from attraudit.operators.erasure import erasure_effect, erasure_effects, nullspace_directions
 from attraudit.operators.network import Network, fit_network, network_group_scores, score_network
 from attraudit.operators.probes import BASELINE, FourierMap, ProbeTable, Variant
-from attraudit.plans import representation as plans
+from attraudit.plans import external, representation as plans
 from attraudit.plans.inputs import Study
 
 VECTORS, UNITS = 40, 900
@@ -91,3 +91,29 @@ def test_search_leaves_no_second_fit_where_nothing_was_found(tables, monkeypatch
     monkeypatch.setattr(ProbeTable, "fit", lambda self, cells, **k: (fitted.extend((c.variant.name, c.target) for c in cells), fit(self, cells, **k))[1])
     plans.erasure_study(Study(emb, units, ["a"], ["y"], min_train=5, min_test=5, min_pos=1), ["a"], max_rounds=0).collect()
     assert sorted(fitted) == [("baseline", "y"), ("erase:a", "a")]
+
+
+def test_external_extended_reads_one_table_and_fits_each_probe_once(tables, monkeypatch):
+    emb, units = tables
+    made, fitted, map_ = [], [], FourierMap(20)
+    init, fit = ProbeTable.__init__, ProbeTable.fit
+    monkeypatch.setattr(ProbeTable, "__init__", lambda self, *a, **k: (made.append(self), init(self, *a, **k))[1])
+    monkeypatch.setattr(ProbeTable, "fit", lambda self, cells, **k: (fitted.extend((self.map is None, c.variant.name, c.target) for c in cells if c.variant == BASELINE), fit(self, cells, **k))[1])
+    s = Study(emb, units.selectExpr("*", "(unit_id div 4) % 2 AS grp"), ["a"], ["y"], min_train=5, min_test=5, min_pos=1)
+    out = external.external_extended(s, ["a"], "grp", map_, b=60, max_rounds=2)
+    got = {r["space"]: r.asDict() for r in out["erasure"].collect()}
+    assert out["summary"].count() == 6 and out["auroc_gap"].count() == 1
+    assert len(made) == 1 and sorted(fitted) == [(False, "baseline", "y"), (True, "baseline", "y")]
+    for space, m in (("raw", None), ("rff", map_)):
+        one = plans.erasure_study(s, ["a"], m, max_rounds=2).first().asDict()
+        assert set(one) == set(got[space])
+        for k, v in one.items():
+            assert got[space][k] == (pytest.approx(v, abs=1e-6) if isinstance(v, float) else v), (space, k)
+
+
+def test_scaler_counts_every_unit_of_a_group(tables):
+    emb, units = tables
+    with ProbeTable(emb, units, ["a"], ["y"]) as t:
+        true = t.train.selectExpr("avg(x[1]) AS m", "stddev_pop(x[1]) AS s", "avg(f[0]) AS f").first()
+        (mu, sd), middle = t._scale["m"], t._middle["m"]
+    assert (mu[1], sd[1], middle[0]) == pytest.approx(tuple(true), abs=1e-12)
