@@ -39,6 +39,7 @@ from attraudit.llm.common import stored, text_or_empty, tidy
 LEAF_CHARS = 65_536  # encoding a leaf takes well under a second; moving smaller ones costs more than it saves
 FIRST_WINDOW = 64
 CACHED_CHUNKS, CACHED_CHARS, SLICE_ROWS, LINE = 250_000, 64, 128, 128
+TEXT_ROWS = 512  # whole texts that Python is handed at a time: 10,000 take 30 MB on either side of the pipe, and more while buffers grow
 #: The word pattern for which clean cuts are proven; fixed value of the public tokenizer.
 WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CHUNK = re.compile(r"[^ \t\n\r]+")
@@ -313,5 +314,5 @@ def digests(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
     rows = df.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("t"))
     short = rows.where(F.length("t") <= LEAF_CHARS).select("doc_id", _digests_udf(path, special, False)("t").alias("d"))
     long = encode(rows.where(F.length("t") > LEAF_CHARS), path, "t", keep=["doc_id"])
-    long = stored(long, "joined").select("doc_id", _digests_udf(path, special, True)("ids").alias("d"))  # few texts
-    return short.unionByName(long).select("doc_id", "d.*")
+    long = stored(long, "joined", TEXT_ROWS).select("doc_id", _digests_udf(path, special, True)("ids").alias("d"))  # few texts
+    return stored(short.unionByName(long).select("doc_id", "d.*"), "digests", TEXT_ROWS)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BROADCAST_ROWS = 200_000  # a join side is broadcast only when a count has shown it to be no longer
 
 
@@ -29,11 +30,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and go on from the files: lineage ends there."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and go on from the files: lineage ends there.
+
+    `batch_rows`: tasks hand Python so many rows at a time, where the session allows more. For whole texts: a batch is held on both sides.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(ARROW_ROWS)
+    fewer = batch_rows is not None and not 0 < int(before) <= batch_rows
+    try:
+        if fewer:
+            spark.conf.set(ARROW_ROWS, str(batch_rows))
+        df.write.parquet(path)
+    finally:
+        if fewer:
+            spark.conf.set(ARROW_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def tidy(work):

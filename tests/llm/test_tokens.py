@@ -1,12 +1,16 @@
 """Operators 1 and 2 against the library."""
 import hashlib
 import random
+from collections.abc import Iterator
 
 import edges
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from attraudit.llm import bpe, token_counts
+from attraudit.llm.common import ARROW_ROWS
 from attraudit.llm.queries import tokenizer_path
 
 ALPHABET = ["abcdefgh", "the", "ing", "'", "'s", "'re", "'LL", " ", "\n", "\t", " ", "é", "é", "́", "ß", "İ", "Σ", "<|endoftext|>", "<|startoftext|>", "<|end", "日本", "한국", "한", "😀", "12", "!!", "...", "\0", "\x1c", "\x85", "K", "ſ", "ŉ", "Ǆ", "क्षि", "‍", "a" * 30, "ab" * 20]
@@ -54,6 +58,23 @@ def test_encode_and_decode_of_odd_rows(spark, lib, leaf_chars):
         assert r.back == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_digests_hand_python_few_texts_at_a_time(spark, monkeypatch):
+    def sizes(path, special, encoded):
+        @F.arrow_udf(bpe._DIGESTS)
+        def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for b in batches:
+                size, text = pa.array([len(b)] * len(b), pa.int64()), pa.array(["x"] * len(b), pa.string())
+                yield pa.StructArray.from_arrays([size, text, text], bpe._DIGESTS.names)
+
+        return count
+
+    monkeypatch.setattr(bpe, "_digests_udf", sizes)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "'a b' AS text")
+    before = spark.conf.get(ARROW_ROWS)
+    rows = bpe.digests(docs, tokenizer_path()).selectExpr("count(1) AS n", "max(n_tokens) AS most").first()
+    assert rows["n"] == 3000 and rows["most"] <= bpe.TEXT_ROWS < 3000 and spark.conf.get(ARROW_ROWS) == before
+
+
 def test_digests(spark, lib):
     rows = {r.doc_id: r for r in bpe.digests(edges.documents(spark), tokenizer_path()).collect()}
     ids = lib.encode(edges.LONG, add_special_tokens=False).ids
