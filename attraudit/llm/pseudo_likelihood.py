@@ -10,7 +10,7 @@ The biases of the ids are the logarithms of their frequencies in the whole corpu
 is trained. Training is data-parallel: in each of ``ROUNDS`` rounds every task starts from the common weights and walks
 over all its documents by stochastic gradient descent; a round predicts the tokens of one residue of their
 places by ``ROUNDS`` (the first one varies with the document), so that the rounds together predict every
-token of every document once. The tasks' weights are then averaged, weighted by their numbers of predicted tokens. The sums grow with the corpus and are added by Spark; only the average, whose size is
+token of every document once. Steps take ``STEP`` tokens, across documents; only a task's last one may be shorter. The tasks' weights are then averaged, weighted by their numbers of predicted tokens. The sums grow with the corpus and are added by Spark; only the average, whose size is
 fixed, reaches the driver. Each round's weights are written to the shared folder, so that a lost executor
 cannot change them later. Scoring covers every token of every document.
 
@@ -21,6 +21,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ EMBED, HIDDEN = 16, 32
 ROUNDS, RATE = 2, 0.75
 CHUNK = 4096  # tokens predicted at once in scoring
 STEP = 256  # tokens of a gradient step
-CACHED = 300_000
+TINY, HUGE = 1e-30, 1e30  # between them a sum of exponentials is as exact as about the largest of them
 
 SHAPES = {"embed": (IDS + 1, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "cls": (HIDDEN, CLASSES), "cls_b": (CLASSES,), "given": (CLASSES, HIDDEN), "inner": (HIDDEN, INNER), "inner_b": (INNER,), "id_b": (CLASSES, INNER)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -67,20 +68,14 @@ def layers(weights: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-class Ids(dict):
-    """Token ids by word; made where they are missing."""
+class Ids:
+    """Token ids of texts. Each word is hashed anew: a table of seen words costs more than the hash."""
 
-    def __missing__(self, word: bytes) -> int:
+    def text(self, t: str) -> np.ndarray:
         from xxhash import xxh64_intdigest
 
-        if len(self) > CACHED:
-            self.clear()
-        got = self[word] = xxh64_intdigest(word, 7) % IDS
-        return got
-
-    def text(self, t: str) -> np.ndarray:
         words = t.encode().lower().split()
-        return np.fromiter(map(self.__getitem__, words), "<u2", len(words))
+        return (np.fromiter(map(xxh64_intdigest, words, repeat(7)), "<u8", len(words)) % IDS).astype("<u2")
 
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -89,57 +84,73 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return wide[at[:, None] + np.array([i for i in range(2 * SIDE + 1) if i != SIDE])]
 
 
-def _softmax(z: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logarithm of the wanted probability of each row, and exponentials with their sums; z is used up."""
-    z -= z.max(axis=1, keepdims=True)
-    got = z[np.arange(len(z)), want]
-    np.exp(z, out=z)
-    total = z.sum(axis=1)
-    return got - np.log(total), total
+def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return table.take(at, axis=0, mode="clip")  # ids lie within; the other modes copy once more
+
+
+def _softmax(z: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logarithm of the wanted probability of each row, and exponentials with their sums."""
+    ones = np.ones(z.shape[1], z.dtype)
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        total = e @ ones
+    if not TINY < total.min() <= total.max() < HUGE:
+        z = z - z.max(axis=1, keepdims=True)
+        np.exp(z, out=e)
+        total = e @ ones
+    return z[np.arange(len(z)), want] - np.log(total), e, total
 
 
 def forward(p: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray):
     """Log-probability of each target, and what its gradient needs."""
-    x = p["embed"][ctx].reshape(len(ctx), -1)
-    h = np.tanh(x @ p["w"] + p["b"])
-    c, j = target // INNER, target % INNER
-    zc = h @ p["cls"] + p["cls_b"]
-    log_c, sum_c = _softmax(zc, c)
-    g = np.tanh(h + p["given"][c])
-    zj = g @ p["inner"] + (p["inner_b"] + p["id_b"])[c]
-    log_j, sum_j = _softmax(zj, j)
-    return log_c + log_j, (x, h, c, j, zc, sum_c, g, zj, sum_j)
+    x = _rows(p["embed"], ctx).reshape(len(ctx), -1)
+    h = x @ p["w"]
+    h += p["b"]
+    np.tanh(h, out=h)
+    c, j = np.divmod(target, INNER)
+    z = h @ p["cls"]
+    z += p["cls_b"]
+    log_c, ec, sum_c = _softmax(z, c)
+    g = _rows(p["given"], c)
+    g += h
+    np.tanh(g, out=g)
+    z = g @ p["inner"]
+    z += _rows(p["inner_b"] + p["id_b"], c)
+    log_j, ej, sum_j = _softmax(z, j)
+    return log_c + log_j, (x, h, c, j, ec, sum_c, g, ej, sum_j)
 
 
 def _take(table: np.ndarray, at: np.ndarray, moves: np.ndarray) -> None:
     """Subtract each move from its row; moves of the same row add up."""
-    order = at.argsort(kind="stable")
-    rows = at[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    table[rows[first]] -= np.add.reduceat(moves[order], first, axis=0)
+    width = table.shape[1]
+    places = at.reshape(-1, 1).astype(np.intp) * width + np.arange(width)
+    np.subtract.at(table.reshape(-1), places.reshape(-1), moves.reshape(-1))  # numpy is fast here on flat arrays only
 
 
 def step(p: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on the mean negative log-probability, in place."""
     _, (x, h, c, j, dc, sum_c, g, dj, sum_j) = forward(p, ctx, target)
-    n, rows = np.float32(len(ctx)), np.arange(len(ctx))
-    dc /= sum_c[:, None]
-    dj /= sum_j[:, None]
-    dj[rows, j] -= 1
-    dc[rows, c] -= 1
-    dg = (dj @ p["inner"].T) * (1 - g * g)
-    dh = (dg + dc @ p["cls"].T) * (1 - h * h)
-    dx = dh @ p["w"].T
-    r = np.float32(rate) / n
-    p["inner"] -= r * (g.T @ dj)
-    p["inner_b"] -= r * dj.sum(0)
-    _take(p["given"], c, r * dg)
-    p["cls"] -= r * (h.T @ dc)
-    p["cls_b"] -= r * dc.sum(0)
-    p["w"] -= r * (x.T @ dh)
-    p["b"] -= r * dh.sum(0)
+    n, rows, ones = len(ctx), np.arange(len(ctx)), np.ones(len(ctx), dc.dtype)
+    r = dc.dtype.type(rate / n)  # all moves below are gradients times r
+    dc *= (r / sum_c)[:, None]
+    dj *= (r / sum_j)[:, None]
+    dj[rows, j] -= r
+    dc[rows, c] -= r
+    dg = dj @ p["inner"].T
+    dg *= 1 - g * g
+    dh = dc @ p["cls"].T
+    dh += dg
+    dh *= 1 - h * h
     # an id's row is moved by its own examples alone: no division by the step's size, but by the square root of it
-    _take(p["embed"], ctx.ravel(), (r * np.sqrt(n)) * dx.reshape(-1, EMBED))
+    dx = dh @ (p["w"].T * dc.dtype.type(np.sqrt(n)))
+    p["inner"] -= g.T @ dj
+    p["inner_b"] -= ones @ dj
+    _take(p["given"], c, dg)
+    p["cls"] -= h.T @ dc
+    p["cls_b"] -= ones @ dc
+    p["w"] -= x.T @ dh
+    p["b"] -= ones @ dh
+    _take(p["embed"], ctx, dx)
 
 
 def _walk(weights, rate: float, turn: int, turns: int):
@@ -161,12 +172,14 @@ def _walk(weights, rate: float, turn: int, turns: int):
                 ctx.append(contexts(tokens, at))
                 target.append(tokens[at])
                 waiting += len(at)
+                seen += len(at)
                 if waiting >= 8 * STEP:
-                    seen += waiting
-                    _steps(p, ctx, target, rate)
-                    ctx, target, waiting = [], [], 0
+                    x, y = np.concatenate(ctx), np.concatenate(target)
+                    waiting %= STEP  # what fills no step waits for more
+                    whole = len(y) - waiting
+                    _steps(p, [x[:whole]], [y[:whole]], rate)
+                    ctx, target = [x[whole:].copy()], [y[whole:].copy()]
         if waiting:
-            seen += waiting
             _steps(p, ctx, target, rate)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype="<i4")), pa.array(flat.astype("f8") * seen), pa.array(np.full(SIZE, seen, "<i8"))], ["at", "total", "n"])

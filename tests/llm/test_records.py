@@ -200,3 +200,59 @@ def test_every_token_is_a_target_of_training_once(monkeypatch, rounds):
     for k in range(rounds):
         n += sum(b.column(2)[0].as_py() for b in lm._walk(SimpleNamespace(value=lm.initial()), 0.5, k, rounds)(iter([batch])))
     assert sorted(got) == np.concatenate(docs).tolist() and n == len(got)
+
+
+def plain_step(p, ctx, target, rate):
+    """The same descent by the book: one example at a time, in double precision."""
+    moves = {k: np.zeros_like(v) for k, v in p.items()}
+    for around, t in zip(ctx, target):
+        c, j = divmod(int(t), lm.INNER)
+        x = np.concatenate([p["embed"][a] for a in around])
+        h = np.tanh(x @ p["w"] + p["b"])
+        g = np.tanh(h + p["given"][c])
+        dc, dj = h @ p["cls"] + p["cls_b"], g @ p["inner"] + p["inner_b"] + p["id_b"][c]
+        dc, dj = (np.exp(z - z.max()) / np.exp(z - z.max()).sum() for z in (dc, dj))
+        dc[c] -= 1
+        dj[j] -= 1
+        dg = (p["inner"] @ dj) * (1 - g * g)
+        dh = (p["cls"] @ dc + dg) * (1 - h * h)
+        for k, move in (("inner", np.outer(g, dj)), ("inner_b", dj), ("cls", np.outer(h, dc)), ("cls_b", dc), ("w", np.outer(x, dh)), ("b", dh)):
+            moves[k] += move
+        moves["given"][c] += dg
+        for a, d in zip(around, (p["w"] @ dh).reshape(-1, lm.EMBED)):
+            moves["embed"][a] += d * np.sqrt(len(target))
+    for k in p:
+        p[k] -= rate / len(target) * moves[k]
+
+
+def test_a_task_trains_like_plain_descent_in_whole_steps():
+    rng = np.random.default_rng(5)
+    docs = [rng.zipf(1.3, n).astype("<u8") % lm.IDS for n in (2500, 1, 2300, 700)]
+    batch = pa.RecordBatch.from_arrays([pa.array([d.astype("<u2").tobytes() for d in docs], pa.binary())], ["ids"])
+    got, = lm._walk(SimpleNamespace(value=lm.initial()), 0.5, 0, 1)(iter([batch]))
+    want = lm.initial().astype("f8")
+    ctx, target = np.concatenate([lm.contexts(d, np.arange(len(d))) for d in docs]), np.concatenate(docs)
+    for k in range(0, len(target), lm.STEP):
+        plain_step(lm.layers(want), ctx[k:k + lm.STEP], target[k:k + lm.STEP], 0.5)
+    moved = np.abs(want - lm.initial()).max()
+    assert moved > 0.1 and np.abs(got.column("total").to_numpy() / len(target) - want).max() < 1e-4 * moved
+
+
+@pytest.mark.parametrize("size", [150.0, -150.0, 1e4])
+def test_logits_beyond_the_range_of_floats_keep_their_probabilities(size):
+    flat = lm.initial()
+    p = lm.layers(flat)
+    p["cls_b"][:] += size
+    p["inner_b"][::2] += size
+    ctx, want = np.arange(4 * 32).reshape(32, 4), np.arange(0, lm.IDS, lm.IDS // 32)
+    exact = lm.forward(lm.layers(flat.astype("f8")), ctx, want)[0]
+    got = lm.forward(p, ctx, want)[0]
+    assert np.isfinite(got).all() and np.abs(got - exact).max() < 1e-6 * abs(size) + 1e-4
+
+
+def test_word_ids_are_hashes_of_lowered_words():
+    from xxhash import xxh64_intdigest
+
+    words = ["Ab", "ab", "\u00c4b", "\u00e4b", "x" * 300, "a\u00a0b", "\x1c"]
+    got = lm.Ids().text("\t " + " \n\x0b".join(words) + "\x0c")
+    assert got.tolist() == [xxh64_intdigest(w.encode().lower(), 7) % lm.IDS for w in words] and lm.Ids().text(" ").tolist() == []
