@@ -39,7 +39,7 @@ EMBED, HIDDEN = 16, 32
 ROUNDS, RATE = 2, 0.75
 CHUNK = 4096  # tokens predicted at once in scoring
 STEP = 256  # tokens of a gradient step
-TINY, HUGE = 1e-30, 1e30  # between them a sum of exponentials is as exact as about the largest of them
+REACH = 80  # exponentials of logits within it, and their sums, neither overflow nor vanish in single precision
 
 SHAPES = {"embed": (IDS + 1, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "cls": (HIDDEN, CLASSES), "cls_b": (CLASSES,), "given": (CLASSES, HIDDEN), "inner": (HIDDEN, INNER), "inner_b": (INNER,), "id_b": (CLASSES, INNER)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -88,66 +88,66 @@ def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return table.take(at, axis=0, mode="clip")  # ids lie within; the other modes copy once more
 
 
-def _softmax(z: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logarithm of the wanted probability of each row, and exponentials with their sums."""
-    ones = np.ones(z.shape[1], z.dtype)
-    with np.errstate(over="ignore"):
-        e = np.exp(z)
-        total = e @ ones
-    if not TINY < total.min() <= total.max() < HUGE:
-        z = z - z.max(axis=1, keepdims=True)
-        np.exp(z, out=e)
-        total = e @ ones
-    return z[np.arange(len(z)), want] - np.log(total), e, total
+def _softmax(z: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of the probability at each row's wanted (flat) place, and the sums of the exponentials, which z becomes."""
+    if not -REACH < z.min() <= z.max() < REACH:
+        z -= z.max(axis=1, keepdims=True)
+    got = z.reshape(-1).take(want)
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return got - np.log(total), total
 
 
 def forward(p: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray):
     """Log-probability of each target, and what its gradient needs."""
-    x = _rows(p["embed"], ctx).reshape(len(ctx), -1)
+    n = len(ctx)
+    x = _rows(p["embed"], ctx).reshape(n, -1)
     h = x @ p["w"]
     h += p["b"]
     np.tanh(h, out=h)
     c, j = np.divmod(target, INNER)
-    z = h @ p["cls"]
-    z += p["cls_b"]
-    log_c, ec, sum_c = _softmax(z, c)
+    at_c, at_j = np.arange(0, n * CLASSES, CLASSES) + c, np.arange(0, n * INNER, INNER) + j
+    ec = h @ p["cls"]
+    ec += p["cls_b"]
+    log_c, sum_c = _softmax(ec, at_c)
     g = _rows(p["given"], c)
     g += h
     np.tanh(g, out=g)
-    z = g @ p["inner"]
-    z += _rows(p["inner_b"] + p["id_b"], c)
-    log_j, ej, sum_j = _softmax(z, j)
-    return log_c + log_j, (x, h, c, j, ec, sum_c, g, ej, sum_j)
+    ej = g @ p["inner"]
+    ej += _rows(p["inner_b"] + p["id_b"], c)
+    log_j, sum_j = _softmax(ej, at_j)
+    return log_c + log_j, (x, h, c, at_c, at_j, ec, sum_c, g, ej, sum_j)
 
 
 def _take(table: np.ndarray, at: np.ndarray, moves: np.ndarray) -> None:
     """Subtract each move from its row; moves of the same row add up."""
-    width = table.shape[1]
+    pair = np.result_type(table.dtype, np.complex64)  # numpy is fast here on flat arrays; two numbers at a time halve the places
+    width = table.shape[1] // 2
     places = at.reshape(-1, 1).astype(np.intp) * width + np.arange(width)
-    np.subtract.at(table.reshape(-1), places.reshape(-1), moves.reshape(-1))  # numpy is fast here on flat arrays only
+    np.subtract.at(table.view(pair).reshape(-1), places.reshape(-1), moves.view(pair).reshape(-1))
 
 
 def step(p: dict[str, np.ndarray], ctx: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on the mean negative log-probability, in place."""
-    _, (x, h, c, j, dc, sum_c, g, dj, sum_j) = forward(p, ctx, target)
-    n, rows, ones = len(ctx), np.arange(len(ctx)), np.ones(len(ctx), dc.dtype)
+    _, (x, h, c, at_c, at_j, dc, sum_c, g, dj, sum_j) = forward(p, ctx, target)
+    n, ones = len(ctx), np.ones(len(ctx), dc.dtype)
     r = dc.dtype.type(rate / n)  # all moves below are gradients times r
     dc *= (r / sum_c)[:, None]
     dj *= (r / sum_j)[:, None]
-    dj[rows, j] -= r
-    dc[rows, c] -= r
+    dc.reshape(-1)[at_c] -= r
+    dj.reshape(-1)[at_j] -= r
     dg = dj @ p["inner"].T
-    dg *= 1 - g * g
-    dh = dc @ p["cls"].T
-    dh += dg
-    dh *= 1 - h * h
-    # an id's row is moved by its own examples alone: no division by the step's size, but by the square root of it
-    dx = dh @ (p["w"].T * dc.dtype.type(np.sqrt(n)))
     p["inner"] -= g.T @ dj
     p["inner_b"] -= ones @ dj
+    dg *= np.subtract(1, np.square(g, out=g), out=g)
     _take(p["given"], c, dg)
+    dh = dg
+    dh += dc @ p["cls"].T
     p["cls"] -= h.T @ dc
     p["cls_b"] -= ones @ dc
+    dh *= np.subtract(1, np.square(h, out=h), out=h)
+    # an id's row is moved by its own examples alone: no division by the step's size, but by the square root of it
+    dx = dh @ (p["w"].T * dc.dtype.type(np.sqrt(n)))
     p["w"] -= x.T @ dh
     p["b"] -= ones @ dh
     _take(p["embed"], ctx, dx)
@@ -198,7 +198,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _steps(p, ctx: list[np.ndarray], target: list[np.ndarray], rate: float) -> None:
     x, y = np.concatenate(ctx), np.concatenate(target)
     for k in range(0, len(y), STEP):
-        step(p, x[k:k + STEP], y[k:k + STEP], rate)
+        step(p, x[k:k + STEP].astype(np.intp), y[k:k + STEP].astype(np.intp), rate)
 
 
 def tokens_of(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
