@@ -35,6 +35,7 @@ CLASSES, INNER = 64, 64
 IDS = CLASSES * INNER
 EDGE = IDS  # the token beyond either end
 SIDE = 2  # tokens seen on each side
+AROUND = np.array([i for i in range(-SIDE, SIDE + 1) if i])
 EMBED, HIDDEN = 16, 32
 ROUNDS, RATE = 2, 0.75
 CHUNK = 4096  # tokens predicted at once in scoring
@@ -78,10 +79,19 @@ class Ids:
         return (np.fromiter(map(xxh64_intdigest, words, repeat(7)), "<u8", len(words)) % IDS).astype("<u2")
 
 
+def _joined(docs: list[np.ndarray]) -> np.ndarray:
+    """The documents' tokens one after the other, edges before, between and behind them."""
+    gap = np.full(SIDE, EDGE, "<u2")
+    return np.concatenate([gap] + [part for d in docs for part in (d, gap)])
+
+
+def _around(wide: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return wide.take(at[:, None] + AROUND)
+
+
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The tokens on both sides of each place."""
-    wide = np.concatenate([np.full(SIDE, EDGE, "<u2"), ids, np.full(SIDE, EDGE, "<u2")])
-    return wide[at[:, None] + np.array([i for i in range(2 * SIDE + 1) if i != SIDE])]
+    return _around(_joined([ids]), at + SIDE)
 
 
 def _rows(table: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -158,9 +168,10 @@ def _walk(weights, rate: float, turn: int, turns: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = weights.value.copy()
         p, seen = layers(flat), 0
-        ctx: list[np.ndarray] = []
-        target: list[np.ndarray] = []
-        waiting = 0
+        ctx, target = np.empty((0, 2 * SIDE), "<u2"), np.empty(0, "<u2")  # what fills no step waits for more
+        docs: list[np.ndarray] = []
+        places: list[np.ndarray] = []  # of targets within the joined documents
+        waiting, end = 0, SIDE
         for b in batches:
             for t in b.column(0):
                 tokens = np.frombuffer(t.as_py(), "<u2")
@@ -169,24 +180,35 @@ def _walk(weights, rate: float, turn: int, turns: int):
                 at = np.arange((turn + int(tokens[0])) % turns, len(tokens), turns)
                 if not len(at):
                     continue
-                ctx.append(contexts(tokens, at))
-                target.append(tokens[at])
+                docs.append(tokens)
+                places.append(at + end)
+                end += len(tokens) + SIDE
                 waiting += len(at)
-                seen += len(at)
                 if waiting >= 8 * STEP:
-                    x, y = np.concatenate(ctx), np.concatenate(target)
-                    waiting %= STEP  # what fills no step waits for more
-                    whole = len(y) - waiting
-                    _steps(p, [x[:whole]], [y[:whole]], rate)
-                    ctx, target = [x[whole:].copy()], [y[whole:].copy()]
+                    ctx, target = _next(docs, places, ctx, target)
+                    waiting = len(target) % STEP
+                    whole = len(target) - waiting
+                    seen += whole
+                    _steps(p, [ctx[:whole]], [target[:whole]], rate)
+                    ctx, target, docs, places, end = ctx[whole:].copy(), target[whole:].copy(), [], [], SIDE
         if waiting:
-            _steps(p, ctx, target, rate)
+            ctx, target = _next(docs, places, ctx, target)
+            seen += len(target)
+            _steps(p, [ctx], [target], rate)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype="<i4")), pa.array(flat.astype("f8") * seen), pa.array(np.full(SIZE, seen, "<i8"))], ["at", "total", "n"])
 
     return walk
 
 
+def _next(docs: list[np.ndarray], places: list[np.ndarray], ctx: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and targets that wait, with those of some more documents behind them."""
+    if not docs:
+        return ctx, target
+    wide, at = _joined(docs), np.concatenate(places)
+    return np.concatenate([ctx, _around(wide, at)]), np.concatenate([target, wide[at]])
+
+
 def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(IDS, "<i8")
     for b in batches:
@@ -251,9 +273,9 @@ def score(tokens: DataFrame, weights: np.ndarray) -> DataFrame:
                     n += sizes[m]
                     m += 1
                 if n:
-                    ctx = np.concatenate([contexts(t, np.arange(len(t))) for t in docs[k:m]])
-                    want = np.concatenate(docs[k:m])
-                    logs = np.concatenate([forward(p, ctx[i:i + CHUNK], want[i:i + CHUNK])[0] for i in range(0, len(want), CHUNK)])
+                    wide = _joined(docs[k:m])
+                    at = np.flatnonzero(wide != EDGE)
+                    logs = np.concatenate([forward(p, _around(wide, at[i:i + CHUNK]), wide[at[i:i + CHUNK]])[0] for i in range(0, len(at), CHUNK)])
                     totals[k:m] = np.bincount(np.repeat(np.arange(m - k), sizes[k:m]), logs, minlength=m - k)
                 k = m
             yield pa.StructArray.from_arrays([pa.array(sizes), pa.array(totals)], ["n_tokens", "score"])
