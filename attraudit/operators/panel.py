@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tails import f_upper, normal_two_sided, p_chi2, p_student, t_two_sided
+from ..functions.tails import f_upper, normal_two_sided, p_chi2, p_student, shapiro_wilk, t_two_sided
 from ..session import short
 from .gram import mean_shift, gram, sum_arrays
 from .running import BUCKET, default_buckets, exact_quantiles, rank_rows, with_buckets
@@ -364,6 +364,21 @@ def residual_summary(rows: DataFrame, y: str, x: Sequence[str], by: Sequence[str
     return g.withColumn("jarque_bera", jb).withColumn("jb_p_value", p_chi2(F.col("jarque_bera"), F.lit(2.0)))
 
 
+def residual_normality(rows: DataFrame, y: str, x: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Shapiro-Wilk test of the residuals, all of them; made for result panels: a key's residuals are sorted in one task."""
+    by = list(by)
+    e = predictions(rows, y, x, by)[0].select(*by, "residual")
+    schema = T.StructType([f for f in e.select(*by).schema.fields] + [
+        T.StructField("n", T.LongType()), T.StructField("w", T.DoubleType()), T.StructField("p_value", T.DoubleType())
+    ])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        w, p = (None if math.isnan(v) else v for v in shapiro_wilk(pdf["residual"].to_numpy()))
+        return pd.DataFrame([[*key, len(pdf), w, p]], columns=schema.names)
+
+    return e.groupBy(*by).applyInPandas(run, schema)
+
+
 def breusch_pagan(rows: DataFrame, y: str, x: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Lagrange-multiplier test of constant variance."""
     e = predictions(rows, y, x, by)[0].select(*by, *x, (F.col("residual") * F.col("residual")).alias("__e2"))

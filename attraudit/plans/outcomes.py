@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.classify import classify_pattern
 from ..functions.labels import apply_policy
 from ..operators import cohort, fairness, odds, panel, ranking, resample, summary
+from ..session import together
 
 
 def subgroup_bias_study(scores: DataFrame, cell: Sequence[str], unit: str, group: str = "grp", b: int = 1000, q: float = 0.05) -> dict[str, DataFrame]:
@@ -134,11 +135,13 @@ def timing_study(cells: DataFrame, flagged: Sequence[str], y: str = "auroc_drop"
 def diagnostics_study(cells: DataFrame, y: str = "auroc_drop", x: str = "abs_log_or", b: int = 2000) -> dict:
     """Residual shape, heteroscedasticity, influence, variance parts, robust and bootstrap slopes (Q16)."""
     unit = cells.withColumn("cell", F.concat_ws("|", "model", "attribute", "finding"))
+    cook = panel.influence(unit, y, [x])
+    mixed, robust = together(lambda: panel.random_intercept(cells, y, [x], "finding"), lambda: panel.huber(cells, y, [x]))
     return {
         "ols": panel.simple_ols(cells, [], x, y), "residuals": panel.residual_summary(cells, y, [x]),
-        "breusch_pagan": panel.breusch_pagan(cells, y, [x]), "influence": panel.influence_counts(panel.influence(cells, y, [x])),
-        "mixed": panel.random_intercept(cells, y, [x], "finding"), "huber": panel.huber(cells, y, [x]),
-        "bootstrap": resample.bootstrap_slope(unit, [], x, y, "cell", b=b),
+        "normality": panel.residual_normality(cells, y, [x]), "breusch_pagan": panel.breusch_pagan(cells, y, [x]),
+        "influence": panel.influence_counts(cook), "top_influence": cook.orderBy(F.col("cooks_d").desc(), "cell").limit(5),
+        "mixed": mixed, "huber": robust, "bootstrap": resample.bootstrap_slope(unit, [], x, y, "cell", b=b),
     }
 
 
